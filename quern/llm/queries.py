@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, token_counts, token_files, url_filter
+from . import bpe_codec, exact_dedup, near_dedup, quality, secret_scan, token_counts, token_files, url_filter
 from ._common import scratch, table
 
 
@@ -16,6 +16,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -24,10 +29,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = url_filter.fit_url_model(url_filter.labelled_urls(spark))
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), weights)
@@ -39,7 +52,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_positions(index, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_counts, op5_bpe_codec, op8_url_filter, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_token_counts, op4_secret_scan, op5_bpe_codec, op6_near_dedup, op8_url_filter, op9_token_files)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
