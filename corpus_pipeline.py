@@ -1,21 +1,53 @@
-"""The corpus pipeline: filter, deduplicate, decontaminate and encode ``documents``."""
+"""The corpus pipeline: quality, exact and near copies, benchmark passages, then token ids.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is
+written as Parquet and read again as the next stage's docs. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import exact_dedup
+from quern.llm import bpe_codec, decontaminate, exact_dedup, near_dedup, quality
 from quern.llm._common import materialise, table
+from quern.llm.queries import vocabulary
 
-#: SQL can't express the classifier, the sketches or the alignments.
+#: SQL can't express the classifier, the sketches and the alignments; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts. It learns from the labels of ``docs`` outside the held-out quarter."""
+    return quality.keep_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id."""
     return exact_dedup.drop_exact_copies(docs)
 
 
-STAGES = [("exact dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of what is left, and digests that prove the round trip: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return bpe_codec.encode_decode(docs, vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("MinHash near-dedup", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("BPE encoding and decoding", encode_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

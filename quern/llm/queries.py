@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, near_dedup, quality, secret_scan, token_counts, token_files, url_filter
+from . import bpe_codec, decontaminate, exact_dedup, html_extract, near_dedup, quality, secret_scan, token_counts, token_files, url_filter
 from ._common import scratch, table
 
 
@@ -41,6 +40,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = url_filter.fit_url_model(url_filter.labelled_urls(spark))
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), weights)
@@ -52,7 +55,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_positions(index, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_token_counts, op4_secret_scan, op5_bpe_codec, op6_near_dedup, op8_url_filter, op9_token_files)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_token_counts, op4_secret_scan, op5_bpe_codec, op6_near_dedup, op7_html_extraction, op8_url_filter, op9_token_files, op10_decontamination)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
