@@ -49,6 +49,7 @@ class DigestIndex:
         )
 
     def table(self) -> DataFrame:
+        self.spark.catalog.refreshTable(self.name)  # another session may have appended
         return self.spark.table(self.name)
 
     def append(self, batch: DataFrame) -> None:
@@ -58,7 +59,6 @@ class DigestIndex:
         """
         new = batch.join(self.table().hint("merge"), "digest", "left_anti")
         new.repartition(self.buckets, "digest").sortWithinPartitions("digest").select("digest", "keep_id").write.insertInto(self.name)
-        self.spark.catalog.refreshTable(self.name)
 
     def compact(self, path: str) -> DigestIndex:
         """The same index at another path with one sorted file per bucket, after many appends."""
