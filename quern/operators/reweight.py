@@ -74,7 +74,7 @@ def rw_ratio_curve(train: DataFrame, target_pmf: DataFrame, lam: float = 0.10, g
     """Per scope (all, 0, 1) and grid point the raw and the regularised ratio and whether the target is short or in surplus there."""
     goal = rw_target_density(target_pmf, grid, n_bins).select("i", F.col("density").alias("t"))
     curves = agg_kde(train, grid=grid).withColumn("scope", F.lit("all")).select("scope", "i", "x", "density").unionByName(agg_kde(train.filter("grp IS NOT NULL"), by=["grp"], grid=grid).select(F.col("grp").cast("string").alias("scope"), "i", "x", "density"))
-    return curves.join(goal, "i").select("scope", "i", "x", F.try_divide("t", "density").alias("raw"), (F.col("t") / (F.col("density") + lam)).alias("ratio"), F.when(F.col("t") > F.col("density"), "shortage").otherwise("surplus").alias("region"))
+    return curves.join(goal, "i").select("scope", "i", "x", "density", F.try_divide("t", "density").alias("raw"), (F.col("t") / (F.col("density") + lam)).alias("ratio"), F.when(F.col("t") > F.col("density"), "shortage").otherwise("surplus").alias("region"))
 
 
 # ---- calibration
