@@ -38,14 +38,17 @@ def src_multi_csv(spark: SparkSession, paths: Sequence[str], schema: str, key: s
 
 
 def src_file_inventory(spark: SparkSession, roots: str | list[str], exts: Sequence[str] = ("jpg", "jpeg", "png", "webp")) -> DataFrame:
-    """basename, path, length of the files under the roots with such an extension; of equal basenames the first path."""
+    """basename, path, length of the files under the roots with such an extension; of equal basenames the first path.
+
+    Spark's file sources don't list empty files, so those are not in it.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select("path", "length")
     named = files.withColumn("basename", F.substring_index("path", "/", -1)).filter(F.lower(F.regexp_extract("basename", r"\.([^.]+)$", 1)).isin(*exts))
     return named.groupBy("basename").agg(F.min("path").alias("path"), F.min_by("length", "path").alias("length"))
 
 
 def src_readability_check(df: DataFrame, inventory: DataFrame, key: str = "filename", probe: Callable[[bytes], bool] | None = None, roots: str | list[str] | None = None) -> DataFrame:
-    """Referenced files that are missing, empty or refused by ``probe`` (bytes -> readable): key, problem."""
+    """Referenced files that are missing (an inventory made by Spark lacks empty files too), empty or refused by ``probe`` (bytes -> readable): key, problem."""
     found = df.select(key).distinct().join(inventory.withColumnRenamed("basename", key), key, "left")
     bad = found.select(key, F.when(F.col("path").isNull(), "missing").when(F.col("length") == 0, "empty").alias("problem")).filter("problem IS NOT NULL")
     if probe is None or roots is None:
