@@ -12,10 +12,11 @@ similarity of the shingle sets, 0.8 or more. A pair at 0.8 is missed with probab
 
 How the work stays in proportion: equal texts (same word sequence) are one row from the start, by salted counts. In a
 small bucket (``pairs_up_to`` rows) all pairs are candidates. In a larger one every row is paired with the bucket's
-smallest id and those links are verified first; only rows of such a bucket that are then still in different classes
-are taken up again, cut finer by a second band (pairs at 0.8 share two bands but for 8e-6 of them), and every pair
-across classes of a finer bucket is verified. So no candidate is dropped, and a hot group costs one pair per row and
-band. Classes are the connected components of the verified links.
+smallest id, its pivot, and those pairs are verified first. Most rows of a hot group are then in one class. Rows that
+share a pivot and are still in different classes are compared exactly, block against block: each row outside the
+pivot's largest class meets all rows of the pivot, and only links leave the task. So no candidate is dropped, a hot
+group costs one pair per row and pivot, and no task or shuffle holds more than blocks of bounded size. Classes are the
+connected components of the verified links.
 
 Defined cases. A null text counts as empty; texts without words are equal to each other and to nothing else. A text of
 one to four words has one shingle, all of it. Null ids never become a class's id unless all of its ids are null.
@@ -24,7 +25,11 @@ Repeated rows are copies of each other. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,8 +124,8 @@ def shingle_sets(texts: list[str]) -> dict:
     return {"shingles": [np.unique(shingles(word_hashes(t))).view(np.int64) for t in texts]}
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """Of ``pairs`` (a, b, distinct) those whose shingle sets have that Jaccard similarity; with it."""
+def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Of ``pairs`` (a, b, distinct) those whose shingle sets have that Jaccard similarity, with it; and the sets of all ids in them."""
     pairs = materialise(pairs, "candidates")
     needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct(), "needed")
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(needed, "__id", "left_semi").dropDuplicates(["__id"])
@@ -129,7 +134,67 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, t
     both = with_a.join(sets.select(F.col("__id").alias("b"), F.col("shingles").alias("y")), "b")
     common = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
     found = common.select("a", "b", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("similarity")).filter(F.col("similarity") >= threshold)
-    return materialise(found, "links")
+    return materialise(found, "links"), sets
+
+
+#: Shingles in a block of texts that are compared with another block (1.6 MB).
+BLOCK_SHINGLES = 200_000
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _meet(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row of the first block and each class among the second block's rows, one link (if there is any)."""
+    for batch in batches:
+        columns = {c: _arrays(batch.column(c)) for c in ("ids", "labels", "sizes", "shingles", "ids2", "labels2", "sizes2", "shingles2")}
+        links: list[tuple[int, int, float]] = []
+        for ids, labels, sizes, flat, ids2, labels2, sizes2, flat2 in zip(*columns.values(), strict=True):
+            known, number = np.unique(flat2, return_inverse=True)
+            starts = np.cumsum(sizes2) - sizes2
+            for i, own in enumerate(np.split(flat, np.cumsum(sizes)[:-1])):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                mark = np.zeros(len(known), np.int32)
+                mark[at[known[at] == own]] = 1
+                common = np.add.reduceat(mark[number], starts)
+                similarity = common / (len(own) + sizes2 - common)
+                hit = np.flatnonzero((similarity >= threshold) & (labels2 != labels[i]))
+                _, first = np.unique(labels2[hit], return_index=True)
+                links += [(min(ids[i], ids2[j]), max(ids[i], ids2[j]), similarity[j]) for j in hit[first]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64()), pa.array([x[2] for x in links], pa.float64())], names=["a", "b", "similarity"])
+
+
+def across_classes(stars: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
+    """Links between rows that share a pivot (stars: a pivot, b row) and are in different classes; None where there are no such rows."""
+    spark = stars.sparkSession
+    rows = stars.unionByName(stars.select("a", F.col("a").alias("b"))).distinct()
+    rows = rows.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("label", "b").alias("label"))
+    rows = materialise(rows, "pivots")
+    counts = rows.groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = materialise(counts.groupBy("a").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("a", "main"), "mixed")
+    if mixed.isEmpty():
+        return None
+    rows = materialise(rows.join(mixed, "a"), "open").join(sets.withColumnRenamed("__id", "b"), "b")
+    rows = materialise(rows.select("a", "b", "label", (F.col("label") != F.col("main")).alias("asks"), "shingles"), "open-sets")
+    parts = rows.groupBy("a").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).cast("int").alias("parts"))
+
+    def blocks(some: DataFrame, number: str, tail: str) -> DataFrame:
+        packed = some.groupBy("a", number, "parts").agg(F.collect_list(F.struct("b", "label", "shingles")).alias("l"))  # of about BLOCK_SHINGLES
+        return packed.select("a", number, "parts", *(F.transform("l", lambda x: x[c]).alias(n + tail) for n, c in (("ids", "b"), ("labels", "label"))), F.transform("l", lambda x: F.size(x["shingles"])).alias("sizes" + tail), F.flatten(F.transform("l", lambda x: x["shingles"])).alias("shingles" + tail))
+
+    dealt = rows.join(materialise(parts, "parts"), "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    asked = blocks(dealt, "block", "2").drop("parts")
+    asking = blocks(dealt.filter("asks").withColumnRenamed("block", "own"), "own", "").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = materialise(asking.drop("own", "parts"), "asking").join(materialise(asked, "asked"), ["a", "block"]).drop("a", "block")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:  # a row is a pair of blocks
+        spark.conf.set(size, "8")
+        return materialise(pairs.mapInArrow(partial(_meet, threshold), "a long, b long, similarity double"), "more-links")
+    finally:
+        spark.conf.set(size, before)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -150,42 +215,31 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _pairs_in(members: DataFrame, key: list[str], across: str | None = None) -> DataFrame:
-    """Distinct pairs of rows that share a key; with ``across`` only those that differ in it. Sizes within 0.8 of each other."""
-    a = members.select(*key, F.col("rep").alias("a"), F.col("n_shingles").alias("m"), *([F.col(across).alias("la")] if across else []))
-    b = members.select(*key, F.col("rep").alias("b"), F.col("n_shingles").alias("n"), *([F.col(across).alias("lb")] if across else []))
-    both = a.join(b, key).filter("a < b")
-    return (both.filter("la <> lb") if across else both).select("a", "b", "m", "n")
+def _pairs_in(members: DataFrame, key: list[str], threshold: float) -> DataFrame:
+    """Pairs of rows that share a key, of sizes that allow the threshold."""
+    a = members.select(*key, F.col("rep").alias("a"), F.col("n_shingles").alias("m"))
+    b = members.select(*key, F.col("rep").alias("b"), F.col("n_shingles").alias("n"))
+    return a.join(b, key).filter("a < b").filter(F.least("m", "n") >= threshold * F.greatest("m", "n")).select("a", "b")
 
 
 def near_groups(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", pairs_up_to: int = 12) -> DataFrame:
     """One row per document: id, rep_id (smallest id with the same words), class_id (smallest id of the class), n_links
-    (verified links of its representative), class_size (documents in the class)."""
-    fits = f"least(m, n) >= {threshold} * greatest(m, n)"
+    (verified links that tie its representative to others, not all that it has), class_size (documents in the class)."""
     rows = materialise(map_text(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "__text", ["__id"], sketch_texts, "digest binary, n_shingles int, bands array<long>"), "sketches")
     parts, groups = group_minima(rows, ["digest", "n_shingles", "bands"], "__id")
     groups = materialise(groups.withColumnRenamed("keep_id", "rep"), "texts")
 
     keys = groups.filter("rep IS NOT NULL").select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    sizes = keys.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
+    sizes = materialise(keys.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1"), "sizes")
     members = materialise(keys.join(sizes, ["band", "key"]), "buckets")
-    small, large = members.filter(F.col("n_rows") <= pairs_up_to), members.filter(F.col("n_rows") > pairs_up_to)
-    stars = large.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    pairs = _pairs_in(small, ["band", "key"]).filter(fits).select("a", "b").unionByName(stars).distinct()
-    links = verified(pairs, docs, threshold, id_col, text_col)
+    small = members.filter(F.col("n_rows") <= pairs_up_to)
+    stars = materialise(members.filter((F.col("n_rows") > pairs_up_to) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    pairs = _pairs_in(small, ["band", "key"], threshold).unionByName(stars).distinct()
+    links, sets = verified(pairs, docs, threshold, id_col, text_col)
     labels = components(links)
-
-    # Large buckets whose rows are not all in one class: pairs across classes, in finer buckets of two bands.
-    classed = large.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = classed.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band", "key")
-    open_rows = materialise(classed.join(mixed, ["band", "key"], "left_semi").select("rep", "n_shingles", "label", "band", "key"), "open")
-    if not open_rows.isEmpty():
-        second = members.select("rep", F.col("band").alias("band2"), F.col("key").alias("key2"))
-        finer = open_rows.join(second, "rep").filter("band <> band2")
-        split = finer.groupBy("band", "key", "band2", "key2").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band", "key", "band2", "key2")
-        finer = materialise(finer.join(split, ["band", "key", "band2", "key2"], "left_semi"), "finer")
-        more = _pairs_in(finer, ["band", "key", "band2", "key2"], "label").filter(fits).select("a", "b").distinct()
-        links = materialise(links.unionByName(verified(more, docs, threshold, id_col, text_col)).dropDuplicates(["a", "b"]), "all-links")
+    more = across_classes(stars, labels, sets, threshold)
+    if more is not None:
+        links = materialise(links.unionByName(more).dropDuplicates(["a", "b"]), "all-links")
         labels = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
