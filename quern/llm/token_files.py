@@ -59,6 +59,10 @@ def unframe(record: bytes) -> bytes:
     return data
 
 
+#: ASCII punctuation; a run of it after letters is a pre-token of its own.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Known(dict):
     """Ids (as bytes) of the words that this Python process has met; a new word is encoded when it is first asked for.
 
@@ -85,7 +89,7 @@ class Known(dict):
         return self._bytes([t.id for t in self.model(plain if plain.isascii() else plain.encode("utf-8").decode("latin-1").translate(self.letters))])
 
     def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(".,;:!?")
+        core = word.rstrip(MARKS)
         got = self._letters(core) if core.isalpha() else None
         if got is None:
             got = self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
@@ -115,7 +119,7 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         get = self.known.__getitem__
-        return [b"".join([*map(get, t.split(" ")), self.end]) for t in texts]
+        return [b"".join([*map(get, t.replace("\n", " ").split(" ")), self.end]) for t in texts]
 
 
 def _open(uri: str):

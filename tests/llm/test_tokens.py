@@ -79,3 +79,10 @@ def test_damaged_records_are_refused():
     for i in range(len(record)):
         with pytest.raises(ValueError, match="damaged"):
             token_files.unframe(record[:i] + bytes([record[i] ^ 1]) + record[i + 1 :])
+
+
+def test_word_ids_equal_the_library_for_every_ascii_mark():
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = [f"a{c}b{c} {c}{c}C{c}.{c} d'{c}s é{c}\n{c}x 9{c}" for c in map(chr, [*range(1, 128), 0x85, 0xA0, 0x301, 0x2028, 0x3000])]
+    got = token_files.WordIds(P.path("word_bpe_49k.json"), None)(texts)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
