@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.expr import clip, order_hash, strata, uniform
+from quern.functions.metric_spec import sampler
 from quern.functions.rank import global_rank
 
 
@@ -16,6 +17,7 @@ def _ordered(df: DataFrame, key: str, *salt) -> DataFrame:
     return global_rank(df.withColumn("__h", order_hash(key, *salt)), [F.col("__h"), F.col(key)], "__r").drop("__h")
 
 
+@sampler("random")
 def smp_random_holdout(df: DataFrame, ratio: float = 0.15, seed: int = 42, key: str = "sample_id") -> DataFrame:
     """max(floor(N * ratio), 1) rows without replacement."""
     total = df.groupBy().agg(F.greatest(F.floor(F.count(F.lit(1)) * ratio), F.lit(1)).alias("__n"))
@@ -34,6 +36,7 @@ def _rank_in(df: DataFrame, by: Sequence[str], key: str, *salt) -> DataFrame:
     return ranked.join(F.broadcast(first), list(by)).withColumn("__r", F.col("__g") - F.col("__f") + 1).drop("__g", "__f")
 
 
+@sampler("stratified")
 def smp_proportional(df: DataFrame, n: int, seed: int = 42, key: str = "sample_id") -> DataFrame:
     """About ``n`` rows in proportion to the strata: floors first, then one more for the largest remainders; no stratum gives more than it has."""
     rows = _rank_in(df.filter("grp IS NOT NULL AND label IS NOT NULL").withColumn("stratum", strata()), ["stratum"], key, seed)
@@ -45,12 +48,14 @@ def smp_proportional(df: DataFrame, n: int, seed: int = 42, key: str = "sample_i
     return rows.join(F.broadcast(take), "stratum").filter("__r <= __take").select(*df.columns, "stratum")
 
 
+@sampler("kfold")
 def smp_kfold(df: DataFrame, k: int = 5, seed: int = 42, key: str = "sample_id") -> DataFrame:
     """Stratified folds: within each stratum rows go round the folds in hash order. One partition per seed."""
     rows = _rank_in(df.withColumn("stratum", F.coalesce(strata(), F.lit(-1))), ["stratum"], key, seed)
     return rows.select(*(c for c in df.columns if c != "fold"), "stratum", ((F.col("__r") - 1) % k).cast("int").alias("fold"))
 
 
+@sampler("monitor")
 def smp_full_data(df: DataFrame, n: int = 2000, seed: int = 42, key: str = "sample_id") -> DataFrame:
     """Every row trains; ``monitor`` marks the ``n`` rows (by hash order) that are also watched."""
     return _ordered(df, key, seed).select(*df.columns, (F.col("__r") <= n).alias("monitor"))

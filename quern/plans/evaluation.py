@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions.metric_spec import MetricSpec, evaluate
 from quern.operators import classification as C
 from quern.operators import dense as X
 from quern.operators import density as D
@@ -125,6 +126,19 @@ def agg_entity_stats(spark, sf):
     return rounded(M.agg_entity_stats(view(spark, sf, "scored")), 9)
 
 
+ERROR = lambda: F.abs(F.col("pred") - F.col("label"))
+SPECS = [
+    MetricSpec("mae", {"s": lambda: F.sum("mae__e"), "n": lambda: F.count("mae__e")}, lambda a: a("s") / a("n"), {"e": ERROR}),
+    MetricSpec("rmse", {"s": lambda: F.sum(ERROR() * ERROR()), "n": lambda: F.count("pred")}, lambda a: F.sqrt(a("s") / a("n"))),
+    MetricSpec("worst", {"m": lambda: F.max(ERROR())}, lambda a: a("m")),
+]
+
+
+@query("SELECT grp, round(avg(abs(pred - label)), 9) AS mae, round(sqrt(avg((pred - label) * (pred - label))), 9) AS rmse, round(max(abs(pred - label)), 9) AS worst FROM scored GROUP BY grp")
+def udf_metric_spec(spark, sf):
+    return rounded(evaluate(view(spark, sf, "scored"), SPECS, ["grp"]), 9)
+
+
 # ---- densities
 
 
