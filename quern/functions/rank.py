@@ -19,11 +19,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read back, so that lineage ends there and lost executors cost nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, name: str, rows_per_batch: int | None = None) -> DataFrame:
+    """Written to the shared folder and read back, so that lineage ends there and lost executors cost nothing.
+
+    ``rows_per_batch`` bounds the rows that a Python function of ``df`` gets at once, where a row is a block of many.
+    """
+    spark, path, size = df.sparkSession, shared_path(df.sparkSession, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        if rows_per_batch:
+            spark.conf.set(size, str(rows_per_batch))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(size, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank", parts: int | None = None) -> DataFrame:
@@ -40,3 +49,40 @@ def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank", pa
     starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return dealt.join(starts, "__part").withColumn(name, F.col("__start") + inside).drop("__part", "__start")
+
+
+def group_rank(df: DataFrame, by: list[str], order: list[Column | str], name: str = "rank", size: str | None = None) -> DataFrame:
+    """1, 2, ... within the groups of ``by``, for groups that are few and large: the whole table's rank less the rows of earlier groups.
+
+    ``size`` also names a column with the rows of the group.
+    """
+    ranked = global_rank(df, [*(F.col(b) for b in by), *order], "__g")
+    keys = [f"__k{i}" for i in range(len(by))]
+    first = ranked.groupBy(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True))).agg(F.min("__g").alias("__f"), F.count(F.lit(1)).alias(size or "__size"))
+    same = F.lit(True)
+    for b, k in zip(by, keys, strict=True):
+        same &= F.col(b).eqNullSafe(F.col(k))
+    return ranked.join(first, same).select(*df.columns, (F.col("__g") - F.col("__f") + 1).alias(name), *([size] if size else []))
+
+
+def running_sums(df: DataFrame, by: list[str], order: list[Column | str], sums: dict[str, str]) -> DataFrame:
+    """Running sums (``sums``: new column -> summed column) within ``by`` in an order, however many rows a group has.
+
+    Range-partition on group and order, sum inside partitions, and add the groups' sums of earlier partitions.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(df.repartitionByRange(parts, *(F.col(b) for b in by), *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    here = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over partitions
+    totals = dealt.groupBy("__part", *by).agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))
+    starts = totals.select("__part", *by, *(F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in sums))
+    inside = dealt.select(*dealt.columns, *(F.sum(c).over(here).alias(n) for n, c in sums.items()))
+    return inside.join(starts, ["__part", *by]).select(*df.columns, *((F.col(n) + F.col(f"__s_{n}")).alias(n) for n in sums))
+
+
+def exact_median(df: DataFrame, col: str, name: str = "median") -> DataFrame:
+    """Median of a column as one row, by rank: no task holds the column's values."""
+    rows = global_rank(df.select(F.col(col).alias("__v")).filter("__v IS NOT NULL"), [F.col("__v")], "__r")
+    total = rows.groupBy().agg(F.count(F.lit(1)).alias("__n"))
+    middle = rows.join(F.broadcast(total)).filter((F.col("__r") == F.floor((F.col("__n") + 1) / 2)) | (F.col("__r") == F.floor((F.col("__n") + 2) / 2)))
+    return middle.groupBy().agg(F.avg("__v").alias(name))

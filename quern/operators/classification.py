@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.rank import running_sums
+
 
 def place_of(scores: str, target: Column) -> Column:
     """Place (1 = first) of a class when scores are sorted from the largest, ties by class number."""
@@ -52,12 +54,12 @@ def score_rows(df: DataFrame, scores: str, positive: Column) -> DataFrame:
 def agg_auroc(df: DataFrame, scores: str = "scores", target: str = "target") -> DataFrame:
     """Macro one-versus-rest area under the ROC curve, by rank sums over distinct scores.
 
-    Rows are first counted per class and score, so a window holds a class's distinct scores.
+    Rows are first counted per class and score; running counts go over range partitions, so a class of any size is
+    spread over many tasks.
     """
     long = df.filter(F.col(target).isNotNull()).select(F.posexplode(scores).alias("class", "score"), F.col(target).alias("t"))
     cells = long.groupBy("class", "score").agg(F.count_if(F.col("t") == F.col("class")).alias("p"), F.count_if(F.col("t") != F.col("class")).alias("q"))
-    below = Window.partitionBy("class").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cells.withColumn("lower", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    ranked = running_sums(cells, ["class"], [F.col("score")], {"upto": "q"}).withColumn("lower", F.col("upto") - F.col("q"))
     per = ranked.groupBy("class").agg(F.sum(F.col("p") * (F.col("lower") + F.col("q") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
     return per.filter("np > 0 AND nq > 0").agg(F.avg(F.col("u") / (F.col("np") * F.col("nq"))).alias("auroc"), F.count(F.lit(1)).alias("n_classes"))
 
@@ -80,8 +82,8 @@ def pr_curve(df: DataFrame, scores: str, targets: str) -> DataFrame:
     """Per class and distinct score, from the largest: hits and rows so far, and the class's positives."""
     long = df.select(F.posexplode(scores).alias("class", "score"), F.col(targets).alias("t"))
     cells = long.groupBy("class", "score").agg(F.count_if(F.array_contains("t", F.col("class"))).alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy("class").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return cells.select("class", "score", "p", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("seen"), F.sum("p").over(Window.partitionBy("class")).alias("positives"))
+    curve = running_sums(cells, ["class"], [F.desc("score")], {"tp": "p", "seen": "n"})
+    return curve.join(F.broadcast(cells.groupBy("class").agg(F.sum("p").alias("positives"))), "class").select("class", "score", "p", "tp", "seen", "positives")  # one row a class
 
 
 def agg_avg_precision(df: DataFrame, scores: str = "scores", targets: str = "targets") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.expr import fair_weight
+from quern.functions.rank import exact_median
 
 
 def _group_error(weight: Column, g: int) -> Column:
@@ -106,7 +107,7 @@ def agg_delta_mae(df: DataFrame, methods: Sequence[str], raw: str = "pred", n_bi
 def agg_pred_summary(df: DataFrame, pred: str = "pred", hi: float = 0.3, lo: float = 0.01) -> DataFrame:
     """Mean, population standard deviation, median and the shares above ``hi`` and below ``lo``."""
     p = F.col(pred)
-    return df.agg(F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.median(p).alias("median"), F.avg((p > hi).cast("double")).alias("share_hi"), F.avg((p < lo).cast("double")).alias("share_lo"))
+    return df.agg(F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.avg((p > hi).cast("double")).alias("share_hi"), F.avg((p < lo).cast("double")).alias("share_lo")).join(F.broadcast(exact_median(df, pred)))  # one row
 
 
 def agg_fold_report(df: DataFrame, weight_a: str, weight_b: str, fold: str = "fold") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.expr import clip, fair_weight, fn_interp, grid_lookup
-from quern.functions.rank import global_rank
+from quern.functions.rank import global_rank, group_rank
 from quern.operators.density import agg_kde
 from quern.operators.metrics import agg_fair_score
 
@@ -81,10 +81,10 @@ def rw_ratio_curve(train: DataFrame, target_pmf: DataFrame, lam: float = 0.10, g
 
 
 def win_midrank(df: DataFrame, col: str, tie: str = "sample_id", by: Sequence[str] = ()) -> DataFrame:
-    """u = (rank - 0.5) / n in the order of the value and the key; within ``by``, or over the whole table by partial ranks."""
+    """u = (rank - 0.5) / n in the order of the value and the key, within ``by`` or over the whole table, by partial ranks."""
     if by:
-        order = Window.partitionBy(*by).orderBy(col, tie)
-        return df.withColumn("u", (F.row_number().over(order) - 0.5) / F.count(F.lit(1)).over(Window.partitionBy(*by)))
+        ranked = group_rank(df, list(by), [F.col(col), F.col(tie)], "__r", "__t")
+        return ranked.withColumn("u", (F.col("__r") - 0.5) / F.col("__t")).drop("__r", "__t")
     ranked = global_rank(df, [F.col(col), F.col(tie)], "__r")
     total = ranked.groupBy().agg(F.count(F.lit(1)).alias("__t"))
     return ranked.join(F.broadcast(total)).withColumn("u", (F.col("__r") - 0.5) / F.col("__t")).drop("__r", "__t")
@@ -109,13 +109,10 @@ def cal_quantile_map(df: DataFrame, target_pmf: DataFrame, strength: float = 1.0
 def cal_quantile_map_group(df: DataFrame, group_pmf: DataFrame, strength: float = 1.0, pred: str = "pred", key: str = "sample_id", n_bins: int = 200) -> DataFrame:
     """The same within each group, to the group's own target (grp, bin, mass).
 
-    A group is large at scale, so ranks within it come from the whole table's rank less the rows of earlier groups.
+    A group is large at scale, so ranks within it come from the whole table's rank.
     """
     real = df.filter("grp IS NOT NULL AND CAST(grp AS STRING) NOT IN ('x', 'nan')")
-    ranked = global_rank(real, [F.col("grp"), F.col(pred), F.col(key)], "__r")
-    sizes = ranked.groupBy("grp").agg(F.min("__r").alias("__first"), F.count(F.lit(1)).alias("__t"))
-    knots = sizes.join(_inverse(group_pmf, ["grp"], n_bins), "grp")
-    rows = ranked.join(F.broadcast(knots), "grp").withColumn("u", (F.col("__r") - F.col("__first") + 0.5) / F.col("__t"))  # one row a group
+    rows = win_midrank(real, pred, key, ["grp"]).join(F.broadcast(_inverse(group_pmf, ["grp"], n_bins)), "grp")  # one row a group
     return rows.select(*df.columns, clip(strength * fn_interp("u", F.col("__c"), F.col("__e")) + (1 - strength) * F.col(pred), 0, 1).alias("calibrated"))
 
 

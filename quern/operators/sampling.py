@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.expr import clip, order_hash, strata, uniform
 from quern.functions.metric_spec import sampler
-from quern.functions.rank import global_rank
+from quern.functions.rank import global_rank, group_rank
 
 
 def _ordered(df: DataFrame, key: str, *salt) -> DataFrame:
@@ -30,10 +30,8 @@ def smp_strata(df: DataFrame) -> DataFrame:
 
 
 def _rank_in(df: DataFrame, by: Sequence[str], key: str, *salt) -> DataFrame:
-    """__r: place within ``by`` in hash order. Strata are few and large, so the rank comes from the whole table's order."""
-    ranked = global_rank(df.withColumn("__h", order_hash(key, *salt)), [*(F.col(b) for b in by), F.col("__h"), F.col(key)], "__g").drop("__h")
-    first = ranked.groupBy(*by).agg(F.min("__g").alias("__f"), F.count(F.lit(1)).alias("__size"))
-    return ranked.join(F.broadcast(first), list(by)).withColumn("__r", F.col("__g") - F.col("__f") + 1).drop("__g", "__f")
+    """__r: place within ``by`` in hash order; __size: rows of the group. Strata are few and large."""
+    return group_rank(df.withColumn("__h", order_hash(key, *salt)), list(by), [F.col("__h"), F.col(key)], "__r", "__size").drop("__h")
 
 
 @sampler("stratified")
@@ -131,7 +129,7 @@ def smp_mixture(sources: dict[str, DataFrame], ratios: dict[str, float], batch_s
     for r in ranked[1:]:
         rows = rows.unionByName(r)
     full = rows.groupBy("source", "batch").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == batch_size).groupBy("source").agg(F.count(F.lit(1)).alias("have"))
-    slots = full.agg(F.sum("have").alias("s")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("s"), F.lit(1)) - 1)).alias("slot"))
+    slots = rows.sparkSession.range(full.agg(F.sum("have")).first()[0] or 0).withColumnRenamed("id", "slot")  # one number comes to the driver
     bounds, low = [], 0.0
     for n in names:
         bounds.append((n, low, low + ratios[n] / whole))

@@ -6,30 +6,68 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.expr import dot
 from quern.functions.rank import materialise
 
-#: Rows of a block that is compared with all others: 4096 vectors of 1,000 doubles are 32 MB.
-BLOCK = 4096
+#: Rows of a block that is compared with others: 1024 vectors of 1,000 doubles are 8 MB. Block pairs that a task gets at once.
+BLOCK, AT_ONCE = 1024, 8
 
 
-def _blocks(vecs: DataFrame, key: str, vector: str, extra: Sequence[str], block: int) -> DataFrame:
-    """Vectors packed into rows of at most ``block``: block number, ids, extra columns and one array of floats."""
-    n = vecs.count()
-    parts = max(1, -(-n // block))
-    rows = vecs.filter(F.col(vector).isNotNull()).withColumn("__b", F.pmod(F.xxhash64(key), F.lit(parts)))
-    packed = rows.groupBy("__b").agg(F.collect_list(F.struct(key, *extra, vector)).alias("rows"))  # about ``block`` rows by construction
-    return materialise(packed, "blocks")
+def _blocks(vecs: DataFrame, key: str, vector: str, block: int, by: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """Vectors packed into rows of about ``block``: by, block, ids, flat (their vectors one after another) and extra columns as arrays."""
+    group = F.col(by) if by else F.lit(0)
+    rows = vecs.filter(F.col(vector).isNotNull()).withColumn("__by", group)
+    parts = materialise(rows.groupBy("__by").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__parts")), "parts")
+    dealt = rows.join(parts, "__by").withColumn("block", F.pmod(F.xxhash64(key), F.col("__parts")).cast("int"))
+    packed = dealt.groupBy("__by", "block").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), *extra, F.col(vector).cast("array<double>").alias("v")))).alias("l"))
+    return materialise(packed.select(F.col("__by").alias("by"), "block", F.transform("l", lambda x: x["k"]).alias("ids"), F.flatten(F.transform("l", lambda x: x["v"])).alias("flat"), *(_each("l", c) for c in extra)), "blocks")
 
 
-def join_pairs_within(vecs: DataFrame, thr: float = 0.93, key: str = "vec_id", vector: str = "embedding", entity: str = "entity_id") -> DataFrame:
-    """Pairs a < b of one entity with similarity from ``thr`` on; rows without an entity are left out."""
-    a = vecs.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"), F.col(key).alias("a"), F.col(vector).alias("x"))
-    b = a.select("entity", F.col("a").alias("b"), F.col("x").alias("y"))
-    return a.join(b, "entity").filter("a < b").select("a", "b", "entity", dot("x", "y").alias("similarity")).filter(F.col("similarity") >= thr)
+def _each(structs: str, field: str) -> Column:
+    return F.transform(structs, lambda x: x[field]).alias(field)
+
+
+def _matrix(ids, flat) -> np.ndarray:
+    return np.asarray(flat, np.float64).reshape(len(ids), -1)
+
+
+def _block_pairs(packed: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Each block of a group with itself and with every later one of the group. Blocks are dealt by the later one's number, so a large group meets many tasks."""
+    right = packed.select("by", F.col("block").alias("j"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"), *(F.col(c).alias(f"{c}2") for c in extra))
+    last = packed.groupBy("by").agg(F.max("block").alias("__last"))
+    left = packed.withColumnRenamed("block", "i").join(last, "by").withColumn("j", F.explode(F.sequence(F.col("i"), F.col("__last")))).drop("__last")
+    return left.join(right, ["by", "j"])
+
+
+def _pairs_from(thr: float, extra: str | None):
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for r in batch.itertuples(index=False):
+                s = _matrix(r.ids, r.flat) @ _matrix(r.ids2, r.flat2).T
+                p, q = np.nonzero(s >= thr)
+                if r.i == r.j:
+                    p, q = p[p < q], q[p < q]
+                a, b = np.asarray(r.ids)[p], np.asarray(r.ids2)[q]
+                keep = np.ones(len(p), bool)
+                if extra:
+                    x, y = (np.asarray(getattr(r, c), object)[k] for c, k in ((extra, p), (extra + "2", q)))
+                    keep = np.array([u is None or u != v for u, v in zip(x, y, strict=True)], bool)
+                found.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "by": r.by, "similarity": s[p, q][keep]}))
+            yield pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "by": [], "similarity": []})
+
+    return meet
+
+
+def join_pairs_within(vecs: DataFrame, thr: float = 0.93, key: str = "vec_id", vector: str = "embedding", entity: str = "entity_id", block: int = BLOCK) -> DataFrame:
+    """Pairs a < b of one entity with similarity from ``thr`` on; rows without an entity are left out. Only such pairs leave a task, however large an entity is."""
+    packed = _blocks(vecs.filter(F.col(entity).isNotNull()), key, vector, block, entity)
+    kind = dict(vecs.dtypes)[entity]
+    found = _block_pairs(packed).mapInPandas(_pairs_from(thr, None), f"a long, b long, by {kind}, similarity double")
+    return materialise(found, "pairs", AT_ONCE).withColumnRenamed("by", "entity")
 
 
 def join_pairs_cross(vecs: DataFrame, thr: float = 0.985, approx: bool = False, key: str = "vec_id", vector: str = "embedding", entity: str = "entity_id", block: int = BLOCK) -> DataFrame:
@@ -46,45 +84,32 @@ def join_pairs_cross(vecs: DataFrame, thr: float = 0.985, approx: bool = False,
         model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=0.5, numHashTables=8, seed=7).fit(rows)
         near = model.approxSimilarityJoin(rows, rows, float(np.sqrt(2 - 2 * thr)) + 1e-6).select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.col("datasetA.e").alias("ea"), F.col("datasetB.e").alias("eb"), dot(F.col("datasetA.v"), F.col("datasetB.v")).alias("similarity"))
         return near.filter("a < b AND NOT (ea <=> eb AND ea IS NOT NULL)").filter(F.col("similarity") >= thr).select("a", "b", "similarity").distinct()
-    packed = _blocks(vecs.withColumn("__e", F.col(entity).cast("string")), key, vector, ["__e"], block)
-    left, right = packed.select(F.col("__b").alias("i"), F.col("rows").alias("l")), packed.select(F.col("__b").alias("j"), F.col("rows").alias("r"))
-    pairs = left.join(right, F.col("i") <= F.col("j"))  # block against block, as a stated set against all rows
+    packed = _blocks(vecs.withColumn("e", F.col(entity).cast("string")), key, vector, block, None, ["e"])
+    found = _block_pairs(packed, ["e"]).mapInPandas(_pairs_from(thr, "e"), "a long, b long, by int, similarity double")
+    return materialise(found, "pairs", AT_ONCE).drop("by")
+
 
+def _nearest(k: int, label: str | None):
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i, j, l, r in zip(batch.i, batch.j, batch.l, batch.r, strict=True):  # noqa: E741
-                x, y = np.array([u[vector] for u in l], np.float64), np.array([u[vector] for u in r], np.float64)
-                p, q = np.nonzero(x @ y.T >= thr)
-                for m, n in zip(p.tolist(), q.tolist(), strict=True):
-                    a, b = l[m], r[n]
-                    if (i == j and a[key] >= b[key]) or (a["__e"] is not None and a["__e"] == b["__e"]):
-                        continue
-                    lo, hi = sorted((a[key], b[key]))
-                    yield pd.DataFrame({"a": [lo], "b": [hi], "similarity": [float(x[m] @ y[n])]})
+            for r in batch.itertuples(index=False):
+                sims = np.round(_matrix(r.ids, r.flat) @ _matrix(r.ids2, r.flat2).T, 12)
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # ids are in order, so ties go to the smallest
+                out = {"query_id": np.repeat(np.asarray(r.ids), best.shape[1]), "train_id": np.asarray(r.ids2)[best].ravel(), "similarity": np.take_along_axis(sims, best, 1).ravel()}
+                yield pd.DataFrame(out | ({"label": np.asarray(r.label2)[best].ravel()} if label else {}))
 
-    return pairs.mapInPandas(meet, "a long, b long, similarity double")
+    return meet
 
 
 def join_knn_topk(query: DataFrame, train: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", label: str | None = None, block: int = BLOCK) -> DataFrame:
     """The k most similar train rows of each query row: query_id, train_id, similarity, rank (ties by train id).
 
-    Query blocks meet train blocks; each meeting keeps k per query, and the best k of those are ranked once more.
+    The query rows, in blocks, meet all train blocks; each meeting keeps k per query, and the best k of those are ranked once more.
     """
-    extra = [label] if label else []
-    q = _blocks(query, key, vector, [], block).select(F.col("__b").alias("i"), F.col("rows").alias("l"))
-    t = _blocks(train, key, vector, extra, block).select(F.col("__b").alias("j"), F.col("rows").alias("r"))
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for l, r in zip(batch.l, batch.r, strict=True):  # noqa: E741
-                r = sorted(r, key=lambda u: u[key])
-                x, y = np.array([u[vector] for u in l], np.float64), np.array([u[vector] for u in r], np.float64)
-                sims = np.round(x @ y.T, 12)
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                out = {"query_id": np.repeat([u[key] for u in l], best.shape[1]), "train_id": np.array([u[key] for u in r])[best].ravel(), "similarity": np.take_along_axis(sims, best, 1).ravel()}
-                yield pd.DataFrame(out | ({"label": np.array([u[label] for u in r])[best].ravel()} if label else {}))
-
-    some = q.join(t).mapInPandas(meet, "query_id long, train_id long, similarity double" + (", label int" if label else ""))
+    q = _blocks(query, key, vector, block).drop("by")
+    named = train.withColumn("label2", F.col(label)) if label else train
+    t = _blocks(named, key, vector, block, None, ["label2"] if label else []).select(F.col("block").alias("j"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"), *(["label2"] if label else []))
+    some = materialise(q.join(t).mapInPandas(_nearest(k, label), "query_id long, train_id long, similarity double" + (", label int" if label else "")), "nearest", AT_ONCE)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "train_id")
     return some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -161,9 +186,21 @@ def agg_cluster_stats(members: DataFrame, vecs: DataFrame, key: str = "vec_id",
     """Per cluster: size, distinct entities, label spread and median, cohesion (smallest similarity of its pairs), four places."""
     rows = members.select(F.col("node").alias(key), "cluster_id", "scope").join(vecs.select(key, vector, entity, label), key)
     stats = rows.groupBy("cluster_id", "scope").agg(F.count(F.lit(1)).alias("cluster_size"), F.countDistinct(entity).alias("n_entities"), F.round(F.max(label) - F.min(label), 4).alias("label_spread"), F.round(F.median(label), 4).alias("cluster_median"))
-    a = rows.select("cluster_id", F.col(key).alias("a"), F.col(vector).alias("x"))
-    pairs = a.join(a.select("cluster_id", F.col("a").alias("b"), F.col("x").alias("y")), "cluster_id").filter("a < b")
-    return stats.join(pairs.groupBy("cluster_id").agg(F.round(F.min(dot("x", "y")), 4).alias("cohesion")), "cluster_id", "left")
+    lows = materialise(_block_pairs(_blocks(rows, key, vector, BLOCK, "cluster_id")).mapInPandas(_lowest, "by long, low double"), "lowest", AT_ONCE)
+    return stats.join(lows.groupBy(F.col("by").alias("cluster_id")).agg(F.round(F.min("low"), 4).alias("cohesion")), "cluster_id", "left")
+
+
+def _lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Smallest similarity of different rows of each pair of blocks."""
+    for batch in batches:
+        out = []
+        for r in batch.itertuples(index=False):
+            s = _matrix(r.ids, r.flat) @ _matrix(r.ids2, r.flat2).T
+            if r.i == r.j:
+                s = s[np.triu_indices(len(s), 1)]
+            if s.size:
+                out.append((r.by, float(s.min())))
+        yield pd.DataFrame(out, columns=["by", "low"])
 
 
 def dup_flag_cluster(members: DataFrame, dev: float = 0.10, min_cluster: int = 3, label: str = "y") -> DataFrame:
