@@ -143,7 +143,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, pair_rounds: int = 20, n
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Gam:
     """Fit on labelled documents outside the held-out quarter, ``max_rows`` of them at most."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__id IS NOT NULL AND __y IN (0, 1)").filter(~held_out("__id")).groupBy("__id").agg(F.min("__y").alias("__y"))
-    some = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
+    some = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows))  # max_rows rows of two numbers; the documents aren't shuffled
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(some, "__id")
     got = map_text(rows, "__text", ["__id", "__y"], feature_rows, "x array<double>").toPandas()
     got["k"] = got.x.map(tuple)
