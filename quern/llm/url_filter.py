@@ -20,8 +20,8 @@ from ._common import map_text
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 #: Small labelled table: words of hosts that are unwanted (1) and wanted (0).
-UNWANTED = "cheap-pills spam-farm adult-x free-bets online-casino xxx-cams viagra-shop payday-loans hot-singles poker-bonus replica-watches crypto-doubler win-prizes sex-video weight-loss-pills betting-tips free-money porn-tube slots-jackpot fake-diploma".split()
-WANTED = "city-news open-library science-daily recipes museum university health-advice travel-notes garden-blog history-archive weather football-club music-review school-portal code-docs local-gazette bird-watch book-club maths-forum film-journal theres ththan therti thertion ththly theren tionsh thther ththed ththble".split()
+UNWANTED = "cheap-pills spam-farm adult-x free-bets online-casino xxx-cams viagra-shop payday-loans hot-singles poker-bonus replica-watches crypto-doubler win-prizes sex-video weight-loss-pills betting-tips free-money porn-tube slots-jackpot fake-diploma casino lucky-win big-win-casino ads ads-server click-track tracking-pixel ad-tracker popup-ads".split()
+WANTED = "city-news open-library science-daily recipes museum university health-advice travel-notes garden-blog history-archive weather football-club music-review school-portal code-docs local-gazette bird-watch book-club maths-forum film-journal theatre thermal-baths nation-archive station-map theory-club athletics education other-side thursday-market orchestra house-plans kitchen-table teachers nurses doctor river-walks mountain-huts forest-trail bridge-works castle-guide farmers-union winter-sports the-herald handicraft this-week engine-parts thread-shop thistle-inn than-ever these-days hessian-weavers".split()
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
