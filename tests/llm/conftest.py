@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 WORD = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -5,7 +7,8 @@ WORD = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
 
 def prose(n, seed=0):
     """n words of invented prose that differ by seed."""
-    return " ".join(f"{WORD[(i * 7 + seed) % 10]}{(i * i + 31 * seed + i) % 97}" for i in range(n))
+    rng = random.Random(seed)
+    return " ".join(f"{rng.choice(WORD)}{rng.randrange(97)}" for _ in range(n))
 
 
 @pytest.fixture(scope="session")

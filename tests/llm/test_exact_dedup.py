@@ -49,7 +49,7 @@ def test_index_persists_and_appends_only_what_is_new(spark, odd_docs):
 def test_stage_keeps_one_row_of_each_text(odd_docs):
     kept = exact_dedup.drop_exact_copies(odd_docs).collect()
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in kept]
-    assert len(norm) == len(set(norm)) == 8
+    assert len(norm) == len(set(norm)) == 7  # prose twice, "", a long one, "a b c d", x, and one of many scripts
     assert 1 in [r.doc_id for r in kept] and 2 not in [r.doc_id for r in kept]
 
 
