@@ -99,9 +99,10 @@ def exact_groups(docs: DataFrame, index: DigestIndex | None = None, id_col: str
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Rows that repeat an id with an equal text leave one row."""
-    found = exact_groups(docs, None, id_col, text_col)
+    found = materialise(exact_groups(docs, None, id_col, text_col), "found")
     kept = materialise(found.filter("kept").select(id_col), "kept-ids")
-    plain = docs.join(kept.filter(F.col(id_col).isNotNull()).distinct(), id_col, "left_semi").select(*docs.columns)
+    # ids grow with the documents, so they are merged, not broadcast, whatever their number
+    plain = docs.join(kept.filter(F.col(id_col).isNotNull()).distinct().hint("merge"), id_col, "left_semi").select(*docs.columns)
     repeated = materialise(found.groupBy(id_col, "text_sha256").count().filter("count > 1 OR " + id_col + " IS NULL").select(id_col).distinct(), "repeated-ids")
     if repeated.isEmpty():
         return plain

@@ -257,4 +257,5 @@ def drop_near_copies(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc
     """One document of each class, the one with the smallest id, with all its columns."""
     found = near_groups(docs, threshold, id_col, text_col)
     stay = materialise(found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__k")).distinct(), "stay")
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__k")), "left_semi")
+    # ids grow with the documents, so they are merged, not broadcast, whatever their number
+    return docs.join(stay.hint("merge"), F.col(id_col).eqNullSafe(F.col("__k")), "left_semi")
