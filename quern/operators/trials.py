@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.expr import fair_weight, no_nan
+from quern.functions.rank import global_rank
 
 
 def agg_axis_breakdown(long: DataFrame, cat: Sequence[str], cont: Sequence[str], q: int = 4) -> DataFrame:
@@ -112,9 +113,9 @@ def top_label_tail(df: DataFrame, cut: float = 0.5, key: str = "sample_id") -> D
 
 
 def srt_trial_order(runs: DataFrame, mode: str = "best", score: str = "score", start: str = "start_time", key: str = "run_id") -> DataFrame:
-    """Best first or worst first with missing scores last, or newest first."""
+    """All runs with their position: best first or worst first with missing scores last, or newest first."""
     order = {"best": F.col(score).asc_nulls_last(), "worst": F.col(score).desc_nulls_last(), "recent": F.col(start).desc_nulls_last()}[mode]
-    return runs.orderBy(order, key)
+    return global_rank(runs, [order, F.col(key)], "position").orderBy("position")
 
 
 def trial_number(name: str = "run_name") -> Column:

@@ -107,12 +107,12 @@ def agg_fold_report(spark, sf):
 
 
 @query("""
-    WITH f AS (SELECT sample_id FROM scored WHERE fold <> 4 UNION ALL SELECT sample_id FROM scored WHERE fold = 1 AND sample_id % 3 = 0), s AS (SELECT sample_id, count(*) AS k FROM f GROUP BY 1),
+    WITH f AS (SELECT sample_id FROM scored WHERE fold <> 4 UNION ALL SELECT sample_id FROM scored WHERE fold = 1 AND grp = 0), s AS (SELECT sample_id, count(*) AS k FROM f GROUP BY 1),
     b AS (SELECT k, a.sample_id AS known FROM s FULL JOIN (SELECT sample_id FROM scored) a USING (sample_id))
     SELECT count(*) FILTER (k > 1) AS n_repeated, count(*) FILTER (k IS NULL) AS n_missing, count(*) FILTER (known IS NULL) AS n_unknown, bool_and(coalesce(k = 1, false) AND known IS NOT NULL) AS tiles FROM b""")
 def agg_fold_tiling_check(spark, sf):
     s = view(spark, sf, "scored")
-    folds = s.filter("fold <> 4").select("sample_id").unionByName(s.filter("fold = 1 AND sample_id % 3 = 0").select("sample_id"))
+    folds = s.filter("fold <> 4").select("sample_id").unionByName(s.filter("fold = 1 AND grp = 0").select("sample_id"))
     return M.agg_fold_tiling_check(folds, s)
 
 

@@ -61,12 +61,12 @@ def win_top_n_per_group(spark, sf):
 
 
 @query("""
-    WITH l AS (SELECT run_id, metric, arg_max(value, step) AS v FROM history WHERE run_id % 2 = 0 GROUP BY 1, 2), f AS (SELECT run_id, metric, avg(value) AS f FROM history WHERE run_id % 3 = 0 GROUP BY 1, 2)
+    WITH l AS (SELECT run_id, metric, arg_max(value, step) AS v FROM history WHERE step > 12 GROUP BY 1, 2), f AS (SELECT run_id, metric, avg(value) AS f FROM history GROUP BY 1, 2)
     SELECT run_id, metric, round(coalesce(v, f), 6) AS last_value FROM l FULL JOIN f USING (run_id, metric)""")
 def win_last_value(spark, sf):
     h = view(spark, sf, "history")
-    fallback = h.filter("run_id % 3 = 0").groupBy("run_id", "metric").agg(F.avg("value").alias("value"))
-    return rounded(T.win_last_value(h.filter("run_id % 2 = 0"), fallback))
+    fallback = h.groupBy("run_id", "metric").agg(F.avg("value").alias("value"))
+    return rounded(T.win_last_value(h.filter("step > 12"), fallback))  # shorter histories have a summary only
 
 
 @query("SELECT event_id, round(100e0 * step / max(step) OVER (PARTITION BY run_id), 6) AS progress FROM history")
@@ -98,11 +98,14 @@ def top_label_tail(spark, sf):
     return T.top_label_tail(view(spark, sf, "scored"), 0.9).select("sample_id", "label")
 
 
-@query("SELECT 'best' AS mode, run_id FROM (SELECT run_id FROM runs ORDER BY score ASC NULLS LAST, run_id LIMIT 50) UNION ALL SELECT 'worst', run_id FROM (SELECT run_id FROM runs ORDER BY score DESC NULLS LAST, run_id LIMIT 50) UNION ALL SELECT 'recent', run_id FROM (SELECT run_id FROM runs ORDER BY start_time DESC, run_id LIMIT 50)")
+ORDERS = {"best": "score ASC NULLS LAST", "worst": "score DESC NULLS LAST", "recent": "start_time DESC NULLS LAST"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS mode, run_id, row_number() OVER (ORDER BY {o}, run_id) AS position FROM runs" for m, o in ORDERS.items()))
 def srt_trial_order(spark, sf):
     out = None
-    for mode in ("best", "worst", "recent"):
-        one = T.srt_trial_order(view(spark, sf, "runs"), mode).limit(50).select(F.lit(mode).alias("mode"), "run_id")  # a top-50 report of each order
+    for mode in ORDERS:
+        one = T.srt_trial_order(view(spark, sf, "runs"), mode).select(F.lit(mode).alias("mode"), "run_id", "position")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -141,9 +144,9 @@ def written(spark, df, name, put):
 SAMPLES = "sample_id long, label double, grp int"
 
 
-@query("SELECT sample_id, round(label, 9) AS label, grp FROM scored WHERE sample_id % 10 <> 0")
+@query("SELECT sample_id, round(label, 9) AS label, grp FROM scored WHERE fold <> 4")
 def src_samples_csv(spark, sf):
-    rows = view(spark, sf, "scored").select(F.when(F.col("sample_id") % 10 != 0, F.col("sample_id")).alias("sample_id"), "label", "grp")
+    rows = view(spark, sf, "scored").select(F.when(F.col("fold") != 4, F.col("sample_id")).alias("sample_id"), "label", "grp")
     path = written(spark, rows, "samples", lambda w, p: w.option("header", True).csv(p))
     return rounded(IN.src_samples_csv(spark, path, SAMPLES), 9)
 

@@ -74,9 +74,9 @@ def join_folds_outer(spark, sf):
     return rounded(J.join_folds_outer(both, [0, 1, 2]), 9)
 
 
-@query("SELECT aug_id, label FROM aug_pool WHERE source_a NOT IN (SELECT sample_id FROM scored WHERE sample_id < 100) AND source_b NOT IN (SELECT sample_id FROM scored WHERE sample_id < 100)")
+@query("SELECT aug_id, label FROM aug_pool WHERE source_a NOT IN (SELECT sample_id FROM scored WHERE fold = 0) AND source_b NOT IN (SELECT sample_id FROM scored WHERE fold = 0)")
 def join_leakage_anti(spark, sf):
-    return J.join_leakage_anti(view(spark, sf, "aug_pool"), view(spark, sf, "scored").filter("sample_id < 100")).select("aug_id", "label")
+    return J.join_leakage_anti(view(spark, sf, "aug_pool"), view(spark, sf, "scored").filter("fold = 0")).select("aug_id", "label")
 
 
 STATS = "(SELECT entity_id, median(label) AS entity_median, count(*) AS n FROM scored WHERE fold < 2 GROUP BY entity_id)"
@@ -90,22 +90,22 @@ def join_entity_lookup(spark, sf):
     return rounded(J.join_entity_lookup(s, agg_entity_stats(s.filter("fold < 2"))).select("sample_id", "entity_median", "entity_n"), 9)
 
 
-@query("SELECT sample_id, entity_id FROM scored WHERE label < 4e-1 AND entity_id IN (SELECT entity_id FROM scored WHERE label > 9e-1) AND sample_id NOT IN (SELECT sample_id FROM scored WHERE sample_id % 7 = 0)")
+@query("SELECT sample_id, entity_id FROM scored WHERE label < 4e-1 AND entity_id IN (SELECT entity_id FROM scored WHERE label > 9e-1) AND sample_id NOT IN (SELECT sample_id FROM scored WHERE fold = 2)")
 def join_flag_propagate(spark, sf):
     s = view(spark, sf, "scored")
-    return J.join_flag_propagate(s, s.filter("label > 0.9D").select("entity_id").distinct(), s.filter("sample_id % 7 = 0"), 0.4).select("sample_id", "entity_id")
+    return J.join_flag_propagate(s, s.filter("label > 0.9D").select("entity_id").distinct(), s.filter("fold = 2"), 0.4).select("sample_id", "entity_id")
 
 
-@query("SELECT sample_id, coalesce(k, CASE WHEN sample_id % 4 = 0 THEN NULL WHEN pred >= 5e-1 THEN 1 ELSE 0 END) AS attribute, CASE WHEN k IS NOT NULL THEN 'lookup' WHEN sample_id % 4 <> 0 THEN 'classifier' ELSE 'unknown' END AS provenance FROM scored LEFT JOIN (SELECT c_custkey AS entity_id, CAST(c_nationkey % 2 AS INT) AS k FROM customer WHERE c_custkey % 3 = 0) USING (entity_id)")
+@query("SELECT sample_id, coalesce(k, CASE WHEN fold = 1 THEN NULL WHEN pred >= 5e-1 THEN 1 ELSE 0 END) AS attribute, CASE WHEN k IS NOT NULL THEN 'lookup' WHEN fold <> 1 THEN 'classifier' ELSE 'unknown' END AS provenance FROM scored LEFT JOIN (SELECT c_custkey AS entity_id, CAST(c_nationkey % 2 AS INT) AS k FROM customer WHERE c_mktsegment = 'BUILDING') USING (entity_id)")
 def join_known_attribute(spark, sf):
     s = view(spark, sf, "scored")
-    known = view(spark, sf, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("entity_id"), (F.col("c_nationkey") % 2).cast("int").alias("attribute"))
-    return J.join_known_attribute(s, known, s.filter("sample_id % 4 <> 0").select("sample_id", F.col("pred").alias("probability"))).select("sample_id", "attribute", "provenance")
+    known = view(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("entity_id"), (F.col("c_nationkey") % 2).cast("int").alias("attribute"))
+    return J.join_known_attribute(s, known, s.filter("fold <> 1").select("sample_id", F.col("pred").alias("probability"))).select("sample_id", "attribute", "provenance")
 
 
-@query("SELECT sample_id, label, grp FROM scored UNION ALL SELECT aug_id, label, grp FROM aug_pool WHERE aug_id % 2 = 0")
+@query("SELECT sample_id, label, grp FROM scored UNION ALL SELECT aug_id, label, grp FROM aug_pool WHERE label >= 5e-1")
 def set_union_pool(spark, sf):
-    return J.set_union_pool(view(spark, sf, "scored"), view(spark, sf, "aug_pool").filter("aug_id % 2 = 0").withColumnRenamed("aug_id", "sample_id"))
+    return J.set_union_pool(view(spark, sf, "scored"), view(spark, sf, "aug_pool").filter("label >= 0.5D").withColumnRenamed("aug_id", "sample_id"))
 
 
 @query(f"(SELECT sample_id, label FROM scored WHERE label >= 8e-1) UNION ALL (SELECT sample_id, label FROM scored WHERE label < 8e-1 ORDER BY {h('sample_id', chr(39) + '42' + chr(39))}, sample_id LIMIT 1000)")
