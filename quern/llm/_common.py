@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Characters of text that a Python task holds in numpy form at once; a longer text is a chunk of its own.
 CHUNK_CHARS = 1_500_000
+#: Rows of text that pass between the JVM and Python at once; Spark's own bound counts rows, not bytes, and is 10,000.
+BATCH_ROWS = 1_000
 #: Parts into which the rows of one key are dealt, so that a hot key is no task's alone.
 SALTS = 32
 
@@ -43,6 +45,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS``, so that long texts fit in memory; a lower setting stays."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= BATCH_ROWS:
+        spark.conf.set(size, str(BATCH_ROWS))
+
+
 def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most so many characters, one row at least."""
     start = size = 0
@@ -68,6 +77,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], fn: Callable[[list[str]]
     """Columns ``keep`` and those in the DDL ``made``, which ``fn`` makes from a list of whole texts (null: empty)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bound_batches(df.sparkSession)
     source = df.select(*keep, F.col(text).alias("__text"))
     out = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in source.schema.fields[:-1]), *T._parse_datatype_string(made).fields])
     return source.mapInArrow(partial(_run, fn, "__text", keep, to_arrow_schema(out)), out)

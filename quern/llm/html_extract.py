@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import group_minima, map_text, materialise, spread
+from ._common import bound_batches, group_minima, map_text, materialise, spread
 from .url_filter import url_parts
 
 TAG = re.compile(
@@ -371,6 +371,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: id, url, text, n_chars."""
+    bound_batches(pages.sparkSession)
     host, _ = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), host.alias("host"), F.col(html_col).alias("__html"))
     wrappers = induce(rows, "__id", "__html")

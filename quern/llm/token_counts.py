@@ -12,7 +12,6 @@ count as one token each, as the tokenizers library does by default. Repeated row
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 import numpy as np
 import regex

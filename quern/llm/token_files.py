@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import chunks
+from ._common import bound_batches, chunks
 from .token_counts import byte_symbols
 
 #: Fixed values of the framing.
@@ -162,6 +162,7 @@ def _write(vocabulary: str, end_id: int | None, path: str, file_bytes: int, batc
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int | None = 2, file_bytes: int = 1 << 28, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files and their index under ``path`` (a URI in a folder that all executors see); returns the index."""
     spark = docs.sparkSession
+    bound_batches(spark)
     system, folder = _open(path)
     system.create_dir(f"{folder}/records", recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -191,6 +192,7 @@ def _read(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def read_token_files(index: DataFrame, path: str) -> DataFrame:
     """doc_id, file, before, ids (little-endian unsigned 32-bit) of the indexed records, each read by its offset and checked."""
+    bound_batches(index.sparkSession)
     return index.select("doc_id", "file", "offset", "n_tokens", "before", "width").mapInArrow(partial(_read, f"{path}/records"), "doc_id long, file string, before long, ids binary")
 
 
