@@ -91,19 +91,28 @@ def win_midrank(df: DataFrame, col: str, tie: str = "sample_id", by: Sequence[st
 
 
 def _inverse(target: DataFrame, by: Sequence[str], n_bins: int) -> DataFrame:
-    """Knots of the inverse distribution: cdf and edge arrays, without repeated cdf values (the first stays)."""
+    """Segments of the inverse distribution: (__lo, __hi] of the cdf and the edges __e0, __e1 there; of repeated cdf values the first stays."""
     keys = list(by) or [F.lit(1)]
     run, whole = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
     cdf = target.select(*by, ((F.col("bin") + 1) / n_bins).alias("edge"), F.round(F.sum("mass").over(run) / F.sum("mass").over(whole), 12).alias("cdf"))
     knots = cdf.groupBy(*by, "cdf").agg(F.min("edge").alias("edge")).filter("cdf > 0")
-    points = F.array_sort(F.collect_list(F.struct("cdf", "edge")))
-    return knots.groupBy(*by).agg(F.concat(F.array(F.lit(0.0)), F.transform(points, lambda s: s["cdf"])).alias("__c"), F.concat(F.array(F.lit(0.0)), F.transform(points, lambda s: s["edge"])).alias("__e"))
+    before = Window.partitionBy(*keys).orderBy("cdf")
+    return knots.select(*by, F.coalesce(F.lag("cdf").over(before), F.lit(0.0)).alias("__lo"), F.col("cdf").alias("__hi"), F.coalesce(F.lag("edge").over(before), F.lit(0.0)).alias("__e0"), F.col("edge").alias("__e1"))
+
+
+def _mapped(ranked: DataFrame, segments: DataFrame, columns: Sequence[str], by: Sequence[str], strength: float, pred: str) -> DataFrame:
+    """u through the inverse: each row meets the one segment that holds it. Segments are n_bins rows at most (per group)."""
+    s = segments.select(*(F.col(b).alias(f"__{b}") for b in by), "__lo", "__hi", "__e0", "__e1")
+    here = (F.col("u") > F.col("__lo")) & (F.col("u") <= F.col("__hi"))
+    for b in by:
+        here &= F.col(b) == F.col(f"__{b}")
+    value = F.col("__e0") + (F.col("__e1") - F.col("__e0")) * (F.col("u") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+    return ranked.join(F.broadcast(s), here).select(*columns, clip(strength * value + (1 - strength) * F.col(pred), 0, 1).alias("calibrated"))
 
 
 def cal_quantile_map(df: DataFrame, target_pmf: DataFrame, strength: float = 1.0, pred: str = "pred", key: str = "sample_id", n_bins: int = 200) -> DataFrame:
     """Predictions mapped to the target's distribution by rank, blended with the raw ones, in [0, 1]: column calibrated."""
-    ranked = win_midrank(df, pred, key).join(F.broadcast(_inverse(target_pmf, (), n_bins)))  # n_bins knots
-    return ranked.select(*df.columns, clip(strength * fn_interp("u", F.col("__c"), F.col("__e")) + (1 - strength) * F.col(pred), 0, 1).alias("calibrated"))
+    return _mapped(win_midrank(df, pred, key), _inverse(target_pmf, (), n_bins), df.columns, (), strength, pred)
 
 
 def cal_quantile_map_group(df: DataFrame, group_pmf: DataFrame, strength: float = 1.0, pred: str = "pred", key: str = "sample_id", n_bins: int = 200) -> DataFrame:
@@ -112,8 +121,7 @@ def cal_quantile_map_group(df: DataFrame, group_pmf: DataFrame, strength: float
     A group is large at scale, so ranks within it come from the whole table's rank.
     """
     real = df.filter("grp IS NOT NULL AND CAST(grp AS STRING) NOT IN ('x', 'nan')")
-    rows = win_midrank(real, pred, key, ["grp"]).join(F.broadcast(_inverse(group_pmf, ["grp"], n_bins)), "grp")  # one row a group
-    return rows.select(*df.columns, clip(strength * fn_interp("u", F.col("__c"), F.col("__e")) + (1 - strength) * F.col(pred), 0, 1).alias("calibrated"))
+    return _mapped(win_midrank(real, pred, key, ["grp"]), _inverse(group_pmf, ["grp"], n_bins), df.columns, ["grp"], strength, pred)
 
 
 def cal_isotonic(df: DataFrame, fit_df: DataFrame, weighted: bool = True, by: str | None = None, pred: str = "pred", label: str = "label") -> DataFrame:
