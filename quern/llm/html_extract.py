@@ -253,26 +253,28 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = sums.setdefault((host, number[id(x)]), [0, 0, 0])
                 s[0] += not copy
                 s[1] += not copy and x[2] == y[2] and x[3] > 0
-                s[2] += text_length(y)
+                s[2] += 0 if copy else text_length(y)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums]), pa.array([i for _, i in sums], pa.int32()), *(pa.array([s[k] for s in sums.values()], pa.int64()) for k in range(3))], names=["host", "node", "matched", "same", "chars"])
 
 
-def wrapper(tree: list, answers: dict[int, tuple[int, int, int]], share: float = 0.6, least: int = 4, constant: float = 0.8) -> dict:
+def wrapper(tree: list, answers: dict[int, tuple[int, int, int]], least: int = 4, constant: float = 0.8) -> dict:
     """The content's path and the digests of constant texts in it, from the reference tree and its nodes' sums."""
     nodes = numbered(tree)
     chars = [answers.get(i, (0, 0, 0))[2] for i in range(len(nodes))]
     out = [False] * len(nodes)
     for i, (x, parent, _) in enumerate(nodes):
         out[i] = bool(x[1]) or (parent >= 0 and out[parent])
+    fixed = [x[3] and answers.get(i, (0, 0, 0))[0] >= least and answers[i][1] >= constant * answers[i][0] for i, (x, _, _) in enumerate(nodes)]
+    same = [answers[i][1] * x[3] if fixed[i] and not out[i] else 0 for i, (x, _, _) in enumerate(nodes)]
     at = 0
-    while True:  # down to the deepest node that still holds the content's share of the text
-        inner = [i for i, (x, parent, _) in enumerate(nodes) if parent == at and not out[i] and x[4] and chars[i] >= share * max(1, chars[at])]
-        named = [i for i in inner if nodes[i][0][0].split(".")[0] in ("article", "main")]
-        if not inner or nodes[at][0][0].split(".")[0] == "article":
+    while True:  # down while all that stays outside is template or no content
+        inner = [i for i, (x, parent, _) in enumerate(nodes) if parent == at and not out[i] and x[4] and chars[i]]
+        inner = [i for i in inner if chars[at] - chars[i] <= sum(same[at : nodes[at][2]]) - sum(same[i : nodes[i][2]])]
+        if not inner:
             break
-        at = max(named or inner, key=lambda i: (chars[i], -i))
-    drop = [x[2] for i, (x, _, _) in enumerate(nodes) if at < i < nodes[at][2] and x[3] and answers.get(i, (0, 0, 0))[0] >= least and answers[i][1] >= constant * answers[i][0]]
+        at = inner[0]
+    drop = [x[2] for i, (x, _, _) in enumerate(nodes) if at <= i < nodes[at][2] and fixed[i]]
     path, i = [], at
     while i > 0:
         path.append(nodes[i][0][0])

@@ -145,6 +145,15 @@ def test_wrapper_induction_drops_constant_blocks(spark):
     assert html_extract.extract_pages(pages).count() == len(rows) and html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("inner", ["<section><p>{}</p></section>", "<ul><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>", "<table><tr><td>{}</td></tr></table>", "<section><div><p>{0}</p></div><p>near {0}</p></section>"])
+def test_nothing_outside_a_large_inner_block_is_lost(spark, inner):
+    body = lambda i: f"<div class=post><p>intro {i}</p>{inner.format(prose(60, i))}<p>end {i}</p></div>"
+    want = lambda i: " ".join(re.sub("<[^>]*>", " ", body(i)).split())
+    assert html_extract.extract(page(body(1)), None) == want(1)
+    pages = spark.createDataFrame([(i, f"http://p.example/{i}", page(body(i), i)) for i in range(8)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()} == {i: want(i) for i in range(8)}
+
+
 def test_simple_tree_matching_is_the_largest_ordered_matching():
     leaf = lambda s: [s, 0, "", 0, []]
     a = ["r", 0, "", 0, [leaf("a"), leaf("b"), ["c", 0, "", 0, [leaf("x"), leaf("y")]]]]
