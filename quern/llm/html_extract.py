@@ -1,20 +1,21 @@
 """Main-text extraction by wrapper induction over pages of the same host.
 
-Pages are parsed into trees of block elements. On each host one page (the smallest page_id) is the reference; every
-other page's tree is aligned with it by simple tree matching (the largest order-preserving matching of equally
-labelled nodes, by dynamic programming over children). Per reference node the pages' answers are summed: how often it
-was matched, how often its text was the same, and how much text the matched subtrees hold. Nodes whose text stays the
-same are template; the slot outside menus, headers, footers, sidebars, notices, adverts, forms and comments that holds
-the varying text is the content. The wrapper of a host is the content's path and its constant texts; extraction parses
-each page again, takes the blocks under that path and leaves out what is template.
-
-Every page takes part. What travels between tasks is a page's skeleton (labels and text digests, no text) and sums; the
-pages of one host are dealt over salts, so a hot host is no task's alone. The wrapper table is joined by host: Spark
-broadcasts it where its size allows, and else shuffles.
-
-Defined cases. Null or empty html gives an empty text. A page without a host, alone on its host, or that its host's
-wrapper doesn't fit is read by the same rules on its own tree. Repeated pages are copies that say nothing about what is
-constant, and each is extracted. Unclosed elements end where HTML lets them, broken markup is text, and a page cut off
+Pages are parsed into trees of block elements. On each host the pages of one layout (the same set of label paths) have
+a reference; every other page of the layout is aligned with it by simple tree matching (the largest order-preserving
+matching of equally labelled nodes, by dynamic programming over children). A page that shares most of its text outside
+menus and the like with its reference is a copy of it and says nothing about what is constant. All others vote, over all
+layouts of the host: for each label path that they have, and for each text at a path. A text that four in five pages
+with that path (four at least) have there is template, whichever page lacks it. Menus, headers, footers, sidebars,
+notices, adverts, forms and comments are told by tags, roles and class names. The wrapper of a host is its template's
+texts with their paths; extraction parses each page again and leaves out these and what is no content, and nothing else.
+
+Every page takes part; equal ones vote once. What travels between tasks is a page's skeleton (labels and text digests,
+no text) and sums; the pages of one layout are dealt over salts, so a hot host is no task's alone. The wrapper table is
+joined by host: Spark broadcasts it where its size allows, and else shuffles.
+
+Defined cases. Null or empty html gives an empty text. A page without a host, or on a host of fewer than four
+different pages, loses only what is no content. Where constant texts are more than half of a host's text, its pages are
+copies of each other and keep it all. Repeated pages are each extracted. Unclosed elements end where HTML lets them, broken markup is text, and a page cut off
 in the middle is read as far as it goes.
 """
 
@@ -169,6 +170,37 @@ def skeleton(page: str) -> str:
     return json.dumps(made(parse(page)), separators=(",", ":"))
 
 
+def inner_path(outer: str, label: str) -> str:
+    return digest(outer + ">" + label)
+
+
+def content_nodes(tree: list) -> list[tuple[str, list]]:
+    """(digest of the label path, node) of the nodes of a skeleton outside what is no content, in page order."""
+    out: list[tuple[str, list]] = []
+
+    def walk(node: list, outer: str) -> None:
+        if not node[1]:
+            path = inner_path(outer, node[0])
+            out.append((path, node))
+            for c in node[4]:
+                walk(c, path)
+
+    walk(tree, "")
+    return out
+
+
+def skeletons(pages: list[str]) -> dict:
+    """The skeleton of each page, its layout (digest of its set of paths) and its content (digest of its texts with their paths; empty: no text)."""
+    out: dict[str, list[str]] = {"skeleton": [], "layout": [], "content": []}
+    for page in pages:
+        made = skeleton(page)
+        nodes = content_nodes(json.loads(made))
+        out["skeleton"].append(made)
+        out["layout"].append(digest(" ".join(sorted({path for path, _ in nodes}))))
+        out["content"].append(digest(" ".join(f"{path}:{x[2]}" for path, x in nodes if x[3])))
+    return out
+
+
 def match(a: list, b: list, found: list[tuple[list, list]] | None = None) -> int:
     """Simple tree matching: nodes in the largest matching of two skeletons; ``found`` gets the matched pairs."""
     if a[0] != b[0]:
@@ -214,130 +246,74 @@ def match(a: list, b: list, found: list[tuple[list, list]] | None = None) -> int
     return size(a, b)
 
 
-def numbered(tree: list) -> list[tuple[list, int, int]]:
-    """(node, parent's number, end of its subtree) in page order."""
-    out: list = []
-
-    def walk(node: list, parent: int) -> None:
-        i = len(out)
-        out.append([node, parent, 0])
-        for c in node[4]:
-            walk(c, i)
-        out[i][2] = len(out)
-
-    walk(tree, -1)
-    return [tuple(x) for x in out]
-
-
 def text_length(node: list) -> int:
     """Characters of a subtree outside what is no content."""
     return 0 if node[1] else node[3] + sum(map(text_length, node[4]))
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and reference node: pages matched, pages with the same text, characters of the matched subtrees; summed over the batch."""
-    for batch in batches:
-        sums: dict[tuple[str, int], list[int]] = {}
-        trees: dict[str, tuple[list, dict[int, int]]] = {}
-        for host, ref, own in zip(*(batch.column(k).to_pylist() for k in ("host", "reference", "skeleton")), strict=True):
-            if host not in trees:
-                tree = json.loads(ref)
-                trees = {host: (tree, {id(x): i for i, (x, _, _) in enumerate(numbered(tree))})}
-            tree, number = trees[host]
-            mine = tree if own == ref else json.loads(own)
-            pairs: list = []
-            match(tree, mine, pairs)
-            texts = [(x[2], y[2]) for x, y in pairs if x[3]]
-            copy = sum(x == y for x, y in texts) > 0.5 * max(1, len(texts))  # says nothing about what is constant
-            for x, y in pairs:
-                s = sums.setdefault((host, number[id(x)]), [0, 0, 0])
-                s[0] += not copy
-                s[1] += not copy and x[2] == y[2] and x[3] > 0
-                s[2] += 0 if copy else text_length(y)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums]), pa.array([i for _, i in sums], pa.int32()), *(pa.array([s[k] for s in sums.values()], pa.int64()) for k in range(3))], names=["host", "node", "matched", "same", "chars"])
-
-
-def wrapper(tree: list, answers: dict[int, tuple[int, int, int]], least: int = 4, constant: float = 0.8) -> dict:
-    """The content's path and the digests of constant texts in it, from the reference tree and its nodes' sums."""
-    nodes = numbered(tree)
-    chars = [answers.get(i, (0, 0, 0))[2] for i in range(len(nodes))]
-    out = [False] * len(nodes)
-    for i, (x, parent, _) in enumerate(nodes):
-        out[i] = bool(x[1]) or (parent >= 0 and out[parent])
-    fixed = [x[3] and answers.get(i, (0, 0, 0))[0] >= least and answers[i][1] >= constant * answers[i][0] for i, (x, _, _) in enumerate(nodes)]
-    same = [answers[i][1] * x[3] if fixed[i] and not out[i] else 0 for i, (x, _, _) in enumerate(nodes)]
-    at = 0
-    while True:  # down while all that stays outside is template or no content
-        inner = [i for i, (x, parent, _) in enumerate(nodes) if parent == at and not out[i] and x[4] and chars[i]]
-        inner = [i for i in inner if chars[at] - chars[i] <= sum(same[at : nodes[at][2]]) - sum(same[i : nodes[i][2]])]
-        if not inner:
-            break
-        at = inner[0]
-    drop = [x[2] for i, (x, _, _) in enumerate(nodes) if at <= i < nodes[at][2] and fixed[i]]
-    path, i = [], at
-    while i > 0:
-        path.append(nodes[i][0][0])
-        i = nodes[i][1]
-    return {"path": path[::-1], "drop": sorted(set(drop))}
+def is_copy(tree: list, mine: list) -> bool:
+    """Whether most of a page's text outside what is no content is the same, at matched nodes, as the reference's."""
+    pairs: list = []
+    match(tree, mine, pairs)
+    content = {id(x) for _, x in content_nodes(mine)}
+    return sum(y[3] for x, y in pairs if x[2] == y[2] and id(y) in content) > 0.5 * text_length(mine)
 
 
-def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per host, path and text digest (empty: any): pages that have it and its characters; summed over the batch."""
     for batch in batches:
-        made = []
-        for ref, sums in zip(batch.column("reference").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-            made.append(json.dumps(wrapper(json.loads(ref), {s["node"]: (s["matched"], s["same"], s["chars"]) for s in sums or ()})))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.string())], names=["host", "wrapper"])
+        sums: dict[tuple[str, str, str], list[int]] = {}
+        known: dict[str, list] = {}
+        for host, ref, own in zip(*(batch.column(k).to_pylist() for k in ("host", "reference", "skeleton")), strict=True):
+            if ref not in known:
+                known = {ref: json.loads(ref)}
+            mine = json.loads(own)
+            if own != ref and is_copy(known[ref], mine):
+                continue
+            page: dict[tuple[str, str], int] = {}
+            for path, x in content_nodes(mine):
+                for text in {"", x[2]}:
+                    page[path, text] = page.get((path, text), 0) + x[3]
+            for (path, text), chars in page.items():
+                s = sums.setdefault((host, path, text), [0, 0])
+                s[0] += 1
+                s[1] += chars
+        if sums:
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in sums], pa.string()) for i in range(3)), *(pa.array([s[i] for s in sums.values()], pa.int64()) for i in range(2))], names=["host", "path", "text", "pages", "chars"])
 
 
-def induce(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """host, wrapper (JSON) for each host of ``pages`` (columns id, host, html)."""
+def induce(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = 4, constant: float = 0.8) -> DataFrame:
+    """host, wrapper (its template texts, as path:digest) for each host of ``pages`` (columns id, host, html) that has any."""
     source = pages.filter("host <> ''").select(F.col(id_col).alias("__id"), "host", F.col(html_col).alias("__html"))
-    rows = materialise(map_text(source, "__html", ["__id", "host"], lambda texts: {"skeleton": [*map(skeleton, texts)]}, "skeleton string"), "skeletons")
-    parts, groups = group_minima(rows, ["host"], "__id")
-    first = rows.join(groups.select("host", F.col("keep_id").alias("__id")), ["host", "__id"]).groupBy("host").agg(F.min("skeleton").alias("reference"))
+    rows = map_text(source, "__html", ["host"], skeletons, "skeleton string, layout string, content string").filter("content <> ''")
+    rows = materialise(rows.groupBy("host", "layout", "content").agg(F.min("skeleton").alias("skeleton")), "skeletons")
+    parts, groups = group_minima(rows, ["host", "layout"], "content")
+    first = rows.join(groups.select("host", "layout", F.col("keep_id").alias("content")), ["host", "layout", "content"]).select("host", "layout", F.col("skeleton").alias("reference"))
     first = materialise(first, "references")
-    with_ref = spread(rows, parts, first, ["host"], "__id").select("host", "reference", "skeleton")
-    sums = with_ref.mapInArrow(_answers, "host string, node int, matched long, same long, chars long")
-    sums = sums.groupBy("host", "node").agg(*(F.sum(k).alias(k) for k in ("matched", "same", "chars")))
-    by_host = sums.groupBy("host").agg(F.collect_list(F.struct("node", "matched", "same", "chars")).alias("sums"))  # as many as the reference page has nodes
-    return materialise(first.join(by_host, "host", "left").select("host", "reference", "sums").mapInArrow(_wrappers, "host string, wrapper string"), "wrappers")
-
+    with_ref = spread(rows, parts, first, ["host", "layout"], "content").select("host", "reference", "skeleton")
+    votes = with_ref.mapInArrow(_votes, "host string, path string, text string, pages long, chars long")
+    votes = materialise(votes.groupBy("host", "path", "text").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars")), "votes")
+    paths = votes.filter("text = ''").select("host", "path", F.col("pages").alias("of"))
+    fixed = votes.filter((F.col("text") != "") & (F.col("pages") >= least)).join(paths, ["host", "path"]).filter(F.col("pages") >= constant * F.col("of"))
+    by_host = fixed.groupBy("host").agg(F.sum("chars").alias("fixed"), F.array_sort(F.collect_list(F.concat_ws(":", "path", "text"))).alias("wrapper"))  # five for four texts of a page at most
+    whole = votes.filter("text = ''").groupBy("host").agg(F.sum("chars").alias("whole"))
+    return materialise(by_host.join(whole, "host").filter("fixed <= 0.5 * whole").select("host", F.to_json("wrapper").alias("wrapper")), "wrappers")
 
-def _own_wrapper(root: Node) -> dict:
-    """The rules of ``wrapper`` on a page's own tree."""
 
-    def made(node: Node) -> list:
-        return [node.label, int(node.boiler), "", sum(len(x) for x in node.text if isinstance(x, str)), [made(c) for c in node.children]]
-
-    tree = made(root)
-    return wrapper(tree, {i: (0, 0, text_length(x)) for i, (x, _, _) in enumerate(numbered(tree))})
-
-
-def _under(root: Node, path: list[str]) -> list[Node]:
-    found = [root]
-    for label in path:
-        found = [c for f in found for c in f.children if c.label == label]
-    return found
-
-
-def extract(page: str, rules: dict | None) -> str:
+def extract(page: str, rules: list[str] | None) -> str:
     """The main text of a page by its host's wrapper."""
     if not page:
         return ""
     root = parse(page)
-    found = _under(root, rules["path"]) if rules and rules["path"] else []
-    if not found:
-        rules = _own_wrapper(root)
-        found = _under(root, rules["path"])
-    drop, blocks = set(rules["drop"]), []
-
-    def walk(node: Node) -> None:
-        if node.boiler and node is not root:
+    drop, blocks = set(rules or ()), []
+
+    def walk(node: Node, outer: str) -> None:
+        if node.boiler:
             return
-        if drop and digest(own_text(node)) in drop:
+        path = inner_path(outer, node.label) if drop else ""
+        if drop and f"{path}:{digest(own_text(node))}" in drop:
             for c in node.children:
-                walk(c)
+                walk(c, path)
             return
         run: list[str] = []
         for x in [*node.text, None]:
@@ -348,15 +324,14 @@ def extract(page: str, rules: dict | None) -> str:
                 blocks.append(text)
             run = []
             if x is not None:
-                walk(x)
+                walk(x, path)
 
-    for node in found:
-        walk(node)
+    walk(root, "")
     return " ".join(blocks)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, dict] = {}
+    known: dict[str, list[str]] = {}
     for batch in batches:
         pages, wrappers = (batch.column(k).to_pylist() for k in ("__html", "wrapper"))
         for at in range(0, len(pages), 256):

@@ -154,6 +154,24 @@ def test_nothing_outside_a_large_inner_block_is_lost(spark, inner):
     assert {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()} == {i: want(i) for i in range(8)}
 
 
+def test_template_is_found_whatever_the_menus_and_the_first_page(spark):
+    menu = "<nav><ul>" + "".join(f"<li>Entry {k}</li>" for k in range(30)) + "</ul></nav>"
+    notice = "<div class=box>Share this story with friends</div>"
+    body = lambda i: f"<div class=post><p>{prose(30, i)}</p>{notice if i else ''}<p>end {i}</p></div>"
+    for first in (None, "", page(body(0), 0, menu), page("<table><tr><td>other layout</td></tr></table>", 0, menu)):
+        rows = [(0, "http://t.example/0", first)] + [(i, f"http://t.example/{i}", page(body(i), 0, menu)) for i in range(1, 9)]
+        got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert all(got[i] == f"{prose(30, i)} end {i}" for i in range(1, 9))
+        assert got[0] == ("" if not first else "other layout" if "other" in first else f"{prose(30, 0)} end 0")
+
+
+def test_copies_are_no_template(spark):
+    same = [prose(30, k) for k in range(5)]
+    rows = [(i, f"http://c.example/{i}", page("<div class=post>" + "".join(f"<p>{t}</p>" for t in same) + f"<p>end {i}</p></div>", i)) for i in range(8)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: " ".join(same) + f" end {i}" for i in range(8)}
+
+
 def test_simple_tree_matching_is_the_largest_ordered_matching():
     leaf = lambda s: [s, 0, "", 0, []]
     a = ["r", 0, "", 0, [leaf("a"), leaf("b"), ["c", 0, "", 0, [leaf("x"), leaf("y")]]]]
