@@ -1,11 +1,12 @@
 """Near-duplicates by ProbMinHash sketches, banding and exact verification.
 
-A text's shingles are its runs of five words (lower case, split at white space), each with a weight that grows with how
-often it occurs. Every shingle sends arrivals of an exponential process whose rate is its weight; each arrival falls on
-one of the sketch's slots, and a slot keeps the shingle that arrived first. Arrivals of a text are made in rounds for
-all shingles together, and a shingle stops as soon as its next arrival is later than the latest first arrival of any
-slot (early termination). Two sketches agree in a slot with the probability Jaccard similarity of the two texts; for
-equal weights that is the Jaccard similarity of their shingle sets.
+A text's shingles are its distinct runs of five words (lower case, split at white space), all of weight 1: a link is
+defined by sets, and weights by counts would differ between copies of which only one repeats lines. Every shingle sends
+arrivals of an exponential process whose rate is its weight; each arrival falls on one of the sketch's slots, and a slot
+keeps the shingle that arrived first. Arrivals of a text are made in rounds for all shingles together, and a shingle
+stops as soon as its next arrival is later than the latest first arrival of any slot (early termination). Two sketches
+agree in a slot with the probability Jaccard similarity of the two texts; for equal weights that is the Jaccard
+similarity of their shingle sets.
 
 Four slots make a band; documents that share a band of the 28 are candidates. Candidates are verified exactly: Jaccard
 similarity of the shingle sets, 0.8 or more. A pair at 0.8 is missed with probability (1 - 0.8**4)**28, 4e-7.
@@ -107,16 +108,14 @@ def bands(owner: np.ndarray) -> np.ndarray:
 
 def sketch_texts(texts: list[str]) -> dict:
     """A digest of the word sequence, the number of distinct shingles and the band keys of each text."""
-    digests, sizes, parts, weights = [], [], [], []
+    digests, sizes, parts = [], [], []
     for t in texts:
         words = word_hashes(t)
         digests.append(xxhash.xxh3_128_digest(words.tobytes()))
-        s, n = np.unique(shingles(words), return_counts=True)
-        sizes.append(len(s))
-        parts.append(s)
-        weights.append(1 + np.log(n))
+        parts.append(np.unique(shingles(words)))
+        sizes.append(len(parts[-1]))
     doc = np.repeat(np.arange(len(texts)), sizes)
-    keys = bands(sketches(np.concatenate(parts), np.concatenate(weights), doc, len(texts)))
+    keys = bands(sketches(np.concatenate(parts), np.ones(len(doc)), doc, len(texts)))
     return {"digest": digests, "n_shingles": sizes, "bands": [k if n else [] for k, n in zip(keys, sizes, strict=True)]}
 
 

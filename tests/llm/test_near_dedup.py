@@ -60,6 +60,18 @@ def test_planted_copies_match_brute_force_in_small_and_large_buckets(spark):
         assert sorted(((r.doc_id, r.class_id) for r in near_dedup.near_groups(docs, pairs_up_to=most).collect()), key=str) == want
 
 
+def test_copies_that_differ_in_repeated_lines_share_a_band():
+    missed = 0
+    for k in range(300):
+        line = prose(30, 5000 + k).split()
+        once, often = (" ".join([prose(60, k), *line * n, *line[:4]]) for n in (1, 200))
+        keys = near_dedup.sketch_texts([once, often + " " + prose(12, 9000 + k), often])["bands"]
+        missed += sum(not set(keys[0].tolist()) & set(x.tolist()) for x in keys[1:])
+        a, b = near_dedup.shingle_sets([once, often + " " + prose(12, 9000 + k)])["shingles"]
+        assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    assert missed == 0, missed
+
+
 def test_sketches_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     a = {k: float(w) for k, w in zip(range(60), rng.uniform(1, 4, 60), strict=True)}
