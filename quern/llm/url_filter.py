@@ -19,14 +19,38 @@ from ._common import map_text
 #: (verdict, host, path prefix). A rule fits its host and all subdomains.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
-#: Small labelled table: words of hosts that are unwanted (1) and wanted (0).
-UNWANTED = "cheap-pills spam-farm adult-x free-bets online-casino xxx-cams viagra-shop payday-loans hot-singles poker-bonus replica-watches crypto-doubler win-prizes sex-video weight-loss-pills betting-tips free-money porn-tube slots-jackpot fake-diploma casino lucky-win big-win-casino ads ads-server click-track tracking-pixel ad-tracker popup-ads".split()
-WANTED = "city-news open-library science-daily recipes museum university health-advice travel-notes garden-blog history-archive weather football-club music-review school-portal code-docs local-gazette bird-watch book-club maths-forum film-journal theatre thermal-baths nation-archive station-map theory-club athletics education other-side thursday-market orchestra house-plans kitchen-table teachers nurses doctor river-walks mountain-huts forest-trail bridge-works castle-guide farmers-union winter-sports the-herald handicraft this-week engine-parts thread-shop thistle-inn than-ever these-days hessian-weavers".split()
+#: Small labelled table, made from general kinds of sites and not from given pages: words of hosts that are unwanted (1) and wanted (0),
+#: ends of hosts that both have, and paths that tell or that both have.
+UNWANTED = (
+    "pharmacy-discount online-pills buy-viagra cheap-meds cialis-generic diet-pills weight-loss-miracle slim-fast-now muscle-boosters "  # medicine
+    "casino-royal online-casino poker-room roulette-bonus jackpot-slots sports-betting bet-now betting-odds lottery-winner bingo-cash free-spins "  # gambling
+    "adult-dating sex-videos porn-hub xxx-movies nude-cams hot-girls escort-service erotic-stories webcam-girls milf-chat "  # adult
+    "payday-loan instant-credit quick-cash easy-money get-rich make-money-fast debt-relief forex-profit bitcoin-doubler crypto-giveaway "  # money
+    "replica-bags fake-rolex cracked-software keygen-serials warez-download torrent-free movie-streams-free essay-writer buy-followers seo-backlinks "  # fakes
+    "spam-mailer bulk-email ad-network adserver ads-delivery banner-exchange popup-click click-bait tracker-pixel affiliate-links free-prizes win-iphone gift-card-free survey-rewards"  # adverts
+).split()
+WANTED = (
+    "daily-news city-herald evening-post weather-report radio-station world-affairs sports-results local-journal press-review "  # news
+    "university high-school public-library open-courses education-board physics-institute mathematics language-academy research-council student-union "  # learning
+    "city-council national-museum ministry-of-health fire-department transport-authority parks-and-gardens town-hall tourist-office heritage-trust statistics-office "  # public
+    "garden-diary cooking-recipes travel-stories photo-journal book-reviews knitting-patterns bird-watching mountain-hiking family-history chess-club theatre-group music-lessons film-festival "  # pastimes
+    "software-docs developer-forum linux-users code-repository data-science open-source-tools science-magazine astronomy medicine-today nature-reserve animal-rescue "  # knowledge
+    "bakery furniture-makers bicycle-repair architects dental-practice restaurant-guide hotel-garden farm-shop engineering-services insurance-office train-timetable bookshop"  # trades
+).split()
+ENDS = ("com", "net", "org", "info", "co.uk", "de")
+UNWANTED_PATHS = ("/buy-now", "/bonus/claim", "/free-trial/join", "/win/spin", "/cheap/order", "/click/redirect", "/xxx/live", "/offer/limited")
+WANTED_PATHS = ("/news/article", "/about/history", "/library/catalogue", "/docs/guide", "/events/calendar", "/research/papers", "/recipes/bread", "/contact")
+PATHS = ("/", "/en/12", "/de/index", "/2019/05/3")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small table that the model is trained from: url, label (1: unwanted)."""
-    rows = [(f"https://{sub}{word}.example.{end}/{lang}/{n}", label) for label, words in ((1, UNWANTED), (0, WANTED)) for n, word in enumerate(words) for sub, end, lang in (("", "com", "en"), ("www.", "net", "de"), ("blog.", "org", "fr"), ("m.", "com", "es"))]
+    """The small table that the model is trained from: url, label (1: unwanted). Each host has a telling path and one that both labels have."""
+    rows = []
+    for label, words, paths in ((1, UNWANTED, UNWANTED_PATHS), (0, WANTED, WANTED_PATHS)):
+        for n, word in enumerate(words):
+            for k, sub in enumerate(("", "www.", "blog.", "m.")):
+                host = f"https://{sub}{word}.{ENDS[(n + k) % len(ENDS)]}"
+                rows += [(host + paths[(n + k) % len(paths)], label), (host + PATHS[(n + k) % len(PATHS)], label)]
     return spark.createDataFrame(rows, "url string, label int")
 
 

@@ -127,6 +127,33 @@ def test_url_model_tells_unseen_hosts(spark):
         url_filter.fit_url_model(url_filter.labelled_urls(spark), max_rows=10)
 
 
+#: Hosts for measuring only: none of their names is in the labelled table.
+HELD_OUT_UNWANTED = "https://viagra-store.biz/en/3 http://discount-pharma.net/x http://pills4you.com/ http://megacasino.io/de/1 http://slot-machine-bonus.com/a http://betting-king.net/ http://sexchat.tv/en/1 http://porn-videos.org/2 http://livecams-adult.com/ http://loans-today.biz/apply http://fast-cash-now.net/ http://crypto-profit.io/join http://rolex-replicas.com/ http://serials-crack.net/dl http://ad-delivery.net/js http://popupads.com/en/9 http://cheap-followers.com/ http://free-giftcards.net/ http://lottery-jackpot.org/ http://escort-girls.net/".split()
+HELD_OUT_WANTED = "https://morning-gazette.com/en/3 http://weatherservice.org/x http://technical-university.de/ http://chemistry-department.edu/1 http://art-gallery.net/a http://gardening-club.org/ http://hiking-trails.info/en/1 http://history-society.org/2 http://python-tutorials.com/ http://council-services.co.uk/apply http://wildlife-photos.net/ http://orchestra.org/join http://veterinary-clinic.com/ http://carpenters.net/dl http://public-radio.org/js http://school-board.org/en/9 http://language-courses.com/ http://railway-museum.net/ http://science-journal.org/ http://cookbook.net/".split()
+
+
+#: As above, and sharing no word with the table.
+NO_SHARED_UNWANTED = "http://xanax-kaufen.org/ http://blackjack-vip.biz/ http://stripper-tube.net/ http://kredit-sofort.info/ http://louis-vuitton-outlet.com/ http://phishing-kit.net/ http://baccarat88.com/ http://hentai-zone.org/ http://pyramid-scheme.biz/ http://malware-dropper.net/".split()
+NO_SHARED_WANTED = "http://veterinary-clinic.com/ http://orchestra.org/ http://python-tutorials.com/ http://carpenter.net/ http://philosophy-seminar.edu/ http://volcano-observatory.org/ http://plumber-bristol.co.uk/ http://kindergarten.de/ http://opera-singers.net/ http://botanic-herbarium.org/".split()
+
+
+def test_url_model_on_held_out_hosts(spark):
+    words = {*url_filter.UNWANTED, *url_filter.WANTED}
+    seen = {r.url.split("://")[-1].split("/")[0] for r in url_filter.labelled_urls(spark).collect()}
+    parts = {p for w in words for p in w.split("-") if len(p) >= 4}
+    assert not any(p in u for p in parts for u in NO_SHARED_UNWANTED + NO_SHARED_WANTED)
+    held = [u.split("://")[1] for u in HELD_OUT_UNWANTED + HELD_OUT_WANTED]
+    assert not {h.split("/")[0].split(".")[0] for h in held} & words and not {h.split("/")[0] for h in held} & seen
+    p = url_filter.Score(url_filter.fit_url_model(url_filter.labelled_urls(spark)), 14)(held)["p_unwanted"]
+    right = np.append(p[:20] >= 0.5, p[20:] < 0.5)
+    assert right.mean() >= 0.8, (right.mean(), [h for h, r in zip(held, right, strict=True) if not r])
+
+
+def test_labelled_hosts_are_not_those_of_the_pages(spark, sf):
+    words = {w for r in spark.read.parquet(f"{sf}/pages.parquet").collect() for w in r.url.split("://")[-1].split("/")[0].lower().split(".")}
+    assert not words & {*url_filter.UNWANTED, *url_filter.WANTED}
+
+
 # pages
 
 
