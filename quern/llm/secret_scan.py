@@ -34,9 +34,12 @@ KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 
 NAMES = ("passw", "secret", "token", "api_key", "apikey")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Starts where a key can: a SEQUENCE's first byte is M and A to P in base64, the rest is OpenSSH's magic; "=", "-" and the like may stand before it.
+BASE64 = re.compile(r"(?<![A-Za-z0-9])(?=M[A-P]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){30,}(?![0-9A-Fa-f])")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----([A-Za-z0-9+/=\s]{1,100000}?)-----END \1-----")
+#: A body may have escaped line ends (in JSON) and, before its data, header lines such as Proc-Type and DEK-Info.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----((?:(?:\s|\\[nrt])*+[A-Za-z][A-Za-z0-9-]*+:(?:[^\n\\-]|\\[^nr]|-(?!----))*+)*+)((?:[A-Za-z0-9+/=\s]|\\[nrt/])++)-----END \1-----")
+ESCAPES = re.compile(r"\\[nrt]|\s+")
 SSH_MAGIC = b"openssh-key-v1\x00"
 
 
@@ -144,7 +147,7 @@ def confirmed_spans(text: str, long_words: bool = True) -> list[tuple[int, int,
     out = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if kind := key_kind(from_base64("".join(m[2].split()))):
+            if kind := key_kind(from_base64(ESCAPES.sub("", m[3]).replace("\\/", "/"))):
                 out.append((m.start(), m.end(), kind))
     if long_words:
         if "ey" in text or "ew" in text:  # how "{" begins in base64

@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -73,6 +74,30 @@ def test_structures_are_parsed_to_the_end(data, kind):
         assert got == ({kind} if kind else set())
 
 
+@pytest.mark.parametrize("data, kind", [(RSA, "der"), (PKCS8, "der"), (SSH, "ssh")])
+def test_keys_after_names_and_in_escaped_pem(data, kind):
+    for name in ("PRIVATE_KEY=", "key=", "https://h.example/?k=", "a --key=", "x=-", "a-b/"):
+        for text in (name + B64(data), name + URL64(data) + "&x=1"):
+            assert [s for s in secret_scan.confirmed_spans(text) if s[2] == kind] == [(len(name), len(name) + len(re.match(r"[\w+/=-]*", text[len(name) :].split("&")[0])[0]), kind)]
+    lines = [B64(data)[i : i + 64] for i in range(0, len(B64(data)), 64)]
+    head = ["Proc-Type: 4,CLEAR", "DEK-Info: none-x,00\tff", ""]
+    for body in (lines, head + lines):
+        for end in ("\n", "\r\n", "\\n", "\\r\\n"):
+            pem = end.join(["-----BEGIN PRIVATE KEY-----", *body, "-----END PRIVATE KEY-----"])
+            for text in (f'{{"key": "{pem}{end}"}}', pem.replace("/", "\\/") if "\\" in end else pem):
+                assert (text.index("-----BEGIN"), text.rindex("-----") + 5, kind) in secret_scan.confirmed_spans(text), text
+
+
+def test_long_pem_and_no_slow_search():
+    long = b"".join([der(2, b"\0"), der(0x30, der(6, b"\x2b\x65\x70")), bytes([4, 0x83]) + (100_000).to_bytes(3, "big") + bytes(100_000)])
+    long = bytes([0x30, 0x83]) + len(long).to_bytes(3, "big") + long
+    assert [s[2] for s in secret_scan.confirmed_spans("-----BEGIN PRIVATE KEY-----\n" + B64(long) + "\n-----END PRIVATE KEY-----")] in (["der"], ["der", "der"])
+    start = time.monotonic()
+    for part in ("-----BEGIN K-----\n", "-----BEGIN K-----", "-----BEGIN K-----a:", "a: b\n"):
+        secret_scan.confirmed_spans("-----BEGIN K-----" + part * 20_000)
+    assert time.monotonic() - start < 20
+
+
 def test_signed_tokens():
     assert [s[2] for s in secret_scan.confirmed_spans(f"a {TOKEN} b")] == ["jwt"]
     assert not secret_scan.confirmed_spans("a " + TOKEN.replace("eyJhbGciOi", "eyJhbGdiOi", 1) + " b")
