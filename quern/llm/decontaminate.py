@@ -6,13 +6,14 @@ So: q-grams of the whole document that the benchmark has are found by lookup; ea
 diagonal bands (of width 2(k+1), one every k+1) that it lies in; bands that reach the passage's bound are regions; and a
 region is reported only if a banded alignment finds the passage there within ``k`` edits.
 
-Passages are the benchmark's items; a long item is cut into overlapping segments of ``SEGMENT`` characters, so that a
-part of it that long is found too. Text is compared in lower case with white space runs as one space. ``k`` is a tenth of
+Passages are the benchmark's items; a long item is cut into overlapping segments of ``SEGMENT`` characters. Items longer
+than that also have segments of ``SHORT`` characters every ``SHORT_STRIDE``, so any verbatim excerpt of ``SEGMENT``
+characters, wherever it begins, holds a whole segment and is found; of items up to that length the whole is. Text is compared in lower case with white space runs as one space. ``k`` is a tenth of
 the segment's length.
 
-The benchmark's q-grams go to the tasks in blocks of at most ``BLOCK_CHARS`` characters of passages (about 30 bytes a
-character, 60 MB a block); a larger benchmark is taken in several passes over the documents, so what is broadcast is
-bounded. Documents are processed whole, in chunks of bounded size.
+The benchmark's q-grams go to the tasks in blocks of at most ``BLOCK_CHARS`` characters of passages (about 60 bytes a
+character, 120 MB a block); a larger benchmark is taken in several passes over the documents, one block at a time, whose
+result is written before the next block is made, so what is held and broadcast is bounded. Documents are processed whole, in chunks of bounded size.
 
 Defined cases. Null texts count as empty and are clean. Null or blank items, and items shorter than 2q + 2 characters
 after normalisation, can't be told from chance and match nothing. Repeated documents are judged row by row; an item that
@@ -21,13 +22,16 @@ occurs twice under one id is one item. An empty benchmark leaves every document
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_text
+from ._common import map_text, materialise
 
 Q, SEGMENT, STRIDE, EDITS = 8, 120, 60, 0.1
+SHORT, SHORT_STRIDE = 80, 40  # SHORT + SHORT_STRIDE - 1 characters hold a whole short segment
 BLOCK_CHARS = 2_000_000
 _U = np.uint64
 
@@ -50,10 +54,11 @@ def grams(p: np.ndarray, q: int = Q) -> np.ndarray:
 
 def segments(text: str) -> list[tuple[int, str]]:
     """(start, segment) that cover a normalised item."""
-    if len(text) <= SEGMENT + STRIDE // 2:
-        return [(0, text)]
-    starts = [*range(0, len(text) - SEGMENT, STRIDE), len(text) - SEGMENT]
-    return [(s, text[s : s + SEGMENT]) for s in starts]
+    def cut(size: int, stride: int) -> list[tuple[int, str]]:
+        return [(s, text[s : s + size]) for s in [*range(0, len(text) - size, stride), len(text) - size]]
+
+    whole = [(0, text)] if len(text) <= SEGMENT + STRIDE // 2 else cut(SEGMENT, STRIDE)
+    return whole if len(text) <= SEGMENT else whole + cut(SHORT, SHORT_STRIDE)
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int, int] | None:
@@ -206,31 +211,42 @@ class Finder:
         return {self.name: [[dict(zip(("item_id", "start", "end", "edits"), f, strict=True)) for f in fs] for fs in find(self.block.value, texts)]}
 
 
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[Block]:
-    """The benchmark in blocks of bounded size; items come to the driver one block at a time."""
+def item_lists(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items in lists of bounded size; they come to the driver as they are asked for."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t")
-    out, items, size = [], [], 0
+    items, size = [], 0
     for r in rows.toLocalIterator():
         text = normalised(r.t)
         if len(text) < 2 * Q + 2 or (items and items[-1] == (r.i, text)):
             continue
         if items and size + len(text) > BLOCK_CHARS:
-            out.append(Block(items))
+            yield items
             items, size = [], 0
         items.append((r.i, text))
         size += len(text)
-    return [*out, Block(items)] if items else out
+    if items:
+        yield items
+
+
+def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[Block]:
+    """All blocks of a small benchmark at once."""
+    return [*map(Block, item_lists(benchmark, item_col, text_col))]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", name: str = "__spans") -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``name``: item, start, end (in the normalised text) and edits of each passage found."""
     spark = docs.sparkSession
-    found = blocks(benchmark)
     out = docs.select(*keep, *([text_col] if text_col not in keep else [])).withColumn(name, F.expr(f"CAST(array() AS {SPANS})"))
-    for i, block in enumerate(found):
-        held = spark.sparkContext.broadcast(block)
+    lists = item_lists(benchmark)
+    items = next(lists, None)
+    while items:
+        held = spark.sparkContext.broadcast(Block(items))
         columns = [c for c in out.columns if c != "__part"]
         out = map_text(out, text_col, columns, Finder(held, "__part"), f"`__part` {SPANS}").withColumn(name, F.concat(name, "__part")).drop("__part")
+        items = next(lists, None)
+        if items:  # one block at a time
+            out = materialise(out, "passages")
+            held.destroy()
     return out.select(*keep, name)
 
 

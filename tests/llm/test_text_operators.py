@@ -271,6 +271,14 @@ def test_passages_are_found_with_edits_and_clean_documents_left(spark, odd_docs,
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 60
 
 
+@pytest.mark.parametrize("length", [121, 140, 150, 151, 233, 400])
+def test_excerpts_are_found_at_every_offset(length):
+    item = prose(80, 77)[:length].strip().ljust(length, "x")
+    block = decontaminate.Block([(1, item)])
+    texts = [f"{prose(20, 900 + s)} {item[s : s + 120].strip()} {prose(20, 800 + s)}" for s in range(length - 119) if " " not in (item[s], item[s + 119])]
+    assert texts and all(f and {x[0] for x in f} == {1} for f in decontaminate.find(block, texts))
+
+
 def test_benchmark_in_several_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(i, prose(40, i)) for i in range(6)], "item_id long, text string")
     docs = spark.createDataFrame([(i, prose(60, 300 + i) + " " + prose(40, i)) for i in range(6)], "doc_id long, text string")
