@@ -11,26 +11,33 @@ than that also have segments of ``SHORT`` characters every ``SHORT_STRIDE``, so
 characters, wherever it begins, holds a whole segment and is found; of items up to that length the whole is. Text is compared in lower case with white space runs as one space. ``k`` is a tenth of
 the segment's length.
 
+Items shorter than 2q + 2 characters have too few q-grams to tell a region from chance, so they are searched for exactly,
+as whole words (no letter or digit touches them), all at once by an Aho-Corasick automaton.
+
 The benchmark's q-grams go to the tasks in blocks of at most ``BLOCK_CHARS`` characters of passages (about 60 bytes a
 character, 120 MB a block); a larger benchmark is taken in several passes over the documents, one block at a time, whose
-result is written before the next block is made, so what is held and broadcast is bounded. Documents are processed whole, in chunks of bounded size.
+result is written before the next block is made, so what is held and broadcast is bounded whatever the benchmark's size.
+Documents are processed whole, in chunks of bounded size.
 
-Defined cases. Null texts count as empty and are clean. Null or blank items, and items shorter than 2q + 2 characters
-after normalisation, can't be told from chance and match nothing. Repeated documents are judged row by row; an item that
-occurs twice under one id is one item. An empty benchmark leaves every document clean.
+Defined cases. Null texts count as empty and are clean. Null or blank items match nothing. Repeated documents are judged
+row by row; an item that occurs twice under one id is one item. An empty benchmark leaves every document clean, and an
+empty table gives an empty result. Other columns of the caller, whatever their names, are not read;
+``drop_contaminated`` returns them as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_text, materialise
+from ._common import col, map_text, materialise, numbered, place
 
 Q, SEGMENT, STRIDE, EDITS = 8, 120, 60, 0.1
+LEAST = 2 * Q + 2  # characters from which an item is found by its q-grams
 SHORT, SHORT_STRIDE = 80, 40  # SHORT + SHORT_STRIDE - 1 characters hold a whole short segment
 BLOCK_CHARS = 2_000_000
 _U = np.uint64
@@ -93,12 +100,16 @@ def banded_distance(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int, int
 
 
 class Block:
-    """A block of segments with the sorted codes of their q-grams and where each occurs."""
+    """A block of segments with the sorted codes of their q-grams and where each occurs; and an automaton of short items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.text, self.need, self.k = [], [], [], []
-        codes, owner, place = [], [], []
+        codes, owner, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        short: dict[str, list[int]] = {}
         for item, text in items:
+            if len(text) < LEAST:
+                short.setdefault(text, []).append(item)
+                continue
             for _, s in segments(text):
                 g = grams(points(s))
                 k = max(0, min(int(len(s) * EDITS), (len(g) - 2) // Q))  # so that the bound is two q-grams at least
@@ -113,10 +124,16 @@ class Block:
         order = np.argsort(code, kind="stable")
         self.code, first, self.times = np.unique(code[order], return_index=True, return_counts=True)
         self.first, self.owner, self.place = first, np.concatenate(owner)[order], np.concatenate(place)[order]
-        self.width = np.array(self.k) + 1
-        self.needed = np.array(self.need)
+        self.width = np.array(self.k, np.int64) + 1
+        self.needed = np.array(self.need, np.int64)
         self.length = np.array([len(t) for t in self.text])
         self.bits = 20
+        self.short = None
+        if short:
+            self.short = ahocorasick.Automaton()
+            for text, owners in short.items():
+                self.short.add_word(text, (len(text), owners))
+            self.short.make_automaton()
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self.slot(self.code)] = True
 
@@ -138,6 +155,8 @@ class Block:
 
         The texts in ``p`` are more than a segment apart, so bands don't mix them.
         """
+        if not self.text:
+            return np.zeros((0, 2), np.int64)
         at, owner, place = self.hits(grams(p))
         width = self.width[owner]
         band = (at - place) // width
@@ -159,6 +178,14 @@ class Block:
         return np.stack([seg, ((keys & ((1 << 40) - 1)) - (1 << 20)) * self.width[seg]], 1)
 
 
+def short_items(block: Block, text: str) -> Iterator[tuple[int, int, int]]:
+    """(item, start, end) of the short items that a normalised text has as whole words."""
+    for last, (n, owners) in block.short.iter(text):
+        a, b = last + 1 - n, last + 1
+        if not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[last].isalnum()):
+            yield from ((item, a, b) for item in owners)
+
+
 def find(block: Block, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
     """For each text (item, start, end, edits) of the passages found, places in the normalised text."""
     gap = SEGMENT * 2 + 64
@@ -185,6 +212,9 @@ def find(block: Block, texts: list[str]) -> list[list[tuple[int, int, int, int]]
             edits, x, y = got
             found = (block.item[seg], lo - b + x, lo - b + y)
             out[i][found] = min(edits, out[i].get(found, edits))
+    if block.short is not None:
+        for i, t in enumerate(plain):
+            out[i].update((found, 0) for found in short_items(block, t))
     return [_joined(o) for o in out]
 
 
@@ -213,11 +243,11 @@ class Finder:
 
 def item_lists(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
     """The benchmark's items in lists of bounded size; they come to the driver as they are asked for."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t")
+    rows = benchmark.select(col(item_col).cast("long").alias("i"), col(text_col).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t")
     items, size = [], 0
     for r in rows.toLocalIterator():
         text = normalised(r.t)
-        if len(text) < 2 * Q + 2 or (items and items[-1] == (r.i, text)):
+        if not text or (items and items[-1] == (r.i, text)):
             continue
         if items and size + len(text) > BLOCK_CHARS:
             yield items
@@ -233,29 +263,30 @@ def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
     return [*map(Block, item_lists(benchmark, item_col, text_col))]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", name: str = "__spans") -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``name``: item, start, end (in the normalised text) and edits of each passage found."""
-    spark = docs.sparkSession
-    out = docs.select(*keep, *([text_col] if text_col not in keep else [])).withColumn(name, F.expr(f"CAST(array() AS {SPANS})"))
-    lists = item_lists(benchmark)
+def _passes(rows: DataFrame, benchmark: DataFrame, text: str, spans: str | None) -> DataFrame:
+    """``rows`` after a pass for each block: with what was found added to the column ``spans``, or (None) without the rows in
+    which something was found."""
+    spark = rows.sparkSession
+    names, lists = rows.columns, item_lists(benchmark)
     items = next(lists, None)
     while items:
         held = spark.sparkContext.broadcast(Block(items))
-        columns = [c for c in out.columns if c != "__part"]
-        out = map_text(out, text_col, columns, Finder(held, "__part"), f"`__part` {SPANS}").withColumn(name, F.concat(name, "__part")).drop("__part")
+        rows = map_text(rows, text, names, Finder(held, "part"), f"part {SPANS}")
+        rows = rows.filter(F.size("part") == 0).drop("part") if spans is None else rows.withColumn(spans, F.concat(spans, "part")).drop("part")
         items = next(lists, None)
         if items:  # one block at a time
-            out = materialise(out, "passages")
+            rows = materialise(rows, "passages")
             held.destroy()
-    return out.select(*keep, name)
+    return rows
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and passage found in it: id, item_id, start, end, edits."""
-    found = contaminated(docs, benchmark, [id_col], text_col)
-    return found.select(id_col, F.explode("__spans").alias("s")).select(id_col, "s.item_id", "s.start", "s.end", "s.edits")
+    """One row per document and passage found in it: id, item_id, start, end (in the normalised text), edits."""
+    rows = docs.select(col(id_col).alias("key"), col(text_col).alias("text"), F.expr(f"CAST(array() AS {SPANS})").alias("spans"))
+    found = _passes(rows, benchmark, "text", "spans")
+    return found.select(F.col("key").alias(id_col), F.explode("spans").alias("s")).select(col(id_col), "s.item_id", "s.start", "s.end", "s.edits")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents in which no passage was found, with all their columns."""
-    return contaminated(docs, benchmark, docs.columns, text_col).filter(F.size("__spans") == 0).drop("__spans")
+    return _passes(numbered(docs), benchmark, place(docs, text_col), None).toDF(*docs.columns)

@@ -1,25 +1,27 @@
 """Exact deduplication with a persistent digest index, bucketed and sorted by hash.
 
 The index is a table ``(digest, keep_id)``, one row per distinct text seen so far, written into hash buckets that
-are sorted by digest. A batch of new documents is reduced to its distinct digests, sort-merge anti-joined with the
-index (the index side needs no shuffle) and what is new is appended. Documents are then annotated from the index.
-Only DataFrame operations run here.
+are sorted by digest. Documents come in batches of rows. A batch's digests (pre-aggregated where the rows are, so a hot
+text is a row per task) are sort-merge anti-joined with the index, which removes the texts that earlier batches or earlier
+calls brought (the index side needs no shuffle), and what is left is appended. Which row stays is then read from the
+index, for every row. Only DataFrame operations run here.
 
 Defined cases. A null text counts as empty; all empty texts are equal. White space runs ``[\\x20\\x09-\\x0D]+``
 count as one space; nothing is trimmed, so " a" and "a" differ. Null ids lose against any other id; a group with
 null ids only has a null keep_id. Rows that repeat both id and text count in group_size and exactly one of them is
-kept. An empty batch leaves the index as it is. Columns of the caller that clash with the digest columns are not
-read: the operators select the id and text columns by name and nothing else.
+kept; of rows of one id whose equal texts differ in white space, that with the smallest hash. One id may have several
+texts: each is judged by itself. An empty batch leaves the index as it is. Other columns of the caller, whatever their
+names, are not read, and ``drop_exact_copies`` returns them as they are.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import group_minima, materialise, scratch, spread
+from ._common import col, group_minima, keep_rows, materialise, row_key, scratch, spread
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -34,7 +36,7 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A digest index at ``path`` (a folder that all executors see), known to the catalog as ``name``.
+    """A digest index at ``path`` (a folder that all executors see), known to the catalog as ``name`` until ``close``.
 
     ``buckets`` is part of the index and must be the same whenever it is opened. Opening an existing path in a new
     session attaches the same files.
@@ -52,13 +54,16 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)  # another session may have appended
         return self.spark.table(self.name)
 
+    def unknown(self, batch: DataFrame) -> DataFrame:
+        """The rows of ``batch`` (digest and more) whose digest the index lacks."""
+        return batch.join(self.table().hint("merge"), "digest", "left_anti")
+
     def append(self, batch: DataFrame) -> None:
         """Add the digests of ``batch`` (digest, keep_id; distinct) that the index lacks.
 
         A batch that is run again after a failure adds nothing twice.
         """
-        new = batch.join(self.table().hint("merge"), "digest", "left_anti")
-        new.repartition(self.buckets, "digest").sortWithinPartitions("digest").select("digest", "keep_id").write.insertInto(self.name)
+        self.unknown(batch).repartition(self.buckets, "digest").sortWithinPartitions("digest").select("digest", "keep_id").write.insertInto(self.name)
 
     def compact(self, path: str) -> DigestIndex:
         """The same index at another path with one sorted file per bucket, after many appends."""
@@ -66,6 +71,40 @@ class DigestIndex:
         self.table().repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(other.name)
         return other
 
+    def close(self) -> None:
+        """Take the name out of the catalog; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def batch_digests(rows: DataFrame, batches: int) -> list[DataFrame]:
+    """The rows (own, digest) in ``batches`` ranges of ascending ids, null ids in the last: each as digest, keep_id, distinct."""
+    cuts = rows.filter("NOT own.no_id").agg(F.percentile_approx("own.id", F.array(*(F.lit(i / batches) for i in range(1, batches)))).alias("c")).first().c if batches > 1 else None
+    number = F.lit(0)
+    for c in cuts or ():
+        number = number + (F.col("own.no_id") | (F.col("own.id") > c)).cast("int")
+    parts = rows.groupBy("digest", number.alias("batch")).agg(F.min("own").alias("first"))
+    parts = materialise(parts.select("batch", "digest", F.expr("IF(first.no_id, NULL, first.id)").alias("keep_id")), "batches")
+    return [parts.filter(F.col("batch") == b).select("digest", "keep_id") for b in range(len(cuts or ()) + 1)]
+
+
+def _found(docs: DataFrame, index: DigestIndex | None, id_col: str, text_col: str, batches: int) -> DataFrame:
+    """Per row of ``docs``: own (key, with its number among the rows), digest, keep_id, group_size, kept. Written."""
+    spark = docs.sparkSession
+    own = index or DigestIndex(spark, scratch(spark, "digest-index"))
+    i, t = col(id_col), col(text_col)
+    rows = materialise(docs.select(*row_key(i, t), digest(t).alias("digest")).withColumn("row", F.monotonically_increasing_id()), "digests")
+    for batch in batch_digests(rows, batches):
+        own.append(batch)
+    rows = rows.select("digest", F.struct("own", "row").alias("at"))
+    parts, groups = group_minima(rows, ["digest"], "at")
+    known = groups.join(own.table(), "digest")
+    stays = F.col("at.row").eqNullSafe(F.col("first.row")) & F.when(F.col("at.own.no_id"), F.col("keep_id").isNull()).otherwise(F.col("at.own.id").eqNullSafe(F.col("keep_id")))
+    found = spread(rows, parts, known, ["digest"], "at").select("at.own", "digest", "keep_id", "group_size", stays.alias("kept"))
+    found = materialise(found, "found")
+    if index is None:
+        own.close()
+    return found
+
 
 def exact_groups(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
@@ -74,39 +113,13 @@ def exact_groups(docs: DataFrame, index: DigestIndex | None = None, id_col: str
     first. With an index that holds earlier documents, a text indexed before keeps its earlier keep_id, and kept is
     false for the new copy. group_size counts the rows of ``docs``.
     """
-    spark = docs.sparkSession
-    index = index or DigestIndex(spark, scratch(spark, "digest-index"))
-    rows = materialise(docs.select(F.col(id_col).cast("long").alias("__id"), digest(F.col(text_col)).alias("digest")), "digests")
-    parts, groups = group_minima(rows, ["digest"], "__id")
-    groups = materialise(groups, "groups")
-    lo, hi = groups.agg(F.min("keep_id"), F.max("keep_id")).first()
-    steps = [lo + (hi - lo) * i // batches for i in range(1, batches)] if lo is not None else []
-    for a, b in zip([None, *steps], [*steps, None], strict=True):
-        inside = F.lit(True) if a is None else F.coalesce(F.col("keep_id") > a, F.lit(b is None))
-        inside = inside if b is None else inside & F.coalesce(F.col("keep_id") <= b, F.lit(False))
-        index.append(groups.filter(inside).select("digest", "keep_id"))
-    known = groups.select("digest", "group_size").join(index.table(), "digest")
-    found = spread(rows, parts, known, ["digest"], "__id")
-    once = Window.partitionBy("digest", "__id").orderBy("__id")
-    return found.select(
-        F.col("__id").alias(id_col),
-        "keep_id",
-        F.col("group_size").cast("long").alias("group_size"),
-        (F.col("__id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(once) == 1)).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+    return _found(docs, index, id_col, text_col, batches).select(
+        F.expr("IF(own.no_id, NULL, own.id)").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """The documents that stay, with all their columns. Rows that repeat an id with an equal text leave one row."""
-    found = materialise(exact_groups(docs, None, id_col, text_col), "found")
-    kept = materialise(found.filter("kept").select(id_col), "kept-ids")
-    # ids grow with the documents, so they are merged, not broadcast, whatever their number
-    plain = docs.join(kept.filter(F.col(id_col).isNotNull()).distinct().hint("merge"), id_col, "left_semi").select(*docs.columns)
-    repeated = materialise(found.groupBy(id_col, "text_sha256").count().filter("count > 1 OR " + id_col + " IS NULL").select(id_col).distinct(), "repeated-ids")
-    if repeated.isEmpty():
-        return plain
-    same = docs.join(repeated, docs[id_col].eqNullSafe(repeated[id_col]), "left_semi").withColumn("__digest", digest(F.col(text_col)))
-    stay = found.filter("kept").select(F.col(id_col).alias("__k"), F.unhex("text_sha256").alias("__d"))
-    same = same.join(stay, F.col(id_col).eqNullSafe(F.col("__k")) & (F.col("__digest") == F.col("__d")), "left_semi").dropDuplicates([id_col, "__digest"])
-    return plain.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(same.select(*docs.columns))
+    found = _found(docs, index, id_col, text_col, batches)
+    repeated = found.groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("own")
+    return keep_rows(docs, found.filter("kept").select("own"), repeated, id_col, text_col)

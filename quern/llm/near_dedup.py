@@ -13,15 +13,20 @@ similarity of the shingle sets, 0.8 or more. A pair at 0.8 is missed with probab
 
 How the work stays in proportion: equal texts (same word sequence) are one row from the start, by salted counts. In a
 small bucket (``pairs_up_to`` rows) all pairs are candidates. In a larger one every row is paired with the bucket's
-smallest id, its pivot, and those pairs are verified first. Most rows of a hot group are then in one class. Rows that
+smallest number, its pivot, and those pairs are verified first. Most rows of a hot group are then in one class. Rows that
 share a pivot and are still in different classes are compared exactly, block against block: each row outside the
 pivot's largest class meets all rows of the pivot, and only links leave the task. So no candidate is dropped, a hot
 group costs one pair per row and pivot, and no task or shuffle holds more than blocks of bounded size. Classes are the
 connected components of the verified links.
 
+Nodes are texts, not ids: each different word sequence has a number of its own, so an id with several texts is judged
+text by text, and rows without an id take part.
+
 Defined cases. A null text counts as empty; texts without words are equal to each other and to nothing else. A text of
 one to four words has one shingle, all of it. Null ids never become a class's id unless all of its ids are null.
-Repeated rows are copies of each other. An empty table gives an empty result.
+Repeated rows are copies of each other; ``drop_near_copies`` leaves one row of each class, whatever repeats. Other
+columns of the caller, whatever their names, are not read and are returned as they are. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import group_minima, map_text, materialise, spread
+from ._common import col, group_minima, keep_rows, map_text, materialise, row_key, spread
 
 WORDS, BANDS, ROWS = 5, 28, 4
 SLOTS = BANDS * ROWS
@@ -123,14 +128,14 @@ def shingle_sets(texts: list[str]) -> dict:
     return {"shingles": [np.unique(shingles(word_hashes(t))).view(np.int64) for t in texts]}
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Of ``pairs`` (a, b, distinct) those whose shingle sets have that Jaccard similarity, with it; and the sets of all ids in them."""
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of ``pairs`` (a, b, distinct nodes) those whose shingle sets have that Jaccard similarity, with it; and the sets of all
+    nodes in them. ``texts``: node, text."""
     pairs = materialise(pairs, "candidates")
-    needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct(), "needed")
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(needed, "__id", "left_semi").dropDuplicates(["__id"])
-    sets = materialise(map_text(texts, "__text", ["__id"], shingle_sets, "shingles array<long>"), "shingles")
-    with_a = pairs.join(sets.select(F.col("__id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = with_a.join(sets.select(F.col("__id").alias("b"), F.col("shingles").alias("y")), "b")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialise(map_text(texts(needed), "text", ["node"], shingle_sets, "shingles array<long>"), "shingles")
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
     found = common.select("a", "b", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("similarity")).filter(F.col("similarity") >= threshold)
     return materialise(found, "links"), sets
@@ -175,7 +180,7 @@ def across_classes(stars: DataFrame, labels: DataFrame, sets: DataFrame, thresho
     mixed = materialise(counts.groupBy("a").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("a", "main"), "mixed")
     if mixed.isEmpty():
         return None
-    rows = materialise(rows.join(mixed, "a"), "open").join(sets.withColumnRenamed("__id", "b"), "b")
+    rows = materialise(rows.join(mixed, "a"), "open").join(sets.withColumnRenamed("node", "b"), "b")
     rows = materialise(rows.select("a", "b", "label", (F.col("label") != F.col("main")).alias("asks"), "shingles"), "open-sets")
     parts = rows.groupBy("a").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).cast("int").alias("parts"))
 
@@ -215,46 +220,59 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _pairs_in(members: DataFrame, key: list[str], threshold: float) -> DataFrame:
-    """Pairs of rows that share a key, of sizes that allow the threshold."""
-    a = members.select(*key, F.col("rep").alias("a"), F.col("n_shingles").alias("m"))
-    b = members.select(*key, F.col("rep").alias("b"), F.col("n_shingles").alias("n"))
+    """Pairs of nodes that share a key, of sizes that allow the threshold."""
+    a = members.select(*key, F.col("node").alias("a"), F.col("n_shingles").alias("m"))
+    b = members.select(*key, F.col("node").alias("b"), F.col("n_shingles").alias("n"))
     return a.join(b, key).filter("a < b").filter(F.least("m", "n") >= threshold * F.greatest("m", "n")).select("a", "b")
 
 
-def near_groups(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", pairs_up_to: int = 12) -> DataFrame:
-    """One row per document: id, rep_id (smallest id with the same words), class_id (smallest id of the class), n_links
-    (verified links that tie its representative to others, not all that it has), class_size (documents in the class)."""
-    rows = materialise(map_text(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "__text", ["__id"], sketch_texts, "digest binary, n_shingles int, bands array<long>"), "sketches")
-    parts, groups = group_minima(rows, ["digest", "n_shingles", "bands"], "__id")
-    groups = materialise(groups.withColumnRenamed("keep_id", "rep"), "texts")
-
-    keys = groups.filter("rep IS NOT NULL").select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    sizes = materialise(keys.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1"), "sizes")
+def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str, pairs_up_to: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: own, digest; parts: digest and salts; classes: digest, rep and keep (keys of the first row of the text and of
+    the class), group_size, class_size)."""
+    i, t = col(id_col), col(text_col)
+    keyed = docs.select(*row_key(i, t), t.alias("text"))
+    rows = materialise(map_text(keyed, "text", ["own"], sketch_texts, "digest binary, n_shingles int, bands array<long>"), "sketches")
+    parts, groups = group_minima(rows, ["digest", "n_shingles", "bands"], "own")
+    groups = materialise(groups.withColumn("node", F.monotonically_increasing_id()).withColumnRenamed("first", "rep"), "texts")
+
+    keys = groups.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    sizes = materialise(keys.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1"), "sizes")
     members = materialise(keys.join(sizes, ["band", "key"]), "buckets")
     small = members.filter(F.col("n_rows") <= pairs_up_to)
-    stars = materialise(members.filter((F.col("n_rows") > pairs_up_to) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    stars = materialise(members.filter((F.col("n_rows") > pairs_up_to) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     pairs = _pairs_in(small, ["band", "key"], threshold).unionByName(stars).distinct()
-    links, sets = verified(pairs, docs, threshold, id_col, text_col)
+
+    def texts(needed: DataFrame) -> DataFrame:
+        """The text of each needed node, from the first row that has it (rows that repeat its key have the same text)."""
+        wanted = materialise(groups.select("node", "rep").join(needed, "node").select("node", "rep.*"), "needed")
+        return keyed.select("own.*", F.col("text").alias("said")).join(wanted, ["no_id", "id", "text"]).select("node", F.col("said").alias("text")).dropDuplicates(["node"])
+
+    links, sets = verified(pairs, texts, threshold)
     labels = components(links)
     more = across_classes(stars, labels, sets, threshold)
     if more is not None:
-        links = materialise(links.unionByName(more).dropDuplicates(["a", "b"]), "all-links")
-        labels = components(links)
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = groups.select("digest", "n_shingles", "bands", "rep", "group_size").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    classes = classes.select("digest", "n_shingles", "bands", "rep", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group_size")
-    classes = materialise(classes, "classes")
-    size = classes.groupBy("class_id").agg(F.sum("group_size").alias("class_size"))
-    classes = materialise(classes.join(size, "class_id", "left").drop("bands", "n_shingles"), "sized")
-    return spread(rows.select("__id", "digest"), parts.select("digest", "__salt"), classes, ["digest"], "__id").select(
-        F.col("__id").alias(id_col), F.col("rep").alias("rep_id"), "class_id", "n_links", F.coalesce("class_size", "group_size").cast("long").alias("class_size")
+        labels = components(materialise(links.unionByName(more), "all-links"))
+
+    classes = groups.select("digest", "node", "rep", "group_size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    classes = materialise(classes.select("digest", "rep", "group_size", "label"), "classes")
+    whole = classes.groupBy("label").agg(F.min("rep").alias("keep"), F.sum("group_size").alias("class_size"))
+    classes = materialise(classes.join(whole, "label").drop("label"), "sized")
+    return rows.select("own", "digest"), parts.select("digest", "__salt"), classes
+
+
+def near_groups(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", pairs_up_to: int = 12) -> DataFrame:
+    """One row per document: id, rep_id (smallest id with the same words), class_id (smallest id of the class), class_size
+    (documents in the class). Buckets of up to ``pairs_up_to`` texts are compared pair by pair, larger ones by pivot and
+    blocks; the classes are the same."""
+    rows, parts, classes = _classes(docs, threshold, id_col, text_col, pairs_up_to)
+    return spread(rows, parts, classes, ["digest"], "own").select(
+        F.expr("IF(own.no_id, NULL, own.id)").alias(id_col), F.expr("IF(rep.no_id, NULL, rep.id)").alias("rep_id"), F.expr("IF(keep.no_id, NULL, keep.id)").alias("class_id"), F.col("class_size").cast("long").alias("class_size")
     )
 
 
-def drop_near_copies(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", pairs_up_to: int = 12) -> DataFrame:
     """One document of each class, the one with the smallest id, with all its columns."""
-    found = near_groups(docs, threshold, id_col, text_col)
-    stay = materialise(found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__k")).distinct(), "stay")
-    # ids grow with the documents, so they are merged, not broadcast, whatever their number
-    return docs.join(stay.hint("merge"), F.col(id_col).eqNullSafe(F.col("__k")), "left_semi")
+    rows, _, classes = _classes(docs, threshold, id_col, text_col, pairs_up_to)
+    stay = materialise(classes.select(F.col("keep").alias("own")).distinct(), "stay")
+    repeated = rows.groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("own")
+    return keep_rows(docs, stay, repeated, id_col, text_col)

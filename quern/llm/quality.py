@@ -3,16 +3,19 @@
 Each document becomes about twenty numbers that describe its text alone. Every feature is cut into bins at quantiles of
 the training sample. Boosting goes round the features: in each round every feature gets one shallow tree (a few cuts of
 its bins, found on the residuals of a logistic loss), shrunk and added to that feature's lookup table. Then the pairs
-whose product grids explain most of what is left get tables too, boosted in the same way. A score is a sum of table
-entries, looked up for whole batches, through the logistic function.
+whose product grids explain most of what is left get tables too, boosted in the same way by shallow trees of two levels
+(a cut of one feature, then a cut of the other on each side). A score is a sum of table entries, looked up for whole
+batches, through the logistic function.
 
 Training data: labelled documents outside the held-out quarter (crc32 of the id as text, modulo 4, is 2), at most
 ``max_rows`` of them, the first by a hash of the id (documented bound: 20,000 rows of about twenty numbers reach the
-driver). Labels, language, source and id are never inputs of a score.
+driver, one for each id). Labels, language, source and id are never inputs of a score.
 
 Defined cases. A null or empty text has all features 0 and gets the score of that point. Labels that are null or belong
-to no document are ignored; of several labels for one id the smallest counts. Repeated documents are scored row by row.
-Without any labels the model is a constant 0.5 (nothing is accepted at 0.7).
+to no document are ignored; of several labels for one id the smallest counts, and of several texts of one id the smallest
+row of features. Repeated documents are scored row by row, and all repeats are kept or go. Without any labels the model
+is a constant 0.5 (nothing is accepted at 0.7). Other columns of the caller, whatever their names, are not read;
+``keep_quality`` returns them as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_text
+from ._common import col, map_text, numbered, place
 
 FEATURES = (
     "log_chars", "log_words", "mean_word", "long_words", "short_words", "upper", "digits", "marks", "odd_marks", "spaces",
@@ -61,8 +64,8 @@ def feature_rows(texts: list[str]) -> dict:
     return {"x": [features(t) for t in texts]}
 
 
-def held_out(id_col: str):
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
+def held_out(of: Column) -> Column:
+    return F.pmod(F.crc32(of.cast("string").cast("binary")), F.lit(4)) == 2
 
 
 @dataclass
@@ -109,6 +112,32 @@ def _tree(g: np.ndarray, h: np.ndarray, leaves: int, l2: float) -> np.ndarray:
     return value
 
 
+def _pair_tree(g: np.ndarray, h: np.ndarray, l2: float) -> np.ndarray:
+    """A shallow tree on a pair's grid: the best cut along one axis, then the best cut along the other on each side (four leaves)."""
+    G, H = (np.pad(v.cumsum(0).cumsum(1), ((1, 0), (1, 0))) for v in (g, h))
+
+    def box(a: int, b: int, c: int, d: int) -> tuple[float, float]:
+        return tuple(v[b, d] - v[a, d] - v[b, c] + v[a, c] for v in (G, H))
+
+    def worth(*at: int) -> float:
+        sums = box(*at)
+        return sums[0] ** 2 / (sums[1] + l2)
+
+    n, m = g.shape
+    best: tuple[float, list] = (-1.0, [])
+    for i in range(1, n):  # rows first
+        sides = [max((worth(a, b, 0, j) + worth(a, b, j, m), j) for j in range(1, m)) for a, b in ((0, i), (i, n))]
+        best = max(best, (sides[0][0] + sides[1][0], [(a, b, c, d) for (a, b), (_, j) in zip(((0, i), (i, n)), sides, strict=True) for c, d in ((0, j), (j, m))]))
+    for j in range(1, m):  # columns first
+        sides = [max((worth(0, i, c, d) + worth(i, n, c, d), i) for i in range(1, n)) for c, d in ((0, j), (j, m))]
+        best = max(best, (sides[0][0] + sides[1][0], [(a, b, c, d) for (c, d), (_, i) in zip(((0, j), (j, m)), sides, strict=True) for a, b in ((0, i), (i, n))]))
+    value = np.zeros_like(g)
+    for at in best[1]:
+        sums = box(*at)
+        value[at[0] : at[1], at[2] : at[3]] = sums[0] / (sums[1] + l2)
+    return value
+
+
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, pair_rounds: int = 20, n_pairs: int = 6, rate: float = 0.15, leaves: int = 3, l2: float = 2.0) -> Gam:
     """Cyclic boosting of shallow trees into tables; deterministic for the same rows in the same order."""
     if not len(y) or y.min() == y.max():
@@ -134,7 +163,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, pair_rounds: int = 20, n
     for _ in range(pair_rounds):
         for i, j in chosen:
             p = 1 / (1 + np.exp(-z))
-            step = (rate * grid(i, j, y - p) / (grid(i, j, p * (1 - p)) + l2)).reshape(side, side)
+            step = rate * _pair_tree(grid(i, j, y - p).reshape(side, side), grid(i, j, p * (1 - p)).reshape(side, side), l2)
             gam.pairs[i, j] += step
             z += step[c[:, i], c[:, j]]
     return gam
@@ -142,14 +171,14 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, pair_rounds: int = 20, n
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Gam:
     """Fit on labelled documents outside the held-out quarter, ``max_rows`` of them at most."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__id IS NOT NULL AND __y IN (0, 1)").filter(~held_out("__id")).groupBy("__id").agg(F.min("__y").alias("__y"))
+    known = labels.select(col(id_col).alias("__id"), col(label_col).cast("int").alias("__y")).filter("__id IS NOT NULL AND __y IN (0, 1)").filter(~held_out(F.col("__id"))).groupBy("__id").agg(F.min("__y").alias("__y"))
     some = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows))  # max_rows rows of two numbers; the documents aren't shuffled
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(some, "__id")
-    got = map_text(rows, "__text", ["__id", "__y"], feature_rows, "x array<double>").toPandas()
-    got["k"] = got.x.map(tuple)
-    got = got.sort_values(["__id", "k"], kind="stable")
+    rows = docs.select(col(id_col).alias("__id"), col(text_col).alias("__text")).join(some, "__id")
+    found = map_text(rows, "__text", ["__id", "__y"], feature_rows, "x array<double>")
+    got = found.groupBy("__id").agg(F.min("__y").alias("y"), F.min("x").alias("x")).toPandas()  # an id is one row, however often it occurs
+    got = got.sort_values("__id", kind="stable")
     x = np.array(got.x.tolist(), float).reshape(len(got), len(FEATURES))
-    return fit(x, got["__y"].to_numpy(float))
+    return fit(x, got.y.to_numpy(float))
 
 
 class Scorer:
@@ -163,10 +192,13 @@ class Scorer:
 
 def score_quality(docs: DataFrame, gam: Gam, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, held_out, score, predicted."""
-    scored = map_text(docs.select(F.col(id_col), F.col(text_col)), text_col, [id_col], Scorer(gam), "score double")
-    return scored.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = map_text(docs, text_col, [id_col], Scorer(gam), "score double")
+    i = col(id_col)
+    return scored.select(i, F.coalesce(held_out(i), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, gam: Gam, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns."""
-    return map_text(docs, text_col, docs.columns, Scorer(gam, "__score"), "`__score` double").filter(F.col("__score") >= threshold).drop("__score")
+    rows = numbered(docs)
+    scored = map_text(rows, place(docs, text_col), rows.columns, Scorer(gam), "score double")
+    return scored.filter(F.col("score") >= threshold).drop("score").toDF(*docs.columns)
