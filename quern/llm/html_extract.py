@@ -2,21 +2,28 @@
 
 Pages are parsed into trees of block elements. On each host the pages of one layout (the same set of label paths) have
 a reference; every other page of the layout is aligned with it by simple tree matching (the largest order-preserving
-matching of equally labelled nodes, by dynamic programming over children). A page that shares most of its text outside
-menus and the like with its reference is a copy of it and says nothing about what is constant. All others vote, over all
-layouts of the host: for each label path that they have, and for each text at a path. A text that four in five pages
-with that path (four at least) have there is template, whichever page lacks it. Menus, headers, footers, sidebars,
-notices, adverts, forms and comments are told by tags, roles and class names. The wrapper of a host is its template's
-texts with their paths; extraction parses each page again and leaves out these and what is no content, and nothing else.
+matching of equally labelled nodes, by dynamic programming over children). A page that at the matched nodes shares most
+of its text with its reference is a copy of it and says nothing about what is constant. All others vote, over all layouts
+of the host, for each label path that they have: with its texts, and with whether it is a list of links.
+
+* A text that four in five pages with its path (four at least) have there is template, whichever page lacks it.
+* A path whose nodes are lists of links (three or more, nine tenths of their text) on four in five pages (four at least)
+  is a menu, even where its entries differ from page to page.
+
+What varies otherwise is content. The wrapper of a host is its template texts with their paths and its menus' paths;
+extraction parses each page again and leaves these out. What varies on every page and still is no content (menus, headers,
+footers, sidebars, notices, adverts, forms and comments with other texts each time) can't be told by alignment; it is told
+by tags, roles and class names, which also serve hosts with fewer than four different pages.
 
 Every page takes part; equal ones vote once. What travels between tasks is a page's skeleton (labels and text digests,
 no text) and sums; the pages of one layout are dealt over salts, so a hot host is no task's alone. The wrapper table is
-joined by host: Spark broadcasts it where its size allows, and else shuffles.
+joined by host: Spark broadcasts it where its size allows, and else shuffles (and splits hot hosts).
 
 Defined cases. Null or empty html gives an empty text. A page without a host, or on a host of fewer than four
-different pages, loses only what is no content. Where constant texts are more than half of a host's text, its pages are
-copies of each other and keep it all. Repeated pages are each extracted. Unclosed elements end where HTML lets them, broken markup is text, and a page cut off
-in the middle is read as far as it goes.
+different pages, loses only what tags and names tell. Where template and menus are more than half of a host's text, its
+pages are copies or indexes and keep it all. Repeated pages are each extracted. Unclosed elements end where HTML lets
+them, broken markup is text, and a page cut off in the middle is read as far as it goes. Pages may be nested or wide to
+any degree. Other columns of the caller, whatever their names, are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +33,13 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, group_minima, map_text, materialise, spread
+from ._common import bound_batches, col, group_minima, map_text, materialise, spread
 from .url_filter import url_parts
 
 TAG = re.compile(
@@ -56,13 +64,15 @@ NOT_CONTENT_WORDS = frozenset(
 
 
 class Node:
-    __slots__ = ("boiler", "children", "label", "parent", "tag", "text")
+    __slots__ = ("boiler", "children", "label", "linked", "parent", "tag", "text")
 
     def __init__(self, tag: str, label: str, parent: Node | None, boiler: bool):
         self.tag, self.label, self.parent, self.boiler = tag, label, parent, boiler
         #: pieces of text and nodes, in order; None is a break
         self.children: list[Node] = []
         self.text: list[str | Node | None] = []
+        #: pieces of text that stand in links
+        self.linked: list[str] = []
 
 
 def _node(tag: str, rest: str, parent: Node | None) -> Node:
@@ -85,41 +95,59 @@ def parse(page: str) -> Node:
     """The tree of block elements; inline markup leaves its text in the block around it."""
     root = top = Node("#", "#", None, False)
     at, n = 0, len(page)
-    low = None
+    low = link = None  # link: the block in which a link is open
+    opened: dict[str, int] = {}  # open elements by tag, so that ends of what isn't open need no search
+
+    def close_to(node: Node) -> None:
+        nonlocal top
+        while top is not node:
+            opened[top.tag] -= 1
+            top = top.parent
+
+    def say(text: str) -> None:
+        top.text.append(text)
+        if link is top:
+            top.linked.append(text)
+
     while at < n:
         m = TAG.search(page, at)
         if m is None:
-            top.text.append(page[at:])
+            say(page[at:])
             break
         if m.start() > at:
-            top.text.append(page[at : m.start()])
+            say(page[at : m.start()])
         at = m.end()
         tag = m["name"] or m["name2"]
         if not tag:
             continue
         tag = tag.lower()
         if m["end"] or m["end2"]:
-            if tag in BLOCK and tag not in VOID:
+            if tag == "a":
+                link = None
+            elif tag in BLOCK and opened.get(tag):
                 node = top
-                while node.parent is not None and node.tag != tag and not (tag == "p" and node.tag != "p") and not (tag == "li" and node.tag in ("ul", "ol")):
+                while node.tag != tag and not (tag == "li" and node.tag in ("ul", "ol")) and not (tag == "p" and node.tag != "p"):
                     node = node.parent
-                if node.parent is not None and node.tag == tag:
-                    top = node.parent
+                if node.tag == tag:
+                    close_to(node.parent)
             continue
         if tag not in BLOCK:
             if tag == "br":
                 top.text.append(None)
+            elif tag == "a":
+                link = top
             continue
         rest = m["rest"] or m["rest2"] or ""
         if tag in CLOSES_P and top.tag == "p":
-            top = top.parent
-        if tag in IMPLIED:
+            close_to(top.parent)
+        if tag in IMPLIED and any(opened.get(c) for c in IMPLIED[tag][0]):
             closes, within = IMPLIED[tag]
-            node = top
+            node = last = top
             while node.parent is not None and node.tag not in within:
                 if node.tag in closes:
-                    top = node.parent
+                    last = node.parent
                 node = node.parent
+            close_to(last)
         node = _node(tag, rest, top)
         top.children.append(node)
         top.text.append(node)
@@ -135,6 +163,7 @@ def parse(page: str) -> Node:
                 at = n if close < 0 else close + 1
             continue
         top = node
+        opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -160,32 +189,34 @@ def digest(text: str) -> str:
     return xxhash.xxh3_64_hexdigest(text) if text else ""
 
 
-def skeleton(page: str) -> str:
-    """A page's tree as JSON: [label, not content, digest of its own text, its length, children], without head and scripts."""
-
-    def made(node: Node) -> list:
-        text = own_text(node)
-        return [node.label, int(node.boiler), digest(text), len(text), [made(c) for c in node.children if c.tag not in ("head", "script", "style")]]
-
-    return json.dumps(made(parse(page)), separators=(",", ":"))
-
-
 def inner_path(outer: str, label: str) -> str:
     return digest(outer + ">" + label)
 
 
-def content_nodes(tree: list) -> list[tuple[str, list]]:
-    """(digest of the label path, node) of the nodes of a skeleton outside what is no content, in page order."""
-    out: list[tuple[str, list]] = []
+#: Places in a skeleton's node: the number of the node around it (-1: none), label, digest of its own text, its length,
+#: length of its text in links.
+PARENT, LABEL, TEXT, CHARS, LINKED = range(5)
 
-    def walk(node: list, outer: str) -> None:
-        if not node[1]:
-            path = inner_path(outer, node[0])
-            out.append((path, node))
-            for c in node[4]:
-                walk(c, path)
 
-    walk(tree, "")
+def skeleton(page: str) -> list[list]:
+    """The nodes of a page outside what tags and names tell to be no content, in page order."""
+    out: list[list] = []
+    stack = [(parse(page), -1)]
+    while stack:
+        node, outer = stack.pop()
+        if not node.boiler:
+            text = own_text(node)
+            linked = len(" ".join(html.unescape(" ".join(node.linked)).split())) if node.linked else 0
+            stack += [(c, len(out)) for c in reversed(node.children)]
+            out.append([outer, node.label, digest(text), len(text), min(linked, len(text))])
+    return out
+
+
+def paths_of(nodes: list[list]) -> list[str]:
+    """Digest of the label path of each node."""
+    out: list[str] = []
+    for x in nodes:
+        out.append(inner_path(out[x[PARENT]] if x[PARENT] >= 0 else "", x[LABEL]))
     return out
 
 
@@ -193,76 +224,149 @@ def skeletons(pages: list[str]) -> dict:
     """The skeleton of each page, its layout (digest of its set of paths) and its content (digest of its texts with their paths; empty: no text)."""
     out: dict[str, list[str]] = {"skeleton": [], "layout": [], "content": []}
     for page in pages:
-        made = skeleton(page)
-        nodes = content_nodes(json.loads(made))
-        out["skeleton"].append(made)
-        out["layout"].append(digest(" ".join(sorted({path for path, _ in nodes}))))
-        out["content"].append(digest(" ".join(f"{path}:{x[2]}" for path, x in nodes if x[3])))
+        nodes = skeleton(page)
+        paths = paths_of(nodes)
+        out["skeleton"].append(json.dumps(nodes, separators=(",", ":")))
+        out["layout"].append(digest(" ".join(sorted(set(paths)))))
+        out["content"].append(digest(" ".join(f"{path}:{x[TEXT]}" for path, x in zip(paths, nodes, strict=True) if x[CHARS])))
     return out
 
 
-def match(a: list, b: list, found: list[tuple[list, list]] | None = None) -> int:
-    """Simple tree matching: nodes in the largest matching of two skeletons; ``found`` gets the matched pairs."""
-    if a[0] != b[0]:
-        return 0
-    memo: dict[tuple[int, int], int] = {}
-
-    def size(x: list, y: list) -> int:
-        if x[0] != y[0]:
+class Tree:
+    """A skeleton with children, shapes (equal numbers: equal subtrees of labels) and subtree sizes."""
+
+    def __init__(self, nodes: list[list], shapes: dict):
+        self.nodes = nodes
+        self.children: list[list[int]] = [[] for _ in nodes]
+        for i, x in enumerate(nodes):
+            if x[PARENT] >= 0:
+                self.children[x[PARENT]].append(i)
+        self.shape, self.size = [0] * len(nodes), [1] * len(nodes)
+        for i in range(len(nodes) - 1, -1, -1):
+            kids = self.children[i]
+            self.size[i] += sum(self.size[k] for k in kids)
+            self.shape[i] = shapes.setdefault((nodes[i][LABEL], *(self.shape[k] for k in kids)), len(shapes))
+
+
+def _trimmed(xs: list[int], ys: list[int]) -> tuple[int, int]:
+    """Equal shapes at the start and at the end of two lists: matching them with each other is always best."""
+    most = min(len(xs), len(ys))
+    head = next((i for i in range(most) if xs[i] != ys[i]), most)
+    tail = next((i for i in range(most - head) if xs[-1 - i] != ys[-1 - i]), most - head)
+    return head, tail
+
+
+def match(a: list[list], b: list[list]) -> list[tuple[int, int]]:
+    """Simple tree matching: the pairs (node of a, node of b) of the largest matching of two skeletons."""
+    if not a or not b or a[0][LABEL] != b[0][LABEL]:
+        return []
+    shapes: dict = {}
+    s, t = Tree(a, shapes), Tree(b, shapes)
+    known: dict[tuple[int, int], int] = {}
+
+    def weight(i: int, j: int) -> int | None:
+        """Size of the largest matching of two subtrees; None where it isn't known yet."""
+        if s.shape[i] == t.shape[j]:
+            return s.size[i]
+        if a[i][LABEL] != b[j][LABEL]:
             return 0
-        if not x[4] or not y[4]:
+        if not s.children[i] or not t.children[j]:
             return 1
-        key = (id(x), id(y))
-        if key not in memo:
-            memo[key] = 1 + table(x[4], y[4])[-1][-1]
-        return memo[key]
-
-    def table(xs: list, ys: list) -> list[list[int]]:
-        rows = [[0] * (len(ys) + 1)]
-        for x in xs:
-            above, row = rows[-1], [0]
-            for j, y in enumerate(ys):
-                best = above[j + 1] if above[j + 1] > row[j] else row[j]
-                with_both = above[j] + size(x, y)
-                row.append(with_both if with_both > best else best)
-            rows.append(row)
-        return rows
-
-    def trace(x: list, y: list) -> None:
-        found.append((x, y))
-        if x[4] and y[4]:
-            rows, i, j = table(x[4], y[4]), len(x[4]), len(y[4])
-            while i and j:
-                if rows[i][j] == rows[i - 1][j]:
-                    i -= 1
-                elif rows[i][j] == rows[i][j - 1]:
-                    j -= 1
+        return known.get((s.shape[i], t.shape[j]))
+
+    def middle(i: int, j: int) -> tuple[int, int, list[int], list[int]]:
+        xs, ys = s.children[i], t.children[j]
+        head, tail = _trimmed([s.shape[x] for x in xs], [t.shape[y] for y in ys])
+        return head, tail, xs[head : len(xs) - tail], ys[head : len(ys) - tail]
+
+    def kinds(xs: list[int], shape: list[int]) -> tuple[list[int], np.ndarray]:
+        """One node of each shape among ``xs``, and which of these each is."""
+        first: dict[int, int] = {}
+        at = [first.setdefault(shape[x], len(first)) for x in xs]
+        one = {k: x for k, x in zip(at, xs, strict=True)}
+        return [one[k] for k in range(len(first))], np.array(at, np.int64)
+
+    def table(xs: list[int], ys: list[int], keep: bool) -> tuple[int, list]:
+        """Largest order-preserving matching of two lists; with ``keep`` its steps, as packed rows (same as above, same as left)."""
+        one, at_x = kinds(xs, s.shape)
+        two, at_y = kinds(ys, t.shape)
+        w = np.array([[weight(x, y) for y in two] for x in one], np.int64).reshape(len(one), len(two))[:, at_y]
+        above, steps = np.zeros(len(ys) + 1, np.int64), []
+        for k in at_x:
+            row = np.zeros(len(ys) + 1, np.int64)
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + w[k]), out=row[1:])
+            if keep:
+                steps.append((np.packbits(row[1:] == above[1:]), np.packbits(row[1:] == row[:-1])))
+            above = row
+        return int(above[-1]), steps
+
+    def learn(i: int, j: int) -> None:
+        """Weights of all pairs below (i, j) that are needed, without recursion."""
+        stack = [(i, j)]
+        while stack:
+            i, j = stack[-1]
+            if weight(i, j) is not None:
+                stack.pop()
+                continue
+            head, tail, xs, ys = middle(i, j)
+            missing = [(x, y) for x in kinds(xs, s.shape)[0] for y in kinds(ys, t.shape)[0] if weight(x, y) is None]
+            if missing:
+                stack += missing
+                continue
+            same = s.children[i][:head] + s.children[i][len(s.children[i]) - tail :]
+            known[s.shape[i], t.shape[j]] = 1 + sum(s.size[x] for x in same) + (table(xs, ys, False)[0] if xs and ys else 0)
+            stack.pop()
+
+    learn(0, 0)
+    found, stack = [], [(0, 0)]
+    while stack:
+        i, j = stack.pop()
+        found.append((i, j))
+        if not s.children[i] or not t.children[j]:
+            continue
+        head, tail, xs, ys = middle(i, j)
+        left, right = s.children[i], t.children[j]
+        stack += [*zip(left[:head], right[:head], strict=True), *zip(left[len(left) - tail :], right[len(right) - tail :], strict=True)]
+        if xs and ys:
+            steps = table(xs, ys, True)[1]
+            x, y = len(xs), len(ys)
+            while x and y:
+                up, back = steps[x - 1]
+                bit = 128 >> ((y - 1) & 7)
+                if up[(y - 1) >> 3] & bit:
+                    x -= 1
+                elif back[(y - 1) >> 3] & bit:
+                    y -= 1
                 else:
-                    i, j = i - 1, j - 1
-                    trace(x[4][i], y[4][j])
+                    x, y = x - 1, y - 1
+                    stack.append((xs[x], ys[y]))
+    return found
 
-    if found is not None:
-        trace(a, b)
-    return size(a, b)
 
+def is_copy(reference: list[list], mine: list[list]) -> bool:
+    """Whether most of a page's text is the same, at matched nodes, as the reference's."""
+    same = sum(mine[j][CHARS] for i, j in match(reference, mine) if reference[i][TEXT] == mine[j][TEXT])
+    return same > 0.5 * sum(x[CHARS] for x in mine)
 
-def text_length(node: list) -> int:
-    """Characters of a subtree outside what is no content."""
-    return 0 if node[1] else node[3] + sum(map(text_length, node[4]))
 
+def link_lists(nodes: list[list]) -> list[tuple[bool, int]]:
+    """For each node whether its subtree is a list of links (three or more, nine tenths of its text), and its characters."""
+    sums = [[x[CHARS], x[LINKED], int(x[LINKED] > 0)] for x in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        outer = sums[nodes[i][PARENT]]
+        for k in range(3):
+            outer[k] += sums[i][k]
+    return [(links >= 3 and linked >= 0.9 * chars, chars) for chars, linked, links in sums]
 
-def is_copy(tree: list, mine: list) -> bool:
-    """Whether most of a page's text outside what is no content is the same, at matched nodes, as the reference's."""
-    pairs: list = []
-    match(tree, mine, pairs)
-    content = {id(x) for _, x in content_nodes(mine)}
-    return sum(y[3] for x, y in pairs if x[2] == y[2] and id(y) in content) > 0.5 * text_length(mine)
+
+VOTES = pa.schema([("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("outer", pa.string()), ("pages", pa.int64()), ("chars", pa.int64()), ("lists", pa.int64()), ("whole", pa.int64())])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host, path and text digest (empty: any): pages that have it and its characters; summed over the batch."""
+    """Per host, path and text digest (empty: any): pages that have it and its characters; for a path also the path around it,
+    pages where all its nodes are lists of links, and characters with what is inside. Summed over the batch."""
     for batch in batches:
-        sums: dict[tuple[str, str, str], list[int]] = {}
+        sums: dict[tuple[str, str, str, str], list[int]] = {}
         known: dict[str, list] = {}
         for host, ref, own in zip(*(batch.column(k).to_pylist() for k in ("host", "reference", "skeleton")), strict=True):
             if ref not in known:
@@ -270,33 +374,42 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = json.loads(own)
             if own != ref and is_copy(known[ref], mine):
                 continue
-            page: dict[tuple[str, str], int] = {}
-            for path, x in content_nodes(mine):
-                for text in {"", x[2]}:
-                    page[path, text] = page.get((path, text), 0) + x[3]
-            for (path, text), chars in page.items():
-                s = sums.setdefault((host, path, text), [0, 0])
-                s[0] += 1
-                s[1] += chars
+            page: dict[tuple[str, str, str], list[int]] = {}
+            paths = paths_of(mine)
+            for x, path, (links, inside) in zip(mine, paths, link_lists(mine), strict=True):
+                outer = paths[x[PARENT]] if x[PARENT] >= 0 else ""
+                for text in {"", x[TEXT]}:
+                    got = page.setdefault((path, text, outer), [0, 1, 0])
+                    got[0] += x[CHARS]
+                    got[1] &= links
+                    got[2] += inside
+            for (path, text, outer), (chars, links, inside) in page.items():
+                total = sums.setdefault((host, path, text, outer), [0, 0, 0, 0])
+                for k, v in enumerate((1, chars, links, inside)):
+                    total[k] += v
         if sums:
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in sums], pa.string()) for i in range(3)), *(pa.array([s[i] for s in sums.values()], pa.int64()) for i in range(2))], names=["host", "path", "text", "pages", "chars"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in sums], pa.string()) for i in range(4)), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(4))], schema=VOTES)
 
 
 def induce(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = 4, constant: float = 0.8) -> DataFrame:
-    """host, wrapper (its template texts, as path:digest) for each host of ``pages`` (columns id, host, html) that has any."""
-    source = pages.filter("host <> ''").select(F.col(id_col).alias("__id"), "host", F.col(html_col).alias("__html"))
-    rows = map_text(source, "__html", ["host"], skeletons, "skeleton string, layout string, content string").filter("content <> ''")
+    """host, wrapper (its template texts as path:digest, and its menus as path) for each host of ``pages`` (columns id, host, html) that has any."""
+    source = pages.filter("host <> ''").select("host", F.col(html_col).alias("html"))
+    rows = map_text(source, "html", ["host"], skeletons, "skeleton string, layout string, content string").filter("content <> ''")
     rows = materialise(rows.groupBy("host", "layout", "content").agg(F.min("skeleton").alias("skeleton")), "skeletons")
     parts, groups = group_minima(rows, ["host", "layout"], "content")
-    first = rows.join(groups.select("host", "layout", F.col("keep_id").alias("content")), ["host", "layout", "content"]).select("host", "layout", F.col("skeleton").alias("reference"))
+    first = rows.join(groups.select("host", "layout", F.col("first").alias("content")), ["host", "layout", "content"]).select("host", "layout", F.col("skeleton").alias("reference"))
     first = materialise(first, "references")
     with_ref = spread(rows, parts, first, ["host", "layout"], "content").select("host", "reference", "skeleton")
-    votes = with_ref.mapInArrow(_votes, "host string, path string, text string, pages long, chars long")
-    votes = materialise(votes.groupBy("host", "path", "text").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars")), "votes")
-    paths = votes.filter("text = ''").select("host", "path", F.col("pages").alias("of"))
-    fixed = votes.filter((F.col("text") != "") & (F.col("pages") >= least)).join(paths, ["host", "path"]).filter(F.col("pages") >= constant * F.col("of"))
-    by_host = fixed.groupBy("host").agg(F.sum("chars").alias("fixed"), F.array_sort(F.collect_list(F.concat_ws(":", "path", "text"))).alias("wrapper"))  # five for four texts of a page at most
-    whole = votes.filter("text = ''").groupBy("host").agg(F.sum("chars").alias("whole"))
+    votes = with_ref.mapInArrow(_votes, "host string, path string, text string, outer string, pages long, chars long, lists long, whole long")
+    votes = materialise(votes.groupBy("host", "path", "text").agg(*(F.sum(c).alias(c) for c in ("pages", "chars", "lists", "whole")), F.min("outer").alias("outer")), "votes")
+    every = votes.filter("text = ''").drop("text")
+    menus = every.filter((F.col("pages") >= least) & (F.col("lists") >= constant * F.col("pages"))).select("host", "path", "outer", "whole")
+    around = menus.select("host", F.col("path").alias("outer"))
+    outmost = menus.join(around, ["host", "outer"], "left_anti").select("host", F.col("path").alias("rule"), F.col("whole").alias("chars"))
+    fixed = votes.filter((F.col("text") != "") & (F.col("pages") >= least)).join(every.select("host", "path", F.col("pages").alias("of")), ["host", "path"]).filter(F.col("pages") >= constant * F.col("of"))
+    rules = fixed.select("host", F.concat_ws(":", "path", "text").alias("rule"), "chars").unionByName(outmost)
+    by_host = rules.groupBy("host").agg(F.sum("chars").alias("fixed"), F.array_sort(F.collect_list("rule")).alias("wrapper"))  # five for four texts of a page at most, and its menus
+    whole = every.groupBy("host").agg(F.sum("chars").alias("whole"))
     return materialise(by_host.join(whole, "host").filter("fixed <= 0.5 * whole").select("host", F.to_json("wrapper").alias("wrapper")), "wrappers")
 
 
@@ -304,36 +417,44 @@ def extract(page: str, rules: list[str] | None) -> str:
     """The main text of a page by its host's wrapper."""
     if not page:
         return ""
-    root = parse(page)
-    drop, blocks = set(rules or ()), []
+    drop, blocks, run = set(rules or ()), [], []
+
+    def end_run() -> None:
+        if run and (text := " ".join(html.unescape("".join(run)).split())):
+            blocks.append(text)
+        run.clear()
 
-    def walk(node: Node, outer: str) -> None:
-        if node.boiler:
-            return
+    def opened(node: Node, outer: str) -> tuple[Iterator, str] | None:
+        """What is left of a node: its pieces, or only its child nodes where its text is template; and its path."""
         path = inner_path(outer, node.label) if drop else ""
-        if drop and f"{path}:{digest(own_text(node))}" in drop:
-            for c in node.children:
-                walk(c, path)
-            return
-        run: list[str] = []
-        for x in [*node.text, None]:
+        if node.boiler or path in drop:
+            return None
+        return (iter(node.children if drop and f"{path}:{digest(own_text(node))}" in drop else node.text), path)
+
+    stack = [opened(parse(page), "")]
+    while stack:
+        if stack[-1] is None:
+            stack.pop()
+            continue
+        pieces, path = stack[-1]
+        for x in pieces:
             if isinstance(x, str):
                 run.append(x)
                 continue
-            if run and (text := " ".join(html.unescape("".join(run)).split())):
-                blocks.append(text)
-            run = []
+            end_run()
             if x is not None:
-                walk(x, path)
-
-    walk(root, "")
+                stack.append(opened(x, path))
+                break
+        else:
+            end_run()
+            stack.pop()
     return " ".join(blocks)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, list[str]] = {}
     for batch in batches:
-        pages, wrappers = (batch.column(k).to_pylist() for k in ("__html", "wrapper"))
+        pages, wrappers = (batch.column(k).to_pylist() for k in ("html", "wrapper"))
         for at in range(0, len(pages), 256):
             texts = []
             for page, w in zip(pages[at : at + 256], wrappers[at : at + 256], strict=True):
@@ -343,15 +464,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known[w] = json.loads(w)
                 texts.append(extract(page or "", known.get(w)))
             part = batch.slice(at, 256)
-            yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["__id", "__url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: id, url, text, n_chars."""
     bound_batches(pages.sparkSession)
-    host, _ = url_parts(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), host.alias("host"), F.col(html_col).alias("__html"))
-    wrappers = induce(rows, "__id", "__html")
-    joined = rows.join(wrappers, "host", "left").select("__id", "__url", "__html", "wrapper")
-    made = joined.mapInArrow(_extract, f"`__id` {dict(rows.dtypes)['__id']}, `__url` string, text string, n_chars long")
-    return made.select(F.col("__id").alias(id_col), F.col("__url").alias(url_col), "text", "n_chars")
+    host, _ = url_parts(col(url_col))
+    rows = pages.select(col(id_col).alias("id"), col(url_col).alias("url"), host.alias("host"), col(html_col).alias("html"))
+    wrappers = induce(rows, "id", "html")
+    joined = rows.join(wrappers, "host", "left").select("id", "url", "html", "wrapper")
+    made = joined.mapInArrow(_extract, f"id {dict(rows.dtypes)['id']}, url string, text string, n_chars long")
+    return made.toDF(id_col, url_col, "text", "n_chars")
