@@ -1,11 +1,15 @@
 """Byte-level BPE encoding and raw-byte decoding with the tiktoken library and a local rank file.
 
-A long text is cut at boundaries that no pre-token can cross (before a single space between two visible characters)
-into stretches of about ``STRETCH`` characters, which bounds what one call of the library works on; the ids of a text
-are the ids of its stretches in order. Decoding joins the bytes of the ids, whether or not they are valid UTF-8.
+A long text is cut at safe boundaries into stretches of about ``STRETCH`` characters, which bounds what one call of the
+library works on; the ids of a text are the ids of its stretches in order. No pre-token holds white space after anything
+else, so every place where white space begins is safe. A stretch that stays long has no such place (a very long run of
+white space, letters or marks): the library's pattern search overflows its stack on those, so they are cut into pre-tokens
+here and each is given to the library's byte-pair merging alone. Decoding joins the bytes of the ids, whether or not they
+are valid UTF-8.
 
 Defined cases. A null text is empty: no ids, and the digest of no bytes. Strings that look like special tokens are
-ordinary text. Repeated rows and ids are encoded row by row.
+ordinary text. Repeated rows and ids are encoded row by row. Other columns of the caller, whatever their names, are not
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,15 +19,15 @@ import hashlib
 
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._common import map_text
 from .token_counts import PATTERN
 
-#: Characters after which the next safe boundary ends a stretch.
-STRETCH = 20_000
-#: Before a single space between two visible characters: no pre-token crosses.
-SAFE = regex.compile(r"(?<=\S)(?= \S)")
+#: Characters after which the next safe boundary ends a stretch, and from which a stretch is cut into pre-tokens here.
+STRETCH, LONG = 20_000, 100_000
+#: Where white space begins: no pre-token crosses. (Marks that some call white space and others don't are no such place.)
+SAFE = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\r\n])")
+PRE_TOKEN = regex.compile(PATTERN)
 
 
 def open_ranks(path: str):
@@ -62,7 +66,14 @@ class Codec:
         own = self.encoding[0]
         if len(text) <= STRETCH:
             return own.encode_ordinary(text)
-        return [i for s in stretches(text) for i in own.encode_ordinary(s)]
+        ids: list[int] = []
+        for s in stretches(text):
+            if len(s) <= LONG:
+                ids += own.encode_ordinary(s)
+            else:
+                for m in PRE_TOKEN.finditer(s):
+                    ids += own._encode_single_piece(m[0])
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         return self.encoding[0].decode_bytes(ids)
@@ -88,4 +99,4 @@ class Codec:
 def encode_decode(docs: DataFrame, ranks: str, ids_too: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_tokens, ids_sha256, decoded_sha256; with ``ids_too`` also ids and the decoded bytes."""
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if ids_too else "")
-    return map_text(docs.select(F.col(id_col), F.col(text_col)), text_col, [id_col], Codec(ranks, ids_too), made)
+    return map_text(docs, text_col, [id_col], Codec(ranks, ids_too), made)

@@ -2,21 +2,23 @@
 
 Texts are cut into pre-tokens. Distinct pre-tokens that a task has not met yet are held together as one ragged numpy
 array of symbols; each round finds every sequence's lowest-rank adjacent pair and merges all its occurrences in all
-sequences at once; the symbols that survive are the token count. Counts of pre-tokens and of words are cached per
-task up to a bound (the cache only saves work).
+sequences at once; the symbols that survive are the token count. A very long pre-token (over ``ALONE`` bytes) goes through
+the same rounds alone, with its pairs sorted by rank, so that a round costs what it merges and not its length. Counts of
+pre-tokens and of words are cached per task up to a bound (the cache only saves work).
 
 Defined cases. A null text is empty and has no bytes and no tokens. The vocabulary's special strings inside a text
-count as one token each, as the tokenizers library does by default. Repeated rows and ids are counted row by row.
+count as one token each, as the tokenizers library does by default. Repeated rows and ids are counted row by row. Other
+columns of the caller, whatever their names, are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._common import map_text
 
@@ -24,6 +26,8 @@ from ._common import map_text
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries that a task's caches hold at most, and characters of what they hold.
 CACHE, SHORT = 500_000, 60
+#: Bytes from which a pre-token is merged alone.
+ALONE = 2_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -44,14 +48,69 @@ class Merges:
         key = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(key, kind="stable")
-        self.key, self.rank, self.made = key[order], np.arange(len(key))[order], made[order]
+        self.key, self.rank, self.made, self.made_by_rank = key[order], np.arange(len(key))[order], made[order], made
         symbols = byte_symbols()
         self.of_byte = np.array([vocab[symbols[b]] for b in range(256)], np.int64)
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols; ``len(self.key)`` where it never merges."""
+        pair = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+        return np.where(self.key[at] == pair, self.rank[at], len(self.key))
+
+    def count_alone(self, piece: bytes) -> int:
+        """Symbols that survive in one long piece: the lowest rank's pairs merge at once, round by round."""
+        sym = self.of_byte[np.frombuffer(piece, np.uint8)].astype(np.int32)
+        n, never = len(sym), len(self.key)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        rank = np.append(self.ranks(sym[:-1], sym[1:]), never).astype(np.int32)  # of the pair that begins at each symbol; gone ones: never
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[rank[at] < never]
+            at = at[np.argsort(rank[at], kind="stable")]
+            found, first = np.unique(rank[at], return_index=True)
+            for r, part in zip(found.tolist(), np.split(at, first[1:]), strict=True) if len(found) else ():
+                if r not in waiting:
+                    heapq.heappush(heap, r)
+                waiting.setdefault(r, []).append(part)
+
+        wait(np.arange(n, dtype=np.int32))
+        left = n
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # of overlapping occurrences (aaa) every other one merges, from the left
+            first = np.flatnonzero(np.append(True, after[at[:-1]] != at[1:]))
+            run = np.repeat(first, np.diff(np.append(first, len(at))))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            gone = after[at]
+            rank[gone] = never
+            sym[at] = self.made_by_rank[r]
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at][inside]] = at[inside]
+            left -= len(at)
+            touched = np.unique(np.append(at, before[at][before[at] >= 0]))
+            has = after[touched] < n
+            rank[touched[~has]] = never
+            touched = touched[has]
+            rank[touched] = self.ranks(sym[touched], sym[after[touched]])
+            wait(touched)
+        return left
+
     def count(self, pieces: list[bytes]) -> np.ndarray:
         """Symbols that survive in each piece."""
+        long = {i: self.count_alone(p) for i, p in enumerate(pieces) if len(p) > ALONE}
+        if long:
+            pieces = [b"" if i in long else p for i, p in enumerate(pieces)]
         size = np.array([len(p) for p in pieces], np.int64)
         out = size.copy()
+        out[[*long]] = [*long.values()]
         live = np.flatnonzero(size > 1)
         sym = self.of_byte[np.frombuffer(b"".join(p for p in pieces if len(p) > 1), np.uint8)]
         seq = np.repeat(np.arange(len(live)), size[live])
@@ -142,4 +201,4 @@ class CountTokens:
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_bytes, n_tokens, over_limit (n_tokens > limit). ``vocabulary``: path of a byte-level BPE .json on every worker."""
-    return map_text(docs.select(F.col(id_col), F.col(text_col)), text_col, [id_col], CountTokens(vocabulary, limit), "n_bytes long, n_tokens long, over_limit boolean")
+    return map_text(docs, text_col, [id_col], CountTokens(vocabulary, limit), "n_bytes long, n_tokens long, over_limit boolean")

@@ -13,7 +13,8 @@ Every attempt of a task writes files of its own name; the index, which Spark com
 succeeded. Files go through pyarrow's file systems, so ``path`` may be any URI that they open.
 
 Defined cases. A null text is empty: one end id. Rows that share a doc_id are written in the order of their texts.
-Null ids come first.
+Null ids come first. Other columns of the caller, whatever their names, are not read. An empty table gives an index
+without rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, chunks
+from ._common import bound_batches, chunks, col
 from .token_counts import byte_symbols
 
 #: Fixed values of the framing.
@@ -165,7 +166,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int |
     bound_batches(spark)
     system, folder = _open(path)
     system.create_dir(f"{folder}/records", recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
     ordered = rows.repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
     index = ordered.mapInArrow(partial(_write, vocabulary, end_id, f"{path}/records", file_bytes), INDEX)
     index.write.mode("errorifexists").parquet(f"{path}/index")
