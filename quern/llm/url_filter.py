@@ -5,52 +5,39 @@ that is small by contract (``max_rows``), and its weights go to the tasks inside
 
 Defined cases. A null URL or one without "://" has an empty host and path, fits no rule, and is judged by the model
 from no n-grams (the prior). Of rules that fit, the longest wins; equal ones can't both fit unless they are the same.
-An empty table gives an empty result.
+Repeated rows are judged row by row. Other columns of the caller, whatever their names, are not read. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_text
+from ._common import col, map_text
 
 #: (verdict, host, path prefix). A rule fits its host and all subdomains.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
-#: Small labelled table, made from general kinds of sites and not from given pages: words of hosts that are unwanted (1) and wanted (0),
-#: ends of hosts that both have, and paths that tell or that both have.
-UNWANTED = (
-    "pharmacy-discount online-pills buy-viagra cheap-meds cialis-generic diet-pills weight-loss-miracle slim-fast-now muscle-boosters "  # medicine
-    "casino-royal online-casino poker-room roulette-bonus jackpot-slots sports-betting bet-now betting-odds lottery-winner bingo-cash free-spins "  # gambling
-    "adult-dating sex-videos porn-hub xxx-movies nude-cams hot-girls escort-service erotic-stories webcam-girls milf-chat "  # adult
-    "payday-loan instant-credit quick-cash easy-money get-rich make-money-fast debt-relief forex-profit bitcoin-doubler crypto-giveaway "  # money
-    "replica-bags fake-rolex cracked-software keygen-serials warez-download torrent-free movie-streams-free essay-writer buy-followers seo-backlinks "  # fakes
-    "spam-mailer bulk-email ad-network adserver ads-delivery banner-exchange popup-click click-bait tracker-pixel affiliate-links free-prizes win-iphone gift-card-free survey-rewards"  # adverts
-).split()
-WANTED = (
-    "daily-news city-herald evening-post weather-report radio-station world-affairs sports-results local-journal press-review "  # news
-    "university high-school public-library open-courses education-board physics-institute mathematics language-academy research-council student-union "  # learning
-    "city-council national-museum ministry-of-health fire-department transport-authority parks-and-gardens town-hall tourist-office heritage-trust statistics-office "  # public
-    "garden-diary cooking-recipes travel-stories photo-journal book-reviews knitting-patterns bird-watching mountain-hiking family-history chess-club theatre-group music-lessons film-festival "  # pastimes
-    "software-docs developer-forum linux-users code-repository data-science open-source-tools science-magazine astronomy medicine-today nature-reserve animal-rescue "  # knowledge
-    "bakery furniture-makers bicycle-repair architects dental-practice restaurant-guide hotel-garden farm-shop engineering-services insurance-office train-timetable bookshop"  # trades
-).split()
-ENDS = ("com", "net", "org", "info", "co.uk", "de")
-UNWANTED_PATHS = ("/buy-now", "/bonus/claim", "/free-trial/join", "/win/spin", "/cheap/order", "/click/redirect", "/xxx/live", "/offer/limited")
-WANTED_PATHS = ("/news/article", "/about/history", "/library/catalogue", "/docs/guide", "/events/calendar", "/research/papers", "/recipes/bread", "/contact")
+#: The labelled table of this folder: label (1: unwanted), host, path; general kinds of sites, not given pages.
+LABELS = Path(__file__).with_name("url_labels.csv")
+#: Forms in which each of its hosts is learned, and paths that both labels have.
+SUBDOMAINS = ("", "www.", "blog.", "m.")
 PATHS = ("/", "/en/12", "/de/index", "/2019/05/3")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small table that the model is trained from: url, label (1: unwanted). Each host has a telling path and one that both labels have."""
+def labelled_urls(spark: SparkSession, path: str | Path = LABELS) -> DataFrame:
+    """The small table that the model is trained from, of a CSV file (label, host, path) on the driver: url, label. Each host has its own path and one that both labels have."""
+    with open(path, encoding="utf-8", newline="") as f:
+        table = [(int(r["label"]), r["host"], r["path"]) for r in csv.DictReader(f)]
     rows = []
-    for label, words, paths in ((1, UNWANTED, UNWANTED_PATHS), (0, WANTED, WANTED_PATHS)):
-        for n, word in enumerate(words):
-            for k, sub in enumerate(("", "www.", "blog.", "m.")):
-                host = f"https://{sub}{word}.{ENDS[(n + k) % len(ENDS)]}"
-                rows += [(host + paths[(n + k) % len(paths)], label), (host + PATHS[(n + k) % len(PATHS)], label)]
+    for n, (label, host, own) in enumerate(table):
+        for k, sub in enumerate(SUBDOMAINS):
+            rows += [(f"https://{sub}{host}{own}", label), (f"https://{sub}{host}{PATHS[(n + k) % len(PATHS)]}", label)]
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -128,8 +115,8 @@ class Score:
 
 def judge_urls(pages: DataFrame, weights: np.ndarray, id_col: str = "page_id", url_col: str = "url", rules=RULES, threshold: float = 0.5, bits: int = 14) -> DataFrame:
     """Per page: id, host, path, rule, verdict (the rule's, else the model's), p_unwanted."""
-    host, path = url_parts(F.col(url_col))
-    parts = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("__t", F.concat("host", "path"))
-    scored = map_text(parts, "__t", [id_col, "host", "path"], Score(weights, bits), "p_unwanted double")
+    host, path = url_parts(col(url_col))
+    parts = pages.select(col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("said", F.concat("host", "path"))
+    scored = map_text(parts, "said", ["id", "host", "path"], Score(weights, bits), "p_unwanted double")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    return scored.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(said, F.when(F.col("p_unwanted") >= threshold, "block").otherwise("allow")).alias("verdict"), "p_unwanted")
+    return scored.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(said, F.when(F.col("p_unwanted") >= threshold, "block").otherwise("allow")).alias("verdict"), "p_unwanted")
