@@ -53,6 +53,37 @@ def test_stage_keeps_one_row_of_each_text(odd_docs):
     assert 1 in [r.doc_id for r in kept] and 2 not in [r.doc_id for r in kept]
 
 
+def test_anti_join_removes_what_earlier_batches_brought(spark, sf, monkeypatch):
+    """Batches are raw: the index must drop the texts that it has, else rows would double."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    removed, plain = [], exact_dedup.DigestIndex.unknown
+
+    def unknown(self, batch):
+        left = plain(self, batch)
+        removed.append(batch.count() - left.count())
+        return left
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "unknown", unknown)
+    assert exact_dedup.exact_groups(docs).count() == docs.count()
+    assert removed[0] == 0 and removed[1] > 0
+    monkeypatch.setattr(exact_dedup.DigestIndex, "unknown", lambda self, batch: batch)
+    assert exact_dedup.exact_groups(docs).count() > docs.count()
+
+
+def test_leaves_no_table_in_the_catalog(spark, odd_docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.exact_groups(odd_docs).collect()
+    exact_dedup.drop_exact_copies(odd_docs).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_one_id_with_several_texts(spark):
+    docs = spark.createDataFrame([(3, "B"), (5, "A"), (5, "B"), (None, "B"), (7, "z  z"), (7, "z z"), (7, "z z")], "doc_id long, text string")
+    assert sorted((r.doc_id, re.sub(" +", " ", r.text)) for r in exact_dedup.drop_exact_copies(docs).collect()) == [(3, "B"), (5, "A"), (7, "z z")]
+    got = exact_dedup.exact_groups(docs).collect()
+    assert sorted((r.doc_id, r.keep_id) for r in got if r.kept) == [(3, 3), (5, 5), (7, 7)] and len(got) == 7
+
+
 def test_hot_group_is_dealt_over_salts(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same' ELSE concat('t', id) END AS text")
     got = exact_dedup.exact_groups(docs).filter("keep_id = 0")

@@ -17,7 +17,7 @@ from tests.compare import compare, connect
 
 from .conftest import prose
 from .test_near_dedup import classes, edited
-from .test_text_operators import brute_base
+from .test_text_operators import brute_base, fewest_edits
 
 
 @pytest.fixture(scope="module")
@@ -29,10 +29,16 @@ def test_exact_dedup_sql(spark, sf):
     compare(QUERIES["op2_exact_dedup"](spark, sf), connect(sf), ORACLES["op2_exact_dedup"])
 
 
-def test_quality_columns(spark, sf, docs):
+def test_quality(spark, sf, docs):
+    """Scores again from the trained tables, row by row in plain Python."""
     got = {r.doc_id: r for r in QUERIES["op1_quality"](spark, sf).collect()}
     assert {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _ in docs} == {i: r.held_out for i, r in got.items()}
     assert all(r.predicted == (r.score >= 0.7) for r in got.values())
+    gam = quality.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    for i, t in docs:
+        bins = [sum(e <= v for e in edges) for v, edges in zip(quality.features(t), gam.edges, strict=True)]
+        z = gam.base + sum(table[k] for table, k in zip(gam.tables, bins, strict=True)) + sum(table[bins[a] // 4][bins[b] // 4] for (a, b), table in gam.pairs.items())
+        assert abs(got[i].score - 1 / (1 + np.exp(-z))) < 1e-9
 
 
 def test_token_counts(spark, sf, docs):
@@ -75,15 +81,30 @@ def test_html_extraction(spark, sf):
 
 
 def test_url_filter(spark, sf):
+    """Rules and the model's verdict by plain Python: an n-gram scorer of its own, trained from the same table."""
     got = {r.page_id: r for r in QUERIES["op8_url_filter"](spark, sf).collect()}
-    model = url_filter.Score(url_filter.fit_url_model(url_filter.labelled_urls(spark)), 14)
+    weights = url_filter.fit_url_model(url_filter.labelled_urls(spark))
+
+    def p_unwanted(text):
+        points, most, slots = [ord(c) for c in "\x02" + text + "\x03"], (1 << 64) - 1, []
+        for n in (3, 4, 5):
+            for k in range(len(points) - n + 1):
+                h = n
+                for x in points[k : k + n]:
+                    h = (h ^ x) * 0x9E3779B97F4A7C15 & most
+                    h ^= h >> 29
+                slots.append((h * 0xBF58476D1CE4E5B9 & most) >> 50)
+        return 1 / (1 + np.exp(-(sum(float(weights[k]) for k in slots) / max(1, len(slots)) ** 0.5 + float(weights[-1]))))
+
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
         m = re.match(r".*?://([^/?#]*)([^?#]*)", r.url, re.S)
         host, path = m[1].lower(), m[2]
         fits = [(v, h + p) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         verdict, rule = max(fits, key=lambda f: len(f[1]), default=(None, None))
+        p = p_unwanted(host + path)
+        assert abs(got[r.page_id].p_unwanted - p) < 1e-4
         if verdict is None:
-            verdict = "block" if model([host + path])["p_unwanted"][0] >= 0.5 else "allow"
+            verdict = "block" if got[r.page_id].p_unwanted >= 0.5 else "allow"
         assert tuple(got[r.page_id])[:5] == (r.page_id, host, path, rule, verdict)
 
 
@@ -98,11 +119,22 @@ def test_token_files(spark, sf, docs):
 
 
 def test_decontamination(spark, sf, docs):
+    """Every segment against every document by the full table of edits, for all documents that share twelve characters with it or its part."""
     items = [(r.item_id, decontaminate.normalised(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    whole = {(i, k) for i, t in docs for k, item in items if item in decontaminate.normalised(t)}
     got = {(r.doc_id, r.item_id): r for r in QUERIES["op10_decontamination"](spark, sf).collect()}
-    assert whole <= set(got)
     text = {i: decontaminate.normalised(t) for i, t in docs}
+    whole = {(i, k) for i, t in text.items() for k, item in items if item in t}
+    assert whole <= set(got)
+    segments = [(k, s, max(0, min(int(len(s) * decontaminate.EDITS), (len(s) - decontaminate.Q - 1) // decontaminate.Q))) for k, item in items if len(item) >= decontaminate.LEAST for _, s in decontaminate.segments(item)]
+    # a segment within its budget shares a stretch that long, unedited, with the document
+    want = set()
+    for k, s, most in segments:
+        n = (len(s) - most) // (most + 1)
+        stretches = {s[j : j + n] for j in range(len(s) - n + 1)}
+        for i, t in text.items():
+            if (i, k) not in want and any(x in t for x in stretches) and fewest_edits(s, t) <= most:
+                want.add((i, k))
+    assert set(got) == want
     for (i, k), r in got.items():
         assert r.edits > 0 or text[i][r.start : r.end] in dict(items)[k]
 

@@ -40,8 +40,30 @@ def test_odd_rows(odd_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = near_dedup.near_groups(odd_docs).collect()
     assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == classes(rows)
-    kept = near_dedup.drop_near_copies(odd_docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 7, 8, 10, 11]
+    kept = near_dedup.drop_near_copies(odd_docs)
+    assert kept.columns == odd_docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 7, 8, 10, 11]
+
+
+def test_one_id_with_several_texts_and_repeated_rows(spark):
+    rng = random.Random(1)
+    base = [prose(90, 70 + k) for k in range(3)]
+    rows = [(1, base[0]), (1, base[0]), (1, base[1]), (2, edited(base[0], 1, rng)), (None, edited(base[1], 1, rng)), (4, base[2]), (4, base[2]), (9, "other words"), (9, base[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (12, 1):
+        got = near_dedup.near_groups(docs, pairs_up_to=most).collect()
+        assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == classes(rows)
+        assert sorted(r.class_size for r in got) == [1, 2, 2, 2, 2, 4, 4, 4, 4]
+        kept = near_dedup.drop_near_copies(docs, pairs_up_to=most).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, base[0]), (1, base[1]), (4, base[2]), (9, "other words")])
+
+
+def test_hot_group_of_near_copies_loses_no_class(spark):
+    rng = random.Random(6)
+    base = prose(120, 5)
+    rows = [(k, edited(base, k % 3, rng)) for k in range(150)] + [(500 + k, edited(prose(80, k), 0, rng)) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_groups(docs, pairs_up_to=4).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == classes(rows)
 
 
 def test_empty(no_docs):

@@ -86,3 +86,26 @@ def test_word_ids_equal_the_library_for_every_ascii_mark():
     texts = [f"a{c}b{c} {c}{c}C{c}.{c} d'{c}s é{c}\n{c}x 9{c}" for c in map(chr, [*range(1, 128), 0x85, 0xA0, 0x301, 0x2028, 0x3000])]
     got = token_files.WordIds(P.path("word_bpe_49k.json"), None)(texts)
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_very_long_runs():
+    """A run of 20 million characters without a safe boundary, and equality with the library where that survives."""
+    codec = bpe_codec.Codec(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = codec.encoding[0]
+    for text in (" " * 300_000 + "x", "\n" * 200_000 + " b", "ab" * 100_000, "a b\n" * 50_000, "é" * 100 + " \t " * 50_000 + "y z", "don't" * 40_000, "\x1c \x85" * 60_000, "\u00a0\u3000" * 60_000 + " 7"):
+        assert codec.encode(text) == library.encode_ordinary(text), text[:9]
+    for text in (" " * 20_000_000 + "x", "\n" * 20_000_000, "ab" * 10_000_000):
+        assert codec.decode(codec.encode(text)) == text.encode()
+    count = token_counts.CountTokens(P.path("byte_bpe_50k.json"), 9)
+    assert count([" " * 20_000_000 + "x", "\n" * 20_000_000])["n_tokens"] == [20_000_000, 10_000_000]
+
+
+def test_long_pieces_merge_alone_as_in_company():
+    rng = np.random.default_rng(4)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    merges = token_counts.Merges(P.path("byte_bpe_50k.json"))
+    for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "aé日"):
+        for n in (2, 3, 50, 1_000, 5_000):
+            text = "".join(rng.choice([*letters], n))
+            want = len(library.encode(text, add_special_tokens=False).ids)
+            assert merges.count_alone(text.encode()) == want == merges.count([text.encode(), b"ab"])[0]
