@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a temporary one of the driver only where that is unset."""
+    """A new path in the folder of spark.checkpoint.dir; where that is unset, a temporary one of this machine, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-quern-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -38,17 +40,19 @@ def materialise(df: DataFrame, name: str, rows_per_batch: int | None = None) ->
 def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank", parts: int | None = None) -> DataFrame:
     """1, 2, ... over the whole table in the given order.
 
-    Range-partition on the order, number the rows of each partition, and add the rows of the partitions before it.
-    Only one count per partition meets in one place. The partitioned table is written first, so that both passes see
+    Range-partition on the order, sort and number the rows inside partitions, and add the rows of the partitions before:
+    one shuffle. Only one count per partition meets in one place. The numbered table is written, so that both passes see
     the same partitions.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialise(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranged")
-    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = materialise(placed, "ranged")
+    part = F.shiftright("__at", 33)  # the partition's number; the lower bits count its rows from 0
+    counts = dealt.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over partitions
     starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return dealt.join(starts, "__part").withColumn(name, F.col("__start") + inside).drop("__part", "__start")
+    numbered = dealt.withColumn("__part", part).join(F.broadcast(starts), "__part")  # one row a partition
+    return numbered.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__start", "__at")
 
 
 def group_rank(df: DataFrame, by: list[str], order: list[Column | str], name: str = "rank", size: str | None = None) -> DataFrame:
@@ -80,6 +84,32 @@ def running_sums(df: DataFrame, by: list[str], order: list[Column | str], sums:
     return inside.join(starts, ["__part", *by]).select(*df.columns, *((F.col(n) + F.col(f"__s_{n}")).alias(n) for n in sums))
 
 
+def running_minima(df: DataFrame, by: list[str], order: list[Column | str], col: Column, name: str) -> DataFrame:
+    """Running minimum within ``by`` in an order, however many rows a group has: like ``running_sums``, with minima carried from earlier partitions."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.withColumn("__v", col).repartitionByRange(parts, *(F.col(b) for b in by), *order).withColumn("__part", F.spark_partition_id())
+    dealt = materialise(placed, "ranged")
+    here = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over partitions
+    least = dealt.groupBy("__part", *by).agg(F.min("__v").alias("__m"))
+    starts = least.select("__part", *by, F.min("__m").over(before).alias("__s"))
+    inside = dealt.withColumn("__h", F.min("__v").over(here))
+    return inside.join(starts, ["__part", *by]).select(*df.columns, F.least("__h", "__s").alias(name))
+
+
+def group_quantiles(df: DataFrame, by: list[str], col: str, quantiles: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear between neighbours) of a column per group, as columns, by rank: no task holds a group's values."""
+    rows = group_rank(df.filter(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__v")), by, [F.col("__v")], "__r", "__n")
+    out = []
+    for name, q in quantiles.items():
+        at = (F.col("__n") - 1) * F.lit(float(q)) + 1  # place of the quantile
+        low = F.max(F.when(F.col("__r") == F.floor(at), F.col("__v")))
+        high = F.max(F.when(F.col("__r") == F.ceil(at), F.col("__v")))
+        share = F.max(at - F.floor(at))
+        out.append(F.when(low == high, low).otherwise(low + (high - low) * share).alias(name))
+    return rows.groupBy(*by).agg(*out)
+
+
 def exact_median(df: DataFrame, col: str, name: str = "median") -> DataFrame:
     """Median of a column as one row, by rank: no task holds the column's values."""
     rows = global_rank(df.select(F.col(col).alias("__v")).filter("__v IS NOT NULL"), [F.col("__v")], "__r")

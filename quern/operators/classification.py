@@ -83,7 +83,7 @@ def pr_curve(df: DataFrame, scores: str, targets: str) -> DataFrame:
     long = df.select(F.posexplode(scores).alias("class", "score"), F.col(targets).alias("t"))
     cells = long.groupBy("class", "score").agg(F.count_if(F.array_contains("t", F.col("class"))).alias("p"), F.count(F.lit(1)).alias("n"))
     curve = running_sums(cells, ["class"], [F.desc("score")], {"tp": "p", "seen": "n"})
-    return curve.join(F.broadcast(cells.groupBy("class").agg(F.sum("p").alias("positives"))), "class").select("class", "score", "p", "tp", "seen", "positives")  # one row a class
+    return curve.join(cells.groupBy("class").agg(F.sum("p").alias("positives")), "class").select("class", "score", "p", "tp", "seen", "positives")
 
 
 def agg_avg_precision(df: DataFrame, scores: str = "scores", targets: str = "targets") -> DataFrame:

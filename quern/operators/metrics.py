@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.expr import fair_weight
-from quern.functions.rank import exact_median
+from quern.functions.rank import exact_median, group_quantiles
 
 
 def _group_error(weight: Column, g: int) -> Column:
@@ -135,5 +135,7 @@ def agg_run_mean_std(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -
 
 
 def agg_entity_stats(df: DataFrame, entity: str = "entity_id", key: str = "sample_id") -> DataFrame:
-    """Per entity median label, rows, and the key of its largest label (largest key of ties)."""
-    return df.filter(F.col(entity).isNotNull()).groupBy(entity).agg(F.median("label").alias("entity_median"), F.count(F.lit(1)).alias("n"), F.max_by(key, F.struct("label", key)).alias("top_key"))
+    """Per entity median label (by rank, so that a hot entity is no task's alone), rows, and the key of its largest label (largest key of ties)."""
+    rows = df.filter(F.col(entity).isNotNull())
+    stats = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("n"), F.max_by(key, F.struct("label", key)).alias("top_key"))
+    return stats.join(group_quantiles(rows, [entity], "label", {"entity_median": 0.5}), entity, "left").select(entity, "entity_median", "n", "top_key")

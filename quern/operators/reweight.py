@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.functions.expr import clip, fair_weight, fn_interp, grid_lookup
-from quern.functions.rank import global_rank, group_rank
+from quern.functions.expr import clip, fair_weight, fn_interp, grid_lookup, no_nan
+from quern.functions.rank import global_rank, group_rank, materialise
 from quern.operators.density import agg_kde
 from quern.operators.metrics import agg_fair_score
 
@@ -101,13 +105,14 @@ def _inverse(target: DataFrame, by: Sequence[str], n_bins: int) -> DataFrame:
 
 
 def _mapped(ranked: DataFrame, segments: DataFrame, columns: Sequence[str], by: Sequence[str], strength: float, pred: str) -> DataFrame:
-    """u through the inverse: each row meets the one segment that holds it. Segments are n_bins rows at most (per group)."""
+    """u through the inverse: each row meets the one segment that holds it. Without groups the segments are n_bins rows at
+    most and are broadcast; with groups Spark joins by group, broadcast or not by their size."""
     s = segments.select(*(F.col(b).alias(f"__{b}") for b in by), "__lo", "__hi", "__e0", "__e1")
     here = (F.col("u") > F.col("__lo")) & (F.col("u") <= F.col("__hi"))
     for b in by:
         here &= F.col(b) == F.col(f"__{b}")
     value = F.col("__e0") + (F.col("__e1") - F.col("__e0")) * (F.col("u") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
-    return ranked.join(F.broadcast(s), here).select(*columns, clip(strength * value + (1 - strength) * F.col(pred), 0, 1).alias("calibrated"))
+    return ranked.join(s if by else F.broadcast(s), here).select(*columns, clip(strength * value + (1 - strength) * F.col(pred), 0, 1).alias("calibrated"))
 
 
 def cal_quantile_map(df: DataFrame, target_pmf: DataFrame, strength: float = 1.0, pred: str = "pred", key: str = "sample_id", n_bins: int = 200) -> DataFrame:
@@ -124,22 +129,78 @@ def cal_quantile_map_group(df: DataFrame, group_pmf: DataFrame, strength: float
     return _mapped(win_midrank(real, pred, key, ["grp"]), _inverse(group_pmf, ["grp"], n_bins), df.columns, ["grp"], strength, pred)
 
 
-def cal_isotonic(df: DataFrame, fit_df: DataFrame, weighted: bool = True, by: str | None = None, pred: str = "pred", label: str = "label") -> DataFrame:
-    """Weighted isotonic regression of label on prediction, held at the ends and in [0, 1]; one fit, or one per value of ``by``."""
-    from pyspark.ml.regression import IsotonicRegression
+def _pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pool adjacent violators: of blocks (g, lo, hi, w, wy) in ascending order of group and place, those whose means ascend."""
+    stack: list[list] = []  # of one group
+    group = None
 
-    def one(rows: DataFrame, fit_rows: DataFrame) -> DataFrame:
-        fit_rows = fit_rows.withColumn("__w", fair_weight(label) if weighted else F.lit(1.0)).filter(F.col(pred).isNotNull() & F.col(label).isNotNull())
-        model = IsotonicRegression(featuresCol=pred, labelCol=label, weightCol="__w", predictionCol="__p").fit(fit_rows)
-        return model.transform(rows.filter(F.col(pred).isNotNull())).withColumn("calibrated", clip("__p", 0, 1)).select(*df.columns, "calibrated")
+    def made() -> pd.DataFrame:
+        return pd.DataFrame([[group, *b] for b in stack], columns=["g", "lo", "hi", "w", "wy"])
 
-    if by is None:
-        return one(df, fit_df)
-    out = None
-    for (g,) in sorted(fit_df.filter(F.col(by).isNotNull()).select(by).distinct().limit(100).collect()):  # groups, not rows
-        part = one(df.filter(F.col(by) == g), fit_df.filter(F.col(by) == g))
-        out = part if out is None else out.unionByName(part)
-    return out
+    for batch in batches:
+        for g, *block in batch[["g", "lo", "hi", "w", "wy"]].itertuples(index=False, name=None):
+            if g != group and stack:
+                yield made()
+                stack.clear()
+            group = g
+            stack.append(block)
+            while len(stack) > 1 and stack[-2][3] * stack[-1][2] > stack[-1][3] * stack[-2][2]:
+                (lo, _, w, wy), (_, hi, w2, wy2) = stack[-2:]
+                stack[-2:] = [[lo, hi, w + w2, wy + wy2]]
+    if stack:
+        yield made()
+
+
+def isotonic_blocks(fit_df: DataFrame, weighted: bool = True, by: str | None = None, pred: str = "pred", label: str = "label") -> DataFrame:
+    """The blocks of the weighted isotonic regression: g (group as text), lo, hi (predictions from, to), value.
+
+    Distinct predictions are summed first, then pooled where they lie (range partitions in order); pooling what is left once
+    more gives the same blocks as pooling all rows. So one task per group sees blocks, not rows.
+    """
+    w = fair_weight(label) if weighted else F.lit(1.0)
+    group = F.lit("") if by is None else F.col(by).cast("string")
+    rows = fit_df.filter(no_nan(pred).isNotNull() & no_nan(label).isNotNull() & group.isNotNull())
+    cells = rows.groupBy(group.alias("g"), F.col(pred).cast("double").alias("lo")).agg(F.sum(w).alias("w"), F.sum(w * F.col(label)).alias("wy")).withColumn("hi", F.col("lo"))
+    schema = "g string, lo double, hi double, w double, wy double"
+    local = cells.repartitionByRange("g", "lo").sortWithinPartitions("g", "lo").mapInPandas(_pooled, schema)
+    local = materialise(local, "isotonic")
+    return local.groupBy("g").applyInPandas(lambda blocks: next(_pooled(iter([blocks.sort_values("lo")]))), schema).select("g", "lo", "hi", (F.col("wy") / F.col("w")).alias("value"))
+
+
+def cal_isotonic(df: DataFrame, fit_df: DataFrame, weighted: bool = True, by: str | None = None, pred: str = "pred", label: str = "label", most_blocks: int = 2_000_000) -> DataFrame:
+    """Weighted isotonic regression of label on prediction, linear between blocks, held at the ends and in [0, 1]: column
+    calibrated. One fit, or one per value of ``by``; groups that the fit has not (and rows without a group) keep their prediction.
+
+    The blocks go to all tasks, so they are bounded: more than ``most_blocks`` of them (48 MB) are refused; round the
+    predictions then.
+    """
+    blocks = materialise(isotonic_blocks(fit_df, weighted, by, pred, label), "isotonic-blocks")
+    if (n := blocks.count()) > most_blocks:
+        raise ValueError(f"{n} isotonic blocks, more than {most_blocks}: round the predictions")
+    curves = {}
+    for g, part in blocks.toPandas().sort_values(["g", "lo"]).groupby("g"):
+        curves[g] = part[["lo", "hi"]].to_numpy().ravel(), np.repeat(part.value.to_numpy(), 2)
+    held = df.sparkSession.sparkContext.broadcast(curves)
+    at = len(df.columns)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, raw = batch.column(at).to_pandas(), batch.column(at + 1).to_numpy(zero_copy_only=False).astype(float)
+            out = np.clip(raw, 0, 1)
+            for g, where in groups.groupby(groups).indices.items():
+                if g in held.value:
+                    out[where] = np.clip(np.interp(raw[where], *held.value[g]), 0, 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.float64(), from_pandas=True)], names=[*batch.schema.names[:at], "calibrated"])
+
+    group = F.lit("") if by is None else F.col(by).cast("string")
+    rows = df.select("*", group.alias("__g"), F.col(pred).cast("double").alias("__p"))
+    return rows.mapInArrow(apply, T.StructType([*df.schema.fields, T.StructField("calibrated", T.DoubleType())]))
+
+
+def weighted_errors(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), label: str = "label") -> DataFrame:
+    """Weighted mean squared error of each column (before and after a calibration), per group or over all rows."""
+    w = fair_weight(label)
+    return df.groupBy(*by).agg(*((F.sum(w * (F.col(c) - F.col(label)) * (F.col(c) - F.col(label))) / F.sum(w)).alias(f"err_{c}") for c in columns))
 
 
 def cal_linear(df: DataFrame, fit_df: DataFrame, by: Sequence[str] = ("grp",), pred: str = "pred", label: str = "label") -> DataFrame:

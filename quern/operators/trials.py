@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.expr import fair_weight, no_nan
-from quern.functions.rank import global_rank
+from quern.functions.rank import global_rank, group_quantiles, running_minima
 
 
 def agg_axis_breakdown(long: DataFrame, cat: Sequence[str], cont: Sequence[str], q: int = 4) -> DataFrame:
@@ -19,12 +19,15 @@ def agg_axis_breakdown(long: DataFrame, cat: Sequence[str], cont: Sequence[str],
     """
     by_value = long.filter(F.col("axis").isin(*cat) & F.col("value").isNotNull()).select("axis", F.col("value").alias("part"), "score")
     numbers = long.filter(F.col("axis").isin(*cont)).select("axis", F.expr("try_cast(value AS DOUBLE)").alias("x"), "score").filter("x IS NOT NULL AND NOT isnan(x)")
-    cuts = [i / q for i in range(q + 1)]
-    edges = numbers.groupBy("axis").agg(F.array_distinct(F.percentile("x", F.array(*(F.lit(c) for c in cuts)))).alias("e"), F.count(F.lit(1)).alias("n")).filter("n >= 4").drop("n")
+    cuts = group_quantiles(numbers, ["axis"], "x", {f"e{i}": i / q for i in range(q + 1)})
+    enough = numbers.groupBy("axis").agg(F.count(F.lit(1)).alias("n")).filter("n >= 4")
+    edges = cuts.join(enough, "axis", "left_semi").select("axis", F.array_distinct(F.array(*(f"e{i}" for i in range(q + 1)))).alias("e"))
     # the number of edges below a value is its range; the smallest value belongs to the first
-    binned = numbers.join(F.broadcast(edges), "axis").withColumn("b", F.greatest(F.size(F.filter("e", lambda v: v < F.col("x"))), F.lit(1)))
+    binned = numbers.join(edges, "axis").withColumn("b", F.greatest(F.size(F.filter("e", lambda v: v < F.col("x"))), F.lit(1)))
     ranges = binned.select("axis", F.concat(F.lit("q"), F.col("b").cast("string")).alias("part"), "score")
-    return by_value.unionByName(ranges).groupBy("axis", "part").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("best"), F.avg("score").alias("avg"), F.median("score").alias("median"))
+    rows = by_value.unionByName(ranges)
+    stats = rows.groupBy("axis", "part").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("best"), F.avg("score").alias("avg"))
+    return stats.join(group_quantiles(rows, ["axis", "part"], "score", {"median": 0.5}), ["axis", "part"], "left")
 
 
 def agg_axis_coverage(long: DataFrame) -> DataFrame:
@@ -43,27 +46,27 @@ def agg_best_trials(runs: DataFrame, k: int, score: str = "score", status: str =
     return runs.filter((F.col(status) == "FINISHED") & finite).orderBy(score, key).limit(k)
 
 
-def agg_best_epoch(history: DataFrame, patience: int, run: str = "run_id", step: str = "step", value: str = "value", full_data: bool = False) -> DataFrame:
+def agg_best_epoch(history: DataFrame, patience: int, run: str | Sequence[str] = "run_id", step: str = "step", value: str = "value", full_data: bool = False) -> DataFrame:
     """Per run the first epoch of the smallest value seen before ``patience`` epochs pass without a strict improvement.
 
     Trained on all data, the last epoch is the best by rule.
     """
+    by = [run] if isinstance(run, str) else list(run)
     if full_data:
-        return history.groupBy(run).agg(F.max(step).alias("best_epoch"), F.max_by(value, step).alias("best_value"), F.max(step).alias("stopped_at"))
-    order = Window.partitionBy(run).orderBy(step)
+        return history.groupBy(*by).agg(F.max(step).alias("best_epoch"), F.max_by(value, step).alias("best_value"), F.max(step).alias("stopped_at"))
+    order = Window.partitionBy(*by).orderBy(step)
     before = F.min(value).over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = history.withColumn("better", before.isNull() | (F.col(value) < before)).withColumn("n", F.row_number().over(order))
     since = marked.withColumn("idle", F.col("n") - F.max(F.when(F.col("better"), F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    stop = since.withColumn("stops", F.min(F.when(F.col("idle") >= patience, F.col("n"))).over(Window.partitionBy(run)))
+    stop = since.withColumn("stops", F.min(F.when(F.col("idle") >= patience, F.col("n"))).over(Window.partitionBy(*by)))
     live = stop.filter(F.col("stops").isNull() | (F.col("n") <= F.col("stops")))
-    return live.groupBy(run).agg(F.min_by(step, F.struct(value, step)).alias("best_epoch"), F.min(value).alias("best_value"), F.max(step).alias("stopped_at"))
+    return live.groupBy(*by).agg(F.min_by(step, F.struct(value, step)).alias("best_epoch"), F.min(value).alias("best_value"), F.max(step).alias("stopped_at"))
 
 
 def win_best_so_far(runs: DataFrame, score: str = "score", order: Sequence[str] = ("start_time", "run_id"), by: Sequence[str] = ("experiment_id",), skip_bad: bool = True) -> DataFrame:
     """Running minimum of the score in order, per experiment; missing and infinite scores are skipped."""
     s = F.when(F.abs(no_nan(score)) < float("inf"), F.col(score)) if skip_bad else F.col(score)
-    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return runs.withColumn("best_so_far", F.min(s).over(run))
+    return running_minima(runs, list(by), list(order), s, "best_so_far")
 
 
 def win_top_n_per_group(df: DataFrame, n: int, by: Sequence[str], order: str, key: str = "run_id", desc: bool = False) -> DataFrame:
