@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.expr import dot
-from quern.functions.rank import materialise
+from quern.functions.rank import group_quantiles, materialise
 
 #: Rows of a block that is compared with others: 1024 vectors of 1,000 doubles are 8 MB. Block pairs that a task gets at once.
 BLOCK, AT_ONCE = 1024, 8
@@ -185,7 +185,9 @@ def dup_clusters(edges: DataFrame, scope: str = "intra") -> DataFrame:
 def agg_cluster_stats(members: DataFrame, vecs: DataFrame, key: str = "vec_id", vector: str = "embedding", entity: str = "entity_id", label: str = "y") -> DataFrame:
     """Per cluster: size, distinct entities, label spread and median, cohesion (smallest similarity of its pairs), four places."""
     rows = members.select(F.col("node").alias(key), "cluster_id", "scope").join(vecs.select(key, vector, entity, label), key)
-    stats = rows.groupBy("cluster_id", "scope").agg(F.count(F.lit(1)).alias("cluster_size"), F.countDistinct(entity).alias("n_entities"), F.round(F.max(label) - F.min(label), 4).alias("label_spread"), F.round(F.median(label), 4).alias("cluster_median"))
+    stats = rows.groupBy("cluster_id", "scope").agg(F.count(F.lit(1)).alias("cluster_size"), F.countDistinct(entity).alias("n_entities"), F.round(F.max(label) - F.min(label), 4).alias("label_spread"))
+    middle = group_quantiles(rows, ["cluster_id"], label, {"cluster_median": 0.5}).select("cluster_id", F.round("cluster_median", 4).alias("cluster_median"))
+    stats = stats.join(middle, "cluster_id", "left")
     lows = materialise(_block_pairs(_blocks(rows, key, vector, BLOCK, "cluster_id")).mapInPandas(_lowest, "by long, low double"), "lowest", AT_ONCE)
     return stats.join(lows.groupBy(F.col("by").alias("cluster_id")).agg(F.round(F.min("low"), 4).alias("cohesion")), "cluster_id", "left")
 
@@ -205,7 +207,7 @@ def _lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def dup_flag_cluster(members: DataFrame, dev: float = 0.10, min_cluster: int = 3, label: str = "y") -> DataFrame:
     """Members of clusters from ``min_cluster`` on that are further than ``dev`` from its median; nothing where all but one or more would be flagged."""
-    stats = members.groupBy("cluster_id").agg(F.median(label).alias("cluster_median"), F.count(F.lit(1)).alias("cluster_size"))
+    stats = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size")).join(group_quantiles(members, ["cluster_id"], label, {"cluster_median": 0.5}), "cluster_id", "left")
     far = members.drop("cluster_size", "cluster_median").join(stats, "cluster_id").withColumn("far", F.round(F.abs(F.col(label) - F.col("cluster_median")), 9) > dev)
     n = far.groupBy("cluster_id").agg(F.count_if("far").alias("n_far"))
     return far.join(n, "cluster_id").withColumn("outlier", F.col("far") & (F.col("scope") == "intra") & (F.col("cluster_size") >= min_cluster) & (F.col("n_far") < F.col("cluster_size") - 1)).drop("far", "n_far")
@@ -238,31 +240,56 @@ def top_spread_clusters(clusters: DataFrame, n: int = 300, conflict: float = 0.1
 # ---- learned probes
 
 
-def probe_logreg(train: DataFrame, val: DataFrame, cs: Sequence[float] = tuple(10 ** (-6 + 11 * i / 44) for i in range(45)), refit: bool = True, vector: str = "embedding", label: str = "label", parallelism: int = 4) -> DataFrame:
-    """L2 logistic regressions over C; the best on ``val`` (first of ties), refitted on both: id's prediction on val and the C."""
+#: 45 strengths of regularisation, evenly spaced in the exponent.
+STRENGTHS = tuple(10 ** (-6 + 11 * i / 44) for i in range(45))
+
+
+def probe_logreg(train: DataFrame, val: DataFrame, test: DataFrame, cs: Sequence[float] = STRENGTHS, refit: bool = True, n_classes: int | None = None, vector: str = "embedding", label: str = "label", parallelism: int = 4) -> DataFrame:
+    """L2 logistic regressions over C, the best on ``val`` (first of ties), refitted on train and val, and what it says of
+    ``test``, whose rows no fit has seen: the test rows with prediction, val_score, c.
+
+    With ``n_classes`` the label is an array of classes: one regression for each class against the rest, chosen by macro
+    average precision, and the prediction is an array of the classes' probabilities.
+    """
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    def ready(df: DataFrame) -> DataFrame:
-        return df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("__y", F.col(label).cast("double"))
+    from quern.operators.classification import agg_avg_precision
 
-    t, v = ready(train).cache(), ready(val).cache()
+    def ready(df: DataFrame) -> DataFrame:
+        return df.withColumn("__features", array_to_vector(F.col(vector).cast("array<double>")))
+
+    def fitted(c: float, rows: DataFrame, size: int, target: Column):
+        model = LogisticRegression(featuresCol="__features", labelCol="__y", predictionCol="__said", probabilityCol="__p", rawPredictionCol="__raw", regParam=1 / (c * size), elasticNetParam=0.0, standardization=False, maxIter=1000)
+        return model.fit(rows.withColumn("__y", target.cast("double")))
+
+    def said(c: float, rows: DataFrame, size: int, of: DataFrame) -> DataFrame:
+        """``of`` with the column prediction, by models fitted on ``rows``."""
+        if n_classes is None:
+            out = fitted(c, rows, size, F.col(label)).transform(of)
+            return out.select(*of.columns, F.col("__said").cast("int").alias("prediction"))
+        out = of
+        for k in range(n_classes):
+            out = fitted(c, rows, size, F.array_contains(label, F.lit(k))).transform(out).withColumn(f"__p{k}", vector_to_array("__p")[1]).drop("__said", "__p", "__raw")
+        return out.select(*of.columns, F.array(*(f"__p{k}" for k in range(n_classes))).alias("prediction"))
+
+    t, v, u = (materialise(ready(x), "probe").cache() for x in (train, val, test))
     n = t.count()
 
-    def fitted(c: float, rows: DataFrame, size: int):
-        return LogisticRegression(featuresCol="features", labelCol="__y", regParam=1 / (c * size), elasticNetParam=0.0, standardization=False, maxIter=100).fit(rows)
-
-    def accuracy(c: float) -> float:
-        return fitted(c, t, n).transform(v).agg(F.avg((F.col("prediction") == F.col("__y")).cast("double"))).first()[0]
+    def score(c: float) -> float:
+        got = said(c, t, n, v)
+        if n_classes is None:
+            return got.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+        return agg_avg_precision(got, "prediction", label).first()[0]
 
     with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(accuracy, cs))
-    best = cs[max(range(len(cs)), key=lambda i: (scores[i], -i))]
+        scores = list(pool.map(score, cs))
+    best = max(range(len(cs)), key=lambda i: (scores[i], -i))
     rows = t.unionByName(v) if refit else t
-    model = fitted(best, rows, rows.count())
-    return model.transform(v).select(*val.columns, F.col("prediction").cast("int").alias("prediction"), F.lit(best).alias("c"))
+    found = said(cs[best], rows, rows.count(), u).select(*test.columns, "prediction", F.lit(scores[best]).alias("val_score"), F.lit(float(cs[best])).alias("c"))
+    return found
 
 
 def probe_linear_select(val_scores: DataFrame, test_scores: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ INTRA, CROSS = 0.30, 0.40
 DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 PAIRS = f"(SELECT a.vec_id AS a, b.vec_id AS b, {DOT} AS similarity FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id WHERE {DOT} >= {INTRA}e0)"
 WITHIN = f"(SELECT a.vec_id AS a, b.vec_id AS b, a.entity_id AS entity, {DOT} AS similarity FROM vectors a JOIN vectors b ON a.entity_id = b.entity_id AND a.vec_id < b.vec_id WHERE {DOT} >= 2e-1)"
+#: Pairs of different entities, and clusters of both kinds of pairs.
+ACROSS = f"(SELECT a.vec_id AS a, b.vec_id AS b, {DOT} AS similarity FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id AND a.entity_id <> b.entity_id WHERE {DOT} >= {CROSS}e0)"
 CLUSTERS = """edges AS MATERIALIZED (SELECT a, b FROM {pairs} UNION ALL SELECT b, a FROM {pairs}), reach(node, other) AS (SELECT a, a FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON edges.a = reach.other),
     members AS MATERIALIZED (SELECT node, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size FROM (SELECT node, min(other) AS cluster_id FROM reach GROUP BY node))"""
 STATS = f"""m AS MATERIALIZED (SELECT node AS vec_id, cluster_id, cluster_size, v.entity_id, v.embedding, v.y FROM members JOIN vectors v ON v.vec_id = members.node),
@@ -98,11 +100,27 @@ def clustered(spark, sf):
     return vecs, V.dup_clusters(pairs)
 
 
+def across(spark, sf):
+    vecs = view(spark, sf, "vectors")
+    return vecs, V.dup_clusters(V.join_pairs_cross(vecs, CROSS), "cross")
+
+
 @query(f"WITH RECURSIVE {CLUSTERS.format(pairs=WITHIN)} SELECT node, cluster_id, 'intra' AS scope, cluster_size FROM members")
 def dup_clusters(spark, sf):
     return clustered(spark, sf)[1]
 
 
+@query(f"WITH RECURSIVE {CLUSTERS.format(pairs=ACROSS)} SELECT node, cluster_id, 'cross' AS scope, cluster_size FROM members")
+def dup_clusters_cross(spark, sf):
+    return across(spark, sf)[1]
+
+
+@query(f"WITH RECURSIVE {CLUSTERS.format(pairs=ACROSS)}, {STATS} SELECT cluster_id, 'cross' AS scope, cluster_size, n_entities, label_spread, cluster_median, cohesion FROM c")
+def agg_cluster_stats_cross(spark, sf):
+    vecs, members = across(spark, sf)
+    return V.agg_cluster_stats(members, vecs)
+
+
 @query(f"WITH RECURSIVE {CLUSTERS.format(pairs=WITHIN)}, {STATS} SELECT cluster_id, 'intra' AS scope, cluster_size, n_entities, label_spread, cluster_median, cohesion FROM c")
 def agg_cluster_stats(spark, sf):
     vecs, members = clustered(spark, sf)
@@ -142,12 +160,15 @@ def dup_flag_consensus(spark, sf):
     return rounded(V.dup_flag_consensus(rows, stats, min_cohesion=0.05), 9)
 
 
-@query(f"""WITH RECURSIVE {CLUSTERS.format(pairs=WITHIN)}, {STATS}, {FLAGS}, {CONSENSUS}
-    SELECT 'clusters_intra' AS item, count(*) AS n FROM c UNION ALL SELECT 'conflicts_intra', count(*) FROM c WHERE label_spread >= 1e-1 UNION ALL SELECT 'flagged_' || source, count(*) FROM prop GROUP BY source""")
+@query(f"""WITH RECURSIVE {CLUSTERS.format(pairs=WITHIN)}, {STATS}, {FLAGS}, {CONSENSUS}, {CLUSTERS.format(pairs=ACROSS).replace("edges", "edges2").replace("reach", "reach2").replace("members", "members2")},
+      c2 AS (SELECT cluster_id, round(max(y) - min(y), 4) AS label_spread FROM members2 JOIN vectors v ON v.vec_id = members2.node GROUP BY cluster_id)
+    SELECT 'clusters_intra' AS item, count(*) AS n FROM c HAVING count(*) > 0 UNION ALL SELECT 'conflicts_intra', count(*) FROM c WHERE label_spread >= 1e-1 HAVING count(*) > 0
+    UNION ALL SELECT 'clusters_cross', count(*) FROM c2 HAVING count(*) > 0 UNION ALL SELECT 'conflicts_cross', count(*) FROM c2 WHERE label_spread >= 1e-1 HAVING count(*) > 0 UNION ALL SELECT 'flagged_' || source, count(*) FROM prop GROUP BY source""")
 def dup_conflict_report(spark, sf):
     vecs, stats, rows = members(spark, sf)
+    _, far = across(spark, sf)
     entities = agg_entity_stats(vecs.select("entity_id", F.col("vec_id").alias("sample_id"), F.col("y").alias("label")))
-    return V.dup_conflict_report(stats, V.dup_flag_consensus(rows, entities, min_cohesion=0.05))
+    return V.dup_conflict_report(stats.unionByName(V.agg_cluster_stats(far, vecs)), V.dup_flag_consensus(rows, entities, min_cohesion=0.05))
 
 
 @query(f"WITH RECURSIVE {CLUSTERS.format(pairs=WITHIN)}, {STATS} SELECT cluster_id, cluster_size, label_spread FROM c ORDER BY label_spread >= 1e-1 DESC, label_spread DESC, cluster_id LIMIT 20")
@@ -158,8 +179,10 @@ def top_spread_clusters(spark, sf):
 
 @query()
 def probe_logreg(spark, sf):
-    val, train = split(spark, sf)
-    return V.probe_logreg(train, val, [0.01, 1.0, 100.0]).select("vec_id", "label", "prediction", "c")
+    """All strengths; a fifth of the vectors to choose by, a fifth to report on."""
+    e = view(spark, sf, "embeddings").withColumn("part", F.col("vec_id") % 5)
+    train, val, test = (e.filter(c).drop("part") for c in ("part > 1", "part = 1", "part = 0"))
+    return V.probe_logreg(train, val, test).select("vec_id", "label", "prediction", "val_score", "c")
 
 
 @query("WITH v AS (SELECT experiment_id AS probe, avg(value) AS top1 FROM history WHERE metric = 'click' GROUP BY 1), b AS (SELECT probe FROM v ORDER BY top1 DESC, probe LIMIT 1) SELECT experiment_id AS probe, metric AS test_set, round(avg(value), 6) AS top1 FROM history WHERE experiment_id = (SELECT probe FROM b) GROUP BY 1, 2")
