@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quern.functions.expr import fn_interp as interp
@@ -40,14 +41,13 @@ def agg_best_trials(spark, sf):
     return rounded(T.agg_best_trials(view(spark, sf, "runs"), 15).select("run_id", "score"), 9)
 
 
-CLICKS = "(SELECT run_id, step, value FROM history WHERE metric = 'click')"
-BEST = f"""m AS (SELECT *, coalesce(value < min(value) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM {CLICKS}),
-    i AS (SELECT *, step - max(CASE WHEN better THEN step END) OVER (PARTITION BY run_id ORDER BY step) AS idle FROM m), s AS (SELECT *, min(CASE WHEN idle >= 3 THEN step END) OVER (PARTITION BY run_id) AS stops FROM i)"""
+BEST = """m AS (SELECT *, coalesce(value < min(value) OVER (PARTITION BY run_id, metric ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM history),
+    i AS (SELECT *, step - max(CASE WHEN better THEN step END) OVER (PARTITION BY run_id, metric ORDER BY step) AS idle FROM m), s AS (SELECT *, min(CASE WHEN idle >= 3 THEN step END) OVER (PARTITION BY run_id, metric) AS stops FROM i)"""
 
 
-@query(f"WITH {BEST} SELECT run_id, arg_min(step, struct_pack(v := value, s := step)) AS best_epoch, round(min(value), 9) AS best_value, max(step) AS stopped_at FROM s WHERE stops IS NULL OR step <= stops GROUP BY run_id")
+@query(f"WITH {BEST} SELECT run_id, metric, arg_min(step, struct_pack(v := value, s := step)) AS best_epoch, round(min(value), 9) AS best_value, max(step) AS stopped_at FROM s WHERE stops IS NULL OR step <= stops GROUP BY run_id, metric")
 def agg_best_epoch(spark, sf):
-    return rounded(T.agg_best_epoch(view(spark, sf, "history").filter("metric = 'click'"), 3), 9)
+    return rounded(T.agg_best_epoch(view(spark, sf, "history"), 3, ["run_id", "metric"]), 9)
 
 
 @query("SELECT run_id, round(min(score) OVER (PARTITION BY experiment_id ORDER BY start_time, run_id), 9) AS best_so_far FROM runs")
@@ -141,6 +141,33 @@ def written(spark, df, name, put):
     return path
 
 
+def put_files(spark, rows, name):
+    """Files of the names in ``name`` with their rows' ``content`` in order, under a new shared folder; each file is written by one task."""
+    root = shared_path(spark, name)
+
+    def put(batches):
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(root)
+        last, out, n = None, None, 0
+        for batch in batches:
+            for name, content in zip(batch.name, batch.content, strict=True):
+                if name != last:
+                    if out is not None:
+                        out.close()
+                    path = f"{folder}/{name}"
+                    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    last, out, n = name, system.open_output_stream(path), n + 1
+                out.write(content.encode())
+        if out is not None:
+            out.close()
+        yield pd.DataFrame({"n": [n]})
+
+    made = rows.repartition("name").sortWithinPartitions("name", "content").mapInPandas(put, "n long")
+    made.write.parquet(shared_path(spark, f"{name}-written"))
+    return root
+
+
 SAMPLES = "sample_id long, label double, grp int"
 
 
@@ -151,19 +178,23 @@ def src_samples_csv(spark, sf):
     return rounded(IN.src_samples_csv(spark, path, SAMPLES), 9)
 
 
-@query("SELECT sample_id, round(label, 9) AS label, grp FROM scored WHERE fold IN (1, 2)")
+@query("SELECT sample_id, round(label, 9) AS label, grp FROM scored")
 def src_multi_csv(spark, sf):
     s = view(spark, sf, "scored")
-    paths = [written(spark, s.filter(f"fold = {f}").select("sample_id", "label", "grp"), "part", lambda w, p: w.option("header", True).csv(p)) for f in (1, 2)]
+    paths = [written(spark, s.filter(f"fold = {f}").select("sample_id", "label", "grp"), "part", lambda w, p: w.option("header", True).csv(p)) for f in range(5)]
     return rounded(IN.src_multi_csv(spark, [*paths, paths[0] + "-absent"], SAMPLES), 9)
 
 
-@query("SELECT i.id, 'img/' || i.id || '.jpg' AS image, coalesce(array_to_string(list_sort(c), '|'), '') AS captions FROM (SELECT DISTINCT conv_id AS id FROM conversations) i LEFT JOIN (SELECT conv_id AS id, list(substr(text, 1, 20)) AS c FROM conversations WHERE role = 'user' GROUP BY 1) USING (id)")
+@query("SELECT i.id, 'img/' || i.id || '.jpg' AS image, coalesce(array_to_string(list_sort(c), '|'), '') AS captions FROM (SELECT DISTINCT conv_id AS id FROM conversations) i LEFT JOIN (SELECT conv_id AS id, list(text) AS c FROM conversations WHERE role = 'user' GROUP BY 1) USING (id)")
 def src_captions_json(spark, sf):
+    """Conversations as nested documents of 200 images or so with their annotations, one a line."""
     c = view(spark, sf, "conversations")
-    images = c.select(F.col("conv_id").alias("id"), F.concat("conv_id", F.lit(".jpg")).alias("file_name")).distinct()
-    notes = c.filter("role = 'user'").select(F.col("conv_id").alias("image_id"), F.substring("text", 1, 20).alias("caption"))
-    return IN.captions(images, notes, "img/").select("id", "image", F.array_join("captions", "|").alias("captions"))
+    docs = F.greatest(F.lit(1), F.lit(c.count()) / 1000).cast("int")
+    shard = F.pmod(F.xxhash64("conv_id"), docs).alias("shard")
+    images = c.select(shard, "conv_id").distinct().groupBy("shard").agg(F.collect_list(F.struct(F.col("conv_id").alias("id"), F.concat("conv_id", F.lit(".jpg")).alias("file_name"))).alias("images"))
+    notes = c.filter("role = 'user'").groupBy(shard).agg(F.collect_list(F.struct((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").alias("image_id"), F.col("text").alias("caption"))).alias("annotations"))
+    path = written(spark, images.join(notes, "shard", "left").drop("shard"), "captions", lambda w, p: w.json(p))
+    return IN.src_captions_json(spark, path, "img/", multi_line=False).select("id", "image", F.array_join("captions", "|").alias("captions"))
 
 
 @query("SELECT 'rgb/' || p_partkey || '.jpg' AS image, 'depth/' || p_partkey || '.png' AS target FROM part")
@@ -178,8 +209,8 @@ def src_pair_list(spark, sf):
     SELECT class_index, class_id, block * 512 AS start_offset, nxt * 512 AS end_offset, filename FROM n JOIN c USING (class_id) WHERE nxt IS NOT NULL AND filename <> 'f1_1.jpg'""")
 def src_archive_index(spark, sf):
     rows = view(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber").distinct()
-    lines = rows.select(F.concat(F.lit("n"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("class_id"), F.concat(F.lit("block "), F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.lit(": f"), "l_orderkey", F.lit("_"), "l_linenumber", F.lit(".jpg")).alias("value"))
-    return IN.archive_index(lines, ["f1_1.jpg"])
+    lines = rows.select(F.concat(F.lit("n"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0"), F.lit(".log")).alias("name"), F.concat(F.lit("block "), F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.lit(": f"), "l_orderkey", F.lit("_"), "l_linenumber", F.lit(".jpg\n")).alias("content"))
+    return IN.src_archive_index(spark, put_files(spark, lines, "logs"), ["f1_1.jpg"])
 
 
 @query("SELECT p.path, p.class_id, p.sample, c.class_index, c.class_name FROM (SELECT 'train/c' || o_custkey % 50 || '/c' || o_custkey % 50 || '_' || o_orderkey || '.JPEG' AS path, 'c' || o_custkey % 50 AS class_id, o_orderkey AS sample FROM orders) p LEFT JOIN (SELECT class_id, class_name, CAST(row_number() OVER (ORDER BY class_id) - 1 AS INT) AS class_index FROM (SELECT 'c' || n_nationkey AS class_id, n_name AS class_name FROM nation)) c USING (class_id)")
@@ -198,17 +229,30 @@ def src_runs(spark, sf):
     return rounded(IN.src_runs(spark, written(spark, table, "runs", lambda w, p: w.parquet(p)), "exp1").select("run_id", "experiment", "score"), 9)
 
 
-@query()
+@query("SELECT 'p' || p_partkey || '.png' AS basename, CASE WHEN p_partkey % 4 = 0 THEN 'a' ELSE 'd' || p_size % 5 END AS folder, CAST(CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE strlen(p_name) END AS BIGINT) AS length FROM part WHERE p_name <> ''")
 def src_file_inventory(spark, sf):
-    path = written(spark, view(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("value"), (F.col("p_size") % 5).alias("d")).repartition("d"), "files", lambda w, p: w.partitionBy("d").text(p))
-    return IN.src_file_inventory(spark, path, ["txt"]).select(F.regexp_replace("path", r"^.*/(d=\d+)/.*$", "$1").alias("folder"), "length")
+    """A file for each part, of which some have a namesake in a folder before theirs, and a note beside each that is no image."""
+    part = view(spark, sf, "part").filter("p_name <> ''")
+    name = F.concat(F.lit("p"), "p_partkey", F.lit(".png"))
+    files = part.select(F.concat(F.lit("d"), F.col("p_size") % 5, F.lit("/"), name).alias("name"), F.col("p_name").alias("content"))
+    files = files.unionByName(part.filter("p_partkey % 4 = 0").select(F.concat(F.lit("a/"), name).alias("name"), F.lit("x").alias("content")))
+    files = files.unionByName(part.select(F.concat(F.lit("d0/p"), "p_partkey", F.lit(".txt")).alias("name"), F.lit("note").alias("content")))
+    found = IN.src_file_inventory(spark, put_files(spark, files, "files"))
+    return found.select("basename", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), "length")
 
 
-@query("SELECT 'p' || p_partkey || '.png' AS filename, CASE WHEN p_partkey % 3 = 0 THEN 'missing' ELSE 'empty' END AS problem FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 7 = 0")
+@query("SELECT 'p' || p_partkey || '.png' AS filename, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 7 = 0 THEN 'missing' ELSE 'unreadable' END AS problem FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 7 = 0 OR p_partkey % 5 = 0")
 def src_readability_check(spark, sf):
-    files = view(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".png")).alias("filename"), "p_partkey")
-    inventory = files.filter("p_partkey % 3 <> 0").select(F.col("filename").alias("basename"), F.concat(F.lit("/x/"), "filename").alias("path"), F.when(F.col("p_partkey") % 7 == 0, 0).otherwise(9).alias("length"))
-    return IN.src_readability_check(files, inventory)
+    """A file for most parts: some are empty (Spark lists none of those, so they count as missing), some aren't what they should be."""
+    part = view(spark, sf, "part")
+    names = part.select(F.concat(F.lit("p"), "p_partkey", F.lit(".png")).alias("filename"), "p_partkey")
+    files = names.filter("p_partkey % 3 <> 0").select(F.col("filename").alias("name"), F.when(F.col("p_partkey") % 7 == 0, "").when(F.col("p_partkey") % 5 == 0, "junk").otherwise("PNG").alias("content"))
+    root = put_files(spark, files, "images")
+    return IN.src_readability_check(names, IN.src_file_inventory(spark, root), probe=_is_image, roots=root)
+
+
+def _is_image(content: bytes) -> bool:
+    return content.startswith(b"PNG")
 
 
 @query("SELECT name, n_bytes FROM (SELECT 'doc-' || doc_id || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents)")
@@ -216,8 +260,6 @@ def src_tar_shards(spark, sf):
     import io
     import tarfile
 
-    import pandas as pd
-
     docs = view(spark, sf, "documents")
     shards = -(-docs.count() // 500)  # about 500 documents a shard, however many there are
     root = shared_path(spark, "shards")
@@ -277,23 +319,25 @@ def snk_metric_log(spark, sf):
 # ---- streams: events are written as files, streamed to the end, and the last state per key is compared with the batch
 
 
-def streamed(spark, sf, files: int = 3):
-    h = view(spark, sf, "history").withColumn("f", F.pmod(F.xxhash64("event_id"), F.lit(files)).cast("int"))
+def streamed(spark, sf, batches: int = 3):
+    """The events as files of Spark's own partitions, streamed in ``batches`` steps."""
+    h = view(spark, sf, "history")
+    files = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = shared_path(spark, "stream")
-    for i in range(files):  # one append per file of the stream
-        h.filter(F.col("f") == i).drop("f").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(h.drop("f").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    h.repartition(files, "event_id").write.parquet(path)
+    return spark.readStream.schema(h.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(path)
 
 
-def last_state(spark, out, key, order):
-    name = f"live_{uuid.uuid4().hex}"
-    return live.run_available(out, name).groupBy(*key).agg(F.max_by(F.struct(*(c for c in out.columns if c not in key)), order).alias("s")).select(*key, "s.*")
+def last_state(spark, out, key):
+    """Of each key the row of the last batch that had it."""
+    rows = live.run_available(out, shared_path(spark, "live"))
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*(c for c in out.columns if c not in key)), "batch").alias("s")).select(*key, "s.*")
 
 
-@query("SELECT experiment_id, run_id, round(min(value), 6) AS best_value, round(arg_max(value, step), 6) AS last_value, count(*) AS n FROM history WHERE metric = 'click' GROUP BY 1, 2")
+@query("SELECT experiment_id, run_id, metric, round(min(value), 6) AS best_value, round(arg_max(value, step), 6) AS last_value, count(*) AS n FROM history GROUP BY 1, 2, 3")
 def str_live_best(spark, sf):
-    out = live.str_live_best(streamed(spark, sf).filter("metric = 'click'"))
-    return rounded(last_state(spark, out, ["experiment_id", "run_id"], "n"))
+    key = ("experiment_id", "run_id", "metric")
+    return rounded(last_state(spark, live.str_live_best(streamed(spark, sf), key), key))
 
 
 @query("""
@@ -301,13 +345,10 @@ def str_live_best(spark, sf):
     l AS (SELECT run_id, metric, list_sort(list(value)) AS l, avg(value) AS a, arg_max(value, step) AS last FROM r WHERE b <= 20 GROUP BY 1, 2), g AS (SELECT run_id, metric, count(*) AS n, avg(value) AS g FROM history GROUP BY 1, 2)
     SELECT run_id, metric, n, round(l[CAST(floor((len(l) + 1) / 2) AS BIGINT)], 6) AS median, round(a, 6) AS avg, round(g, 6) AS global_avg, round(last, 6) AS last FROM l JOIN g USING (run_id, metric)""")
 def str_smoothed(spark, sf):
-    return rounded(last_state(spark, live.str_smoothed(streamed(spark, sf)), ["run_id", "metric"], "n"))
+    return rounded(last_state(spark, live.str_smoothed(streamed(spark, sf)), ("run_id", "metric")))
 
 
-@query(f"WITH {BEST} SELECT run_id, arg_min(step, struct_pack(v := value, s := step)) AS best_step, round(min(value), 6) AS best_value, coalesce(any_value(stops), -1) AS stopped_at FROM s WHERE stops IS NULL OR step <= stops GROUP BY run_id")
+@query(f"WITH {BEST} SELECT run_id, metric, arg_min(step, struct_pack(v := value, s := step)) AS best_step, round(min(value), 6) AS best_value, coalesce(any_value(stops), -1) AS stopped_at FROM s WHERE stops IS NULL OR step <= stops GROUP BY run_id, metric")
 def str_early_stop(spark, sf):
-    out = live.str_early_stop(streamed(spark, sf).filter("metric = 'click'"), 3)
-    name = f"live_{uuid.uuid4().hex}"
-    rows = live.run_available(out, name)
-    best = rows.groupBy("run_id").agg(F.max_by(F.struct("best_step", "best_value"), F.struct("best_step")).alias("s"), F.coalesce(F.max("stopped_at"), F.lit(-1)).alias("stopped_at"))
-    return rounded(best.select("run_id", "s.best_step", "s.best_value", "stopped_at"))
+    last = last_state(spark, live.str_early_stop(streamed(spark, sf), 3, ("run_id", "metric")), ("run_id", "metric"))
+    return rounded(last.withColumn("stopped_at", F.coalesce("stopped_at", F.lit(-1))))

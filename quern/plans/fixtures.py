@@ -49,8 +49,8 @@ VIEWS = {
         FROM part""",
     "class_scores": "SELECT vec_id AS id, slice(embedding, 1, 10) AS scores, label AS target, array(label, (label + 3) % 10) AS targets, CAST(vec_id % 3 AS INT) AS attr_a, CAST(vec_id % 2 AS INT) AS attr_b FROM embeddings",
     "target_pmf": """
-        SELECT CAST(k AS INT) AS bin, EXP(-CAST(k AS DOUBLE) / 30e0) / SUM(EXP(-CAST(k AS DOUBLE) / 30e0)) OVER () AS mass
-        FROM (SELECT n_nationkey + 25 * r_regionkey AS k FROM nation CROSS JOIN (SELECT r_regionkey FROM region WHERE r_regionkey < 4) r) t""",
+        SELECT bin, SUM(m) / SUM(SUM(m)) OVER () AS mass
+        FROM (SELECT CAST(o_orderkey % 100 AS INT) AS bin, o_totalprice * EXP(-CAST(o_orderkey % 100 AS DOUBLE) / 30e0) AS m FROM orders) t GROUP BY bin""",
 }
 #: The same where DuckDB spells a function another way.
 DUCK = {"class_scores": VIEWS["class_scores"].replace("slice(embedding, 1, 10)", "embedding[1:10]").replace("array(label, (label + 3) % 10)", "[label, (label + 3) % 10]")}

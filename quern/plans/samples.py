@@ -67,11 +67,11 @@ def join_align_models(spark, sf):
     return rounded(J.join_align_models(view(spark, sf, "preds"), "m1", ["m1", "m2", "m3"]), 9)
 
 
-@query("SELECT sample_id, " + ", ".join(f"round(max(pred) FILTER (fold = {f}), 9) AS pred_{f}" for f in range(3)) + " FROM (SELECT sample_id, fold, pred FROM scored UNION ALL SELECT sample_id, (fold + 1) % 5, pred / 2e0 FROM scored) GROUP BY sample_id")
+@query("SELECT sample_id, " + ", ".join(f"round(max(pred) FILTER (fold = {f}), 9) AS pred_{f}" for f in range(5)) + " FROM (SELECT sample_id, fold, pred FROM scored UNION ALL SELECT sample_id, (fold + 1) % 5, pred / 2e0 FROM scored) GROUP BY sample_id")
 def join_folds_outer(spark, sf):
     s = view(spark, sf, "scored").select("sample_id", "fold", "pred")
     both = s.unionByName(s.select("sample_id", ((F.col("fold") + 1) % 5).alias("fold"), (F.col("pred") / 2).alias("pred")))
-    return rounded(J.join_folds_outer(both, [0, 1, 2]), 9)
+    return rounded(J.join_folds_outer(both, [0, 1, 2, 3, 4]), 9)
 
 
 @query("SELECT aug_id, label FROM aug_pool WHERE source_a NOT IN (SELECT sample_id FROM scored WHERE fold = 0) AND source_b NOT IN (SELECT sample_id FROM scored WHERE fold = 0)")

@@ -64,9 +64,10 @@ def src_readability_check(df: DataFrame, inventory: DataFrame, key: str = "filen
     return bad.unionByName(read)
 
 
-def src_captions_json(spark: SparkSession, path: str, image_dir: str = "") -> DataFrame:
-    """One row per image of a nested JSON file with its captions in order; images without captions stay."""
-    doc = spark.read.option("multiLine", True).schema("images array<struct<id: bigint, file_name: string>>, annotations array<struct<id: bigint, image_id: bigint, caption: string>>").json(path)
+def src_captions_json(spark: SparkSession, path: str, image_dir: str = "", multi_line: bool = True) -> DataFrame:
+    """One row per image of nested JSON with its captions in order; images without captions stay. A file is one document, or
+    (without ``multi_line``) has one on each line; a caption may stand in another document than its image."""
+    doc = spark.read.option("multiLine", multi_line).schema("images array<struct<id: bigint, file_name: string>>, annotations array<struct<id: bigint, image_id: bigint, caption: string>>").json(path)
     images = doc.select(F.explode("images").alias("i")).select("i.id", "i.file_name")
     return captions(images, doc.select(F.explode("annotations").alias("a")).select("a.image_id", "a.caption"), image_dir)
 

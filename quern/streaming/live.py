@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def str_live_best(stream: DataFrame, by: tuple[str, ...] = ("experiment_id", "run_id"), step: str = "step", value: str = "value") -> DataFrame:
@@ -38,15 +39,16 @@ def str_smoothed(stream: DataFrame, window: int = 20) -> DataFrame:
     )
 
 
-def _stop(patience: int):
+def _stop(patience: int, names: tuple[str, ...], wait_ms: int | None):
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         best, best_step, idle, stopped, waiting_s, waiting_v, seen = state.get if state.exists else (float("inf"), -1, 0, -1, [], [], 0)
         pending = dict(zip(waiting_s, waiting_v, strict=True))
-        for batch in batches:
-            pending |= {int(s): float(v) for s, v in zip(batch.step, batch.value, strict=True)}
-        # steps are 1, 2, ...: later ones wait until those before them have come
-        while seen + 1 in pending:
-            seen += 1
+        if not state.hasTimedOut:
+            for batch in batches:
+                pending |= {int(s): float(v) for s, v in zip(batch.step, batch.value, strict=True)}
+        # steps are 1, 2, ...: later ones wait until those before them have come, or until the wait is over
+        while pending and (seen + 1 in pending or state.hasTimedOut):
+            seen = seen + 1 if seen + 1 in pending else min(pending)
             v = pending.pop(seen)
             if stopped >= 0:
                 continue
@@ -56,21 +58,43 @@ def _stop(patience: int):
                 idle += 1
                 if idle >= patience:
                     stopped = seen
-        state.update((best, best_step, idle, stopped, [*pending], [*pending.values()], seen))
-        yield pd.DataFrame({"run_id": [key[0]], "best_step": [best_step], "best_value": [best], "stopped_at": [stopped if stopped >= 0 else None]}).astype({"stopped_at": "Int64"})
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            late = {s: v for s, v in pending.items() if s > seen} if stopped < 0 else {}
+            state.update((best, best_step, idle, stopped, [*late], [*late.values()], seen))
+            if wait_ms is not None:
+                state.setTimeoutDuration(wait_ms)
+        yield pd.DataFrame({**{n: [k] for n, k in zip(names, key, strict=True)}, "best_step": [best_step], "best_value": [best], "stopped_at": [stopped if stopped >= 0 else None]}).astype({"stopped_at": "Int64"})
 
     return update
 
 
-def str_early_stop(stream: DataFrame, patience: int) -> DataFrame:
-    """Per run, after each batch: best step so far, and the step at which ``patience`` steps had passed without strict improvement."""
-    return stream.select("run_id", "step", "value").groupBy("run_id").applyInPandasWithState(
-        _stop(patience), "run_id long, best_step long, best_value double, stopped_at long", "best double, best_step long, idle long, stopped long, waiting_s array<long>, waiting_v array<double>, seen long", "update", "NoTimeout"
+def str_early_stop(stream: DataFrame, patience: int, by: tuple[str, ...] = ("run_id",), wait_ms: int | None = None) -> DataFrame:
+    """Per run, after each batch: best step so far, and the step at which ``patience`` steps had passed without strict improvement.
+
+    With ``wait_ms``, for streams that go on, a run whose next step doesn't come in that time goes on with the steps that it
+    has, and its state ends. Without it state waits; a stream that ends when all is read (availableNow) needs that, since
+    Spark keeps such a stream open for time-outs.
+    """
+    kinds = dict(stream.dtypes)
+    keys = ", ".join(f"{b} {kinds[b]}" for b in by)
+    return stream.select(*by, "step", "value").groupBy(*by).applyInPandasWithState(
+        _stop(patience, tuple(by), wait_ms), f"{keys}, best_step long, best_value double, stopped_at long", "best double, best_step long, idle long, stopped long, waiting_s array<long>, waiting_v array<double>, seen long", "update", "NoTimeout" if wait_ms is None else "ProcessingTimeTimeout"
     )
 
 
-def run_available(stream_out: DataFrame, name: str, mode: str = "update") -> DataFrame:
-    """Run a streaming frame over what is there, into a memory table, and return it (tests and small live views)."""
-    query = stream_out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_available(stream_out: DataFrame, path: str, mode: str = "update") -> DataFrame:
+    """Run a streaming frame over what is there, each batch's rows into a folder of its own under ``path`` (which all executors
+    see), and return all of them, with the batch's number in the column ``batch``. A batch that runs again replaces its folder."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    spark = stream_out.sparkSession
+    query = stream_out.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream_out.sparkSession.table(name)
+    schema = T.StructType([*stream_out.schema.fields, T.StructField("batch", T.IntegerType())])
+    if query.lastProgress is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/rows")
