@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.expr import clip, fn_interp, fn_uri_rewrite, grid_lookup, strata
-from quern.functions.rank import global_rank, shared_path
+from quern.functions.rank import global_rank, group_quantiles, running_minima, shared_path
 from quern.operators import classification, density, joins, metrics, reweight, sampling, trials, vectors
 from quern.plans.fixtures import view
 from quern.sources import readers, sinks
@@ -190,6 +190,76 @@ def test_balanced_assignment_shares_prototypes_alike(spark):
     assert all(abs(r.s - 10) < 1e-3 for r in q.groupBy("prototype").agg(F.sum("q").alias("s")).collect())
 
 
+def test_probe_equals_plain_newton_and_reports_on_unseen_rows(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(150, 3))
+    y = np.argmax(x @ np.array([[1.5, -1, 0], [0, 1, -1], [0.3, 0, 1]]) + rng.normal(size=(150, 3)) * 0.7, 1)
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(c), [int(c), (int(c) + 1) % 3] if i % 2 else [int(c)]) for i, (r, c) in enumerate(zip(x, y, strict=True))], "vec_id long, embedding array<double>, label int, labels array<int>")
+    parts = [df.filter("vec_id < 80"), df.filter("vec_id BETWEEN 80 AND 114"), df.filter("vec_id > 114")]
+
+    def plain(c, n):
+        """Softmax regression by gradient steps on the same objective: mean loss and squared weights, free intercepts."""
+        w, b, hot = np.zeros((3, 3)), np.zeros(3), np.eye(3)[y[:n]]
+        for _ in range(6000):
+            z = x[:n] @ w + b
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            w -= 0.3 * (x[:n].T @ (p - hot) / n + w / (c * n))
+            b -= 0.3 * (p - hot).mean(0)
+        return lambda at: np.argmax(x[at] @ w + b, 1)
+
+    cs = (0.001, 0.3, 100.0)
+    scores = [(plain(c, 80)(np.arange(80, 115)) == y[80:115]).mean() for c in cs]
+    best = cs[int(np.argmax(scores))]
+    got = vectors.probe_logreg(*parts, cs).collect()
+    assert {r.c for r in got} == {best} and abs(got[0].val_score - max(scores)) < 1e-9
+    want = plain(best, 115)(np.arange(115, 150))
+    assert sorted(r.vec_id for r in got) == [*range(115, 150)] and np.mean([r.prediction == want[r.vec_id - 115] for r in got]) > 0.97
+    many = vectors.probe_logreg(*parts, (0.3, 10.0), n_classes=3, label="labels").collect()
+    assert len(many) == 35 and all(len(r.prediction) == 3 and all(0 < p < 1 for p in r.prediction) for r in many)
+    assert np.mean([int(np.argmax(r.prediction)) in r.labels for r in many]) > 0.8
+
+
+def test_group_quantiles_and_running_minima_of_hot_groups(spark):
+    rng = random.Random(3)
+    rows = [(k % 3 if k % 5 else 0, float(rng.randrange(50)) if rng.random() > 0.05 else None, k) for k in range(700)]
+    df = spark.createDataFrame(rows, "g int, v double, k int")
+    for r in group_quantiles(df, ["g"], "v", {"lo": 0.0, "q": 0.25, "m": 0.5, "hi": 1.0}).collect():
+        have = [v for g, v, _ in rows if g == r.g and v is not None]
+        assert np.allclose([r.lo, r.q, r.m, r.hi], np.quantile(have, [0, 0.25, 0.5, 1]))
+    got = {r.k: r.low for r in running_minima(df, ["g"], [F.col("k")], F.col("v"), "low").collect()}
+    for g in range(3):
+        low = None
+        for _, v, k in sorted((r for r in rows if r[0] == g), key=lambda r: r[2]):
+            low = v if low is None else low if v is None else min(low, v)
+            assert got[k] == low
+
+
+def test_isotonic_by_group_interpolates_and_takes_any_number_of_groups(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.random(), rng.random(), i % 150) for i in range(3000)]
+    fit = spark.createDataFrame(rows, "sample_id long, pred double, label double, grp int")
+    asked = spark.createDataFrame([(i, p, y, g) for i, p, y, g in rows[:400]] + [(9000, -1.0, 0.0, 3), (9001, 2.0, 0.0, 3), (9002, 0.4, 0.0, 999), (9003, None, 0.0, 3), (9004, 0.7, 0.0, None)], "sample_id long, pred double, label double, grp int")
+    got = {r.sample_id: r.calibrated for r in reweight.cal_isotonic(asked, fit, by="grp").collect()}
+    assert len(got) == 405 and got[9002] == 0.4 and got[9004] == 0.7 and got[9003] is None
+    for g in range(150):
+        cells = sorted((p, y) for _, p, y, k in rows if k == g)
+        blocks = []
+        for p, y in cells:
+            blocks.append([(1 / 30 + y) * y, 1 / 30 + y, [p]])
+            while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
+                b, a = blocks.pop(), blocks.pop()
+                blocks.append([a[0] + b[0], a[1] + b[1], a[2] + b[2]])
+        xs, ys = [x for b in blocks for x in b[2]], [min(1, max(0, b[0] / b[1])) for b in blocks for _ in b[2]]
+        for i, p, _, k in rows[:400]:
+            if k == g:
+                assert abs(got[i] - np.interp(p, xs, ys)) < 1e-9
+        if g == 3:
+            assert abs(got[9000] - ys[0]) < 1e-12 and abs(got[9001] - ys[-1]) < 1e-12
+    with pytest.raises(ValueError, match="isotonic blocks"):
+        reweight.cal_isotonic(asked, fit, most_blocks=1)
+
+
 def test_flags_never_take_all_but_one(spark):
     rows = [(i, 1, "intra", float(y), 0.95) for i, y in enumerate((0.1, 0.1, 0.5))] + [(10 + i, 2, "intra", y, 0.95) for i, y in enumerate((0.0, 0.4, 0.8))]
     df = spark.createDataFrame(rows, "vec_id long, cluster_id long, scope string, y double, cohesion double")
@@ -265,11 +335,34 @@ def test_early_stop_waits_for_steps_that_come_late(spark):
     for steps in ((1, 4), (3, 5), (2,)):
         spark.createDataFrame([(7, s, values[s]) for s in steps], "run_id long, step long, value double").coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema("run_id long, step long, value double").option("maxFilesPerTrigger", 1).parquet(path)
-    rows = live.run_available(live.str_early_stop(stream, 2), "late_view").collect()
-    last = max(rows, key=lambda r: (r.stopped_at or -1, r.best_step))
+    rows = live.run_available(live.str_early_stop(stream, 2), shared_path(spark, "late-view")).collect()
+    last = max(rows, key=lambda r: r.batch)
     assert (last.best_step, last.best_value, last.stopped_at) == (2, 4.0, 4)
 
 
+def test_early_stop_ends_its_wait():
+    class State:
+        exists, hasTimedOut, get, removed = False, False, None, False
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutDuration(self, ms):
+            assert ms == 9
+
+        def remove(self):
+            self.removed = True
+
+    import pandas as pd
+
+    state, update = State(), live._stop(2, ("run_id",), 9)
+    first = next(update((7,), iter([pd.DataFrame({"step": [1, 3, 4, 5], "value": [5.0, 6.0, 7.0, 1.0]})]), state))
+    assert first.best_step[0] == 1 and state.get[4] == [3, 4, 5]
+    state.hasTimedOut = True
+    last = next(update((7,), iter([]), state))
+    assert (last.best_step[0], last.stopped_at[0]) == (1, 4) and state.removed
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as entry
 
