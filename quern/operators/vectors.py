@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 from quern.functions.expr import dot
 from quern.functions.rank import group_quantiles, materialise
 
-#: Rows of a block that is compared with others: 1024 vectors of 1,000 doubles are 8 MB. Block pairs that a task gets at once.
-BLOCK, AT_ONCE = 1024, 8
+#: Rows of a block that is compared with others: BLOCK at least, and where there are many rows a 64th of them, up to MOST
+#: bytes. What is shuffled is the table times its blocks, so blocks are as large as memory allows. TILE rows of a block are
+#: multiplied with TILE others at once; AT_ONCE block pairs reach a task together.
+BLOCK, MOST, TILE, AT_ONCE = 1024, 32 << 20, 2048, 2
 
 
 def _blocks(vecs: DataFrame, key: str, vector: str, block: int, by: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
-    """Vectors packed into rows of about ``block``: by, block, ids, flat (their vectors one after another) and extra columns as arrays."""
+    """Vectors packed into rows of about ``block`` or more: by, block, ids, flat (their vectors one after another) and extra columns as arrays."""
     group = F.col(by) if by else F.lit(0)
     rows = vecs.filter(F.col(vector).isNotNull()).withColumn("__by", group)
-    parts = materialise(rows.groupBy("__by").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__parts")), "parts")
+    n, most = F.count(F.lit(1)), MOST / 8 / F.max(F.greatest(F.size(vector), F.lit(1)))
+    parts = materialise(rows.groupBy("__by").agg(F.ceil(n / F.greatest(F.lit(block), F.least(n / 64, most))).cast("int").alias("__parts")), "parts")
     dealt = rows.join(parts, "__by").withColumn("block", F.pmod(F.xxhash64(key), F.col("__parts")).cast("int"))
     packed = dealt.groupBy("__by", "block").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), *extra, F.col(vector).cast("array<double>").alias("v")))).alias("l"))
     return materialise(packed.select(F.col("__by").alias("by"), "block", F.transform("l", lambda x: x["k"]).alias("ids"), F.flatten(F.transform("l", lambda x: x["v"])).alias("flat"), *(_each("l", c) for c in extra)), "blocks")
@@ -34,6 +37,13 @@ def _matrix(ids, flat) -> np.ndarray:
     return np.asarray(flat, np.float64).reshape(len(ids), -1)
 
 
+def _tiles(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Products of all rows of two blocks, tile by tile: first row, first column, products."""
+    for i in range(0, len(a), TILE):
+        for j in range(0, len(b), TILE):
+            yield i, j, a[i : i + TILE] @ b[j : j + TILE].T
+
+
 def _block_pairs(packed: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Each block of a group with itself and with every later one of the group. Blocks are dealt by the later one's number, so a large group meets many tasks."""
     right = packed.select("by", F.col("block").alias("j"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"), *(F.col(c).alias(f"{c}2") for c in extra))
@@ -47,16 +57,17 @@ def _pairs_from(thr: float, extra: str | None):
         for batch in batches:
             found = []
             for r in batch.itertuples(index=False):
-                s = _matrix(r.ids, r.flat) @ _matrix(r.ids2, r.flat2).T
-                p, q = np.nonzero(s >= thr)
-                if r.i == r.j:
-                    p, q = p[p < q], q[p < q]
-                a, b = np.asarray(r.ids)[p], np.asarray(r.ids2)[q]
-                keep = np.ones(len(p), bool)
-                if extra:
-                    x, y = (np.asarray(getattr(r, c), object)[k] for c, k in ((extra, p), (extra + "2", q)))
-                    keep = np.array([u is None or u != v for u, v in zip(x, y, strict=True)], bool)
-                found.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "by": r.by, "similarity": s[p, q][keep]}))
+                ids, ids2 = np.asarray(r.ids), np.asarray(r.ids2)
+                names = [np.asarray(getattr(r, c), object) for c in (extra, extra + "2")] if extra else []
+                for i, j, s in _tiles(_matrix(r.ids, r.flat), _matrix(r.ids2, r.flat2)):
+                    p, q = np.nonzero(s >= thr)
+                    near = s[p, q]
+                    p, q = p + i, q + j
+                    keep = p < q if r.i == r.j else np.ones(len(p), bool)
+                    if extra:
+                        keep &= np.array([u is None or u != v for u, v in zip(names[0][p], names[1][q], strict=True)], bool)
+                    a, b = ids[p[keep]], ids2[q[keep]]
+                    found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "by": r.by, "similarity": near[keep]}))
             yield pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "by": [], "similarity": []})
 
     return meet
@@ -93,10 +104,17 @@ def _nearest(k: int, label: str | None):
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                sims = np.round(_matrix(r.ids, r.flat) @ _matrix(r.ids2, r.flat2).T, 12)
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # ids are in order, so ties go to the smallest
-                out = {"query_id": np.repeat(np.asarray(r.ids), best.shape[1]), "train_id": np.asarray(r.ids2)[best].ravel(), "similarity": np.take_along_axis(sims, best, 1).ravel()}
-                yield pd.DataFrame(out | ({"label": np.asarray(r.label2)[best].ravel()} if label else {}))
+                queries, trains, ids2 = _matrix(r.ids, r.flat), _matrix(r.ids2, r.flat2), np.asarray(r.ids2)
+                for i in range(0, len(queries), TILE):
+                    q = queries[i : i + TILE]
+                    at, sims = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+                    for _, j, s in _tiles(q, trains):  # the best so far come first and ids are in order, so ties go to the smallest
+                        sims = np.concatenate([sims, np.round(s, 12)], 1)
+                        at = np.concatenate([at, np.broadcast_to(np.arange(j, j + s.shape[1]), s.shape)], 1)
+                        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                        at, sims = np.take_along_axis(at, best, 1), np.take_along_axis(sims, best, 1)
+                    out = {"query_id": np.repeat(np.asarray(r.ids)[i : i + TILE], at.shape[1]), "train_id": ids2[at].ravel(), "similarity": sims.ravel()}
+                    yield pd.DataFrame(out | ({"label": np.asarray(r.label2)[at].ravel()} if label else {}))
 
     return meet
 
@@ -197,11 +215,11 @@ def _lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
-            s = _matrix(r.ids, r.flat) @ _matrix(r.ids2, r.flat2).T
-            if r.i == r.j:
-                s = s[np.triu_indices(len(s), 1)]
-            if s.size:
-                out.append((r.by, float(s.min())))
+            for i, j, s in _tiles(_matrix(r.ids, r.flat), _matrix(r.ids2, r.flat2)):
+                if r.i == r.j:
+                    s = s[np.arange(len(s))[:, None] + i < np.arange(s.shape[1]) + j]
+                if s.size:
+                    out.append((r.by, float(s.min())))
         yield pd.DataFrame(out, columns=["by", "low"])
 
 

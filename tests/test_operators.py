@@ -182,6 +182,26 @@ def test_nearest_neighbours_equal_brute_force_over_blocks(spark):
     assert got == {i: [int(j) + 15 for j in np.argsort(-s[i], kind="stable")[:4]] for i in range(15)}
 
 
+def test_blocks_of_several_tiles_give_the_same(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(vectors, "TILE", 7)
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(-3, 4, (30, 3)).astype(float), rng.integers(-3, 4, (40, 3)).astype(float)
+    rows = [(0, i, j, [*range(100 * i, 100 * i + len(a))], a.ravel(), [*range(100 * j, 100 * j + len(b))], b.ravel(), ["e"] * len(a), ["f"] * len(b)) for i, j, a, b in ((0, 0, x, x), (0, 1, x, y))]
+    frame = pd.DataFrame(rows, columns=["by", "i", "j", "ids", "flat", "ids2", "flat2", "e", "e2"])
+    every = np.concatenate([x, y])
+    names = [*range(30), *range(100, 140)]
+    got = pd.concat(vectors._pairs_from(9.0, None)(iter([frame])))
+    s = every @ every.T
+    assert {(r.a, r.b) for r in got.itertuples()} == {(names[p], names[q]) for p in range(30) for q in range(p + 1, 70) if s[p, q] >= 9} and len(got) == len(got.drop_duplicates())
+    best = pd.concat(vectors._nearest(5, None)(iter([frame[1:]])))
+    want = [(p, 100 + int(q), s[p, 30 + q]) for p in range(30) for q in np.argsort(-s[p, 30:], kind="stable")[:5]]
+    assert [*best.itertuples(index=False, name=None)] == want
+    low = pd.concat(vectors._lowest(iter([frame])))
+    assert low.low.min() == s[:30][np.triu(np.ones((30, 70), bool), 1)].min()
+
+
 def test_balanced_assignment_shares_prototypes_alike(spark):
     rng = np.random.default_rng(2)
     long = spark.createDataFrame([(i, j, float(rng.normal())) for i in range(40) for j in range(4)], "sample int, prototype int, logit double")
