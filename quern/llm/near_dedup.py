@@ -243,9 +243,10 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str, pair
     pairs = _pairs_in(small, ["band", "key"], threshold).unionByName(stars).distinct()
 
     def texts(needed: DataFrame) -> DataFrame:
-        """The text of each needed node, from the first row that has it (rows that repeat its key have the same text)."""
+        """The text of each needed node, from the first row that has it (rows that repeat its key have the same text). What is
+        needed grows with the documents, so it is merged, not broadcast, whatever its number."""
         wanted = materialise(groups.select("node", "rep").join(needed, "node").select("node", "rep.*"), "needed")
-        return keyed.select("own.*", F.col("text").alias("said")).join(wanted, ["no_id", "id", "text"]).select("node", F.col("said").alias("text")).dropDuplicates(["node"])
+        return keyed.select("own.*", F.col("text").alias("said")).join(wanted.hint("merge"), ["no_id", "id", "text"]).select("node", F.col("said").alias("text")).dropDuplicates(["node"])
 
     links, sets = verified(pairs, texts, threshold)
     labels = components(links)
