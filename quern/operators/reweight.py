@@ -151,7 +151,12 @@ def _pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield made()
 
 
-def isotonic_blocks(fit_df: DataFrame, weighted: bool = True, by: str | None = None, pred: str = "pred", label: str = "label") -> DataFrame:
+def _step(pred: str, grid: int | None) -> Column:
+    """The prediction, or the step of 1 / grid that it lies on."""
+    return F.col(pred).cast("double") if grid is None else F.floor(F.col(pred) * grid) / grid
+
+
+def isotonic_blocks(fit_df: DataFrame, weighted: bool = True, by: str | None = None, pred: str = "pred", label: str = "label", grid: int | None = None) -> DataFrame:
     """The blocks of the weighted isotonic regression: g (group as text), lo, hi (predictions from, to), value.
 
     Distinct predictions are summed first, then pooled where they lie (range partitions in order); pooling what is left once
@@ -160,23 +165,23 @@ def isotonic_blocks(fit_df: DataFrame, weighted: bool = True, by: str | None = N
     w = fair_weight(label) if weighted else F.lit(1.0)
     group = F.lit("") if by is None else F.col(by).cast("string")
     rows = fit_df.filter(no_nan(pred).isNotNull() & no_nan(label).isNotNull() & group.isNotNull())
-    cells = rows.groupBy(group.alias("g"), F.col(pred).cast("double").alias("lo")).agg(F.sum(w).alias("w"), F.sum(w * F.col(label)).alias("wy")).withColumn("hi", F.col("lo"))
+    cells = rows.groupBy(group.alias("g"), _step(pred, grid).alias("lo")).agg(F.sum(w).alias("w"), F.sum(w * F.col(label)).alias("wy")).withColumn("hi", F.col("lo"))
     schema = "g string, lo double, hi double, w double, wy double"
     local = cells.repartitionByRange("g", "lo").sortWithinPartitions("g", "lo").mapInPandas(_pooled, schema)
     local = materialise(local, "isotonic")
     return local.groupBy("g").applyInPandas(lambda blocks: next(_pooled(iter([blocks.sort_values("lo")]))), schema).select("g", "lo", "hi", (F.col("wy") / F.col("w")).alias("value"))
 
 
-def cal_isotonic(df: DataFrame, fit_df: DataFrame, weighted: bool = True, by: str | None = None, pred: str = "pred", label: str = "label", most_blocks: int = 2_000_000) -> DataFrame:
+def cal_isotonic(df: DataFrame, fit_df: DataFrame, weighted: bool = True, by: str | None = None, pred: str = "pred", label: str = "label", grid: int | None = None, most_blocks: int = 2_000_000) -> DataFrame:
     """Weighted isotonic regression of label on prediction, linear between blocks, held at the ends and in [0, 1]: column
     calibrated. One fit, or one per value of ``by``; groups that the fit has not (and rows without a group) keep their prediction.
 
-    The blocks go to all tasks, so they are bounded: more than ``most_blocks`` of them (48 MB) are refused; round the
-    predictions then.
+    With ``grid`` predictions count as the step of 1 / grid that they lie on, which bounds the blocks of a group. The blocks
+    go to all tasks, so more than ``most_blocks`` of them (48 MB) are refused.
     """
-    blocks = materialise(isotonic_blocks(fit_df, weighted, by, pred, label), "isotonic-blocks")
+    blocks = materialise(isotonic_blocks(fit_df, weighted, by, pred, label, grid), "isotonic-blocks")
     if (n := blocks.count()) > most_blocks:
-        raise ValueError(f"{n} isotonic blocks, more than {most_blocks}: round the predictions")
+        raise ValueError(f"{n} isotonic blocks, more than {most_blocks}: set a grid")
     curves = {}
     for g, part in blocks.toPandas().sort_values(["g", "lo"]).groupby("g"):
         curves[g] = part[["lo", "hi"]].to_numpy().ravel(), np.repeat(part.value.to_numpy(), 2)
@@ -185,15 +190,15 @@ def cal_isotonic(df: DataFrame, fit_df: DataFrame, weighted: bool = True, by: st
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups, raw = batch.column(at).to_pandas(), batch.column(at + 1).to_numpy(zero_copy_only=False).astype(float)
+            groups, step, raw = batch.column(at).to_pandas(), *(batch.column(at + k).to_numpy(zero_copy_only=False).astype(float) for k in (1, 2))
             out = np.clip(raw, 0, 1)
             for g, where in groups.groupby(groups).indices.items():
                 if g in held.value:
-                    out[where] = np.clip(np.interp(raw[where], *held.value[g]), 0, 1)
+                    out[where] = np.clip(np.interp(step[where], *held.value[g]), 0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.float64(), from_pandas=True)], names=[*batch.schema.names[:at], "calibrated"])
 
     group = F.lit("") if by is None else F.col(by).cast("string")
-    rows = df.select("*", group.alias("__g"), F.col(pred).cast("double").alias("__p"))
+    rows = df.select("*", group.alias("__g"), _step(pred, grid).alias("__s"), F.col(pred).cast("double").alias("__p"))
     return rows.mapInArrow(apply, T.StructType([*df.schema.fields, T.StructField("calibrated", T.DoubleType())]))
 
 
