@@ -127,7 +127,7 @@ class Block:
         self.width = np.array(self.k, np.int64) + 1
         self.needed = np.array(self.need, np.int64)
         self.length = np.array([len(t) for t in self.text])
-        self.bits = 20
+        self.bits = max(20, (8 * len(self.code)).bit_length())  # eight slots a code, so that few others look like one
         self.short = None
         if short:
             self.short = ahocorasick.Automaton()
@@ -270,13 +270,15 @@ def _passes(rows: DataFrame, benchmark: DataFrame, text: str, spans: str | None)
     names, lists = rows.columns, item_lists(benchmark)
     items = next(lists, None)
     while items:
+        following = next(lists, None)
+        keep = names if following or spans is None else [n for n in names if n != text]  # no pass after the last needs the text
         held = spark.sparkContext.broadcast(Block(items))
-        rows = map_text(rows, text, names, Finder(held, "part"), f"part {SPANS}")
+        rows = map_text(rows, text, keep, Finder(held, "part"), f"part {SPANS}")
         rows = rows.filter(F.size("part") == 0).drop("part") if spans is None else rows.withColumn(spans, F.concat(spans, "part")).drop("part")
-        items = next(lists, None)
-        if items:  # one block at a time
+        if following:  # one block at a time
             rows = materialise(rows, "passages")
             held.destroy()
+        items = following
     return rows
 
 
