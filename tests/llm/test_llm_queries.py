@@ -119,20 +119,20 @@ def test_token_files(spark, sf, docs):
 
 
 def test_decontamination(spark, sf, docs):
-    """Every segment against every document by the full table of edits, for all documents that share twelve characters with it or its part."""
+    """Every segment against every document that could hold it, by the full table of edits: found if and only if within the budget."""
     items = [(r.item_id, decontaminate.normalised(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id): r for r in QUERIES["op10_decontamination"](spark, sf).collect()}
     text = {i: decontaminate.normalised(t) for i, t in docs}
     whole = {(i, k) for i, t in text.items() for k, item in items if item in t}
     assert whole <= set(got)
     segments = [(k, s, max(0, min(int(len(s) * decontaminate.EDITS), (len(s) - decontaminate.Q - 1) // decontaminate.Q))) for k, item in items if len(item) >= decontaminate.LEAST for _, s in decontaminate.segments(item)]
-    # a segment within its budget shares a stretch that long, unedited, with the document
+    # of most + 1 disjoint pieces of a segment within its budget one is in the document unedited
     want = set()
     for k, s, most in segments:
         n = (len(s) - most) // (most + 1)
-        stretches = {s[j : j + n] for j in range(len(s) - n + 1)}
+        pieces = {s[j * n : (j + 1) * n] for j in range(most + 1)}
         for i, t in text.items():
-            if (i, k) not in want and any(x in t for x in stretches) and fewest_edits(s, t) <= most:
+            if (i, k) not in want and any(x in t for x in pieces) and fewest_edits(s, t) <= most:
                 want.add((i, k))
     assert set(got) == want
     for (i, k), r in got.items():
