@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, exact_dedup, html_extract, near_dedup, quality, secret_scan, token_counts, token_files, url_filter
+from . import bpe_codec, decontaminate, exact_dedup, html_extract, near_dedup, packing, quality, secret_scan, token_counts, token_files, url_filter
 from ._common import scratch, table
 
 
@@ -59,7 +59,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_token_counts, op4_secret_scan, op5_bpe_codec, op6_near_dedup, op7_html_extraction, op8_url_filter, op9_token_files, op10_decontamination)}
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_token_counts, op4_secret_scan, op5_bpe_codec, op6_near_dedup, op7_html_extraction, op8_url_filter, op9_token_files, op10_decontamination, op13_packing)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
