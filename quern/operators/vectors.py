@@ -1,4 +1,4 @@
-"""Similarity joins, clusters of near-duplicates, outlier flags, k-NN voting and learned probes on vectors."""
+"""Similarity joins, clusters of near-duplicates, outlier flags and learned probes on vectors."""
 
 from __future__ import annotations
 
@@ -100,69 +100,6 @@ def join_pairs_cross(vecs: DataFrame, thr: float = 0.985, approx: bool = False,
     return materialise(found, "pairs", AT_ONCE).drop("by")
 
 
-def _nearest(k: int, label: str | None):
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                queries, trains, ids2 = _matrix(r.ids, r.flat), _matrix(r.ids2, r.flat2), np.asarray(r.ids2)
-                for i in range(0, len(queries), TILE):
-                    q = queries[i : i + TILE]
-                    at, sims = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
-                    for _, j, s in _tiles(q, trains):  # the best so far come first and ids are in order, so ties go to the smallest
-                        sims = np.concatenate([sims, np.round(s, 12)], 1)
-                        at = np.concatenate([at, np.broadcast_to(np.arange(j, j + s.shape[1]), s.shape)], 1)
-                        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                        at, sims = np.take_along_axis(at, best, 1), np.take_along_axis(sims, best, 1)
-                    out = {"query_id": np.repeat(np.asarray(r.ids)[i : i + TILE], at.shape[1]), "train_id": ids2[at].ravel(), "similarity": sims.ravel()}
-                    yield pd.DataFrame(out | ({"label": np.asarray(r.label2)[at].ravel()} if label else {}))
-
-    return meet
-
-
-def join_knn_topk(query: DataFrame, train: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", label: str | None = None, block: int = BLOCK) -> DataFrame:
-    """The k most similar train rows of each query row: query_id, train_id, similarity, rank (ties by train id).
-
-    The query rows, in blocks, meet all train blocks; each meeting keeps k per query, and the best k of those are ranked once more.
-    """
-    q = _blocks(query, key, vector, block).drop("by")
-    named = train.withColumn("label2", F.col(label)) if label else train
-    t = _blocks(named, key, vector, block, None, ["label2"] if label else []).select(F.col("block").alias("j"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"), *(["label2"] if label else []))
-    some = materialise(q.join(t).mapInPandas(_nearest(k, label), "query_id long, train_id long, similarity double" + (", label int" if label else "")), "nearest", AT_ONCE)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "train_id")
-    return some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def knn_vote(query: DataFrame, train: DataFrame, ks: Sequence[int] = (10, 20, 100, 200), T: float = 0.07, skip_first: bool = False, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """Per k the share of query rows whose class is the first, or among the first five, by votes of their k nearest.
-
-    Votes are a softmax over all max(ks) neighbours; a class's probability at k sums the first k. ``skip_first`` leaves
-    out the nearest (a query that is in the train set finds itself).
-    """
-    n_train = train.count()
-    most = min(max(ks), n_train - skip_first)
-    near = join_knn_topk(query, train, most + skip_first, key, vector, label).filter(F.col("rank") > int(skip_first)).withColumn("rank", F.col("rank") - int(skip_first))
-    top = F.max("similarity").over(Window.partitionBy("query_id"))
-    e = near.withColumn("e", F.exp((F.col("similarity") - top) / T))
-    p = e.withColumn("p", F.col("e") / F.sum("e").over(Window.partitionBy("query_id")))
-    capped = sorted({min(k, n_train) for k in ks})
-    votes = p.withColumn("k", F.explode(F.array(*(F.lit(k) for k in capped)))).filter("rank <= k").groupBy("k", "query_id", F.col("label").alias("class")).agg(F.round(F.sum("p"), 12).alias("p"))
-    ranked = votes.withColumn("place", F.row_number().over(Window.partitionBy("k", "query_id").orderBy(F.desc("p"), "class")))
-    truth = query.select(F.col(key).alias("query_id"), F.col(label).alias("class"))
-    hit = ranked.join(truth, ["query_id", "class"]).select("k", "query_id", "place")
-    total = query.agg(F.count(F.lit(1)).alias("n"))
-    return hit.groupBy("k").agg(F.count_if(F.col("place") == 1).alias("h1"), F.count_if(F.col("place") <= 5).alias("h5")).join(F.broadcast(total)).select("k", (F.col("h1") / F.col("n")).alias("top1"), (F.col("h5") / F.col("n")).alias("top5"), "n")
-
-
-def agg_nn_spread(vecs: DataFrame, topk: int = 1, eps: float = 1e-8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """-mean(log(distance to the nearest others + eps)) of unit vectors."""
-    norm = F.sqrt(dot(vector, vector))
-    unit = vecs.withColumn("__u", F.transform(vector, lambda x: x.cast("double") / norm))
-    near = join_knn_topk(unit.select(key, "__u"), unit.select(key, "__u"), topk + 1, key, "__u").filter("query_id <> train_id")
-    others = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("place") <= topk)
-    distance = F.sqrt(F.greatest(2 - 2 * F.col("similarity"), F.lit(0.0)))
-    return others.agg((-F.avg(F.log(distance + eps))).alias("spread"), F.countDistinct("query_id").alias("n"))
-
-
 def agg_balanced_assign(logits_long: DataFrame, temperature: float, iters: int = 3) -> DataFrame:
     """Balanced soft assignment of (sample, prototype, logit): columns and rows made to share alike in turn, ``iters`` times.
 

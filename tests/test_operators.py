@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.expr import clip, fn_interp, fn_uri_rewrite, grid_lookup, strata
 from quern.functions.rank import global_rank, group_quantiles, running_minima, shared_path
-from quern.operators import classification, density, joins, metrics, reweight, sampling, trials, vectors
+from quern.operators import classification, density, joins, metrics, neighbours, reweight, sampling, trials, vectors
 from quern.plans.fixtures import view
 from quern.sources import readers, sinks
 from quern.streaming import live
@@ -176,12 +176,56 @@ def test_nearest_neighbours_equal_brute_force_over_blocks(spark):
     x = rng.normal(size=(90, 6))
     df = spark.createDataFrame([(i, [float(v) for v in r], int(i % 3)) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = {}
-    for r in vectors.join_knn_topk(df.filter("vec_id < 15"), df.filter("vec_id >= 15"), 4, block=10).orderBy("query_id", "rank").collect():
+    for r in neighbours.join_knn_topk(df.filter("vec_id < 15"), df.filter("vec_id >= 15"), 4, block=10).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.train_id)
     s = x[:15] @ x[15:].T
     assert got == {i: [int(j) + 15 for j in np.argsort(-s[i], kind="stable")[:4]] for i in range(15)}
 
 
+@pytest.mark.parametrize("cells", [1, 9, 60])
+def test_index_is_exact_with_ties_hot_cells_and_few_rows(spark, cells, monkeypatch):
+    """Small integers give many ties; a third of the rows are one vector; two queries ask for more than there is in their cells."""
+    monkeypatch.setattr(neighbours, "TILE", 16)
+    rng = np.random.default_rng(cells)
+    x = np.concatenate([rng.integers(-3, 4, (160, 3)), np.full((80, 3), 2)]).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(i % 5)) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(5)
+    asked = df.filter("vec_id % 20 = 0")
+    s = x @ x.T
+    for k in (1, 7, 300):
+        got = {}
+        found = neighbours.join_knn_topk(asked, df, k, label="label", block=20, cells=cells, probes=2)
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.train_id, r.similarity, r.label))
+        assert got == {i: [(int(j), s[i, j], int(j % 5)) for j in np.argsort(-s[i], kind="stable")[:k]] for i in range(0, 240, 20)}
+    nothing = neighbours.join_knn_topk(asked, df.limit(0), 3)
+    assert nothing.count() == 0 and neighbours.join_knn_topk(asked.limit(0), df, 3).count() == 0
+
+
+def test_probes_reach_the_recall_they_were_chosen_for_and_bounds_spare_cells(spark):
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=(40, 8)) * 4
+    x = np.concatenate([c + rng.normal(size=(50, 8)) * 0.3 for c in middle])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id % 20 = 0")
+    index = neighbours.index_vectors(df, cells=40)
+    curve = {r.probes: r.recall for r in neighbours.recall_of_probes(asked, df, index, 10).collect()}
+    assert max(curve.values()) == 1.0 and sorted(curve.values()) == [curve[p] for p in sorted(curve)]
+    enough = min(p for p, r in curve.items() if r >= 0.9)
+    assert enough < 10
+    s = x[::20] @ x.T
+    want = {(20 * i, int(j)) for i in range(len(s)) for j in np.argsort(-np.round(s[i], 12), kind="stable")[:10]}
+    near = {(r.query_id, r.train_id) for r in neighbours.join_knn_topk(asked, df, 10, cells=40, recall=0.9).collect()}
+    assert len(near & want) >= 0.9 * len(want)
+    assert {(r.query_id, r.train_id) for r in neighbours.search_index(asked, index, 10, probes=2).collect()} == want
+    floor = np.sort(s, 1)[:, -10]
+    about = index.centres, index.radii, index.groups
+    more = neighbours._wanted(x[::20], floor, 2, about).sum(1)
+    assert more.mean() < 10  # of 38 other cells
+    plan = neighbours.search_index(asked, index, 10)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_blocks_of_several_tiles_give_the_same(monkeypatch):
     import pandas as pd
 
@@ -195,9 +239,6 @@ def test_blocks_of_several_tiles_give_the_same(monkeypatch):
     got = pd.concat(vectors._pairs_from(9.0, None)(iter([frame])))
     s = every @ every.T
     assert {(r.a, r.b) for r in got.itertuples()} == {(names[p], names[q]) for p in range(30) for q in range(p + 1, 70) if s[p, q] >= 9} and len(got) == len(got.drop_duplicates())
-    best = pd.concat(vectors._nearest(5, None)(iter([frame[1:]])))
-    want = [(p, 100 + int(q), s[p, 30 + q]) for p in range(30) for q in np.argsort(-s[p, 30:], kind="stable")[:5]]
-    assert [*best.itertuples(index=False, name=None)] == want
     low = pd.concat(vectors._lowest(iter([frame])))
     assert low.low.min() == s[:30][np.triu(np.ones((30, 70), bool), 1)].min()
 
