@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,59 +132,146 @@ def cal_quantile_map_group(df: DataFrame, group_pmf: DataFrame, strength: float
     return _mapped(win_midrank(real, pred, key, ["grp"]), _inverse(group_pmf, ["grp"], n_bins), df.columns, ["grp"], strength, pred)
 
 
-def _pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pool adjacent violators: of blocks (g, lo, hi, w, wy) in ascending order of group and place, those whose means ascend."""
-    stack: list[list] = []  # of one group
-    group = None
+#: Blocks of an isotonic fit that lie in one row, and such rows that one task merges.
+CHUNK, FAN = 65_536, 16
+BLOCKS = "g string, seq long, lo array<double>, hi array<double>, w array<double>, wy array<double>"
 
-    def made() -> pd.DataFrame:
-        return pd.DataFrame([[group, *b] for b in stack], columns=["g", "lo", "hi", "w", "wy"])
 
+def _chunks(group: str, seqs: Iterator[int], blocks: np.ndarray, size: int) -> Iterator[tuple]:
+    """Rows of at most ``size`` blocks (lo, hi, w, wy), numbered by ``seqs``."""
+    for at in range(0, len(blocks), size):
+        part = blocks[at : at + size]
+        yield (group, next(seqs), *(part[:, i] for i in range(4)))
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["g", "seq", "lo", "hi", "w", "wy"])
+
+
+def _pooled(chunk: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pool adjacent violators of cells (g, lo, w, wy) in ascending order of group and place: the partition's blocks."""
+    stack: list[list[float]] = []  # of one group
+    group, seqs = None, itertools.count(TaskContext.get().partitionId() << 32)
     for batch in batches:
-        for g, *block in batch[["g", "lo", "hi", "w", "wy"]].itertuples(index=False, name=None):
+        for g, x, w, wy in batch[["g", "lo", "w", "wy"]].itertuples(index=False, name=None):
             if g != group and stack:
-                yield made()
+                yield _frame([*_chunks(group, seqs, np.array(stack), chunk)])
                 stack.clear()
             group = g
-            stack.append(block)
+            stack.append([x, x, w, wy])
             while len(stack) > 1 and stack[-2][3] * stack[-1][2] > stack[-1][3] * stack[-2][2]:
-                (lo, _, w, wy), (_, hi, w2, wy2) = stack[-2:]
-                stack[-2:] = [[lo, hi, w + w2, wy + wy2]]
+                _, hi, w2, wy2 = stack.pop()
+                stack[-1] = [stack[-1][0], hi, stack[-1][2] + w2, stack[-1][3] + wy2]
     if stack:
-        yield made()
-
-
-def _step(pred: str, grid: int | None) -> Column:
-    """The prediction, or the step of 1 / grid that it lies on."""
-    return F.col(pred).cast("double") if grid is None else F.floor(F.col(pred) * grid) / grid
-
-
-def isotonic_blocks(fit_df: DataFrame, weighted: bool = True, by: str | None = None, pred: str = "pred", label: str = "label", grid: int | None = None) -> DataFrame:
-    """The blocks of the weighted isotonic regression: g (group as text), lo, hi (predictions from, to), value.
-
-    Distinct predictions are summed first, then pooled where they lie (range partitions in order); pooling what is left once
-    more gives the same blocks as pooling all rows. So one task per group sees blocks, not rows.
+        yield _frame([*_chunks(group, seqs, np.array(stack), chunk)])
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Two lists of ascending blocks, the second after the first, as one: what they violate is pooled from their border outwards."""
+    e, s = len(left), 0
+    if not e or left[-1, 3] * right[0, 2] <= right[0, 3] * left[-1, 2]:
+        return np.concatenate([left, right])
+    lo, _, w, wy = left[-1]
+    hi = lo
+    e -= 1
+    while True:
+        if s < len(right) and wy * right[s, 2] > right[s, 3] * w:
+            hi, w, wy, s = right[s, 1], w + right[s, 2], wy + right[s, 3], s + 1
+        elif e and left[e - 1, 3] * w > wy * left[e - 1, 2]:
+            e -= 1
+            lo, w, wy = left[e, 0], w + left[e, 2], wy + left[e, 3]
+        else:
+            return np.concatenate([left[:e], [[lo, hi, w, wy]], right[s:]])
+
+
+def _merged(chunk: int, rows: pd.DataFrame) -> pd.DataFrame:
+    """Consecutive rows of blocks of a group, merged; what is left keeps the first rows' numbers."""
+    rows = rows.sort_values("seq")
+    lists = [np.stack([r.lo, r.hi, r.w, r.wy], 1) for r in rows.itertuples()]
+    while len(lists) > 1:  # pairwise, up a tree
+        lists = [_joined(a, b) for a, b in zip(lists[::2], lists[1::2], strict=False)] + lists[len(lists) & ~1 :]
+    return _frame([*_chunks(rows.g.iloc[0], iter(rows.seq.tolist()), lists[0], chunk)])
+
+
+def isotonic_lists(fit_df: DataFrame, weighted: bool = True, by: str | None = None, pred: str = "pred", label: str = "label", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """The blocks of the weighted isotonic regression in lists: g (group as text), seq (their order), and arrays lo, hi
+    (predictions from, to), w, wy (weight, weighted labels). Written.
+
+    Distinct predictions are summed and range-partitioned, and each partition pools its own: a list of ascending blocks. Lists
+    merge: only blocks at a border can violate the order, and pooling them, and outwards while needed, gives the same blocks as
+    pooling all rows. Each round merges runs of up to ``fan`` lists in which a border violates, in turn aligned to two places, until
+    no border does. A list has at most ``chunk`` blocks, so no task holds a group, and one row per list is all that is ordered.
     """
     w = fair_weight(label) if weighted else F.lit(1.0)
     group = F.lit("") if by is None else F.col(by).cast("string")
     rows = fit_df.filter(no_nan(pred).isNotNull() & no_nan(label).isNotNull() & group.isNotNull())
-    cells = rows.groupBy(group.alias("g"), _step(pred, grid).alias("lo")).agg(F.sum(w).alias("w"), F.sum(w * F.col(label)).alias("wy")).withColumn("hi", F.col("lo"))
-    schema = "g string, lo double, hi double, w double, wy double"
-    local = cells.repartitionByRange("g", "lo").sortWithinPartitions("g", "lo").mapInPandas(_pooled, schema)
-    local = materialise(local, "isotonic")
-    return local.groupBy("g").applyInPandas(lambda blocks: next(_pooled(iter([blocks.sort_values("lo")]))), schema).select("g", "lo", "hi", (F.col("wy") / F.col("w")).alias("value"))
-
-
-def cal_isotonic(df: DataFrame, fit_df: DataFrame, weighted: bool = True, by: str | None = None, pred: str = "pred", label: str = "label", grid: int | None = None, most_blocks: int = 2_000_000) -> DataFrame:
+    cells = rows.groupBy(group.alias("g"), F.col(pred).cast("double").alias("lo")).agg(F.sum(w).alias("w"), F.sum(w * F.col(label)).alias("wy"))
+    state = materialise(cells.repartitionByRange("g", "lo").sortWithinPartitions("g", "lo").mapInPandas(partial(_pooled, chunk), BLOCKS), "isotonic")
+    shift, order = 0, Window.partitionBy("g").orderBy("seq")
+    while True:
+        ends = state.select("g", "seq", *(F.element_at(c, at).alias(f"{c}{at}") for c in ("w", "wy") for at in (1, -1))).toDF("g", "seq", "w1", "w9", "y1", "y9")
+        place = F.row_number().over(order) - 1 + shift
+        heads = ends.select("g", "seq", F.floor(place / fan).alias("run"), (place % fan > 0).alias("inside"), (F.lag("y9").over(order) * F.col("w1") > F.col("y1") * F.lag("w9").over(order)).alias("bad"))
+        heads = materialise(heads, "isotonic-heads")
+        if heads.filter("bad").isEmpty():
+            return state
+        shift = fan // 2 - shift
+        if not heads.filter("bad AND inside").isEmpty():
+            runs = heads.join(heads.filter("bad AND inside").select("g", "run").distinct(), ["g", "run"], "left_semi").select("g", "seq", "run")
+            merged = state.join(runs, ["g", "seq"]).groupBy("g", "run").applyInPandas(lambda rows: _merged(chunk, rows), BLOCKS)
+            state = materialise(state.join(runs, ["g", "seq"], "left_anti").unionByName(merged), "isotonic")
+
+
+def isotonic_blocks(fit_df: DataFrame, weighted: bool = True, by: str | None = None, pred: str = "pred", label: str = "label") -> DataFrame:
+    """The blocks of the weighted isotonic regression: g (group as text), lo, hi (predictions from, to), value."""
+    blocks = isotonic_lists(fit_df, weighted, by, pred, label).select("g", F.explode(F.arrays_zip("lo", "hi", "w", "wy")).alias("b"))
+    return blocks.select("g", "b.lo", "b.hi", (F.col("b.wy") / F.col("b.w")).alias("value"))
+
+
+def _on_curve(x: Column, at: Column, after: Column) -> Column:
+    """The value at x between the block from ``at`` on and the next one: flat within blocks, linear between them, held at the ends."""
+    slope = (after["value"] - at["value"]) / (after["lo"] - at["hi"])
+    return F.when(at.isNull(), after["value"]).when(after.isNull() | (x <= at["hi"]), at["value"]).otherwise(at["value"] + slope * (x - at["hi"]))
+
+
+def _ranged(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows (g, x, row) with the blocks around x: columns at and after.
+
+    Rows and blocks are range-partitioned together (a prediction that many rows share is split), each row takes the last block
+    before and the first one after it from its partition, and where there is none, from the nearest partition that has one.
+    """
+    points = blocks.select("g", F.col("lo").alias("x"), F.lit(0).alias("kind"), F.struct("lo", "hi", "value").alias("b"))
+    asked = rows.withColumn("kind", F.lit(1)).withColumn("salt", F.monotonically_increasing_id())
+    both = asked.unionByName(points.withColumn("salt", F.lit(0).cast("long")), allowMissingColumns=True)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(both.repartitionByRange(parts, "g", "x", "kind", "salt").withColumn("part", F.spark_partition_id()), "ranged")
+    up, down = (Window.partitionBy("part", "g").orderBy(*o) for o in ((F.col("x"), F.col("kind")), (F.desc("x"), F.desc("kind"))))
+    near = dealt.select("*", F.last("b", True).over(up).alias("at"), F.last("b", True).over(down).alias("after")).filter("kind = 1")
+    ends = dealt.groupBy("part", "g").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    before, later = (Window.partitionBy("g").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("part"), F.desc("part")))  # over partitions
+    carried = ends.select("part", "g", F.last("high", True).over(before).alias("far_at"), F.last("low", True).over(later).alias("far_after"))
+    return near.join(carried, ["part", "g"]).select("x", "row", F.coalesce("at", "far_at").alias("at"), F.coalesce("after", "far_after").alias("after"))
+
+
+def cal_isotonic(df: DataFrame, fit_df: DataFrame, weighted: bool = True, by: str | None = None, pred: str = "pred", label: str = "label", few: int = 100_000) -> DataFrame:
     """Weighted isotonic regression of label on prediction, linear between blocks, held at the ends and in [0, 1]: column
-    calibrated. One fit, or one per value of ``by``; groups that the fit has not (and rows without a group) keep their prediction.
+    calibrated. One fit, or one per value of ``by``; groups that the fit has not (and rows without a group) keep their
+    prediction, and rows without a prediction get none.
 
-    With ``grid`` predictions count as the step of 1 / grid that they lie on, which bounds the blocks of a group. The blocks
-    go to all tasks, so more than ``most_blocks`` of them (48 MB) are refused.
+    Up to ``few`` blocks (5 MB) go to all tasks as one table; more meet the rows by range.
     """
-    blocks = materialise(isotonic_blocks(fit_df, weighted, by, pred, label, grid), "isotonic-blocks")
-    if (n := blocks.count()) > most_blocks:
-        raise ValueError(f"{n} isotonic blocks, more than {most_blocks}: set a grid")
+    blocks = materialise(isotonic_blocks(fit_df, weighted, by, pred, label), "isotonic-blocks")
+    group, x = F.lit("") if by is None else F.col(by).cast("string"), no_nan(pred).cast("double")
+    if blocks.count() <= few:
+        return _looked_up(df, blocks, group, x)
+    rows = df.select(group.alias("g"), x.alias("x"), F.struct(*(F.col(c) for c in df.columns)).alias("row"))
+    found = _ranged(rows.filter("g IS NOT NULL AND x IS NOT NULL"), blocks)
+    found = found.select("row.*", clip(F.coalesce(_on_curve(F.col("x"), F.col("at"), F.col("after")), F.col("x")), 0, 1).alias("calibrated"))
+    return found.unionByName(rows.filter("g IS NULL OR x IS NULL").select("row.*", clip(F.col("x"), 0, 1).alias("calibrated")))
+
+
+def _looked_up(df: DataFrame, blocks: DataFrame, group: Column, x: Column) -> DataFrame:
+    """The calibrated rows of ``df`` by few blocks, which all tasks hold."""
     curves = {}
     for g, part in blocks.toPandas().sort_values(["g", "lo"]).groupby("g"):
         curves[g] = part[["lo", "hi"]].to_numpy().ravel(), np.repeat(part.value.to_numpy(), 2)
@@ -190,15 +280,14 @@ def cal_isotonic(df: DataFrame, fit_df: DataFrame, weighted: bool = True, by: st
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups, step, raw = batch.column(at).to_pandas(), *(batch.column(at + k).to_numpy(zero_copy_only=False).astype(float) for k in (1, 2))
+            groups, raw = batch.column(at).to_pandas(), batch.column(at + 1).to_numpy(zero_copy_only=False).astype(float)
             out = np.clip(raw, 0, 1)
             for g, where in groups.groupby(groups).indices.items():
                 if g in held.value:
-                    out[where] = np.clip(np.interp(step[where], *held.value[g]), 0, 1)
+                    out[where] = np.clip(np.interp(raw[where], *held.value[g]), 0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.float64(), from_pandas=True)], names=[*batch.schema.names[:at], "calibrated"])
 
-    group = F.lit("") if by is None else F.col(by).cast("string")
-    rows = df.select("*", group.alias("__g"), _step(pred, grid).alias("__s"), F.col(pred).cast("double").alias("__p"))
+    rows = df.select("*", group.alias("__g"), x.alias("__x"))
     return rows.mapInArrow(apply, T.StructType([*df.schema.fields, T.StructField("calibrated", T.DoubleType())]))
 
 

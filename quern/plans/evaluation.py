@@ -311,25 +311,27 @@ def cal_quantile_map_group(spark, sf):
     return rounded(R.cal_quantile_map_group(s, D.agg_group_pmf(s, view(spark, sf, "target_pmf")), 0.7).select("sample_id", "calibrated"))
 
 
-#: Isotonic regression by its min-max formula: the largest, over starts up to a cell, of the smallest mean from there to an end from it on.
-ISOTONIC = """WITH c AS (SELECT grp, floor(pred * 1000) AS x, sum(1/30e0 + label) AS w, sum((1/30e0 + label) * label) AS wy FROM scored GROUP BY 1, 2),
-    n AS MATERIALIZED (SELECT grp, x, w, wy, row_number() OVER (PARTITION BY grp ORDER BY x) AS i, sum(w) OVER (PARTITION BY grp ORDER BY x) AS cw, sum(wy) OVER (PARTITION BY grp ORDER BY x) AS cy FROM c),
-    p AS (SELECT a.grp, a.i AS j, b.i AS k, (b.cy - a.cy + a.wy) / (b.cw - a.cw + a.w) AS m FROM n a JOIN n b ON a.grp = b.grp AND b.i >= a.i),
-    l AS (SELECT grp, k, min(m) OVER (PARTITION BY grp, j ORDER BY k DESC) AS m FROM p),
-    iso AS MATERIALIZED (SELECT grp, k AS i, max(m) AS y FROM l GROUP BY 1, 2),
-    cal AS (SELECT s.*, least(greatest(y, 0), 1) AS calibrated FROM scored s JOIN n ON n.grp = s.grp AND n.x = floor(s.pred * 1000) JOIN iso ON iso.grp = n.grp AND iso.i = n.i)"""
+#: Isotonic regression by its min-max formula: the largest, over starts up to a cell, of the smallest mean from there to an end
+#: from it on. First within runs of 128 cells; pooling what that leaves gives the same as pooling all cells.
+MIN_MAX = """n{s} AS MATERIALIZED (SELECT *, row_number() OVER o AS i, sum(w) OVER o AS cw, sum(wy) OVER o AS cy FROM c{s} WINDOW o AS (PARTITION BY grp ORDER BY lo)),
+    p{s} AS (SELECT a.grp, a.i AS j, b.i AS k, (b.cy - a.cy + a.wy) / (b.cw - a.cw + a.w) AS m FROM n{s} a JOIN n{s} b ON a.grp = b.grp AND b.i >= a.i{within}),
+    l{s} AS (SELECT grp, k, min(m) OVER (PARTITION BY grp, j ORDER BY k DESC) AS m FROM p{s}),
+    i{s} AS MATERIALIZED (SELECT n.*, y FROM n{s} n JOIN (SELECT grp, k AS i, max(m) AS y FROM l{s} GROUP BY 1, 2) USING (grp, i))"""
+ISOTONIC = f"""WITH c1 AS (SELECT grp, pred AS lo, pred AS hi, sum(1/30e0 + label) AS w, sum((1/30e0 + label) * label) AS wy FROM scored GROUP BY grp, pred), {MIN_MAX.format(s=1, within=" AND b.i // 128 = a.i // 128")},
+    c2 AS (SELECT grp, min(lo) AS lo, max(hi) AS hi, sum(w) AS w, sum(wy) AS wy FROM i1 GROUP BY grp, i // 128, y), {MIN_MAX.format(s=2, within="")},
+    cal AS (SELECT s.*, least(greatest(y, 0), 1) AS calibrated FROM scored s JOIN i2 ON i2.grp = s.grp AND s.pred BETWEEN i2.lo AND i2.hi)"""
 
 
 @query(f"{ISOTONIC} SELECT sample_id, round(calibrated, 6) AS calibrated FROM cal")
 def cal_isotonic(spark, sf):
     s = view(spark, sf, "scored")
-    return rounded(R.cal_isotonic(s, s, by="grp", grid=1000).select("sample_id", "calibrated"))
+    return rounded(R.cal_isotonic(s, s, by="grp").select("sample_id", "calibrated"))
 
 
 @query(f"{ISOTONIC} SELECT grp, round(sum({W} * {E2}) / sum({W}), 6) AS err_pred, round(sum({W} * {E2.replace('pred', 'calibrated')}) / sum({W}), 6) AS err_calibrated FROM cal GROUP BY grp")
 def cal_isotonic_error(spark, sf):
     s = view(spark, sf, "scored")
-    return rounded(R.weighted_errors(R.cal_isotonic(s, s, by="grp", grid=1000), ["pred", "calibrated"], ["grp"]))
+    return rounded(R.weighted_errors(R.cal_isotonic(s, s, by="grp"), ["pred", "calibrated"], ["grp"]))
 
 
 @query("""

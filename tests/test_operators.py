@@ -296,12 +296,13 @@ def test_group_quantiles_and_running_minima_of_hot_groups(spark):
             assert got[k] == low
 
 
-def test_isotonic_by_group_interpolates_and_takes_any_number_of_groups(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_isotonic_by_group_interpolates_and_takes_any_number_of_groups(spark, few):
     rng = random.Random(2)
     rows = [(i, rng.random(), rng.random(), i % 150) for i in range(3000)]
     fit = spark.createDataFrame(rows, "sample_id long, pred double, label double, grp int")
     asked = spark.createDataFrame([(i, p, y, g) for i, p, y, g in rows[:400]] + [(9000, -1.0, 0.0, 3), (9001, 2.0, 0.0, 3), (9002, 0.4, 0.0, 999), (9003, None, 0.0, 3), (9004, 0.7, 0.0, None)], "sample_id long, pred double, label double, grp int")
-    got = {r.sample_id: r.calibrated for r in reweight.cal_isotonic(asked, fit, by="grp").collect()}
+    got = {r.sample_id: r.calibrated for r in reweight.cal_isotonic(asked, fit, by="grp", few=few).collect()}
     assert len(got) == 405 and got[9002] == 0.4 and got[9004] == 0.7 and got[9003] is None
     for g in range(150):
         cells = sorted((p, y) for _, p, y, k in rows if k == g)
@@ -317,8 +318,34 @@ def test_isotonic_by_group_interpolates_and_takes_any_number_of_groups(spark):
                 assert abs(got[i] - np.interp(p, xs, ys)) < 1e-9
         if g == 3:
             assert abs(got[9000] - ys[0]) < 1e-12 and abs(got[9001] - ys[-1]) < 1e-12
-    with pytest.raises(ValueError, match="isotonic blocks"):
-        reweight.cal_isotonic(asked, fit, most_blocks=1)
+
+
+@pytest.mark.parametrize("kind", ["rising", "falling", "noise", "late drop", "ties"])
+def test_isotonic_lists_merge_over_many_partitions(spark, kind):
+    """Short lists and small runs, so that pooling crosses many of them; the same blocks as pooling row by row, to the last bit of order."""
+    rng = random.Random(5)
+    y = {"rising": lambda i: i / 600, "falling": lambda i: 1 - i / 600, "noise": lambda i: rng.random(), "late drop": lambda i: i / 600 if i < 590 else 0.0, "ties": lambda i: float(i // 50 % 2)}[kind]
+    rows = [(i, (i // 3 if kind == "ties" else i) / 600, y(i), "x" if i % 4 else None) for i in range(600)]
+    fit = spark.createDataFrame(rows, "sample_id long, pred double, label double, grp string").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        lists = reweight.isotonic_lists(fit, False, chunk=9, fan=4)
+        got = [(lo, hi, wy / w) for r in lists.orderBy("seq").collect() for lo, hi, w, wy in zip(r.lo, r.hi, r.w, r.wy, strict=True)]
+        assert all(len(r.lo) <= 9 for r in lists.collect())
+        near = {r.sample_id: r.calibrated for r in reweight.cal_isotonic(fit, fit, False, few=0).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    blocks = []
+    for x, group in itertools.groupby(sorted((p, v) for _, p, v, _ in rows), key=lambda t: t[0]):
+        values = [v for _, v in group]
+        blocks.append([x, x, len(values), sum(values)])
+        while len(blocks) > 1 and blocks[-2][3] * blocks[-1][2] > blocks[-1][3] * blocks[-2][2]:
+            _, hi, n, s = blocks.pop()
+            blocks[-1] = [blocks[-1][0], hi, blocks[-1][2] + n, blocks[-1][3] + s]
+    assert [(lo, hi) for lo, hi, _ in got] == [(lo, hi) for lo, hi, _, _ in blocks]
+    assert np.allclose([v for _, _, v in got], [s / n for *_, n, s in blocks])
+    assert all(abs(near[i] - next(s / n for lo, hi, n, s in blocks if lo <= p <= hi)) < 1e-12 for i, p, _, _ in rows)
 
 
 def test_flags_never_take_all_but_one(spark):
