@@ -7,8 +7,9 @@ per language. A phrase is frequent if it occurs at least ``least`` times; all co
 2. One pass over all rows counts, exactly, all words and every phrase whose first and last k - 1 words are both proposed:
    that is the proposal and its negative border. Phrases that reach ``least`` are frequent.
 3. A frequent phrase that was not proposed is a border failure: longer phrases with it were not counted. Failures join the
-   proposal, and another pass counts what has become countable by them. It ends when a pass finds no failure (after
-   ``longest`` passes at the latest, since failures grow longer).
+   proposal, and an expansion pass counts what becomes countable by them, longer and longer: every phrase whose first and
+   last k - 1 words are proposed or counted in this pass. What it finds frequent can't have uncounted longer phrases, so the
+   result is closed then, and no third pass is needed.
 
 So the sample decides how much work is done and never what is found. Tasks hold the proposal as a Bloom filter whose size is
 bounded by ``most_bits``; what it wrongly takes for proposed is counted too, exactly, and a proposal too large for it makes
@@ -44,24 +45,29 @@ from ._common import SALTS, bound_batches, col, materialise
 ENDS = b".,;:!?\n\x0b\x0c\r"
 SIMPLER = bytes.maketrans(bytes(range(65, 91)) + ENDS + b"\t", bytes(range(97, 123)) + b"." * len(ENDS) + b" ")
 #: Bytes of text that a task cuts into words at once, and words that it remembers.
-SLICE, WORDS = 4_000_000, 1_000_000
+SLICE, WORDS = 4_000_000, 400_000
 #: Fixed odd numbers that mix 64 bits.
 TIMES, MIX = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD
-COUNTS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+COUNTS = pa.schema([("key", pa.string()), ("n", pa.int64())])
 
 
 class Words(dict):
     """Numbers of the words met so far, from 1 on (0 ends a piece), and their hashes."""
 
     def __init__(self):
-        self.hashes = [0]
+        self.known, self.new = np.zeros(1, np.uint64), []
         self[b"."] = 0
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
+        self[word] = n = len(self)
+        self.new.append(xxhash.xxh64_intdigest(word))
         return n
 
+    def hashes(self) -> np.ndarray:
+        if self.new:
+            self.known, self.new = np.concatenate([self.known, np.array(self.new, np.uint64)]), []
+        return self.known
+
 
 def words_of(texts: list[str]) -> Iterator[list[bytes]]:
     """Words and marks of texts one after another, in slices."""
@@ -120,31 +126,45 @@ def phrase_hashes(phrases: list[str]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def counted(tokens: list[bytes], own: int, words: Words, lang: str, levels: range, now: Proposal | None, before: Proposal | None) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """Per level the phrases that begin in the first ``own`` tokens and how often: all words, and longer phrases whose first and
-    last k - 1 words are in ``now`` (and not both in ``before``, since then they were counted). Level 0 is the number of words."""
+def counted(tokens: list[bytes], own: int, words: Words, lang: str, levels: range, now: Proposal | None, failed: Proposal | None, before: Proposal | None) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """The phrases of the levels (numbers of words) that begin in the first ``own`` tokens and how often: all words, and longer
+    phrases whose first and last k - 1 words are proposed. The empty phrase stands for the number of words.
+
+    In an expansion pass (with ``failed`` and what was proposed ``before``) phrases that were counted before are left out, and
+    what is counted passes for proposed when longer phrases are.
+    """
     ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-    word_hash = np.array(words.hashes, np.uint64)[ids]
-    seed = language_seed(lang)
-    inside = ids > 0
+    hashes, seed = words.hashes()[ids], language_seed(lang)
+    word_hash, inside = hashes, ids > 0
     if 1 in levels:
         first, n = np.unique(ids[:own], return_index=True, return_counts=True)[1:]
         some = ids[first] > 0
-        yield 0, [b""], np.array([inside[:own].sum()])
-        yield 1, [tokens[p] for p in first[some].tolist()], n[some]
-    whole, hashes = inside, word_hash
+        yield [b""], np.array([inside[:own].sum()])
+        yield [tokens[p] for p in first[some].tolist()], n[some]
+    if levels.stop < 3:
+        return
+    whole, taken = inside, np.zeros(0, np.int64)
+    part = inside & now(hashes, seed) if failed is None else np.zeros(len(ids), bool)
     for k in range(2, levels.stop):
-        parts = [whole & now(hashes, seed)] + ([whole & before(hashes, seed)] if before else [])
-        whole, hashes = whole[:-1] & inside[k - 1 :], longer(hashes[:-1], word_hash[k - 1 :])
-        if not len(whole):
+        if failed:
+            part = whole & failed(hashes, seed)  # with what was counted at the level below
+            part[taken] = True
+        longer_whole = whole[:-1] & inside[k - 1 :]
+        if not len(longer_whole):
             return
-        if k not in levels:
-            continue
-        take = whole & parts[0][:-1] & parts[0][1:]
-        if before:
-            take &= ~(parts[1][:-1] & parts[1][1:])
-        at = np.flatnonzero(take[:own])
-        if not len(at):
+        if failed is None:
+            taken = np.flatnonzero(longer_whole & part[:-1] & part[1:])
+        else:
+            taken = np.flatnonzero(longer_whole & (part[:-1] | part[1:]))
+            one, two = hashes[taken], hashes[taken + 1]
+            counts = (part[taken] | now(one, seed)) & (part[taken + 1] | now(two, seed))
+            taken = taken[counts & ~(before(one, seed) & before(two, seed))]
+        whole, hashes = longer_whole, longer(hashes[:-1], word_hash[k - 1 :])
+        if failed is None:
+            part = np.zeros(len(whole), bool)
+            part[taken] = now(hashes[taken], seed)  # what is proposed has proposed parts
+        at = taken[: np.searchsorted(taken, own)]
+        if k not in levels or not len(at):
             continue
         number = ids[at]
         for j in range(1, k):
@@ -152,42 +172,45 @@ def counted(tokens: list[bytes], own: int, words: Words, lang: str, levels: rang
             if j < k - 1:
                 number = np.unique(pair, return_inverse=True)[1]
         first, n = np.unique(pair, return_index=True, return_counts=True)[1:]
-        yield k, [b" ".join(tokens[p : p + k]) for p in at[first].tolist()], n
+        yield [b" ".join(tokens[p : p + k]) for p in at[first].tolist()], n
 
 
-def _count(levels: range, now, before, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, k, phrase, n from rows of lang and text, gathered by language."""
-    now, before = (None if b is None else Proposal(b.value) for b in (now, before))
+def _count(levels: range, now, failed, before, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key (the phrase, a tab, which no word holds, and the language), n from rows of lang and text, gathered by language."""
+    now, failed, before = (None if b is None else Proposal(b.value) for b in (now, failed, before))
     words, ahead = Words(), levels.stop - 2
     held: dict[str, list[str]] = defaultdict(list)
-    size = 0
+    sizes: dict[str, int] = defaultdict(int)
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def flush(lang: str) -> Iterator[pa.RecordBatch]:
         nonlocal words
-        for lang, texts in held.items():
-            tokens: list[bytes] = []
-            slices = words_of(texts)
+        tokens: list[bytes] = []
+        slices, end = words_of(held.pop(lang)), b"\t" + lang.encode("utf-8")
+        del sizes[lang]
+        more = next(slices, None)
+        while more is not None:
+            tokens += more
             more = next(slices, None)
-            while more is not None:
-                tokens += more
-                more = next(slices, None)
-                own = len(tokens) if more is None else len(tokens) - ahead
-                if own > 0:
-                    if len(words) > WORDS:
-                        words = Words()
-                    for k, phrases, n in counted(tokens, own, words, lang, levels, now, before):
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, np.int32)), pa.array(phrases, pa.string()), pa.array(n.astype(np.int64))], schema=COUNTS)
-                    tokens = tokens[own:]
-        held.clear()
-
+            own = len(tokens) if more is None else len(tokens) - ahead
+            if own > 0:
+                if len(words) > WORDS:
+                    words = Words()
+                for phrases, n in counted(tokens, own, words, lang, levels, now, failed, before):
+                    yield pa.RecordBatch.from_arrays([pa.array([p + end for p in phrases], pa.string()), pa.array(n.astype(np.int64))], schema=COUNTS)
+                tokens = tokens[own:]
+
+    total = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             held[lang].append(text or "")
-            size += len(text or "") + 1
-            if size >= SLICE:
-                yield from flush()
-                size = 0
-    yield from flush()
+            sizes[lang] += len(text or "") + 1
+            total += len(text or "") + 1
+            full = lang if sizes[lang] >= SLICE else max(sizes, key=sizes.__getitem__) if total >= 4 * SLICE else None
+            if full is not None:  # where there are many languages, the largest goes
+                total -= sizes[full]
+                yield from flush(full)
+    for lang in [*held]:
+        yield from flush(lang)
 
 
 def _bits(last: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,20 +245,21 @@ def proposal_bits(phrases: DataFrame, size: int, also: np.ndarray | None = None)
 
 
 def lowered(least: int, share: float) -> int:
-    """A threshold in the sample that a phrase of ``least`` occurrences rarely misses: two standard deviations below what is expected."""
-    return max(2, int(least * share - 2 * (least * share) ** 0.5))
+    """A threshold in the sample that most phrases of ``least`` occurrences reach: a standard deviation below what is expected."""
+    return max(2, int(least * share - (least * share) ** 0.5))
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share: float = 0.1, most_bits: int = 1 << 28, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """lang, k (words; 0: the language's number of words), phrase, n of all phrases of up to ``longest`` words that occur ``least`` times or more. Written."""
     spark = docs.sparkSession
     bound_batches(spark)
-    ddl = "lang string, k int, phrase string, n long"
     rows = docs.select(F.coalesce(col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(col(text_col), F.lit("")).alias("text"), col(id_col).alias("id"))
 
-    def count(of: DataFrame, levels: range, now=None, before=None) -> DataFrame:
-        made = of.select("lang", "text").mapInArrow(partial(_count, levels, now, before), ddl)
-        return made.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    def count(of: DataFrame, levels: range, now=None, failed=None, before=None) -> DataFrame:
+        made = of.select("lang", "text").mapInArrow(partial(_count, levels, now, failed, before), "key string, n long")
+        phrase = F.substring_index("key", "\t", 1)
+        words = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ", -1)))
+        return made.groupBy("key").agg(F.sum("n").alias("n")).select(F.expr("substring(key, instr(key, '\t') + 1)").alias("lang"), words.alias("k"), phrase.alias("phrase"), "n")
 
     # the sample proposes, level by level
     sample = materialise(rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(10_000)) < int(10_000 * share)).select("lang", "text"), "sample")
@@ -249,19 +273,14 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share:
         if now is not None:
             now.unpersist()
         now = spark.sparkContext.broadcast(proposed)  # of a size bounded by most_bits
-    # all rows are counted, until no border phrase has turned out frequent
-    found, before, levels = [], None, range(1, longest + 1)
-    while True:
-        new = materialise(count(rows, levels, now, before).filter((F.col("k") == 0) | (F.col("n") >= least)), "frequent")
-        found.append(new)
-        failures = materialise(new.filter((F.col("k") > 0) & (F.col("k") < longest)).select("lang", "phrase").mapInArrow(partial(_failures, now), "lang string, phrase string"), "failures")
-        if failures.isEmpty():
-            break
-        if before is not None:
-            before.unpersist()
-        before, levels = now, range(2, longest + 1)
-        proposed = proposal_bits(failures, size, proposed)
-        now = spark.sparkContext.broadcast(proposed)
+    # all rows are counted, and border failures expanded
+    found = [materialise(count(rows, range(1, longest + 1), now).filter((F.col("k") == 0) | (F.col("n") >= least)), "frequent")]
+    short = found[0].filter((F.col("k") > 0) & (F.col("k") < longest)).select("lang", "phrase")
+    failures = materialise(short.mapInArrow(partial(_failures, now), "lang string, phrase string"), "failures")
+    if not failures.isEmpty():
+        wider = spark.sparkContext.broadcast(proposal_bits(failures, size, proposed))
+        failed = spark.sparkContext.broadcast(proposal_bits(failures, Proposal.size(failures.count(), most_bits)))
+        found.append(materialise(count(rows, range(2, longest + 1), wider, failed, now).filter(F.col("n") >= least), "frequent"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
