@@ -229,10 +229,10 @@ def src_runs(spark, sf):
     return rounded(IN.src_runs(spark, written(spark, table, "runs", lambda w, p: w.parquet(p)), "exp1").select("run_id", "experiment", "score"), 9)
 
 
-@query("SELECT 'p' || p_partkey || '.png' AS basename, CASE WHEN p_partkey % 4 = 0 THEN 'a' ELSE 'd' || p_size % 5 END AS folder, CAST(CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE strlen(p_name) END AS BIGINT) AS length FROM part WHERE p_name <> ''")
+@query("SELECT 'p' || p_partkey || '.png' AS basename, CASE WHEN p_partkey % 4 = 0 THEN 'a' ELSE 'd' || p_size % 5 END AS folder, CAST(CASE WHEN p_partkey % 4 = 0 THEN 1 WHEN p_partkey % 6 = 1 THEN 0 ELSE strlen(coalesce(p_name, '')) END AS BIGINT) AS length FROM part")
 def src_file_inventory(spark, sf):
-    """A file for each part, of which some have a namesake in a folder before theirs, and a note beside each that is no image."""
-    part = view(spark, sf, "part").filter("p_name <> ''")
+    """A file for each part, some empty, of which some have a namesake in a folder before theirs, and a note beside each that is no image."""
+    part = view(spark, sf, "part").withColumn("p_name", F.when(F.col("p_partkey") % 6 == 1, "").otherwise(F.coalesce("p_name", F.lit(""))))
     name = F.concat(F.lit("p"), "p_partkey", F.lit(".png"))
     files = part.select(F.concat(F.lit("d"), F.col("p_size") % 5, F.lit("/"), name).alias("name"), F.col("p_name").alias("content"))
     files = files.unionByName(part.filter("p_partkey % 4 = 0").select(F.concat(F.lit("a/"), name).alias("name"), F.lit("x").alias("content")))
@@ -241,14 +241,14 @@ def src_file_inventory(spark, sf):
     return found.select("basename", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), "length")
 
 
-@query("SELECT 'p' || p_partkey || '.png' AS filename, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 7 = 0 THEN 'missing' ELSE 'unreadable' END AS problem FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 7 = 0 OR p_partkey % 5 = 0")
+@query("SELECT 'p' || p_partkey || '.png' AS filename, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 7 = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'missing' ELSE 'empty' END ELSE 'unreadable' END AS problem FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 7 = 0 OR p_partkey % 5 = 0")
 def src_readability_check(spark, sf):
-    """A file for most parts: some are empty (Spark lists none of those, so they count as missing), some aren't what they should be."""
+    """A file for most parts: some are empty, some aren't what they should be."""
     part = view(spark, sf, "part")
     names = part.select(F.concat(F.lit("p"), "p_partkey", F.lit(".png")).alias("filename"), "p_partkey")
     files = names.filter("p_partkey % 3 <> 0").select(F.col("filename").alias("name"), F.when(F.col("p_partkey") % 7 == 0, "").when(F.col("p_partkey") % 5 == 0, "junk").otherwise("PNG").alias("content"))
     root = put_files(spark, files, "images")
-    return IN.src_readability_check(names, IN.src_file_inventory(spark, root), probe=_is_image, roots=root)
+    return IN.src_readability_check(names, IN.src_file_inventory(spark, root), probe=_is_image)
 
 
 def _is_image(content: bytes) -> bool:
@@ -286,7 +286,7 @@ def src_tar_shards(spark, sf):
     index = shared_path(spark, "shard-index")
     made.write.parquet(index)  # names of the attempts that succeeded
     listed = spark.read.parquet(index)
-    members = IN.src_tar_shards(spark, f"{root}/*.tar").withColumn("shard_name", F.substring_index("shard", "/", -1)).join(listed.withColumnRenamed("name", "shard_name"), "shard_name", "left_semi")
+    members = IN.src_tar_shards(spark, f"{root}/*.tar", 1 << 20).withColumn("shard_name", F.substring_index("shard", "/", -1)).join(listed.withColumnRenamed("name", "shard_name"), "shard_name", "left_semi")
     return members.select("name", F.length("content").cast("long").alias("n_bytes"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -11,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.expr import first_of, no_nan
+from quern.sources.files import RANGE, list_files, open_system, read_members, tar_members
 
 
 def _clean(df: DataFrame, key: str) -> DataFrame:
@@ -38,30 +37,33 @@ def src_multi_csv(spark: SparkSession, paths: Sequence[str], schema: str, key: s
 
 
 def src_file_inventory(spark: SparkSession, roots: str | list[str], exts: Sequence[str] = ("jpg", "jpeg", "png", "webp")) -> DataFrame:
-    """basename, path, length of the files under the roots with such an extension; of equal basenames the first path.
-
-    Spark's file sources don't list empty files, so those are not in it.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select("path", "length")
-    named = files.withColumn("basename", F.substring_index("path", "/", -1)).filter(F.lower(F.regexp_extract("basename", r"\.([^.]+)$", 1)).isin(*exts))
+    """basename, path, length of the files under the roots with such an extension, empty ones too; of equal basenames the first path."""
+    named = list_files(spark, roots).withColumn("basename", F.substring_index("path", "/", -1)).filter(F.lower(F.regexp_extract("basename", r"\.([^.]+)$", 1)).isin(*exts))
     return named.groupBy("basename").agg(F.min("path").alias("path"), F.min_by("length", "path").alias("length"))
 
 
-def src_readability_check(df: DataFrame, inventory: DataFrame, key: str = "filename", probe: Callable[[bytes], bool] | None = None, roots: str | list[str] | None = None) -> DataFrame:
-    """Referenced files that are missing (an inventory made by Spark lacks empty files too), empty or refused by ``probe`` (bytes -> readable): key, problem."""
+def src_readability_check(df: DataFrame, inventory: DataFrame, key: str = "filename", probe: Callable[[bytes], bool] | None = None) -> DataFrame:
+    """Referenced files that are missing, empty or refused by ``probe`` (bytes -> readable; a file that can't be read, or a probe that fails, is refused too): key, problem."""
     found = df.select(key).distinct().join(inventory.withColumnRenamed("basename", key), key, "left")
     bad = found.select(key, F.when(F.col("path").isNull(), "missing").when(F.col("length") == 0, "empty").alias("problem")).filter("problem IS NOT NULL")
-    if probe is None or roots is None:
+    if probe is None:
         return bad
 
+    def readable(uri: str) -> bool:
+        system, path, _ = open_system(uri)
+        try:
+            with system.open_input_stream(path) as file:
+                return bool(probe(file.read()))
+        except Exception:  # whatever a decoder raises on a damaged file
+            return False
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = [not probe(bytes(c)) for c in batch.content]
-            yield pd.DataFrame({key: batch[key][keep], "problem": "unreadable"})
+            refused = batch[key][[not readable(p) for p in batch.path]]
+            yield pd.DataFrame({key: refused, "problem": "unreadable"})
 
-    contents = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select("path", "content")
-    read = found.filter("length > 0").select(key, "path").join(contents, "path").select(key, "content").mapInPandas(check, f"{key} string, problem string")
-    return bad.unionByName(read)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bad.unionByName(found.filter("length > 0").select(key, "path").repartition(parts).mapInPandas(check, f"{key} string, problem string"))
 
 
 def src_captions_json(spark: SparkSession, path: str, image_dir: str = "", multi_line: bool = True) -> DataFrame:
@@ -117,18 +119,9 @@ def src_class_index(paths: DataFrame, names: DataFrame, split: str = "train") ->
     return parts.join(index.select("class_id", "class_index", "class_name"), "class_id", "left").select("path", "class_id", "sample", "class_index", "class_name")
 
 
-def src_tar_shards(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per member of the tar shards: shard, name, content. A shard is read by one task; use shards of moderate size."""
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch.path, batch.content, strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if m.isfile():
-                            yield pd.DataFrame({"shard": [path], "name": [m.name], "content": [tar.extractfile(m).read()]})
-
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(members, "shard string, name string, content binary")
+def src_tar_shards(spark: SparkSession, glob: str | list[str], range_bytes: int = RANGE) -> DataFrame:
+    """One row per member of the tar shards: shard, name, content. A task reads a range of a shard, found by a scan of its headers."""
+    return read_members(tar_members(spark, glob), range_bytes)
 
 
 def src_runs(spark: SparkSession, path: str, name_contains: str | None = None, limit: int = 500) -> DataFrame:
