@@ -192,59 +192,7 @@ def top_spread_clusters(clusters: DataFrame, n: int = 300, conflict: float = 0.1
     return clusters.orderBy(F.desc(F.col("label_spread") >= conflict), F.desc("label_spread"), "cluster_id").limit(n)
 
 
-# ---- learned probes
-
-
-#: 45 strengths of regularisation, evenly spaced in the exponent.
-STRENGTHS = tuple(10 ** (-6 + 11 * i / 44) for i in range(45))
-
-
-def probe_logreg(train: DataFrame, val: DataFrame, test: DataFrame, cs: Sequence[float] = STRENGTHS, refit: bool = True, n_classes: int | None = None, vector: str = "embedding", label: str = "label", parallelism: int = 4) -> DataFrame:
-    """L2 logistic regressions over C, the best on ``val`` (first of ties), refitted on train and val, and what it says of
-    ``test``, whose rows no fit has seen: the test rows with prediction, val_score, c.
-
-    With ``n_classes`` the label is an array of classes: one regression for each class against the rest, chosen by macro
-    average precision, and the prediction is an array of the classes' probabilities.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    from quern.operators.classification import agg_avg_precision
-
-    def ready(df: DataFrame) -> DataFrame:
-        return df.withColumn("__features", array_to_vector(F.col(vector).cast("array<double>")))
-
-    def fitted(c: float, rows: DataFrame, size: int, target: Column):
-        model = LogisticRegression(featuresCol="__features", labelCol="__y", predictionCol="__said", probabilityCol="__p", rawPredictionCol="__raw", regParam=1 / (c * size), elasticNetParam=0.0, standardization=False, maxIter=1000)
-        return model.fit(rows.withColumn("__y", target.cast("double")))
-
-    def said(c: float, rows: DataFrame, size: int, of: DataFrame) -> DataFrame:
-        """``of`` with the column prediction, by models fitted on ``rows``."""
-        if n_classes is None:
-            out = fitted(c, rows, size, F.col(label)).transform(of)
-            return out.select(*of.columns, F.col("__said").cast("int").alias("prediction"))
-        out = of
-        for k in range(n_classes):
-            out = fitted(c, rows, size, F.array_contains(label, F.lit(k))).transform(out).withColumn(f"__p{k}", vector_to_array("__p")[1]).drop("__said", "__p", "__raw")
-        return out.select(*of.columns, F.array(*(f"__p{k}" for k in range(n_classes))).alias("prediction"))
-
-    t, v, u = (materialise(ready(x), "probe").cache() for x in (train, val, test))
-    n = t.count()
-
-    def score(c: float) -> float:
-        got = said(c, t, n, v)
-        if n_classes is None:
-            return got.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-        return agg_avg_precision(got, "prediction", label).first()[0]
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(score, cs))
-    best = max(range(len(cs)), key=lambda i: (scores[i], -i))
-    rows = t.unionByName(v) if refit else t
-    found = said(cs[best], rows, rows.count(), u).select(*test.columns, "prediction", F.lit(scores[best]).alias("val_score"), F.lit(float(cs[best])).alias("c"))
-    return found
+# ---- probes and scores
 
 
 def probe_linear_select(val_scores: DataFrame, test_scores: DataFrame) -> DataFrame:

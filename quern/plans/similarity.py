@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions.expr import dot, vec_template
 from quern.operators import joins as J
 from quern.operators import neighbours as N
+from quern.operators import probes as P
 from quern.operators import vectors as V
 from quern.operators.metrics import agg_entity_stats
 from quern.plans.fixtures import view
@@ -192,7 +193,7 @@ def probe_logreg(spark, sf):
     """All strengths; a fifth of the vectors to choose by, a fifth to report on."""
     e = view(spark, sf, "embeddings").withColumn("part", F.col("vec_id") % 5)
     train, val, test = (e.filter(c).drop("part") for c in ("part > 1", "part = 1", "part = 0"))
-    return V.probe_logreg(train, val, test).select("vec_id", "label", "prediction", "val_score", "c")
+    return P.probe_logreg(train, val, test).select("vec_id", "label", "prediction", "val_score", "c")
 
 
 @query("WITH v AS (SELECT experiment_id AS probe, avg(value) AS top1 FROM history WHERE metric = 'click' GROUP BY 1), b AS (SELECT probe FROM v ORDER BY top1 DESC, probe LIMIT 1) SELECT experiment_id AS probe, metric AS test_set, round(avg(value), 6) AS top1 FROM history WHERE experiment_id = (SELECT probe FROM b) GROUP BY 1, 2")

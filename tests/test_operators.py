@@ -11,10 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.expr import clip, fn_interp, fn_uri_rewrite, grid_lookup, strata
-from quern.functions.rank import global_rank, group_quantiles, running_minima, shared_path
-from quern.operators import classification, density, joins, metrics, neighbours, reweight, sampling, trials, vectors
+from quern.functions.rank import global_rank, group_quantiles, materialise, running_minima, shared_path
+from quern.operators import classification, density, joins, metrics, neighbours, probes, reweight, sampling, trials, vectors
 from quern.plans.fixtures import view
-from quern.sources import readers, sinks
+from quern.sources import files, readers, sinks
 from quern.streaming import live
 
 
@@ -251,32 +251,64 @@ def test_balanced_assignment_shares_prototypes_alike(spark):
     assert all(abs(r.s - 10) < 1e-3 for r in q.groupBy("prototype").agg(F.sum("q").alias("s")).collect())
 
 
-def test_probe_equals_plain_newton_and_reports_on_unseen_rows(spark):
+def newton(x, hot, c, several=False):
+    """Logistic regression by full Newton steps with the whole Hessian, halved until they descend: weights with intercept, per class."""
+    n, k = hot.shape
+    x = np.concatenate([x, np.ones((n, 1))], 1)
+    p = x.shape[1]
+    w, ridge = np.zeros((k, p)), np.append(np.ones(p - 1), 0) / (c * n)
+
+    def loss(w):
+        z = x @ w.T
+        free = np.logaddexp(0, z).sum() if several else np.logaddexp.reduce(z, 1).sum()
+        return (free - (z * hot).sum()) / n + (ridge * w * w).sum() / 2
+
+    for _ in range(200):
+        z = x @ w.T
+        q = 1 / (1 + np.exp(-z)) if several else np.exp(z - np.logaddexp.reduce(z, 1)[:, None])
+        g = (q - hot).T @ x / n + ridge * w
+        if np.abs(g).max() < 1e-13:
+            break
+        h = np.zeros((k, p, k, p))
+        for a in range(k):
+            for b in range(k):
+                share = q[:, a] * ((a == b) - (0 if several and a == b else q[:, b])) if not several else (q[:, a] * (1 - q[:, a]) if a == b else np.zeros(n))
+                h[a, :, b] = (x * share[:, None]).T @ x / n + (np.diag(ridge) if a == b else 0)
+        way = np.linalg.lstsq(h.reshape(k * p, k * p), g.ravel(), rcond=1e-13)[0].reshape(k, p)
+        step = 1.0
+        while loss(w - step * way) > loss(w) and step > 1e-9:
+            step /= 2
+        w = w - step * way
+    assert np.isfinite(w).all()
+    return w
+
+
+def test_probe_equals_plain_newton_at_every_strength_and_reports_on_unseen_rows(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(150, 3))
     y = np.argmax(x @ np.array([[1.5, -1, 0], [0, 1, -1], [0.3, 0, 1]]) + rng.normal(size=(150, 3)) * 0.7, 1)
-    df = spark.createDataFrame([(i, [float(v) for v in r], int(c), [int(c), (int(c) + 1) % 3] if i % 2 else [int(c)]) for i, (r, c) in enumerate(zip(x, y, strict=True))], "vec_id long, embedding array<double>, label int, labels array<int>")
+    labels = [[int(c), (int(c) + 1) % 3] if i % 2 else [int(c)] for i, c in enumerate(y)]
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(c), m) for i, (r, c, m) in enumerate(zip(x, y, labels, strict=True))], "vec_id long, embedding array<double>, label int, labels array<int>")
     parts = [df.filter("vec_id < 80"), df.filter("vec_id BETWEEN 80 AND 114"), df.filter("vec_id > 114")]
-
-    def plain(c, n):
-        """Softmax regression by gradient steps on the same objective: mean loss and squared weights, free intercepts."""
-        w, b, hot = np.zeros((3, 3)), np.zeros(3), np.eye(3)[y[:n]]
-        for _ in range(6000):
-            z = x[:n] @ w + b
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            w -= 0.3 * (x[:n].T @ (p - hot) / n + w / (c * n))
-            b -= 0.3 * (p - hot).mean(0)
-        return lambda at: np.argmax(x[at] @ w + b, 1)
-
-    cs = (0.001, 0.3, 100.0)
-    scores = [(plain(c, 80)(np.arange(80, 115)) == y[80:115]).mean() for c in cs]
-    best = cs[int(np.argmax(scores))]
-    got = vectors.probe_logreg(*parts, cs).collect()
-    assert {r.c for r in got} == {best} and abs(got[0].val_score - max(scores)) < 1e-9
-    want = plain(best, 115)(np.arange(115, 150))
-    assert sorted(r.vec_id for r in got) == [*range(115, 150)] and np.mean([r.prediction == want[r.vec_id - 115] for r in got]) > 0.97
-    many = vectors.probe_logreg(*parts, (0.3, 10.0), n_classes=3, label="labels").collect()
+    hot = np.eye(3)[y]
+    several = np.array([[c in m for c in range(3)] for m in labels], float)
+    plain = [newton(x[:80], hot[:80], c) for c in probes.STRENGTHS]
+    for target, column, is_several, want in ((hot, "label", False, plain), (several, "labels", True, None)):
+        rows = parts[0].select("embedding", column).repartition(3).mapInPandas(lambda b, s=is_several: probes._pack(3, s, b), "flat binary, hot binary")
+        got = probes.fit_logistic(materialise(rows, "probe"), 80, 3, probes.STRENGTHS, is_several)
+        assert np.isfinite(got).all()
+        for c, w, v in zip(probes.STRENGTHS, got, want or [newton(x[:80], target[:80], c, True) for c in probes.STRENGTHS], strict=True):
+            z = x[80:] @ w[:, :-1].T + w[:, -1], x[80:] @ v[:, :-1].T + v[:, -1]
+            chance = [1 / (1 + np.exp(-u)) if is_several else np.exp(u - np.logaddexp.reduce(u, 1)[:, None]) for u in z]
+            assert np.abs(chance[0] - chance[1]).max() < 2e-3, c
+            assert (z[0].argmax(1) == z[1].argmax(1)).all() or is_several
+    scores = [((x[80:115] @ w[:, :-1].T + w[:, -1]).argmax(1) == y[80:115]).mean() for w in plain]
+    best = int(np.argmax(scores))
+    found = probes.probe_logreg(*parts).collect()
+    assert {r.c for r in found} == {probes.STRENGTHS[best]} and abs(found[0].val_score - max(scores)) < 1e-9
+    w = newton(x[:115], hot[:115], probes.STRENGTHS[best])
+    assert {r.vec_id: r.prediction for r in found} == {i: int((x[i] @ w[:, :-1].T + w[:, -1]).argmax()) for i in range(115, 150)}
+    many = probes.probe_logreg(*parts, (0.3, 10.0), n_classes=3, label="labels").collect()
     assert len(many) == 35 and all(len(r.prediction) == 3 and all(0 < p < 1 for p in r.prediction) for r in many)
     assert np.mean([int(np.argmax(r.prediction)) in r.labels for r in many]) > 0.8
 
@@ -386,10 +418,10 @@ def test_captions_files_shards_and_readability(spark, tmp_path):
         (tmp_path / "img" / name).write_bytes(data)
     root = f"file://{tmp_path}/img"
     inventory = readers.src_file_inventory(spark, root)
-    assert sorted(r.basename for r in inventory.collect()) == ["a.JPG", "c.png"]
+    assert sorted((r.basename, r.length) for r in inventory.collect()) == [("a.JPG", 2), ("b.png", 0), ("c.png", 3)]
     wanted = spark.createDataFrame([(n,) for n in ("a.JPG", "b.png", "c.png", "none.png")], "filename string")
-    bad = readers.src_readability_check(wanted, inventory, probe=lambda b: b != b"bad", roots=root)
-    assert {(r.filename, r.problem) for r in bad.collect()} == {("b.png", "missing"), ("c.png", "unreadable"), ("none.png", "missing")}
+    bad = readers.src_readability_check(wanted, inventory, probe=lambda b: b != b"bad")
+    assert {(r.filename, r.problem) for r in bad.collect()} == {("b.png", "empty"), ("c.png", "unreadable"), ("none.png", "missing")}
     with tarfile.open(tmp_path / "t.tar", "w") as tar:
         info = tarfile.TarInfo("m.txt")
         info.size = 3
@@ -397,6 +429,42 @@ def test_captions_files_shards_and_readability(spark, tmp_path):
     assert [(r.name, bytes(r.content)) for r in readers.src_tar_shards(spark, f"file://{tmp_path}/*.tar").collect()] == [("m.txt", b"abc")]
 
 
+def test_listings_take_files_folders_and_wildcards(spark, tmp_path):
+    for name in ("a/1.tar", "a/b/2.tar", "a/b/c.d/3.tar", "x[1]/4.tar", "5.tar", "a+b/6.tar"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * int(name[-5]))
+
+    def names(roots):
+        return sorted(r.length for r in files.list_files(spark, roots).collect())
+
+    top = f"file://{tmp_path}"
+    assert names(top) == names(str(tmp_path) + "/") == [1, 2, 3, 4, 5, 6]
+    assert names(f"{top}/*.tar") == [5] and names(f"{top}/a/*") == [1, 2, 3] and names(f"{top}/a/?.tar") == [1]
+    assert names([f"{top}/a+b", f"{top}/5.tar", f"{top}/5.tar"]) == [5, 6] and names([f"{top}/a/b", f"{top}/a"]) == [1, 2, 3]
+    assert names(f"{top}/*/[!a]*/*.tar") == [2] and names(f"{top}/none") == names(f"{top}/none/*.tar") == []
+
+
+def test_one_shard_of_many_members_is_read_by_several_tasks(spark, tmp_path):
+    """Long names, folders, links, empty and large members; each member comes whole and once, in any cut."""
+    rng = random.Random(6)
+    want = {}
+    with tarfile.open(tmp_path / "t.tar", "w", format=tarfile.PAX_FORMAT) as tar:
+        for i in range(120):
+            info = tarfile.TarInfo(f"d/{'long' * (i % 40)}-é{i}.bin")
+            data = rng.randbytes(rng.choice([0, 1, 511, 512, 513, 9000]))
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+            want[info.name] = data
+            if i % 10 == 0:
+                link = tarfile.TarInfo(f"link{i}")
+                link.type, link.linkname = tarfile.SYMTYPE, info.name
+                tar.addfile(link)
+    for cut in (700, 20_000, 1 << 30):
+        rows = readers.src_tar_shards(spark, f"file://{tmp_path}/t.tar", cut).withColumn("task", F.spark_partition_id()).collect()
+        assert {r.name: bytes(r.content) for r in rows} == want and len(rows) == len(want)
+        assert (len({r.task for r in rows}) > 1) == (cut < 1 << 30)
+
+
 def test_lists_and_archive_logs(spark):
     lines = spark.createDataFrame([("/b/2.jpg  d/2.png/ 9",), ("a/1.jpg d/1.png 9",), ("",)], "value string")
     assert [tuple(r) for r in readers.pair_list(lines).collect()] == [("a/1.jpg", "d/1.png"), ("b/2.jpg", "d/2.png")]
