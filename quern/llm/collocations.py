@@ -3,7 +3,9 @@
 Texts are lower-cased (A to Z), cut into pieces at ``.,;:!?`` and line ends and into words at blanks and tabs. Everything is
 per language. A phrase is frequent if it occurs at least ``least`` times; all contiguous parts of a frequent phrase are.
 
-1. A sample of the rows (by hash) is mined level by level with a lowered threshold: the proposal.
+1. A sample of the rows (by hash) is mined level by level with its share of the threshold: the proposal. A lower threshold
+   there would spare few failures, and one expansion pass finds all that fails, while every further word that is proposed
+   makes the border larger.
 2. One pass over all rows counts, exactly, all words and every phrase whose first and last k - 1 words are both proposed:
    that is the proposal and its negative border. Phrases that reach ``least`` are frequent.
 3. A frequent phrase that was not proposed is a border failure: longer phrases with it were not counted. Failures join the
@@ -244,11 +246,6 @@ def proposal_bits(phrases: DataFrame, size: int, also: np.ndarray | None = None)
     return out.view(np.uint64)
 
 
-def lowered(least: int, share: float) -> int:
-    """A threshold in the sample that most phrases of ``least`` occurrences reach: a standard deviation below what is expected."""
-    return max(2, int(least * share - (least * share) ** 0.5))
-
-
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share: float = 0.1, most_bits: int = 1 << 28, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """lang, k (words; 0: the language's number of words), phrase, n of all phrases of up to ``longest`` words that occur ``least`` times or more. Written."""
     spark = docs.sparkSession
@@ -263,7 +260,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share:
 
     # the sample proposes, level by level
     sample = materialise(rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(10_000)) < int(10_000 * share)).select("lang", "text"), "sample")
-    least_here = lowered(least, share)
+    least_here = max(2, round(least * share))  # what it misses, the expansion pass finds for little; what it adds, all rows are counted for
     proposed, now, size = None, None, 0
     for k in range(1, longest):
         level = materialise(count(sample, range(k, k + 1), now).filter((F.col("k") > 0) & (F.col("n") >= least_here)).select("lang", "phrase"), "proposed")
