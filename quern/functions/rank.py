@@ -69,32 +69,41 @@ def group_rank(df: DataFrame, by: list[str], order: list[Column | str], name: st
     return ranked.join(first, same).select(*df.columns, (F.col("__g") - F.col("__f") + 1).alias(name), *([size] if size else []))
 
 
+def ranged(df: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
+    """The rows range-partitioned by group and order, with their partition's number in ``__part``; written, so that all passes see the same."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(parts, *(F.col(b) for b in by), *order).withColumn("__part", F.spark_partition_id()), "ranged")
+
+
+def here(by: list[str], order: list[Column | str]) -> Window:
+    """A group's rows of one partition, in order."""
+    return Window.partitionBy("__part", *by).orderBy(*order)
+
+
+def carried(ends: DataFrame, by: list[str], columns: dict[str, Column], back: int | None = None) -> DataFrame:
+    """What earlier partitions (``back`` of them, or all) of a group bring to each: ``columns`` are aggregates over rows of ``ends``, one per partition and group."""
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding if back is None else -back, -1)
+    return ends.select("__part", *by, *(c.over(before).alias(n) for n, c in columns.items()))
+
+
 def running_sums(df: DataFrame, by: list[str], order: list[Column | str], sums: dict[str, str]) -> DataFrame:
     """Running sums (``sums``: new column -> summed column) within ``by`` in an order, however many rows a group has.
 
     Range-partition on group and order, sum inside partitions, and add the groups' sums of earlier partitions.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialise(df.repartitionByRange(parts, *(F.col(b) for b in by), *order).withColumn("__part", F.spark_partition_id()), "ranged")
-    here = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over partitions
+    dealt, rows = ranged(df, by, order), here(by, order).rowsBetween(Window.unboundedPreceding, 0)
     totals = dealt.groupBy("__part", *by).agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))
-    starts = totals.select("__part", *by, *(F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in sums))
-    inside = dealt.select(*dealt.columns, *(F.sum(c).over(here).alias(n) for n, c in sums.items()))
-    return inside.join(starts, ["__part", *by]).select(*df.columns, *((F.col(n) + F.col(f"__s_{n}")).alias(n) for n in sums))
+    starts = carried(totals, by, {f"__s_{n}": F.sum(f"__t_{n}") for n in sums})
+    inside = dealt.select(*dealt.columns, *(F.sum(c).over(rows).alias(n) for n, c in sums.items()))
+    return inside.join(starts, ["__part", *by]).select(*df.columns, *((F.col(n) + F.coalesce(F.col(f"__s_{n}"), F.lit(0))).alias(n) for n in sums))
 
 
 def running_minima(df: DataFrame, by: list[str], order: list[Column | str], col: Column, name: str) -> DataFrame:
     """Running minimum within ``by`` in an order, however many rows a group has: like ``running_sums``, with minima carried from earlier partitions."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.withColumn("__v", col).repartitionByRange(parts, *(F.col(b) for b in by), *order).withColumn("__part", F.spark_partition_id())
-    dealt = materialise(placed, "ranged")
-    here = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over partitions
+    dealt, rows = ranged(df.withColumn("__v", col), by, order), here(by, order).rowsBetween(Window.unboundedPreceding, 0)
     least = dealt.groupBy("__part", *by).agg(F.min("__v").alias("__m"))
-    starts = least.select("__part", *by, F.min("__m").over(before).alias("__s"))
-    inside = dealt.withColumn("__h", F.min("__v").over(here))
-    return inside.join(starts, ["__part", *by]).select(*df.columns, F.least("__h", "__s").alias(name))
+    inside = dealt.withColumn("__h", F.min("__v").over(rows))
+    return inside.join(carried(least, by, {"__s": F.min("__m")}), ["__part", *by]).select(*df.columns, F.least("__h", "__s").alias(name))
 
 
 def group_quantiles(df: DataFrame, by: list[str], col: str, quantiles: dict[str, float]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.expr import fair_weight, no_nan
-from quern.functions.rank import global_rank, group_quantiles, running_minima
+from quern.functions.rank import carried, global_rank, group_quantiles, here, materialise, ranged, running_minima
 
 
 def agg_axis_breakdown(long: DataFrame, cat: Sequence[str], cont: Sequence[str], q: int = 4) -> DataFrame:
@@ -49,18 +49,26 @@ def agg_best_trials(runs: DataFrame, k: int, score: str = "score", status: str =
 def agg_best_epoch(history: DataFrame, patience: int, run: str | Sequence[str] = "run_id", step: str = "step", value: str = "value", full_data: bool = False) -> DataFrame:
     """Per run the first epoch of the smallest value seen before ``patience`` epochs pass without a strict improvement.
 
-    Trained on all data, the last epoch is the best by rule.
+    Trained on all data, the last epoch is the best by rule. A run may have any number of epochs: the smallest value, the number of
+    epochs and the last improvement are carried from one range of a run to the next.
     """
     by = [run] if isinstance(run, str) else list(run)
     if full_data:
         return history.groupBy(*by).agg(F.max(step).alias("best_epoch"), F.max_by(value, step).alias("best_value"), F.max(step).alias("stopped_at"))
-    order = Window.partitionBy(*by).orderBy(step)
-    before = F.min(value).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = history.withColumn("better", before.isNull() | (F.col(value) < before)).withColumn("n", F.row_number().over(order))
-    since = marked.withColumn("idle", F.col("n") - F.max(F.when(F.col("better"), F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    stop = since.withColumn("stops", F.min(F.when(F.col("idle") >= patience, F.col("n"))).over(Window.partitionBy(*by)))
-    live = stop.filter(F.col("stops").isNull() | (F.col("n") <= F.col("stops")))
-    return live.groupBy(*by).agg(F.min_by(step, F.struct(value, step)).alias("best_epoch"), F.min(value).alias("best_value"), F.max(step).alias("stopped_at"))
+    dealt, rows = ranged(history.select(*by, step, value), by, [step]), here(by, [step])
+    so_far = rows.rowsBetween(Window.unboundedPreceding, 0)
+    ends = dealt.groupBy("__part", *by).agg(F.min(value).alias("__m"), F.count(F.lit(1)).alias("__c"))
+    known = dealt.join(carried(ends, by, {"__low": F.min("__m"), "__n0": F.sum("__c")}), ["__part", *by])
+    before = F.least(F.min(value).over(rows.rowsBetween(Window.unboundedPreceding, -1)), "__low")
+    n = F.row_number().over(rows) + F.coalesce("__n0", F.lit(0))
+    marked = known.select("__part", *by, step, value, n.alias("__n"), F.when(before.isNull() | (F.col(value) < before), n).alias("__b"))
+    marked = materialise(marked, "epochs")
+    last = carried(marked.groupBy("__part", *by).agg(F.max("__b").alias("__b")), by, {"__b0": F.max("__b")})
+    idle = F.col("__n") - F.greatest(F.max("__b").over(so_far), "__b0")
+    stops = marked.join(last, ["__part", *by]).select(*by, F.when(idle >= patience, F.col("__n")).alias("__s")).groupBy(*by).agg(F.min("__s").alias("__s"))
+    live = marked.join(stops, by).filter(F.col("__s").isNull() | (F.col("__n") <= F.col("__s")))
+    first = F.min_by(step, F.when(F.col(value).isNotNull(), F.struct(value, step)))  # an epoch without a value is never the best of a run with one
+    return live.groupBy(*by).agg(F.coalesce(first, F.min(step)).alias("best_epoch"), F.min(value).alias("best_value"), F.max(step).alias("stopped_at"))
 
 
 def win_best_so_far(runs: DataFrame, score: str = "score", order: Sequence[str] = ("start_time", "run_id"), by: Sequence[str] = ("experiment_id",), skip_bad: bool = True) -> DataFrame:
@@ -90,13 +98,27 @@ def win_progress(history: DataFrame, run: str = "run_id", step: str = "step") ->
 
 
 def win_smoothed(history: DataFrame, window: int = 20, by: Sequence[str] = ("run_id", "metric"), step: str = "step", value: str = "value") -> DataFrame:
-    """Median (lower middle) and mean of the last ``window`` points, running mean, maximum and last value."""
-    recent = Window.partitionBy(*by).orderBy(step).rowsBetween(-(window - 1), 0)
-    run = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    values = F.array_sort(F.collect_list(value).over(recent))  # at most ``window`` values
-    return history.select(
-        *by, step, value, F.element_at(values, F.floor((F.size(values) + 1) / 2).cast("int")).alias("median"), F.avg(value).over(recent).alias("avg"),
-        F.avg(value).over(run).alias("global_avg"), F.max(value).over(recent).alias("max"),
+    """Median (lower middle) and mean of the last ``window`` points, running mean, maximum and last value.
+
+    A run is split into ranges of steps: each starts with the last points of the ranges before (as many as the window needs) and
+    with their sum and number, so however long it is, it is no task's alone. Missing values take a place and count for nothing.
+    """
+    by, point = list(by), F.struct(F.col(value).alias("v"))
+    dealt, rows = ranged(history.select(*by, step, value), by, [step]), here(by, [step])
+    tails = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__part", *by).orderBy(F.desc(step)))).groupBy("__part", *by)
+    ends = tails.agg(F.sum(value).alias("__s"), F.count(value).alias("__c"), F.collect_list(F.when(F.col("__r") < window, F.struct(F.col("__r"), F.col(value).alias("v")))).alias("__t"))
+    ends = ends.withColumn("__t", F.transform(F.sort_array("__t", False), lambda x: F.struct(x["v"].alias("v"))))
+    halo = carried(ends, by, {"__halo": F.collect_list("__t")}, window - 1)
+    sums = carried(ends, by, {"__s0": F.sum("__s"), "__c0": F.sum("__c")})
+    inside = dealt.select("*", F.collect_list(point).over(rows.rowsBetween(-(window - 1), 0)).alias("__own"), F.sum(value).over(rows.rowsBetween(Window.unboundedPreceding, 0)).alias("__s1"), F.count(value).over(rows.rowsBetween(Window.unboundedPreceding, 0)).alias("__c1"))
+    near = F.concat(F.flatten("__halo"), "__own")
+    near = F.slice(near, F.greatest(F.size(near) - window + 1, F.lit(1)), window)
+    values = F.array_sort(F.filter(F.transform(near, lambda x: x["v"].cast("double")), lambda x: x.isNotNull()))  # at most ``window``
+    met = inside.join(halo, ["__part", *by]).join(sums, ["__part", *by]).withColumn("__w", values)
+    n, total = F.col("__c1") + F.coalesce("__c0", F.lit(0)), F.coalesce("__s1", F.lit(0.0)) + F.coalesce("__s0", F.lit(0.0))
+    return met.select(
+        *by, step, value, F.get("__w", F.floor((F.size("__w") - 1) / 2).cast("int")).alias("median"), F.try_divide(F.aggregate("__w", F.lit(0.0), lambda a, x: a + x), F.size("__w")).alias("avg"),
+        F.try_divide(total, n).alias("global_avg"), F.array_max("__w").alias("max"),
     )
 
 

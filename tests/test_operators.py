@@ -386,6 +386,46 @@ def test_flags_never_take_all_but_one(spark):
     assert {r.vec_id for r in vectors.dup_flag_cluster(df).filter("outlier").collect()} == {2}
 
 
+def test_long_runs_are_split_and_give_what_one_range_gives(spark):
+    """One run with nearly all rows over many ranges, some shorter than the window; missing values take their places."""
+    rng = random.Random(9)
+    rows = [("a", s, None if rng.random() < 0.05 else float(rng.randrange(-40, 40)) + s / 50) for s in range(300)] + [("b", s, float(-s)) for s in range(7)] + [("c", 1, None)]
+    df = spark.createDataFrame(rows, "run_id string, step long, value double").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "37"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {(r.run_id, r.step): r for r in trials.win_smoothed(df, 20, ["run_id"]).collect()}
+            epochs = {p: {r.run_id: r for r in trials.agg_best_epoch(df, p).collect()} for p in (1, 8, 60, 500)}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert len(got) == len(rows)
+        for run in "abc":
+            values = [v for r, _, v in sorted(rows, key=lambda r: r[:2]) if r == run]
+            steps = sorted(s for r, s, _ in rows if r == run)
+            for i, s in enumerate(steps):
+                near, all_ = (sorted(v for v in part if v is not None) for part in (values[max(0, i - 19) : i + 1], values[: i + 1]))
+                r = got[run, s]
+                if near:
+                    assert r.median == near[(len(near) - 1) // 2] and abs(r.avg - sum(near) / len(near)) < 1e-9 and r.max == near[-1]
+                    assert abs(r.global_avg - sum(all_) / len(all_)) < 1e-9
+                else:
+                    assert r.median is r.avg is r.max is None
+            for patience, found in epochs.items():
+                low, at, idle, stopped = None, steps[0], 0, steps[-1]
+                for i, (s, v) in enumerate(zip(steps, values, strict=True)):
+                    if i == 0 or low is None or (v is not None and v < low):
+                        low, at, idle = (v, s, 0) if v is not None or low is None else (low, at, idle)
+                    else:
+                        idle += 1
+                        if idle >= patience:
+                            stopped = s
+                            break
+                assert found[run].stopped_at == stopped
+                if low is not None:
+                    assert (found[run].best_epoch, found[run].best_value) == (at, low)
+
+
 def test_best_epoch_and_patience(spark):
     values = [5.0, 4.0, 4.0, 6.0, 3.0, 1.0]
     df = spark.createDataFrame([(1, i + 1, v) for i, v in enumerate(values)], "run_id int, step int, value double")
