@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.expr import dot
-from quern.functions.rank import group_quantiles, materialise
+from quern.functions.rank import group_quantiles, group_rank, materialise
 
 #: Rows of a block that is compared with others: BLOCK at least, and where there are many rows a 64th of them, up to MOST
 #: bytes. What is shuffled is the table times its blocks, so blocks are as large as memory allows. TILE rows of a block are
 #: multiplied with TILE others at once; AT_ONCE block pairs reach a task together.
 BLOCK, MOST, TILE, AT_ONCE = 1024, 32 << 20, 2048, 2
+#: Parts into which the edges or members of one node are dealt.
+SALTS = 32
 
 
 def _blocks(vecs: DataFrame, key: str, vector: str, block: int, by: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
@@ -117,34 +119,82 @@ def agg_balanced_assign(logits_long: DataFrame, temperature: float, iters: int =
     return q.select("sample", "prototype", (F.col("q") * F.col("__b")).alias("q"))
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the smallest neighbour of u, itself included: column m.
+
+    Minima are taken per (u, salt) and go back to edges by (u, salt), so a hub with any number of edges meets many tasks.
+    """
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = materialise(dealt.groupBy("u", "salt").agg(F.min("v").alias("m")), "minima")
+    least = parts.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return dealt.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).drop("salt")
+
+
 def dup_clusters(edges: DataFrame, scope: str = "intra") -> DataFrame:
     """Connected components of pairs (a, b): node, cluster_id (its smallest node), scope, cluster_size.
 
-    Labels flow along edges and follow the labels' own labels; each round is written, so no lineage grows and lost
-    executors cost nothing. Rounds grow with the logarithm of the longest chain.
+    Alternating stars: every node ties its larger neighbours to the smallest node that it knows (large star), then itself and its
+    smaller neighbours (small star), until each component is one star around its smallest node. Each round is written; rounds
+    grow with the logarithm of the number of nodes.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    pairs = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    before = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = materialise(labels.join(near, "node").select("node", "label", F.least("label", "m").alias("new")), "step")
-        jump = step.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        new = materialise(step.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.coalesce("further", "new").alias("label")), "labels")
-        labels = new.select("node", "label")
-        if new.filter("old <> label").isEmpty():
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = materialise(_with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        near = _with_least(large)  # of each node to smaller ones only
+        small = near.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v")
+        pairs = materialise(small.distinct(), "small-star")
+        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
             break
-    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("cluster_size"))
-    return labels.join(size, "label").select("node", F.col("label").alias("cluster_id"), F.lit(scope).alias("scope"), "cluster_size")
+        before = now
+    labels = materialise(nodes.join(pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("label")), "labels")
+    sizes = labels.groupBy("label", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.join(sizes.groupBy("label").agg(F.sum("n").alias("cluster_size")), "label").drop("n")
+    sized = labels.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(sizes, ["label", "salt"])
+    return sized.select("node", F.col("label").alias("cluster_id"), F.lit(scope).alias("scope"), "cluster_size")
 
 
-def agg_cluster_stats(members: DataFrame, vecs: DataFrame, key: str = "vec_id", vector: str = "embedding", entity: str = "entity_id", label: str = "y") -> DataFrame:
+def agg_cluster_stats(members: DataFrame, vecs: DataFrame, key: str = "vec_id", vector: str = "embedding", entity: str = "entity_id", label: str = "y", block: int = BLOCK) -> DataFrame:
     """Per cluster: size, distinct entities, label spread and median, cohesion (smallest similarity of its pairs), four places."""
     rows = members.select(F.col("node").alias(key), "cluster_id", "scope").join(vecs.select(key, vector, entity, label), key)
     stats = rows.groupBy("cluster_id", "scope").agg(F.count(F.lit(1)).alias("cluster_size"), F.countDistinct(entity).alias("n_entities"), F.round(F.max(label) - F.min(label), 4).alias("label_spread"))
     middle = group_quantiles(rows, ["cluster_id"], label, {"cluster_median": 0.5}).select("cluster_id", F.round("cluster_median", 4).alias("cluster_median"))
     stats = stats.join(middle, "cluster_id", "left")
-    lows = materialise(_block_pairs(_blocks(rows, key, vector, BLOCK, "cluster_id")).mapInPandas(_lowest, "by long, low double"), "lowest", AT_ONCE)
-    return stats.join(lows.groupBy(F.col("by").alias("cluster_id")).agg(F.round(F.min("low"), 4).alias("cohesion")), "cluster_id", "left")
+    return stats.join(lowest_similarity(rows, key, vector, block).select("cluster_id", F.round("low", 4).alias("cohesion")), "cluster_id", "left")
+
+
+def outward_blocks(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
+    """The rows of each cluster in blocks of ``block`` by falling distance r from the cluster's mean c: by, block, ids, flat, and
+    what bounds the similarities of its rows: low (smallest c.x - c.c / 2) and reach (largest r)."""
+    rows = rows.filter(F.col(vector).isNotNull()).select("cluster_id", F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    means = rows.select("cluster_id", F.posexplode("v").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg("x").alias("x"))
+    means = means.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
+    near = rows.join(means, "cluster_id")
+    gap = F.zip_with("v", "c", lambda x, y: x - y)
+    placed = group_rank(materialise(near.select("cluster_id", "k", "v", (dot("c", "v") - dot("c", "c") / 2).alias("p"), F.sqrt(dot(gap, gap)).alias("r")), "radii"), ["cluster_id"], [F.desc("r"), F.col("k")], "place")
+    dealt = placed.withColumn("block", F.floor((F.col("place") - 1) / block).cast("int"))
+    packed = dealt.groupBy(F.col("cluster_id").alias("by"), "block").agg(F.collect_list(F.struct("k", "v")).alias("l"), F.min("p").alias("low"), F.max("r").alias("reach"))
+    return materialise(packed.select("by", "block", F.transform("l", lambda x: x["k"]).alias("ids"), F.flatten(F.transform("l", lambda x: x["v"])).alias("flat"), "low", "reach"), "blocks")
+
+
+def lowest_similarity(rows: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
+    """Per cluster_id the smallest similarity of two of its rows: low. Clusters of one row have none.
+
+    For any x, y and the cluster's mean c: x.y >= (c.x - c.c / 2) + (c.y - c.c / 2) - |x - c| |y - c|. The rows that lie furthest out
+    meet each other first; then only those blocks meet that can hold a lower pair than was found so.
+    """
+    blocks = outward_blocks(rows, key, vector, block)
+    left, right = (blocks.select("by", F.col("block").alias(n), *(F.col(c).alias(c + e) for c in ("ids", "flat"))) for n, e in (("i", ""), ("j", "2")))
+    first = left.filter("i = 0").join(right.filter("j = 0"), "by")
+    outer = materialise(first.mapInPandas(_lowest, "by long, low double"), "outermost", AT_ONCE)
+    heads = blocks.select("by", "block", "low", "reach")
+    pairs = heads.select("by", F.col("block").alias("i"), "low", "reach").join(heads.select("by", F.col("block").alias("j"), F.col("low").alias("low2"), F.col("reach").alias("reach2")), "by").filter("i <= j AND j > 0")
+    open_ = pairs.join(outer.select("by", F.col("low").alias("found")), "by", "left").filter(F.col("found").isNull() | (F.col("low") + F.col("low2") - F.col("reach") * F.col("reach2") - 1e-9 < F.col("found")))
+    more = materialise(open_.select("by", "i", "j").join(left, ["by", "i"]).join(right, ["by", "j"]).mapInPandas(_lowest, "by long, low double"), "lowest", AT_ONCE)
+    return outer.unionByName(more).groupBy(F.col("by").alias("cluster_id")).agg(F.min("low").alias("low"))
 
 
 def _lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

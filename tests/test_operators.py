@@ -161,6 +161,64 @@ def test_clusters_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(31)) and all(got[i] == 100 for i in range(100, 140))
 
 
+def test_stars_give_the_components_of_any_graph(spark):
+    rng = random.Random(12)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 620)] + [(900 + i % 7, 900) for i in range(9)] + [(700, 700)]
+    edges = spark.createDataFrame(pairs + pairs[:30], "a long, b long")
+    root = {n: n for p in pairs for n in p}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {n: find(n) for n in root}
+    got = {r.node: r for r in vectors.dup_clusters(edges).collect()}
+    assert {n: r.cluster_id for n, r in got.items()} == want
+    assert all(r.cluster_size == sum(c == r.cluster_id for c in want.values()) for r in got.values())
+    assert vectors.dup_clusters(edges.limit(0)).count() == 0
+
+
+def test_the_edges_of_a_hub_are_dealt_to_many_tasks(spark):
+    hub = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("v"), F.col("id").alias("u"))
+    both = hub.unionByName(hub.select(F.col("u").alias("v"), F.col("v").alias("u")))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = vectors._with_least(both).filter("u = 0").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(r["count"] for r in met) == 20_000 and max(r["count"] for r in met) < 5_000
+
+
+def test_lowest_similarity_looks_at_few_pairs_of_a_hot_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.ones((1, 6)) + rng.normal(size=(1200, 6)) * 0.01, np.ones((1, 6)) + rng.normal(size=(40, 6)), rng.normal(size=(25, 6)), rng.normal(size=(1, 6))])
+    group = [7] * 1240 + [8] * 25 + [9]
+    df = spark.createDataFrame([(i, g, [float(v) for v in r]) for i, (g, r) in enumerate(zip(group, x, strict=True))], "vec_id long, cluster_id long, embedding array<double>")
+    looked = []
+    real = vectors.materialise
+    monkeypatch.setattr(vectors, "materialise", lambda d, name, *a: looked.append((name, d)) or real(d, name, *a))
+    got = {r.cluster_id: r.low for r in vectors.lowest_similarity(df, "vec_id", "embedding", 40).collect()}
+    for g in (7, 8):
+        s = x[np.array(group) == g] @ x[np.array(group) == g].T
+        assert abs(got[g] - s[np.triu_indices(len(s), 1)].min()) < 1e-9
+    assert 9 not in got
+    blocks = -(-1240 // 40)
+    assert blocks * (blocks + 1) / 2 == 496
+    heads = [d for name, d in looked if name == "blocks"][0].count()
+    assert heads == blocks + 2
+    met = [d for name, d in looked if name == "lowest"][0]
+    assert met.count() < 100  # rows are pairs of blocks
+
+
 def test_cross_pairs_treat_unknown_entities_as_different(spark):
     rows = [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0]), (3, None, [1.0, 0.0]), (4, None, [1.0, 0.01]), (5, "b", [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, entity_id string, embedding array<double>")
