@@ -17,7 +17,9 @@ as whole words (no letter or digit touches them), all at once by an Aho-Corasick
 The benchmark's q-grams go to the tasks in blocks of at most ``BLOCK_CHARS`` characters of passages (about 60 bytes a
 character, 120 MB a block); a larger benchmark is taken in several passes over the documents, one block at a time, whose
 result is written before the next block is made, so what is held and broadcast is bounded whatever the benchmark's size.
-Documents are processed whole, in chunks of bounded size.
+Documents are processed whole, in overlapping tiles: equal tiles (a line that repeats) are searched once, q-grams that tiles
+and passages share are expanded a bounded number at a time, equal segments of several items are one, and equal windows are
+aligned once, many windows together.
 
 Defined cases. Null texts count as empty and are clean. Null or blank items match nothing. Repeated documents are judged
 row by row; an item that occurs twice under one id is one item. An empty benchmark leaves every document clean, and an
@@ -40,6 +42,9 @@ Q, SEGMENT, STRIDE, EDITS = 8, 120, 60, 0.1
 LEAST = 2 * Q + 2  # characters from which an item is found by its q-grams
 SHORT, SHORT_STRIDE = 80, 40  # SHORT + SHORT_STRIDE - 1 characters hold a whole short segment
 BLOCK_CHARS = 2_000_000
+#: Texts are searched in tiles that overlap by more than a passage with its edits; equal tiles once. Shared q-grams that are
+#: expanded at once, and alignments done at once.
+TILE, OVER, HITS, PAIRS = 2048, 192, 4_000_000, 2_000
 _U = np.uint64
 
 
@@ -68,42 +73,53 @@ def segments(text: str) -> list[tuple[int, str]]:
     return whole if len(text) <= SEGMENT else whole + cut(SHORT, SHORT_STRIDE)
 
 
-def banded_distance(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int, int] | None:
-    """The fewest edits by which ``a`` occurs inside ``b`` (free ends in b), with start and end in b; None if over ``k``.
+def banded_distances(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """For each row the fewest edits by which ``a`` occurs inside the first ``sizes`` points of ``b`` (free ends in b), with start
+    and end in b; edits are -1 where there are more than k.
 
-    ``b`` is len(a) + w long at most by construction, so the columns of each row are a band of w + 1 diagonals.
+    The columns of each step are a band of diagonals, as wide as the rows of ``b`` are longer than those of ``a``.
     """
-    n, w = len(a), max(0, len(b) - len(a)) + k
-    lanes = np.arange(-k, w + 1)  # diagonal: place in b minus place in a
-    far = 10**6
-    cost = np.where((lanes >= 0) & (lanes <= len(b)), 0, far)
-    start = np.where(lanes >= 0, lanes, 0)
-    padded = np.concatenate([b, np.zeros(1, b.dtype)])
+    pairs, n = a.shape
+    out = np.full((pairs, 3), -1, np.int64)
+    if not pairs:
+        return out
+    lanes = np.arange(-k, max(0, b.shape[1] - n) + k + 1, dtype=np.int32)  # diagonal: place in b minus place in a
+    one, far = np.int32(1 << 12), np.int32(1 << 28)  # a cell holds its edits times one and its start; ties go to the first start
+    live, shift = np.arange(pairs), lanes * one
+    # outside of b nothing is equal; no way leads back into it from its end, and none comes from before its begin
+    wide = np.full((pairs, k + 1 + b.shape[1] + n + len(lanes)), 0xFFFFFFFF, np.uint32)
+    wide[:, k + 1 : k + 1 + b.shape[1]] = np.where(np.arange(b.shape[1]) < sizes[:, None], b, 0xFFFFFFFF)
+    cell = np.broadcast_to(np.where((lanes >= 0) & (lanes <= b.shape[1]), np.maximum(lanes, 0), far), (pairs, len(lanes))).astype(np.int32)
     for i in range(1, n + 1):
-        j = lanes + i
-        inside = (j >= 0) & (j <= len(b))
-        same = (j >= 1) & inside & (padded[np.clip(j - 1, 0, len(b))] == a[i - 1])
-        step = np.where(j >= 1, cost + ~same, far)  # match or replace
-        gone = np.append(cost[1:], far) + 1  # a point of a that b lacks
-        new = np.minimum(step, gone)
-        begun = np.where(step <= gone, start, np.append(start[1:], 0))
-        new = np.where(inside, new, far)
-        # points of b that a lacks: running minimum along the band
-        lift = new - lanes
-        low = np.minimum.accumulate(lift)
-        at = np.maximum.accumulate(np.where(lift == low, np.arange(len(lanes)), 0))
-        cost, start = np.where(inside, low + lanes, far), begun[at]
-        if cost.min() > k:
-            return None
-    best = int(cost.argmin())
-    return (int(cost[best]), int(start[best]), int(lanes[best]) + n) if cost[best] <= k else None
+        new = cell + (wide[:, i : i + len(lanes)] != a[:, i - 1 : i]) * one  # match or replace
+        np.minimum(new[:, :-1], cell[:, 1:] + one, out=new[:, :-1])  # a point of a that b lacks
+        cell = np.minimum.accumulate(new - shift, 1) + shift  # points of b that a lacks
+        if i % 8 == 0:
+            keep = cell.min(1) < (k + 1) * one
+            if not keep.all():
+                live, cell, a, wide, sizes = (x[keep] for x in (live, cell, a, wide, sizes))
+                if not len(live):
+                    return out
+    cell = np.where(lanes + n <= sizes[:, None], cell, far)
+    best, row = (cell // one).argmin(1), np.arange(len(live))
+    found = cell[row, best]
+    good = found < (k + 1) * one
+    out[live[good]] = np.stack([found // one, found % one, lanes[best] + n], 1)[good]
+    return out
+
+
+def banded_distance(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int, int] | None:
+    """The same of one pair: edits, start and end in b; None if over ``k``."""
+    edits, start, end = banded_distances(a[None], b[None], np.array([len(b)]), k)[0].tolist()
+    return (edits, start, end) if edits >= 0 else None
 
 
 class Block:
     """A block of segments with the sorted codes of their q-grams and where each occurs; and an automaton of short items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.text, self.need, self.k = [], [], [], []
+        self.text, self.items, self.need, self.k = [], [], [], []
+        known: dict[str, int] = {}
         codes, owner, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         short: dict[str, list[int]] = {}
         for item, text in items:
@@ -111,14 +127,19 @@ class Block:
                 short.setdefault(text, []).append(item)
                 continue
             for _, s in segments(text):
+                if s in known:  # equal segments are one, with several items
+                    if self.items[known[s]][-1] != item:
+                        self.items[known[s]].append(item)
+                    continue
+                known[s] = len(self.text)
                 g = grams(points(s))
                 k = max(0, min(int(len(s) * EDITS), (len(g) - 2) // Q))  # so that the bound is two q-grams at least
-                self.item.append(item)
+                self.items.append([item])
                 self.text.append(s)
                 self.k.append(k)
                 self.need.append(len(g) - k * Q)
                 codes.append(g)
-                owner.append(np.full(len(g), len(self.item) - 1))
+                owner.append(np.full(len(g), len(self.text) - 1))
                 place.append(np.arange(len(g)))
         code = np.concatenate(codes)
         order = np.argsort(code, kind="stable")
@@ -140,24 +161,19 @@ class Block:
     def slot(self, codes: np.ndarray) -> np.ndarray:
         return ((codes * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the codes of a text: place in the text, segment, place in the segment, for each shared q-gram."""
+    def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in a text whose q-gram the block has, and the number of that q-gram."""
         maybe = np.flatnonzero(self.seen[self.slot(codes)])
         at = np.minimum(np.searchsorted(self.code, codes[maybe]), len(self.code) - 1)
         real = self.code[at] == codes[maybe]
-        maybe, at = maybe[real], at[real]
-        times = self.times[at]
-        where = np.repeat(self.first[at] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        return np.repeat(maybe, times), self.owner[where], self.place[where]
-
-    def regions(self, p: np.ndarray) -> np.ndarray:
-        """(segment, diagonal where the band begins) of the bands that reach their segment's bound, in several texts at once.
-
-        The texts in ``p`` are more than a segment apart, so bands don't mix them.
-        """
-        if not self.text:
-            return np.zeros((0, 2), np.int64)
-        at, owner, place = self.hits(grams(p))
+        return maybe[real], at[real]
+
+    def regions(self, at: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """(segment, diagonal where the band begins) of the bands that reach their segment's bound, from shared q-grams: places in
+        the text and numbers."""
+        times = self.times[gram]
+        where = np.repeat(self.first[gram] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        at, owner, place = np.repeat(at, times), self.owner[where], self.place[where]
         width = self.width[owner]
         band = (at - place) // width
         both_owner = np.concatenate([owner, owner])
@@ -186,32 +202,93 @@ def short_items(block: Block, text: str) -> Iterator[tuple[int, int, int]]:
             yield from ((item, a, b) for item in owners)
 
 
+def _groups(at: np.ndarray, hits: np.ndarray, begins: np.ndarray) -> Iterator[slice]:
+    """Ranges of shared q-grams (places ``at``) with at most HITS hits: of several tiles, of one, or overlapping ones within a tile."""
+    edges = np.searchsorted(at, begins)
+    total = np.append(0, np.cumsum(hits))
+    first = 0
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if total[b] - total[first] > HITS:
+            if a > first:
+                yield slice(first, a)
+            first = a
+            if total[b] - total[a] > HITS:
+                for x in range(int(at[a]), int(at[b - 1]) + 1, OVER):
+                    yield slice(*np.searchsorted(at, (x, x + 2 * OVER)))
+                first = b
+    if len(at) > first:
+        yield slice(first, len(at))
+
+
+def _verified(block: Block, tiles: list[str], windows: dict[tuple[int, str], list[tuple[int, int]]], out: list[dict]) -> None:
+    """Put what occurs in the windows (segment, text of the window: where it lies) to the tiles' finds."""
+    unsure: dict[tuple[int, int], list[tuple[int, str]]] = {}
+
+    def put(seg: int, window: str, edits: int, start: int, end: int) -> None:
+        for tile, lo in windows[seg, window]:
+            found = seg, lo + start, lo + end
+            out[tile][found] = min(edits, out[tile].get(found, edits))
+
+    for seg, window in windows:
+        n, k = int(block.length[seg]), block.k[seg]
+        same = window.find(block.text[seg])
+        if same >= 0:
+            put(seg, window, 0, same, same + n)
+        elif k:
+            unsure.setdefault((n, k), []).append((seg, window))
+    for (n, k), pairs in unsure.items():
+        for i in range(0, len(pairs), PAIRS):
+            some = pairs[i : i + PAIRS]
+            sizes = np.array([len(w) for _, w in some])
+            a = points("".join(block.text[seg] for seg, _ in some)).reshape(-1, n)
+            b = points("".join(w.ljust(sizes.max(), "\0") for _, w in some)).reshape(len(some), -1)
+            for (seg, window), (edits, start, end) in zip(some, banded_distances(a, b, sizes, k).tolist(), strict=True):
+                if edits >= 0:
+                    put(seg, window, edits, start, end)
+
+
+def in_tiles(block: Block, tiles: list[str]) -> list[dict[tuple[int, int, int], int]]:
+    """For each tile (segment, start, end) -> edits of the segments found in it."""
+    out: list[dict] = [{} for _ in tiles]
+    if not block.text or not tiles:
+        return out
+    gap = SEGMENT * 2 + 64  # bands don't mix tiles
+    begins = np.cumsum([0, *(len(t) + gap for t in tiles)])
+    p = np.zeros(begins[-1], np.uint32)
+    for t, b in zip(tiles, begins, strict=False):
+        p[b : b + len(t)] = points(t)
+    at, gram = block.shared(grams(p))
+    for part in _groups(at, block.times[gram], begins):
+        windows: dict[tuple[int, str], list[tuple[int, int]]] = {}
+        for seg, diagonal in block.regions(at[part], gram[part]).tolist():
+            k, n = block.k[seg], int(block.length[seg])
+            i = int(np.searchsorted(begins, max(0, diagonal + (k + 1) + n // 2), side="right")) - 1
+            if i < len(tiles):
+                lo, hi = max(diagonal - k - int(begins[i]), 0), diagonal + 2 * (k + 1) + n + k - int(begins[i])
+                if window := tiles[i][lo : max(hi, 0)]:
+                    windows.setdefault((seg, window), []).append((i, lo))
+        _verified(block, tiles, windows, out)
+    return out
+
+
 def find(block: Block, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
-    """For each text (item, start, end, edits) of the passages found, places in the normalised text."""
-    gap = SEGMENT * 2 + 64
+    """For each text (item, start, end, edits) of the passages found, places in the normalised text.
+
+    A find at an inner edge of a tile may be cut; the tile beside it has it whole.
+    """
     plain = [normalised(t) for t in texts]
-    flat = [points(t) for t in plain]
-    begins = np.cumsum([0, *(len(f) + gap for f in flat)])
-    p = np.zeros(begins[-1], np.uint32)
-    for f, b in zip(flat, begins, strict=False):
-        p[b : b + len(f)] = f
+    where: dict[str, list[tuple[int, int]]] = {}
+    for i, t in enumerate(plain):
+        for a in range(0, max(1, len(t) - OVER), TILE):
+            where.setdefault(t[a : a + TILE + OVER], []).append((i, a))
     out: list[dict] = [{} for _ in texts]
-    for seg, diagonal in block.regions(p).tolist():
-        k, n = block.k[seg], int(block.length[seg])
-        lo, hi = diagonal - k, diagonal + 2 * (k + 1) + n + k
-        i = int(np.searchsorted(begins, max(0, diagonal + (k + 1) + n // 2), side="right")) - 1
-        if i >= len(texts):
-            continue
-        b = int(begins[i])
-        lo, hi = max(lo, b), min(hi, b + len(flat[i]))
-        if hi <= lo:
-            continue
-        same = plain[i].find(block.text[seg], lo - b, hi - b)
-        got = (0, same + b - lo, same + b - lo + n) if same >= 0 else banded_distance(points(block.text[seg]), p[lo:hi], k)
-        if got:
-            edits, x, y = got
-            found = (block.item[seg], lo - b + x, lo - b + y)
-            out[i][found] = min(edits, out[i].get(found, edits))
+    for (tile, places), found in zip(where.items(), in_tiles(block, [*where]), strict=True):
+        for (seg, x, y), edits in found.items():
+            for i, a in places:
+                if (x or not a) and (y < len(tile) or a + y == len(plain[i])):
+                    for item in block.items[seg]:
+                        key = item, a + x, a + y
+                        out[i][key] = min(edits, out[i].get(key, edits))
     if block.short is not None:
         for i, t in enumerate(plain):
             out[i].update((found, 0) for found in short_items(block, t))

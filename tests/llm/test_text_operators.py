@@ -3,6 +3,7 @@ import csv
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import time
@@ -535,7 +536,7 @@ def test_passages_equal_brute_force_both_ways():
         texts[k] = f"{texts[k][:150]} {spoilt(some[cut:], rng.choice([0, 0.04, 0.08, 0.12, 0.2]), rng)} {texts[k][150:]}"
     block = decontaminate.Block([(i, decontaminate.normalised(t)) for i, t in items])
     got = {(k, item) for k, found in enumerate(decontaminate.find(block, texts)) for item, *_ in found}
-    want = {(k, block.item[s]) for k, t in enumerate(texts) for s in range(len(block.text)) if fewest_edits(block.text[s], decontaminate.normalised(t)) <= block.k[s]}
+    want = {(k, i) for k, t in enumerate(texts) for s in range(len(block.text)) for i in block.items[s] if fewest_edits(block.text[s], decontaminate.normalised(t)) <= block.k[s]}
     assert got == want and len(want) > 10
 
 
@@ -569,3 +570,38 @@ def test_banded_distance_equals_full_table():
         k = 6
         got = decontaminate.banded_distance(decontaminate.points(a), decontaminate.points(b), k)
         assert (got[0] if got else None) == (min(row) if min(row) <= k else None)
+
+
+def test_repeated_characters_and_shared_prompts_equal_brute_force(monkeypatch):
+    """Few different q-grams, each at many places, and items that share most of their text; small bounds, so that slices are cut everywhere."""
+    rng = random.Random(31)
+    prompt = prose(7, 5)[:60]
+    items = [(0, "-" * 130), (1, "=-" * 40), (2, "-" * 130), *((10 + i, f"{prompt} {prose(4, 70 + i)}") for i in range(5))]
+    texts = ["-" * 129, "-" * 700, "-" * 100 + "=" + "-" * 300, "=-" * 300, "".join(rng.choice("-=") for _ in range(400)), " ".join(f"{prompt} {prose(4, 70 + i % 5)}" for i in range(12)), prose(90, 1)]
+    for tile, hits in ((2048, 4_000_000), (193, 5_000), (500, 50)):
+        monkeypatch.setattr(decontaminate, "TILE", tile)
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        block = decontaminate.Block([(i, decontaminate.normalised(t)) for i, t in items])
+        found = decontaminate.find(block, texts)
+        want = {(k, i) for k, t in enumerate(texts) for s in range(len(block.text)) for i in block.items[s] if fewest_edits(block.text[s], decontaminate.normalised(t)) <= block.k[s]}
+        assert {(k, item) for k, fs in enumerate(found) for item, *_ in fs} == want and len(want) >= 12
+        assert [f[:3] for f in found[1] if f[0] in (0, 2)] == [(0, 0, 700), (2, 0, 700)]
+
+
+def _in_a_process_of_its_own(code, seconds, megabytes):
+    import subprocess
+    import sys
+
+    run = subprocess.run([sys.executable, "-c", f"import resource; resource.setrlimit(resource.RLIMIT_AS, ({megabytes} << 20,) * 2)\n{code}"], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), capture_output=True, text=True, timeout=seconds, env=os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"})
+    assert run.returncode == 0, run.stderr[-800:]
+    return run.stdout.split()
+
+
+def test_long_runs_and_many_quotes_stay_within_memory():
+    runs = "from quern.llm import decontaminate as d\nb = d.Block([(1, '-' * 130)])\nprint([[x[:3] for x in f] for f in d.find(b, ['-' * 1_500_000, '-= ' * 200_000])])"
+    assert "".join(_in_a_process_of_its_own(runs, 60, 3000)) == "[[(1,0,1500000)],[]]"
+    quotes = (
+        "from quern.llm import decontaminate as d\nimport random\nr = random.Random(1)\np = ' '.join(f'word{r.randrange(99)}' for _ in range(13))\n"
+        "items = [(i, f'{p} {i:05d}') for i in range(300)]\nb = d.Block(items)\nf = d.find(b, [' '.join(f'{p} {i:05d}' for i in range(200))])\nprint(len({x[0] for x in f[0]}), len(f[0]))"
+    )
+    assert _in_a_process_of_its_own(quotes, 120, 3000) == ["300", "60000"]
