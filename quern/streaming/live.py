@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def str_live_best(stream: DataFrame, by: tuple[str, ...] = ("experiment_id", "run_id"), step: str = "step", value: str = "value") -> DataFrame:
@@ -15,73 +16,121 @@ def str_live_best(stream: DataFrame, by: tuple[str, ...] = ("experiment_id", "ru
     return stream.groupBy(*by).agg(F.min(value).alias("best_value"), F.max_by(value, step).alias("last_value"), F.count(F.lit(1)).alias("n"))
 
 
-def _smooth(window: int):
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        steps, values, n, total = ([*x] if isinstance(x, (list, tuple)) else x for x in (state.get if state.exists else ([], [], 0, 0.0)))
-        for batch in batches:
-            n += len(batch)
-            total += float(batch.value.sum())
-            steps += [int(s) for s in batch.step]
-            values += [float(v) for v in batch.value]
-            order = sorted(range(len(steps)), key=lambda i: (steps[i], values[i]))[-window:]  # batches may come out of order
-            steps, values = [steps[i] for i in order], [values[i] for i in order]
-        state.update((steps, values, n, total))
-        middle = sorted(values)[(len(values) - 1) // 2]
-        yield pd.DataFrame({"run_id": [key[0]], "metric": [key[1]], "n": [n], "median": [middle], "avg": [sum(values) / len(values)], "global_avg": [total / n], "last": [values[-1]]})
+def keep_states(stream: DataFrame) -> None:
+    """Let the session keep streams' states in RocksDB, which the processors below need."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    return update
+
+class Smooth(StatefulProcessor):
+    """The last ``window`` points of a run's metric by step, and the number and sum of all."""
+
+    def __init__(self, window: int):
+        self.window = window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.points = handle.getValueState("points", "steps array<long>, vals array<double>, n long, total double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        steps, values, n, total = self.points.get() or ([], [], 0, 0.0)
+        points = [*zip(steps, values, strict=True)]
+        for r in rows:  # batches may come out of order
+            points.append((r.step, r.value))
+            n, total = n + 1, total + r.value
+        points = sorted(points)[-self.window :]
+        steps, values = [p[0] for p in points], [p[1] for p in points]
+        self.points.update((steps, values, n, total))
+        yield Row(run_id=key[0], metric=key[1], n=n, median=sorted(values)[(len(values) - 1) // 2], avg=sum(values) / len(values), global_avg=total / n, last=values[-1])
+
+    def close(self) -> None:
+        pass
 
 
 def str_smoothed(stream: DataFrame, window: int = 20) -> DataFrame:
-    """Per run and metric, after each batch: median (lower middle) and mean of the last ``window`` steps, mean of all, last value."""
-    return stream.select("run_id", "metric", "step", "value").groupBy("run_id", "metric").applyInPandasWithState(
-        _smooth(window), "run_id long, metric string, n long, median double, avg double, global_avg double, last double", "steps array<long>, vals array<double>, n long, total double", "update", "NoTimeout"
-    )
-
-
-def _stop(patience: int, names: tuple[str, ...], wait_ms: int | None):
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        best, best_step, idle, stopped, waiting_s, waiting_v, seen = state.get if state.exists else (float("inf"), -1, 0, -1, [], [], 0)
-        pending = dict(zip(waiting_s, waiting_v, strict=True))
-        if not state.hasTimedOut:
-            for batch in batches:
-                pending |= {int(s): float(v) for s, v in zip(batch.step, batch.value, strict=True)}
-        # steps are 1, 2, ...: later ones wait until those before them have come, or until the wait is over
-        while pending and (seen + 1 in pending or state.hasTimedOut):
-            seen = seen + 1 if seen + 1 in pending else min(pending)
-            v = pending.pop(seen)
-            if stopped >= 0:
-                continue
-            if v < best:
-                best, best_step, idle = v, seen, 0
-            else:
-                idle += 1
-                if idle >= patience:
-                    stopped = seen
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            late = {s: v for s, v in pending.items() if s > seen} if stopped < 0 else {}
-            state.update((best, best_step, idle, stopped, [*late], [*late.values()], seen))
-            if wait_ms is not None:
-                state.setTimeoutDuration(wait_ms)
-        yield pd.DataFrame({**{n: [k] for n, k in zip(names, key, strict=True)}, "best_step": [best_step], "best_value": [best], "stopped_at": [stopped if stopped >= 0 else None]}).astype({"stopped_at": "Int64"})
+    """Per run and metric, after each batch: median (lower middle) and mean of the last ``window`` steps, mean of all, last value. Points without a value are left out."""
+    keep_states(stream)
+    rows = stream.select("run_id", "metric", "step", "value").filter("step IS NOT NULL AND value IS NOT NULL")
+    return rows.groupBy("run_id", "metric").transformWithState(Smooth(window), "run_id long, metric string, n long, median double, avg double, global_avg double, last double", "Update", "None")
 
-    return update
+
+class Stop(StatefulProcessor):
+    """A run's best step and where it stopped. Steps are 1, 2, ...; those that come before their turn wait in a map, and a timer ends the wait."""
+
+    def __init__(self, by: tuple[str, ...], patience: int, wait_ms: int | None):
+        self.by, self.patience, self.wait_ms = by, patience, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "best double, best_step long, idle long, stopped long, seen long, waiting long")
+        self.late = handle.getMapState("late", "step long", "value double")
+
+    def _start(self) -> None:
+        self.best, self.best_step, self.idle, self.stopped, self.seen, self.waiting = self.run.get() or (float("inf"), -1, 0, -1, 0, 0)
+
+    def _take(self, step: int, value: float) -> None:
+        self.seen = step
+        if value < self.best:
+            self.best, self.best_step, self.idle = value, step, 0
+        else:
+            self.idle += 1
+            if self.idle >= self.patience:
+                self.stopped = step
+
+    def _end(self, key: tuple) -> Iterator[Row]:
+        if self.stopped >= 0 and self.waiting:  # what comes after the stop changes nothing
+            self.late.clear()
+            self.waiting = 0
+        self.run.update((self.best, self.best_step, self.idle, self.stopped, self.seen, self.waiting))
+        yield Row(**dict(zip(self.by, key, strict=True)), best_step=self.best_step, best_value=self.best, stopped_at=self.stopped if self.stopped >= 0 else None)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        self._start()
+        new = {r.step: r.value for r in rows}
+        while self.stopped < 0:
+            step = self.seen + 1
+            if step in new:
+                self._take(step, new.pop(step))
+            elif self.waiting and self.late.containsKey((step,)):
+                self._take(step, self.late.getValue((step,))[0])
+                self.late.removeKey((step,))
+                self.waiting -= 1
+            else:
+                break
+        early = {s: v for s, v in new.items() if s > self.seen} if self.stopped < 0 else {}
+        for step, value in early.items():
+            self.waiting += not self.late.containsKey((step,))
+            self.late.updateValue((step,), (value,))
+        if self.wait_ms is not None:
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            if self.waiting and self.stopped < 0:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+        return self._end(key)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self._start()
+        for step, value in sorted((k[0], v[0]) for k, v in self.late.iterator()):
+            if self.stopped < 0:
+                self._take(step, value)
+        self.late.clear()
+        self.waiting = 0
+        return self._end(key)
+
+    def close(self) -> None:
+        pass
 
 
 def str_early_stop(stream: DataFrame, patience: int, by: tuple[str, ...] = ("run_id",), wait_ms: int | None = None) -> DataFrame:
     """Per run, after each batch: best step so far, and the step at which ``patience`` steps had passed without strict improvement.
 
-    With ``wait_ms``, for streams that go on, a run whose next step doesn't come in that time goes on with the steps that it
-    has, and its state ends. Without it state waits; a stream that ends when all is read (availableNow) needs that, since
-    Spark keeps such a stream open for time-outs.
+    With ``wait_ms``, for streams that go on, a run whose next step doesn't come in that time goes on with the steps that it has;
+    steps that come later than that are left out. Without it they wait; a stream that ends when all is read (availableNow)
+    needs that, since Spark keeps a stream with timers open.
     """
+    keep_states(stream)
     kinds = dict(stream.dtypes)
     keys = ", ".join(f"{b} {kinds[b]}" for b in by)
-    return stream.select(*by, "step", "value").groupBy(*by).applyInPandasWithState(
-        _stop(patience, tuple(by), wait_ms), f"{keys}, best_step long, best_value double, stopped_at long", "best double, best_step long, idle long, stopped long, waiting_s array<long>, waiting_v array<double>, seen long", "update", "NoTimeout" if wait_ms is None else "ProcessingTimeTimeout"
-    )
+    rows = stream.select(*by, F.col("step").cast("long").alias("step"), F.col("value").cast("double").alias("value")).filter("step IS NOT NULL AND value IS NOT NULL")
+    return rows.groupBy(*by).transformWithState(Stop(tuple(by), patience, wait_ms), f"{keys}, best_step long, best_value double, stopped_at long", "Update", "None" if wait_ms is None else "ProcessingTime")
 
 
 def run_available(stream_out: DataFrame, path: str, mode: str = "update") -> DataFrame:

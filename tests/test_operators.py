@@ -594,27 +594,32 @@ def test_early_stop_waits_for_steps_that_come_late(spark):
     assert (last.best_step, last.best_value, last.stopped_at) == (2, 4.0, 4)
 
 
-def test_early_stop_ends_its_wait():
-    class State:
-        exists, hasTimedOut, get, removed = False, False, None, False
+def test_a_gap_ends_by_timer_in_a_stream_that_goes_on(spark):
+    import time
 
-        def update(self, value):
-            self.exists, self.get = True, value
+    path, view_path = shared_path(spark, "gap"), shared_path(spark, "gap-view")
+    put = lambda rows: spark.createDataFrame(rows, "run_id long, step long, value double").coalesce(1).write.mode("append").parquet(path)
+    put([(7, 1, 5.0), (7, 3, 6.0), (7, 4, 7.0), (7, 5, 1.0), (8, 1, 2.0), (8, 2, 1.0)])
+    stream = spark.readStream.schema("run_id long, step long, value double").parquet(path)
+    seen = {}
 
-        def setTimeoutDuration(self, ms):
-            assert ms == 9
+    def keep(rows, batch):
+        seen.update({r.run_id: (r.best_step, r.best_value, r.stopped_at) for r in rows.collect()})
 
-        def remove(self):
-            self.removed = True
-
-    import pandas as pd
-
-    state, update = State(), live._stop(2, ("run_id",), 9)
-    first = next(update((7,), iter([pd.DataFrame({"step": [1, 3, 4, 5], "value": [5.0, 6.0, 7.0, 1.0]})]), state))
-    assert first.best_step[0] == 1 and state.get[4] == [3, 4, 5]
-    state.hasTimedOut = True
-    last = next(update((7,), iter([]), state))
-    assert (last.best_step[0], last.stopped_at[0]) == (1, 4) and state.removed
+    query = live.str_early_stop(stream, 2, wait_ms=3000).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", view_path).trigger(processingTime="500 milliseconds").start()
+    try:
+        end = time.time() + 90
+        first = None
+        while time.time() < end and seen.get(7, (0, 0, None))[2] is None:
+            first = first or seen.get(7)
+            time.sleep(0.2)
+        assert first == (1, 5.0, None) and seen[7] == (1, 5.0, 4) and seen[8] == (2, 1.0, None)
+        put([(7, 2, 0.0), (8, 3, 0.5)])  # too late, and in time
+        while time.time() < end and seen[8][0] < 3:
+            time.sleep(0.2)
+        assert seen[7] == (1, 5.0, 4) and seen[8] == (3, 0.5, None)
+    finally:
+        query.stop()
 
 
 def test_entry_contract(spark):
