@@ -76,6 +76,23 @@ def fn_uri_rewrite(uri: Column | str, marker: str, new_root: str) -> Column:
     return F.when(tail != "", F.concat(scheme, F.lit(new_root.rstrip("/")), tail)).otherwise(uri)
 
 
+def fn_short(text: Column | str, most: int = 60) -> Column:
+    """The text, or its beginning with three dots where it has more than ``most`` characters."""
+    text = col(text)
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+
+
+def fn_range_label(low: Column | str, high: Column | str) -> Column:
+    """A range of numbers as text, with three places."""
+    return F.when(col(low).isNotNull() & col(high).isNotNull(), F.format_string("[%.3f, %.3f]", col(low), col(high)))
+
+
+def fn_param_lines(name: Column | str, params: Column | str, keys: Sequence[str], most: int = 60, between: str = "\n") -> Column:
+    """A run's name and those of its parameters that are there, as lines key=value with short values."""
+    params = col(params)
+    return F.concat_ws(between, col(name), *(F.when(params[k].isNotNull(), F.concat(F.lit(f"{k}="), fn_short(params[k], most))) for k in keys))
+
+
 def first_of(values: Column, names: Sequence[str]) -> Column:
     """First non-null of a map's entries under several (legacy) names."""
     return F.coalesce(*(values[n] for n in names))

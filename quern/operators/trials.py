@@ -143,6 +143,15 @@ def srt_trial_order(runs: DataFrame, mode: str = "best", score: str = "score", s
     return global_rank(runs, [order, F.col(key)], "position").orderBy("position")
 
 
+def flt_params(runs: DataFrame, text: str | None = None, params: str = "params", key: str = "run_id") -> DataFrame:
+    """Per run the parameters whose key or value holds a text, in any case (all without a text): the run's key, param, value."""
+    rows = runs.select(key, F.explode(params).alias("param", "value"))
+    if not text:
+        return rows
+    holds = lambda c: F.contains(F.lower(c), F.lower(F.lit(text)))
+    return rows.filter(holds("param") | F.coalesce(holds(F.col("value").cast("string")), F.lit(False)))
+
+
 def trial_number(name: str = "run_name") -> Column:
     """Number after "trial" in a run's name; null without one."""
     return F.nullif(F.regexp_extract(name, r"trial[_-]?(\d+)", 1), F.lit("")).cast("long")

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quern.functions.expr import fn_interp as interp
+from quern.functions.expr import fn_param_lines as param_lines
+from quern.functions.expr import fn_range_label as range_label
+from quern.functions.expr import fn_short as short
 from quern.functions.expr import fn_uri_rewrite as uri_rewrite
 from quern.functions.rank import shared_path
 from quern.operators import trials as T
@@ -132,6 +135,32 @@ def fn_text_parts(spark, sf):
     return d.select("doc_id", F.nullif(F.regexp_extract("source", r"src(\d+)", 1), F.lit("")).cast("long").alias("entity"), F.concat_ws(":", "lang", F.substring("source", 1, 2)).alias("family"), F.when(F.lower("lang").contains("en"), "english").otherwise("other").alias("label"))
 
 
+def with_params(spark, sf):
+    return view(spark, sf, "runs").withColumn("params", F.create_map(F.lit("pooling"), "pooling", F.lit("grid_size"), "grid_size", F.lit("pretrain_lr"), F.col("lr").cast("decimal(12,2)").cast("string")))
+
+
+@query("""SELECT * FROM (SELECT run_id, 'pooling' AS param, pooling AS value FROM runs UNION ALL SELECT run_id, 'grid_size', grid_size FROM runs UNION ALL SELECT run_id, 'pretrain_lr', CAST(CAST(lr AS DECIMAL(12,2)) AS VARCHAR) FROM runs)
+    WHERE contains(lower(param), 'in') OR contains(lower(value), 'in')""")
+def flt_params(spark, sf):
+    return T.flt_params(with_params(spark, sf), "In")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 60 THEN left(text, 57) || '...' ELSE text END AS short FROM documents")
+def fn_short(spark, sf):
+    return view(spark, sf, "documents").select("doc_id", short("text").alias("short"))
+
+
+@query("SELECT run_id, printf('[%.3f, %.3f]', floor(lr / 1e3), floor(lr / 1e3) + 1) AS label FROM runs")
+def fn_range_label(spark, sf):
+    low = F.floor(F.col("lr") / 1000).cast("double")
+    return view(spark, sf, "runs").select("run_id", range_label(low, low + 1).alias("label"))
+
+
+@query("SELECT run_id, run_name || '|pooling=' || CASE WHEN length(pooling) > 8 THEN left(pooling, 5) || '...' ELSE pooling END || '|grid_size=' || grid_size AS lines FROM runs")
+def fn_param_lines(spark, sf):
+    return with_params(spark, sf).select("run_id", param_lines("run_name", "params", ["pooling", "absent", "grid_size"], 8, "|").alias("lines"))
+
+
 # ---- sources and sinks: tables are written by Spark in the format first, then read by the operator
 
 

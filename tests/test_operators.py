@@ -229,6 +229,16 @@ def test_cross_pairs_treat_unknown_entities_as_different(spark):
     assert {(r.a, r.b) for r in near.collect()} == {(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
 
 
+def test_recall_of_approximate_cross_pairs(spark):
+    """Of the exact pairs at a similarity of 0.9 or more, projections find at least nine in ten, and none that isn't one."""
+    rng = np.random.default_rng(21)
+    x = np.concatenate([c + rng.normal(size=(6, 16)) * 0.05 for c in rng.normal(size=(80, 16))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, i % 7, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, entity_id long, embedding array<double>")
+    exact, near = ({(r.a, r.b) for r in vectors.join_pairs_cross(df, 0.9, approx=a).collect()} for a in (False, True))
+    assert len(exact) > 300 and near <= exact and len(near) >= 0.9 * len(exact)
+
+
 def test_nearest_neighbours_equal_brute_force_over_blocks(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(90, 6))
