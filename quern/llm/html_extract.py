@@ -8,7 +8,7 @@ of the host, for each label path that they have: with its texts, and with whethe
 
 * A text that four in five pages with its path (four at least) have there is template, whichever page lacks it.
 * A path whose nodes are lists of links (three or more, nine tenths of their text) on four in five pages (four at least)
-  is a menu, even where its entries differ from page to page.
+  is a menu, even where its entries differ from page to page, unless it stands inside an article or main element.
 
 What varies otherwise is content. The wrapper of a host is its template texts with their paths and its menus' paths;
 extraction parses each page again and leaves these out. What varies on every page and still is no content (menus, headers,
@@ -31,6 +31,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ from ._common import bound_batches, col, group_minima, map_text, materialise, sp
 from .url_filter import url_parts
 
 TAG = re.compile(
-    r"""<!--(?:.*?-->|.*)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)>""",
+    r"""<!--(?:-?>|.*?-->|.*)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)>""",
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -63,11 +64,30 @@ NOT_CONTENT_WORDS = frozenset(
 )
 
 
+#: Of these, words that also stand in names of content, so that all other parts of the name must be known ones.
+OFTEN_CONTENT = frozenset("side social related recommended recommendations share sharing skip alert notice notices discussion promotion promotions respond reply replies subscription consent widget widgets banner banners".split())
+PLAIN_PARTS = frozenset("list lists area section wrap wrapper container block box bar inner outer content main left right top bottom primary secondary first second col column row item items entry link links title heading form unit slot group panel holder site page global local user reader post posts article articles blog google module region zone stories buttons icons media bookmarks to".split())
+#: Parts of names that tell how a block is shown, or what the page around has or lacks.
+STATES = frozenset("no has have with without is not hide hidden show shown fixed sticky open opened closed enabled disabled none off on visible expanded collapsed".split())
+
+
+def named_boiler(name: str) -> bool:
+    """Whether a class name or id says that a block is no content."""
+    parts = [p for p in re.split(r"[-_]+", name) if p]
+    said = NOT_CONTENT_WORDS.intersection(parts)
+    if not said or STATES.intersection(parts):
+        return False
+    return bool(said - OFTEN_CONTENT) or all(p in NOT_CONTENT_WORDS or p in PLAIN_PARTS or p.isdigit() for p in parts)
+
+
 class Node:
-    __slots__ = ("boiler", "children", "label", "linked", "parent", "tag", "text")
+    __slots__ = ("boiler", "children", "depth", "label", "linked", "named", "parent", "tag", "text")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, boiler: bool):
-        self.tag, self.label, self.parent, self.boiler = tag, label, parent, boiler
+    def __init__(self, tag: str, label: str, parent: Node | None, boiler: bool, named: bool = False):
+        self.tag, self.label, self.parent = tag, label, parent
+        #: no content by its tag or role, or (named) by its name alone
+        self.boiler, self.named = boiler or named, named and not boiler
+        self.depth = 0 if parent is None else parent.depth + 1
         #: pieces of text and nodes, in order; None is a break
         self.children: list[Node] = []
         self.text: list[str | Node | None] = []
@@ -85,34 +105,59 @@ def _node(tag: str, rest: str, parent: Node | None) -> Node:
                 boiler |= value.strip() in NOT_CONTENT_ROLES
             else:
                 names += value.split()
-    if names and tag not in ("html", "body", "main") and not boiler:
-        boiler = any(w in NOT_CONTENT_WORDS for n in names for w in re.split(r"[-_]+", n))
+    named = tag not in ("html", "body", "main") and any(map(named_boiler, names))
     label = ".".join([tag, *sorted({re.sub(r"\d+", "", n) for n in names})])
-    return Node(tag, label, parent, boiler)
+    return Node(tag, label, parent, boiler, named)
+
+
+def _keep_most(nodes: list[Node]) -> None:
+    """A block that holds nearly all text of the page (19 parts in 20, what is no content by tags and roles apart) is content, whatever its name."""
+    size = [0] * len(nodes)
+    where = {id(x): i for i, x in enumerate(nodes)}
+    for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
+        x = nodes[i]
+        if x.boiler and not x.named:
+            size[i] = 0
+            continue
+        size[i] += sum(len(t) - t.count(" ") for t in x.text if isinstance(t, str) and not t.isspace())
+        if x.parent is not None:
+            size[where[id(x.parent)]] += size[i]
+    for x, n in zip(nodes, size, strict=True):
+        if x.named and n >= 0.95 * size[0]:
+            x.boiler = False
 
 
 def parse(page: str) -> Node:
-    """The tree of block elements; inline markup leaves its text in the block around it."""
+    """The tree of block elements; inline markup leaves its text in the block around it.
+
+    Open elements are kept by tag, so that no end tag and no implied end climbs through what it doesn't close; and behind the
+    last ``>`` there are no tags to search for. So the time grows with the page's length, however broken it is.
+    """
     root = top = Node("#", "#", None, False)
-    at, n = 0, len(page)
+    nodes = [root]
+    at, n, last = 0, len(page), page.rfind(">")
     low = link = None  # link: the block in which a link is open
-    opened: dict[str, int] = {}  # open elements by tag, so that ends of what isn't open need no search
+    opened: dict[str, list[Node]] = {}  # outermost first
 
     def close_to(node: Node) -> None:
         nonlocal top
         while top is not node:
-            opened[top.tag] -= 1
+            opened[top.tag].pop()
             top = top.parent
 
+    def innermost(tags) -> int:
+        return max((opened[t][-1].depth for t in tags if opened.get(t)), default=-1)
+
     def say(text: str) -> None:
         top.text.append(text)
         if link is top:
             top.linked.append(text)
 
     while at < n:
-        m = TAG.search(page, at)
+        m = TAG.search(page, at) if at <= last else None
         if m is None:
-            say(page[at:])
+            begun = page.find("<!--", at)
+            say(page[at:] if begun < 0 else page[at:begun])
             break
         if m.start() > at:
             say(page[at : m.start()])
@@ -125,10 +170,8 @@ def parse(page: str) -> Node:
             if tag == "a":
                 link = None
             elif tag in BLOCK and opened.get(tag):
-                node = top
-                while node.tag != tag and not (tag == "li" and node.tag in ("ul", "ol")) and not (tag == "p" and node.tag != "p"):
-                    node = node.parent
-                if node.tag == tag:
+                node = opened[tag][-1]
+                if not (tag == "li" and innermost(("ul", "ol")) > node.depth) and not (tag == "p" and top.tag != "p"):
                     close_to(node.parent)
             continue
         if tag not in BLOCK:
@@ -140,15 +183,15 @@ def parse(page: str) -> Node:
         rest = m["rest"] or m["rest2"] or ""
         if tag in CLOSES_P and top.tag == "p":
             close_to(top.parent)
-        if tag in IMPLIED and any(opened.get(c) for c in IMPLIED[tag][0]):
+        if tag in IMPLIED:
             closes, within = IMPLIED[tag]
-            node = last = top
-            while node.parent is not None and node.tag not in within:
-                if node.tag in closes:
-                    last = node.parent
-                node = node.parent
-            close_to(last)
+            floor = innermost(within)
+            # the outermost open one inside of what holds them
+            found = [stack[bisect_right(stack, floor, key=lambda x: x.depth)] for t in closes if (stack := opened.get(t)) and stack[-1].depth > floor]
+            if found:
+                close_to(min(found, key=lambda x: x.depth).parent)
         node = _node(tag, rest, top)
+        nodes.append(node)
         top.children.append(node)
         top.text.append(node)
         if tag in VOID or (rest.endswith("/") and tag in ("svg",)):
@@ -163,7 +206,9 @@ def parse(page: str) -> Node:
                 at = n if close < 0 else close + 1
             continue
         top = node
-        opened[tag] = opened.get(tag, 0) + 1
+        opened.setdefault(tag, []).append(node)
+    if any(x.named for x in nodes):
+        _keep_most(nodes)
     return root
 
 
@@ -424,26 +469,28 @@ def extract(page: str, rules: list[str] | None) -> str:
             blocks.append(text)
         run.clear()
 
-    def opened(node: Node, outer: str) -> tuple[Iterator, str] | None:
-        """What is left of a node: its pieces, or only its child nodes where its text is template; and its path."""
+    def opened(node: Node, outer: str, inside: bool) -> tuple[Iterator, str, bool] | None:
+        """What is left of a node: its pieces, or only its child nodes where its text is template; its path; and whether it is
+        in the article, whose lists of links are content."""
         path = inner_path(outer, node.label) if drop else ""
-        if node.boiler or path in drop:
+        inside |= node.tag in ("article", "main")
+        if node.boiler or (path in drop and not inside):
             return None
-        return (iter(node.children if drop and f"{path}:{digest(own_text(node))}" in drop else node.text), path)
+        return (iter(node.children if drop and f"{path}:{digest(own_text(node))}" in drop else node.text), path, inside)
 
-    stack = [opened(parse(page), "")]
+    stack = [opened(parse(page), "", False)]
     while stack:
         if stack[-1] is None:
             stack.pop()
             continue
-        pieces, path = stack[-1]
+        pieces, path, inside = stack[-1]
         for x in pieces:
             if isinstance(x, str):
                 run.append(x)
                 continue
             end_run()
             if x is not None:
-                stack.append(opened(x, path))
+                stack.append(opened(x, path, inside))
                 break
         else:
             end_run()

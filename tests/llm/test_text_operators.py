@@ -605,3 +605,37 @@ def test_long_runs_and_many_quotes_stay_within_memory():
         "items = [(i, f'{p} {i:05d}') for i in range(300)]\nb = d.Block(items)\nf = d.find(b, [' '.join(f'{p} {i:05d}' for i in range(200))])\nprint(len({x[0] for x in f[0]}), len(f[0]))"
     )
     assert _in_a_process_of_its_own(quotes, 120, 3000) == ["300", "60000"]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="page no-sidebar"><p>Main text here.', "Main text here."),
+        ('<div class="content has-comments"><p>Main', "Main"),
+        ('<article class="post header-fixed"><p>Main', "Main"),
+        ('<div class="menu">m</div><div class="social-science"><p>Main text</div>', "Main text"),
+        ('<div class="comments"><p>all there is', "all there is"),
+        ('<p>One two three</p><div class="sidebar-left">s</div><div class="comment-list">c</div><div id="social-share">z</div><div class="site-footer">f</div>', "One two three"),
+        ("<p>a<!-->b</p><p>c</p><!-- n --><p>d", "ab c d"),
+        ("<p>a<!-- <p>b", "a"),
+        ("<ul><li>a<ul><li>b</li><li>c</ul><li>d</ul>e", "a b c d e"),
+    ],
+)
+def test_names_tell_of_blocks_and_not_of_pages(page, text):
+    assert html_extract.extract(page, None) == text
+
+
+def test_lists_of_sources_inside_articles_stay(spark):
+    links = lambda s, i: "<ul class=refs>" + "".join(f"<li><a href=/{s}{i}{j}>{prose(2, 50 * i + j)}</a></li>" for j in range(4)) + "</ul>"
+    pages = [(i, f"http://x.example/{i}", f"<html><body><ul class=top>{links('m', i)}</ul><article><p>{prose(40, i)}</p><h2>Sources</h2>{links('s', i + 100)}</article></body></html>") for i in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for r in html_extract.extract_pages(df).collect():
+        want = " ".join([prose(40, r.page_id), *(prose(2, 50 * (r.page_id + 100) + j) for j in range(4))])
+        assert r.text.replace(" Sources ", " ").endswith(want)  # the heading is the same on all pages, and so template
+
+
+def test_broken_pages_take_time_in_proportion():
+    for page in ("<a " * 350_000, '<p x="' * 170_000, "<div>" * 100_000 + "<li>" * 100_000, "<li><ul>" * 10_000 + "<div>" * 80_000 + "</li>" * 100_000, "<div><li>" * 60_000 + '<p x="' * 60_000 + ">", "<!--" * 250_000, "< <" * 300_000):
+        began = time.time()
+        html_extract.extract(page, None)
+        assert time.time() - began < 10, page[:12]
