@@ -59,6 +59,12 @@ def fn_interp(x: Column | str, xs: Column, ys: Column) -> Column:
     return F.when(n == 1, F.element_at(ys, 1)).when(x <= F.element_at(xs, 1), F.element_at(ys, 1)).when(x >= F.element_at(xs, n), F.element_at(ys, n)).otherwise(inside)
 
 
+def floor_double(x: Column | str) -> Column:
+    """The largest whole number up to a double, as a double: negative zero, NaN, infinities and what no long holds stay as they are."""
+    x = col(x)
+    return F.when(F.isnan(x) | (F.abs(x) >= 2.0**53), x).when(F.floor(x) == x, x).otherwise(F.floor(x).cast("double"))
+
+
 def grid_lookup(x: Column | str, ys: Column, lo: float, step: float) -> Column:
     """Linear interpolation on an even grid in constant time per row: no search in the array."""
     n = F.size(ys)

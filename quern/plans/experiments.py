@@ -7,6 +7,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quern.functions.expr import floor_double
 from quern.functions.expr import fn_interp as interp
 from quern.functions.expr import fn_param_lines as param_lines
 from quern.functions.expr import fn_range_label as range_label
@@ -152,7 +153,7 @@ def fn_short(spark, sf):
 
 @query("SELECT run_id, printf('[%.3f, %.3f]', floor(lr / 1e3), floor(lr / 1e3) + 1) AS label FROM runs")
 def fn_range_label(spark, sf):
-    low = F.floor(F.col("lr") / 1000).cast("double")
+    low = floor_double(F.col("lr") / 1000)
     return view(spark, sf, "runs").select("run_id", range_label(low, low + 1).alias("label"))
 
 

@@ -651,3 +651,15 @@ def test_entry_without_the_corpus_package(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_range_labels_keep_the_sign_of_zero(spark, sf, tmp_path):
+    import duckdb
+
+    from quern.plans import catalog
+    from tests.compare import compare
+
+    spark.createDataFrame([(1, -0.0), (2, 0.0), (3, -0.01), (4, -1000.0), (5, 2999.99), (6, None), (7, 3e18)], "c_custkey long, c_acctbal double").selectExpr("c_custkey", "'c' AS c_name", "1 AS c_nationkey", "c_acctbal", "'m' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    compare(catalog.QUERIES["fn_range_label"](spark, str(tmp_path)), con, catalog.ORACLES["fn_range_label"])
