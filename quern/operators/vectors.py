@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from quern.functions.expr import dot
 from quern.functions.rank import group_quantiles, group_rank, materialise
 
-#: Rows of a block that is compared with others: BLOCK at least, and where there are many rows a 64th of them, up to MOST
-#: bytes. What is shuffled is the table times its blocks, so blocks are as large as memory allows. TILE rows of a block are
-#: multiplied with TILE others at once; AT_ONCE block pairs reach a task together.
-BLOCK, MOST, TILE, AT_ONCE = 1024, 32 << 20, 2048, 2
+#: Rows of a block that is compared with others: BLOCK at least, and where a group has many rows a 16th of them (PARTS), up to
+#: MOST bytes. What is shuffled is the table times the blocks of a group, so it grows as the table does until blocks have MOST
+#: bytes. TILE rows of a block are multiplied with TILE others at once; AT_ONCE block pairs reach a task together, and a task
+#: holds LINKS links or pairs before it hands them on.
+BLOCK, PARTS, MOST, TILE, AT_ONCE, LINKS = 1024, 16, 32 << 20, 2048, 2, 1 << 20
 #: Parts into which the edges or members of one node are dealt.
 SALTS = 32
 
@@ -24,57 +25,148 @@ def _blocks(vecs: DataFrame, key: str, vector: str, block: int, by: str | None =
     """Vectors packed into rows of about ``block`` or more: by, block, ids, flat (their vectors one after another) and extra columns as arrays."""
     group = F.col(by) if by else F.lit(0)
     rows = vecs.filter(F.col(vector).isNotNull()).withColumn("__by", group)
-    n, most = F.count(F.lit(1)), MOST / 8 / F.max(F.greatest(F.size(vector), F.lit(1)))
-    parts = materialise(rows.groupBy("__by").agg(F.ceil(n / F.greatest(F.lit(block), F.least(n / 64, most))).cast("int").alias("__parts")), "parts")
+    kind = _kind(vecs, vector)
+    n, most = F.count(F.lit(1)), _most(kind, F.max(F.size(vector)))
+    parts = materialise(rows.groupBy("__by").agg(F.ceil(n / F.greatest(F.lit(block), F.least(n / PARTS, most))).cast("int").alias("__parts")), "parts")
     dealt = rows.join(parts, "__by").withColumn("block", F.pmod(F.xxhash64(key), F.col("__parts")).cast("int"))
-    packed = dealt.groupBy("__by", "block").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), *extra, F.col(vector).cast("array<double>").alias("v")))).alias("l"))
+    packed = dealt.groupBy("__by", "block").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), *extra, F.col(vector).cast(kind).alias("v")))).alias("l"))
     return materialise(packed.select(F.col("__by").alias("by"), "block", F.transform("l", lambda x: x["k"]).alias("ids"), F.flatten(F.transform("l", lambda x: x["v"])).alias("flat"), *(_each("l", c) for c in extra)), "blocks")
 
 
+def _kind(vecs: DataFrame, vector: str) -> str:
+    """Floats stay floats on their way to the tasks, which multiply them as doubles."""
+    return "array<float>" if dict(vecs.dtypes)[vector] == "array<float>" else "array<double>"
+
+
+def _most(kind: str, size: Column) -> Column:
+    """Rows of MOST bytes."""
+    return MOST / (4 if kind == "array<float>" else 8) / F.greatest(size, F.lit(1))
+
+
 def _each(structs: str, field: str) -> Column:
     return F.transform(structs, lambda x: x[field]).alias(field)
 
 
 def _matrix(ids, flat) -> np.ndarray:
-    return np.asarray(flat, np.float64).reshape(len(ids), -1)
+    flat = np.asarray(flat)
+    return (flat if flat.dtype == np.float32 else flat.astype(np.float64, copy=False)).reshape(len(ids), -1)
 
 
 def _tiles(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """Products of all rows of two blocks, tile by tile: first row, first column, products."""
     for i in range(0, len(a), TILE):
         for j in range(0, len(b), TILE):
-            yield i, j, a[i : i + TILE] @ b[j : j + TILE].T
+            yield i, j, a[i : i + TILE].astype(np.float64, copy=False) @ b[j : j + TILE].astype(np.float64, copy=False).T
 
 
 def _block_pairs(packed: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Each block of a group with itself and with every later one of the group. Blocks are dealt by the later one's number, so a large group meets many tasks."""
+    """Each block of a group with itself and with every later one of the group."""
     right = packed.select("by", F.col("block").alias("j"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"), *(F.col(c).alias(f"{c}2") for c in extra))
     last = packed.groupBy("by").agg(F.max("block").alias("__last"))
     left = packed.withColumnRenamed("block", "i").join(last, "by").withColumn("j", F.explode(F.sequence(F.col("i"), F.col("__last")))).drop("__last")
-    return left.join(right, ["by", "j"])
+    return _dealt(left, right.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))))
+
+
+def _dealt(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Blocks that meet, dealt by the pair (by, i, j): a group of any size meets many tasks, and all of them get about as much."""
+    parts, pair = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["by", "i", "j"]
+    return left.repartition(parts, *pair).join(right.repartition(parts, *pair), pair)
+
+
+def _near(r, thr: float, extra: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of the first and of the second block whose similarity is ``thr`` or more, and the similarity, tile by tile; a block's pairs with itself come once."""
+    if extra:
+        codes = pd.factorize(np.concatenate([np.asarray(getattr(r, c), object) for c in (extra, extra + "2")]))[0]
+        left, right = codes[: len(r.ids)], codes[len(r.ids) :]  # unknown ones are -1
+    for i, j, s in _tiles(_matrix(r.ids, r.flat), _matrix(r.ids2, r.flat2)):
+        p, q = np.nonzero(s >= thr)
+        near = s[p, q]
+        p, q = p + i, q + j
+        keep = p < q if r.i == r.j else np.ones(len(p), bool)
+        if extra:
+            keep &= (left[p] < 0) | (left[p] != right[q])
+        yield p[keep], q[keep], near[keep]
 
 
 def _pairs_from(thr: float, extra: str | None):
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = pd.DataFrame({"a": [], "b": [], "by": [], "similarity": []})
         for batch in batches:
-            found = []
+            found, n = [], 0
             for r in batch.itertuples(index=False):
                 ids, ids2 = np.asarray(r.ids), np.asarray(r.ids2)
-                names = [np.asarray(getattr(r, c), object) for c in (extra, extra + "2")] if extra else []
-                for i, j, s in _tiles(_matrix(r.ids, r.flat), _matrix(r.ids2, r.flat2)):
-                    p, q = np.nonzero(s >= thr)
-                    near = s[p, q]
-                    p, q = p + i, q + j
-                    keep = p < q if r.i == r.j else np.ones(len(p), bool)
-                    if extra:
-                        keep &= np.array([u is None or u != v for u, v in zip(names[0][p], names[1][q], strict=True)], bool)
-                    a, b = ids[p[keep]], ids2[q[keep]]
-                    found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "by": r.by, "similarity": near[keep]}))
-            yield pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "by": [], "similarity": []})
+                for p, q, near in _near(r, thr, extra):
+                    a, b = ids[p], ids2[q]
+                    found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "by": r.by, "similarity": near}))
+                    n += len(near)
+                    if n >= LINKS:
+                        yield pd.concat(found)
+                        found, n = [], 0
+            yield pd.concat(found) if found else none
 
     return meet
 
 
+def _tied(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest node of each node's component after the edges (u, v) were added to components given alike."""
+    while True:
+        a, b = root[u], root[v]
+        open_ = a != b
+        if not open_.any():
+            return root
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (up := root[root])).any():
+            root = up
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges with the same components, one less than each has nodes: every node with the smallest of its component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = _tied(np.arange(len(ids)), at[: len(a)], at[len(a) :])
+    more = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[root[more]], ids[more]
+
+
+def _links_from(thr: float, extra: str | None):
+    """Of the pairs that a task finds, links that leave the same components."""
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [np.zeros((2, 0), np.int64)], 0
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                ids, shift = np.asarray(r.ids), 0 if r.i == r.j else len(r.ids)
+                ids = ids if r.i == r.j else np.concatenate([ids, np.asarray(r.ids2)])
+                root = np.arange(len(ids))
+                for p, q, _ in _near(r, thr, extra):
+                    root = _tied(root, p, q + shift)
+                tied = np.flatnonzero(root != np.arange(len(ids)))
+                held.append(np.stack([ids[root[tied]], ids[tied]]))
+                n += len(tied)
+                if n >= LINKS:
+                    held = [np.stack(_stars(*np.concatenate(held, 1)))]
+                    n = held[0].shape[1]
+                    if n >= LINKS // 2:
+                        yield pd.DataFrame({"a": held[0][0], "b": held[0][1]})
+                        held, n = [np.zeros((2, 0), np.int64)], 0
+        a, b = _stars(*np.concatenate(held, 1))
+        yield pd.DataFrame({"a": a, "b": b})
+
+    return meet
+
+
+def join_links_within(vecs: DataFrame, thr: float = 0.93, key: str = "vec_id", vector: str = "embedding", entity: str = "entity_id", block: int = BLOCK) -> DataFrame:
+    """Links (a, b) with the same nodes and components as ``join_pairs_within``: of each task's pairs at most one less than it has rows, so dense groups give no quadratic table."""
+    packed = _blocks(vecs.filter(F.col(entity).isNotNull()), key, vector, block, entity)
+    return materialise(_block_pairs(packed).mapInPandas(_links_from(thr, None), "a long, b long"), "links", AT_ONCE)
+
+
+def join_links_cross(vecs: DataFrame, thr: float = 0.985, key: str = "vec_id", vector: str = "embedding", entity: str = "entity_id", block: int = BLOCK) -> DataFrame:
+    """Links (a, b) with the same nodes and components as ``join_pairs_cross``."""
+    packed = _blocks(vecs.withColumn("e", F.col(entity).cast("string")), key, vector, block, None, ["e"])
+    return materialise(_block_pairs(packed, ["e"]).mapInPandas(_links_from(thr, "e"), "a long, b long"), "links", AT_ONCE)
+
+
 def join_pairs_within(vecs: DataFrame, thr: float = 0.93, key: str = "vec_id", vector: str = "embedding", entity: str = "entity_id", block: int = BLOCK) -> DataFrame:
     """Pairs a < b of one entity with similarity from ``thr`` on; rows without an entity are left out. Only such pairs leave a task, however large an entity is."""
     packed = _blocks(vecs.filter(F.col(entity).isNotNull()), key, vector, block, entity)
@@ -157,7 +249,7 @@ def dup_clusters(edges: DataFrame, scope: str = "intra") -> DataFrame:
     return sized.select("node", F.col("label").alias("cluster_id"), F.lit(scope).alias("scope"), "cluster_size")
 
 
-def agg_cluster_stats(members: DataFrame, vecs: DataFrame, key: str = "vec_id", vector: str = "embedding", entity: str = "entity_id", label: str = "y", block: int = BLOCK) -> DataFrame:
+def agg_cluster_stats(members: DataFrame, vecs: DataFrame, key: str = "vec_id", vector: str = "embedding", entity: str = "entity_id", label: str = "y", block: int | None = None) -> DataFrame:
     """Per cluster: size, distinct entities, label spread and median, cohesion (smallest similarity of its pairs), four places."""
     rows = members.select(F.col("node").alias(key), "cluster_id", "scope").join(vecs.select(key, vector, entity, label), key)
     stats = rows.groupBy("cluster_id", "scope").agg(F.count(F.lit(1)).alias("cluster_size"), F.countDistinct(entity).alias("n_entities"), F.round(F.max(label) - F.min(label), 4).alias("label_spread"))
@@ -166,21 +258,23 @@ def agg_cluster_stats(members: DataFrame, vecs: DataFrame, key: str = "vec_id",
     return stats.join(lowest_similarity(rows, key, vector, block).select("cluster_id", F.round("low", 4).alias("cohesion")), "cluster_id", "left")
 
 
-def outward_blocks(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
-    """The rows of each cluster in blocks of ``block`` by falling distance r from the cluster's mean c: by, block, ids, flat, and
-    what bounds the similarities of its rows: low (smallest c.x - c.c / 2) and reach (largest r)."""
-    rows = rows.filter(F.col(vector).isNotNull()).select("cluster_id", F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+def outward_blocks(rows: DataFrame, key: str, vector: str, block: int | None) -> DataFrame:
+    """The rows of each cluster in blocks of ``block`` (BLOCK, or a 16th of a large cluster) by falling distance r from the cluster's mean
+    c: by, block, ids, flat, and what bounds the similarities of its rows: low (smallest c.x - c.c / 2) and reach (largest r)."""
+    kind = _kind(rows, vector)
+    rows = rows.filter(F.col(vector).isNotNull()).select("cluster_id", F.col(key).alias("k"), F.col(vector).cast(kind).alias("v"))
     means = rows.select("cluster_id", F.posexplode("v").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg("x").alias("x"))
     means = means.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
     near = rows.join(means, "cluster_id")
     gap = F.zip_with("v", "c", lambda x, y: x - y)
-    placed = group_rank(materialise(near.select("cluster_id", "k", "v", (dot("c", "v") - dot("c", "c") / 2).alias("p"), F.sqrt(dot(gap, gap)).alias("r")), "radii"), ["cluster_id"], [F.desc("r"), F.col("k")], "place")
-    dealt = placed.withColumn("block", F.floor((F.col("place") - 1) / block).cast("int"))
+    placed = group_rank(materialise(near.select("cluster_id", "k", "v", (dot("c", "v") - dot("c", "c") / 2).alias("p"), F.sqrt(dot(gap, gap)).alias("r")), "radii"), ["cluster_id"], [F.desc("r"), F.col("k")], "place", "__n")
+    size = F.lit(block) if block else F.ceil(F.greatest(F.lit(BLOCK), F.least(F.col("__n") / PARTS, _most(kind, F.size("v")))))
+    dealt = placed.withColumn("block", F.floor((F.col("place") - 1) / size).cast("int"))
     packed = dealt.groupBy(F.col("cluster_id").alias("by"), "block").agg(F.collect_list(F.struct("k", "v")).alias("l"), F.min("p").alias("low"), F.max("r").alias("reach"))
     return materialise(packed.select("by", "block", F.transform("l", lambda x: x["k"]).alias("ids"), F.flatten(F.transform("l", lambda x: x["v"])).alias("flat"), "low", "reach"), "blocks")
 
 
-def lowest_similarity(rows: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
+def lowest_similarity(rows: DataFrame, key: str, vector: str, block: int | None = None) -> DataFrame:
     """Per cluster_id the smallest similarity of two of its rows: low. Clusters of one row have none.
 
     For any x, y and the cluster's mean c: x.y >= (c.x - c.c / 2) + (c.y - c.c / 2) - |x - c| |y - c|. The rows that lie furthest out
@@ -193,7 +287,8 @@ def lowest_similarity(rows: DataFrame, key: str, vector: str, block: int = BLOCK
     heads = blocks.select("by", "block", "low", "reach")
     pairs = heads.select("by", F.col("block").alias("i"), "low", "reach").join(heads.select("by", F.col("block").alias("j"), F.col("low").alias("low2"), F.col("reach").alias("reach2")), "by").filter("i <= j AND j > 0")
     open_ = pairs.join(outer.select("by", F.col("low").alias("found")), "by", "left").filter(F.col("found").isNull() | (F.col("low") + F.col("low2") - F.col("reach") * F.col("reach2") - 1e-9 < F.col("found")))
-    more = materialise(open_.select("by", "i", "j").join(left, ["by", "i"]).join(right, ["by", "j"]).mapInPandas(_lowest, "by long, low double"), "lowest", AT_ONCE)
+    open_ = materialise(open_.select("by", "i", "j"), "open")
+    more = materialise(_dealt(open_.join(left, ["by", "i"]), open_.join(right, ["by", "j"])).mapInPandas(_lowest, "by long, low double"), "lowest", AT_ONCE)
     return outer.unionByName(more).groupBy(F.col("by").alias("cluster_id")).agg(F.min("low").alias("low"))
 
 

@@ -107,13 +107,12 @@ def agg_balanced_assign(spark, sf):
 
 def clustered(spark, sf):
     vecs = view(spark, sf, "vectors")
-    pairs = V.join_pairs_within(vecs, 0.2)
-    return vecs, V.dup_clusters(pairs)
+    return vecs, V.dup_clusters(V.join_links_within(vecs, 0.2))
 
 
 def across(spark, sf):
     vecs = view(spark, sf, "vectors")
-    return vecs, V.dup_clusters(V.join_pairs_cross(vecs, CROSS), "cross")
+    return vecs, V.dup_clusters(V.join_links_cross(vecs, CROSS), "cross")
 
 
 @query(f"WITH RECURSIVE {CLUSTERS.format(pairs=WITHIN)} SELECT node, cluster_id, 'intra' AS scope, cluster_size FROM members")

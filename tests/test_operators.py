@@ -663,3 +663,29 @@ def test_range_labels_keep_the_sign_of_zero(spark, sf, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     compare(catalog.QUERIES["fn_range_label"](spark, str(tmp_path)), con, catalog.ORACLES["fn_range_label"])
+
+
+def test_links_have_the_components_of_all_pairs(spark, monkeypatch):
+    """Two dense bundles, a chain between entities and single rows; tiles, blocks and held links are small."""
+    monkeypatch.setattr(vectors, "TILE", 16)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.eye(6)[[0] * 60] + rng.normal(size=(60, 6)) * 0.05, np.eye(6)[[1] * 40] + rng.normal(size=(40, 6)) * 0.05, rng.normal(size=(50, 6))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, None if i == 3 else i % 4, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, entity_id long, embedding array<float>")
+    for pairs, links in ((vectors.join_pairs_within, vectors.join_links_within), (vectors.join_pairs_cross, vectors.join_links_cross)):
+        want, few = pairs(df, 0.9, block=20), links(df, 0.9, block=20)
+        of = lambda edges: {tuple(r) for r in vectors.dup_clusters(edges).collect()}
+        assert of(few) == of(want) and few.count() < want.count() / 3
+    u, v = vectors._stars(np.array([5, 7, 9, 2]), np.array([7, 9, 11, 3]))
+    assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == [(2, 3), (5, 7), (5, 9), (5, 11)]
+
+
+def test_a_large_cluster_or_group_has_sixteen_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(320, 4))
+    df = spark.createDataFrame([(i, 1, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, cluster_id long, embedding array<double>")
+    assert vectors.outward_blocks(df, "vec_id", "embedding", None).count() == 16
+    assert vectors._blocks(df, "vec_id", "embedding", 4, "cluster_id").count() == 16
+    s = x @ x.T
+    assert abs(vectors.lowest_similarity(df, "vec_id", "embedding").first().low - s[np.triu_indices(320, 1)].min()) < 1e-9
