@@ -10,9 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.expr import dot
 from quern.functions.rank import materialise
-from quern.operators.vectors import AT_ONCE, BLOCK, TILE, _blocks, _matrix
+from quern.operators.vectors import AT_ONCE, BLOCK, TILE, _block_pairs, _blocks, _matrix, _tiles
 
 #: Centres of an index and groups of neighbouring centres at most, and rows of the bounded sample that centres are fitted on.
 CENTRES, GROUPS, SAMPLE = 4096, 64, 32_768
@@ -253,11 +252,53 @@ def knn_vote(query: DataFrame, train: DataFrame, ks: Sequence[int] = (10, 20, 10
     return hit.groupBy("k").agg(F.count_if(F.col("place") == 1).alias("h1"), F.count_if(F.col("place") <= 5).alias("h5")).join(F.broadcast(total)).select("k", (F.col("h1") / F.col("n")).alias("top1"), (F.col("h5") / F.col("n")).alias("top5"), "n")
 
 
-def agg_nn_spread(vecs: DataFrame, topk: int = 1, eps: float = 1e-8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """-mean(log(distance to the nearest others + eps)) of unit vectors."""
-    norm = F.sqrt(dot(vector, vector))
-    unit = vecs.withColumn("__u", F.transform(vector, lambda x: x.cast("double") / norm))
-    near = join_knn_topk(unit.select(key, "__u"), unit.select(key, "__u"), topk + 1, key, "__u").filter("query_id <> train_id")
-    others = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("place") <= topk)
+def _highest(k: int):
+    """The k highest similarities of each row of two blocks to rows of the other one: id, similarity."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                ids, ids2 = np.asarray(r.ids), np.asarray(r.ids2)
+                best, best2 = (np.full((len(x), k), -np.inf) for x in (ids, ids2))
+                for i, j, s in _tiles(_units(_matrix(r.ids, r.flat)), _units(_matrix(r.ids2, r.flat2))):
+                    a, b = slice(i, i + TILE), slice(j, j + TILE)
+                    s[np.isnan(s)] = -np.inf
+                    if r.i == r.j:
+                        s[ids[a][:, None] == ids2[b][None]] = -np.inf  # the block of a key holds all its rows
+                    else:
+                        best2[b] = _top(best2[b], s.T)
+                    best[a] = _top(best[a], s)
+                for x, top in ((ids, best), (ids2, best2)):
+                    found = np.isfinite(top)
+                    yield pd.DataFrame({"id": np.repeat(x, k)[found.ravel()], "similarity": np.round(top[found], 12)})
+
+    return run
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length; those without a length have no direction (NaN)."""
+    x = x.astype(np.float64, copy=False)
+    with np.errstate(invalid="ignore"):
+        return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _top(best: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The highest values of each row of both, as many as ``best`` has."""
+    k = best.shape[1]
+    if k == 1:
+        return np.maximum(best, s.max(1)[:, None])
+    both = np.concatenate([best, s], 1)
+    return np.partition(both, both.shape[1] - k, 1)[:, -k:]
+
+
+def agg_nn_spread(vecs: DataFrame, topk: int = 1, eps: float = 1e-8, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """-mean(log(distance to the nearest others + eps)) of vectors brought to unit length; vectors without a length are left out.
+
+    All rows ask, so blocks meet block by block, each pair once for both sides, and only the highest similarities leave a task.
+    """
+    packed = _blocks(vecs, key, vector, block)
+    met = materialise(_block_pairs(packed).mapInPandas(_highest(topk), "id long, similarity double"), "highest", AT_ONCE)
+    near = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("similarity"), False), 1, topk).alias("near")) if topk > 1 else met.groupBy("id").agg(F.array(F.max("similarity")).alias("near"))
+    others = near.select("id", F.explode("near").alias("similarity"))
     distance = F.sqrt(F.greatest(2 - 2 * F.col("similarity"), F.lit(0.0)))
-    return others.agg((-F.avg(F.log(distance + eps))).alias("spread"), F.countDistinct("query_id").alias("n"))
+    return others.agg((-F.avg(F.log(distance + eps))).alias("spread"), F.countDistinct("id").alias("n"))

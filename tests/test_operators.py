@@ -665,6 +665,20 @@ def test_range_labels_keep_the_sign_of_zero(spark, sf, tmp_path):
     compare(catalog.QUERIES["fn_range_label"](spark, str(tmp_path)), con, catalog.ORACLES["fn_range_label"])
 
 
+@pytest.mark.parametrize("topk", [1, 3])
+def test_spread_of_neighbours_over_blocks_equals_brute_force(spark, topk):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(70, 5)), np.ones((3, 5)), np.zeros((1, 5))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x[:-1] / np.linalg.norm(x[:-1], axis=1)[:, None]
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -np.inf)
+    want = -np.log(np.sqrt(np.maximum(2 - 2 * np.sort(s, 1)[:, -topk:], 0)) + 1e-8).mean()
+    for block in (9, 1000):
+        got = neighbours.agg_nn_spread(df, topk, block=block).first()
+        assert abs(got.spread - want) < 1e-6 and got.n == 73
+
+
 def test_links_have_the_components_of_all_pairs(spark, monkeypatch):
     """Two dense bundles, a chain between entities and single rows; tiles, blocks and held links are small."""
     monkeypatch.setattr(vectors, "TILE", 16)
