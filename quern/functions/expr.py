@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -118,9 +118,13 @@ def vec_template(v: Column | str, eps: float = 1e-6) -> Column:
     """Mean-subtracted vector of unit length; null where its length is at most ``eps``."""
     v = col(v)
     total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    centred = F.transform(v, lambda x: x.cast("double") - total / F.size(v))
-    norm = F.sqrt(dot(centred, centred))
-    return F.when(norm > eps, F.transform(centred, lambda x: x / norm))
+    centred = bound(F.try_divide(total, F.size(v)), lambda mean: F.transform(v, lambda x: x.cast("double") - mean))
+    return bound(centred, lambda c: bound(F.sqrt(dot(c, c)), lambda norm: F.when(norm > eps, F.transform(c, lambda x: x / norm))))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row; inside a lambda it would be computed again for every element."""
+    return F.transform(F.array(value), use)[0]
 
 
 vec_cosine = dot
