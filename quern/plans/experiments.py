@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -179,21 +180,26 @@ def put_files(spark, rows, name):
         from pyarrow import fs
 
         system, folder = fs.FileSystem.from_uri(root)
-        last, out, n = None, None, 0
+        last, out, n, made = None, None, 0, set()
         for batch in batches:
-            for name, content in zip(batch.name, batch.content, strict=True):
-                if name != last:
+            names, contents = batch.name.to_numpy(object), batch.content.to_numpy(object)
+            starts = [*np.flatnonzero(np.append(True, names[1:] != names[:-1])), len(names)] if len(names) else []
+            for a, b in zip(starts, starts[1:], strict=False):
+                if names[a] != last:
                     if out is not None:
                         out.close()
-                    path = f"{folder}/{name}"
-                    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                    last, out, n = name, system.open_output_stream(path), n + 1
-                out.write(content.encode())
+                    path = f"{folder}/{names[a]}"
+                    if (parent := path.rsplit("/", 1)[0]) not in made:
+                        system.create_dir(parent, recursive=True)
+                        made.add(parent)
+                    last, out, n = names[a], system.open_output_stream(path), n + 1
+                out.write("".join(contents[a:b]).encode())
         if out is not None:
             out.close()
         yield pd.DataFrame({"n": [n]})
 
-    made = rows.repartition("name").sortWithinPartitions("name", "content").mapInPandas(put, "n long")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that small rows, each a file, are not put together in one task
+    made = rows.repartition(tasks, "name").sortWithinPartitions("name", "content").mapInPandas(put, "n long")
     made.write.parquet(shared_path(spark, f"{name}-written"))
     return root
 
@@ -261,12 +267,15 @@ def src_runs(spark, sf):
 
 @query("SELECT 'p' || p_partkey || '.png' AS basename, CASE WHEN p_partkey % 4 = 0 THEN 'a' ELSE 'd' || p_size % 5 END AS folder, CAST(CASE WHEN p_partkey % 4 = 0 THEN 1 WHEN p_partkey % 6 = 1 THEN 0 ELSE strlen(coalesce(p_name, '')) END AS BIGINT) AS length FROM part")
 def src_file_inventory(spark, sf):
-    """A file for each part, some empty, of which some have a namesake in a folder before theirs, and a note beside each that is no image."""
+    """A file for each part, some empty, of which some have a namesake in a folder before theirs, and a note beside each that is no image.
+
+    About a thousand parts share a folder of folders, so that listings, a folder at a time, are dealt to tasks at any size."""
     part = view(spark, sf, "part").withColumn("p_name", F.when(F.col("p_partkey") % 6 == 1, "").otherwise(F.coalesce("p_name", F.lit(""))))
     name = F.concat(F.lit("p"), "p_partkey", F.lit(".png"))
-    files = part.select(F.concat(F.lit("d"), F.col("p_size") % 5, F.lit("/"), name).alias("name"), F.col("p_name").alias("content"))
-    files = files.unionByName(part.filter("p_partkey % 4 = 0").select(F.concat(F.lit("a/"), name).alias("name"), F.lit("x").alias("content")))
-    files = files.unionByName(part.select(F.concat(F.lit("d0/p"), "p_partkey", F.lit(".txt")).alias("name"), F.lit("note").alias("content")))
+    shard = F.concat(F.lit("s"), F.pmod(F.xxhash64("p_partkey"), F.lit(-(-part.count() // 1000) or 1)), F.lit("/"))
+    files = part.select(F.concat(shard, F.lit("d"), F.col("p_size") % 5, F.lit("/"), name).alias("name"), F.col("p_name").alias("content"))
+    files = files.unionByName(part.filter("p_partkey % 4 = 0").select(F.concat(shard, F.lit("a/"), name).alias("name"), F.lit("x").alias("content")))
+    files = files.unionByName(part.select(F.concat(shard, F.lit("d0/p"), "p_partkey", F.lit(".txt")).alias("name"), F.lit("note").alias("content")))
     found = IN.src_file_inventory(spark, put_files(spark, files, "files"))
     return found.select("basename", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), "length")
 

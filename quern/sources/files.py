@@ -39,6 +39,11 @@ def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"path": [prefix + f.path for f in found], "length": pd.array([f.size if f.type == fs.FileType.File else None for f in found], "Int64")})
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that folders or archives are dealt to: given, since Spark would put names of a few bytes together in one task."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 WILD = re.compile(r"\*|\?|\[[^]/]+\]")
 
 
@@ -74,7 +79,7 @@ def list_files(spark: SparkSession, roots: str | list[str]) -> DataFrame:
     out = spark.createDataFrame(files, schema)
     level = spark.createDataFrame(folders, "path string").distinct()
     while not level.isEmpty():
-        found = materialise(level.repartition("path").mapInPandas(_children, schema), "listing")
+        found = materialise(level.repartition(_tasks(spark), "path").mapInPandas(_children, schema), "listing")
         out = out.unionByName(found.filter("length IS NOT NULL"))
         level = found.filter("length IS NULL").select("path")
     return out.distinct().filter(F.greatest(F.lit(False), *(F.col("path").rlike(p) for p in patterns)))
@@ -115,7 +120,7 @@ def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def tar_members(spark: SparkSession, glob: str | list[str]) -> DataFrame:
     """shard, name, start, size of the archives' regular members, found by a scan of the headers that skips the contents. Written."""
     shards = list_files(spark, glob).select("path")
-    return materialise(shards.repartition("path").mapInPandas(_headers, "shard string, name string, start long, size long"), "tar-members")
+    return materialise(shards.repartition(_tasks(spark), "path").mapInPandas(_headers, "shard string, name string, start long, size long"), "tar-members")
 
 
 def read_members(members: DataFrame, range_bytes: int = RANGE) -> DataFrame:

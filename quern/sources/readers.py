@@ -97,7 +97,7 @@ def pair_list(lines: DataFrame, kind: str = "pair", ext: str = "png") -> DataFra
 
 def src_archive_index(spark: SparkSession, logs: str, blocklist: Sequence[str] = ()) -> DataFrame:
     """Byte ranges of archive members from one log per archive (the file's stem is the class id)."""
-    lines = spark.read.text(logs).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^/.]*)?$", 1).alias("class_id"), "value")
+    lines = spark.read.text(logs).select(F.regexp_extract(F.substring_index("_metadata.file_path", "/", -1), r"(?s)^(.+?)(\.[^.]*)?$", 1).alias("class_id"), "value")
     return archive_index(lines, blocklist)
 
 

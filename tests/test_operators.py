@@ -719,3 +719,27 @@ def test_templates_take_time_in_proportion_to_the_vector(spark):
     assert time.time() - start < 20  # it was cubic: 8 billion steps
     c = x - x.mean(1)[:, None]
     assert np.allclose([got[i] for i in range(300)], c / np.linalg.norm(c, axis=1)[:, None]) and [got[i] for i in (300, 301, 302)] == [None] * 3
+
+
+def test_folders_and_archives_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """Names are few bytes, which Spark would put together in one task."""
+    for i in range(40):
+        (tmp_path / f"s{i}" / "d").mkdir(parents=True)
+        (tmp_path / f"s{i}" / "d" / f"{i}.png").write_bytes(b"x" * i)
+        with tarfile.open(tmp_path / f"s{i}" / f"{i}.tar", "w") as tar:
+            tar.addfile(tarfile.TarInfo(f"m{i}"))
+    seen = []
+    real = files.materialise
+    monkeypatch.setattr(files, "materialise", lambda d, name, *a: seen.append((name, real(d, name, *a))) or seen[-1][1])
+    got = {r.path.rsplit("/", 1)[1]: r.length for r in files.list_files(spark, f"file://{tmp_path}/*/d").collect()}
+    assert got == {f"{i}.png": i for i in range(40)}
+    assert len(seen[1][1].inputFiles()) > 1 and len(files.tar_members(spark, f"file://{tmp_path}/*/*.tar").inputFiles()) > 1
+
+
+def test_archive_logs_of_many_names(spark):
+    from quern.plans.experiments import put_files
+
+    names = ["n1.log", "a.b.log", "x"]
+    rows = spark.createDataFrame([(n, f"block {i}: {n}{i}\n") for n in names for i in range(9)], "name string, content string")
+    got = {(r.class_id, r.filename) for r in readers.src_archive_index(spark, put_files(spark, rows, "logs")).collect()}
+    assert got == {(c, f"{n}{i}") for c, n in (("n1", "n1.log"), ("a.b", "a.b.log"), ("x", "x")) for i in range(8)}
