@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -21,25 +22,37 @@ def keep_states(stream: DataFrame) -> None:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Parts that runs are dealt to. A part's runs share one state, so that a batch fetches and stores a state for a part and not for each run.
+PARTS = 4096
+
+
 class Smooth(StatefulProcessor):
-    """The last ``window`` points of a run's metric by step, and the number and sum of all."""
+    """The last ``window`` points of each run's metric by step, and the number and sum of all; for the runs of a part."""
 
     def __init__(self, window: int):
         self.window = window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.points = handle.getValueState("points", "steps array<long>, vals array<double>, n long, total double")
+        self.part = handle.getValueState("part", "runs binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        steps, values, n, total = self.points.get() or ([], [], 0, 0.0)
-        points = [*zip(steps, values, strict=True)]
+        held = self.part.get()
+        runs = pickle.loads(bytes(held[0])) if held else {}  # (run_id, metric) -> points, n, total
+        new: dict[tuple, list] = {}
         for r in rows:  # batches may come out of order
-            points.append((r.step, r.value))
-            n, total = n + 1, total + r.value
-        points = sorted(points)[-self.window :]
-        steps, values = [p[0] for p in points], [p[1] for p in points]
-        self.points.update((steps, values, n, total))
-        yield Row(run_id=key[0], metric=key[1], n=n, median=sorted(values)[(len(values) - 1) // 2], avg=sum(values) / len(values), global_avg=total / n, last=values[-1])
+            new.setdefault((r.run_id, r.metric), []).append((r.step, r.value))
+        out = []
+        for run, more in new.items():
+            points, n, total = runs.get(run, ([], 0, 0.0))
+            for _, value in more:
+                total += value
+            n += len(more)
+            points = sorted(points + more)[-self.window :]
+            runs[run] = points, n, total
+            values = [v for _, v in points]
+            out.append(Row(run_id=run[0], metric=run[1], n=n, median=sorted(values)[(len(values) - 1) // 2], avg=sum(values) / len(values), global_avg=total / n, last=values[-1]))
+        self.part.update((pickle.dumps(runs, pickle.HIGHEST_PROTOCOL),))
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -48,8 +61,9 @@ class Smooth(StatefulProcessor):
 def str_smoothed(stream: DataFrame, window: int = 20) -> DataFrame:
     """Per run and metric, after each batch: median (lower middle) and mean of the last ``window`` steps, mean of all, last value. Points without a value are left out."""
     keep_states(stream)
-    rows = stream.select("run_id", "metric", "step", "value").filter("step IS NOT NULL AND value IS NOT NULL")
-    return rows.groupBy("run_id", "metric").transformWithState(Smooth(window), "run_id long, metric string, n long, median double, avg double, global_avg double, last double", "Update", "None")
+    part = F.pmod(F.xxhash64("run_id", "metric"), F.lit(PARTS)).cast("int").alias("part")
+    rows = stream.filter("step IS NOT NULL AND value IS NOT NULL").select(part, "run_id", "metric", "step", "value")
+    return rows.groupBy("part").transformWithState(Smooth(window), "run_id long, metric string, n long, median double, avg double, global_avg double, last double", "Update", "None")
 
 
 class Stop(StatefulProcessor):

@@ -743,3 +743,21 @@ def test_archive_logs_of_many_names(spark):
     rows = spark.createDataFrame([(n, f"block {i}: {n}{i}\n") for n in names for i in range(9)], "name string, content string")
     got = {(r.class_id, r.filename) for r in readers.src_archive_index(spark, put_files(spark, rows, "logs")).collect()}
     assert got == {(c, f"{n}{i}") for c, n in (("n1", "n1.log"), ("a.b", "a.b.log"), ("x", "x")) for i in range(8)}
+
+
+def test_runs_of_a_part_share_a_state(spark, monkeypatch):
+    """Three batches, points out of order, two parts for 30 runs; each batch gives the runs that it touched."""
+    monkeypatch.setattr(live, "PARTS", 2)
+    rng = random.Random(4)
+    points = [(r, "m", s, float(rng.randrange(9))) for r in range(30) for s in range(1, 8)]
+    rng.shuffle(points)
+    path, schema = shared_path(spark, "points"), "run_id long, metric string, step long, value double"
+    for i in range(3):
+        spark.createDataFrame(points[70 * i : 70 * i + 70], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = live.run_available(live.str_smoothed(stream, 4), shared_path(spark, "points-view")).collect()
+    assert len(rows) == sum(len({p[0] for p in points[70 * i : 70 * i + 70]}) for i in range(3))
+    for r in {r.run_id: r for r in sorted(rows, key=lambda r: r.batch)}.values():
+        every = [p[3] for p in sorted(p for p in points if p[0] == r.run_id)]
+        last = every[-4:]
+        assert (r.n, r.median, r.last) == (7, sorted(last)[1], last[-1]) and abs(r.avg - sum(last) / 4) + abs(r.global_avg - sum(every) / 7) < 1e-12
