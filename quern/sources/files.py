@@ -15,6 +15,8 @@ from quern.functions.rank import materialise
 
 #: Bytes of an archive that one task reads, members that start in them as a whole.
 RANGE = 64 << 20
+#: Bytes of small members that a task hands on together.
+TOGETHER = 4 << 20
 
 
 def open_system(uri: str):
@@ -104,7 +106,7 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Members by their ranges, one after another."""
-    name, file = None, None
+    name, file, held, size = None, None, [], 0
     for batch in batches:
         for r in batch.itertuples(index=False):
             if r.shard != name:
@@ -112,7 +114,12 @@ def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     file.close()
                 system, path, _ = open_system(r.shard)
                 name, file = r.shard, system.open_input_file(path)
-            yield pd.DataFrame({"shard": [r.shard], "name": [r.name], "content": [file.read_at(r.size, r.start)]})
+            held.append((r.shard, r.name, file.read_at(r.size, r.start)))
+            size += r.size
+            if size >= TOGETHER or len(held) == 10_000:
+                yield pd.DataFrame(held, columns=["shard", "name", "content"])
+                held, size = [], 0
+    yield pd.DataFrame(held, columns=["shard", "name", "content"])
     if file is not None:
         file.close()
 
@@ -126,7 +133,7 @@ def tar_members(spark: SparkSession, glob: str | list[str]) -> DataFrame:
 def read_members(members: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     """shard, name, content of members (of ``tar_members``, or some of them): each range of an archive is a task's, in order.
 
-    A task holds one member's content at a time, so an archive may be of any size.
+    A task holds one member's content at a time, or a few megabytes of small ones, so an archive may be of any size.
     """
     dealt = members.withColumn("range", F.floor(F.col("start") / range_bytes))
     ranges = dealt.select("shard", "range").distinct().count()
