@@ -66,68 +66,109 @@ def str_smoothed(stream: DataFrame, window: int = 20) -> DataFrame:
     return rows.groupBy("part").transformWithState(Smooth(window), "run_id long, metric string, n long, median double, avg double, global_avg double, last double", "Update", "None")
 
 
+#: Steps of a run that wait beside its state; where more wait, those that come later are put away by chunks of so many.
+CHUNK = 4096
+
+
 class Stop(StatefulProcessor):
-    """A run's best step and where it stopped. Steps are 1, 2, ...; those that come before their turn wait in a map, and a timer ends the wait."""
+    """The best step of each run of a part and where it stopped. Steps are 1, 2, ...; those that come before their turn wait, and a timer ends the wait."""
 
     def __init__(self, by: tuple[str, ...], patience: int, wait_ms: int | None):
         self.by, self.patience, self.wait_ms = by, patience, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "best double, best_step long, idle long, stopped long, seen long, waiting long")
-        self.late = handle.getMapState("late", "step long", "value double")
+        self.part = handle.getValueState("part", "runs binary")
+        self.far = handle.getMapState("far", "run binary, chunk long", "steps binary")
 
-    def _start(self) -> None:
-        self.best, self.best_step, self.idle, self.stopped, self.seen, self.waiting = self.run.get() or (float("inf"), -1, 0, -1, 0, 0)
+    def _start(self) -> tuple[int | None, dict]:
+        """When the part's timer ends, and its runs: best, best_step, idle, stopped, seen, waiting steps, chunks put away, when the wait ends."""
+        held = self.part.get()
+        return pickle.loads(bytes(held[0])) if held else (None, {})
 
-    def _take(self, step: int, value: float) -> None:
-        self.seen = step
-        if value < self.best:
-            self.best, self.best_step, self.idle = value, step, 0
+    def _take(self, run: list, step: int, value: float) -> None:
+        run[4] = step
+        if value < run[0]:
+            run[:3] = value, step, 0
         else:
-            self.idle += 1
-            if self.idle >= self.patience:
-                self.stopped = step
-
-    def _end(self, key: tuple) -> Iterator[Row]:
-        if self.stopped >= 0 and self.waiting:  # what comes after the stop changes nothing
-            self.late.clear()
-            self.waiting = 0
-        self.run.update((self.best, self.best_step, self.idle, self.stopped, self.seen, self.waiting))
-        yield Row(**dict(zip(self.by, key, strict=True)), best_step=self.best_step, best_value=self.best, stopped_at=self.stopped if self.stopped >= 0 else None)
+            run[2] += 1
+            if run[2] >= self.patience:
+                run[3] = step
+
+    def _back(self, key: tuple, run: list, chunk: int) -> None:
+        """A chunk that was put away, beside the run's state again."""
+        at = (pickle.dumps(key), chunk)
+        run[5] = pickle.loads(bytes(self.far.getValue(at)[0])) | run[5]
+        self.far.removeKey(at)
+        run[6].remove(chunk)
+
+    def _rest(self, key: tuple, run: list) -> None:
+        """What need not stay beside the state: all after a stop, since it changes nothing, and of many steps those of later chunks."""
+        if run[3] >= 0:
+            for chunk in run[6]:
+                self.far.removeKey((pickle.dumps(key), chunk))
+            run[5:] = {}, set(), None
+        elif len(run[5]) > CHUNK:
+            now, later = (run[4] + 1) // CHUNK, {}
+            for step in [s for s in run[5] if s // CHUNK > now]:
+                later.setdefault(step // CHUNK, {})[step] = run[5].pop(step)
+            for chunk, steps in later.items():
+                at = (pickle.dumps(key), chunk)
+                if chunk in run[6]:
+                    steps = pickle.loads(bytes(self.far.getValue(at)[0])) | steps
+                self.far.updateValue(at, (pickle.dumps(steps, pickle.HIGHEST_PROTOCOL),))
+                run[6].add(chunk)
+
+    def _end(self, timer: int | None, runs: dict, met: list[tuple]) -> Iterator[Row]:
+        due = min((r[7] for r in runs.values() if r[7] is not None), default=None) if self.wait_ms is not None else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.part.update((pickle.dumps((due, runs), pickle.HIGHEST_PROTOCOL),))
+        for key in met:
+            best, best_step, _, stopped = runs[key][:4]
+            yield Row(**dict(zip(self.by, key, strict=True)), best_step=best_step, best_value=best, stopped_at=stopped if stopped >= 0 else None)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        self._start()
-        new = {r.step: r.value for r in rows}
-        while self.stopped < 0:
-            step = self.seen + 1
-            if step in new:
-                self._take(step, new.pop(step))
-            elif self.waiting and self.late.containsKey((step,)):
-                self._take(step, self.late.getValue((step,))[0])
-                self.late.removeKey((step,))
-                self.waiting -= 1
-            else:
-                break
-        early = {s: v for s, v in new.items() if s > self.seen} if self.stopped < 0 else {}
-        for step, value in early.items():
-            self.waiting += not self.late.containsKey((step,))
-            self.late.updateValue((step,), (value,))
-        if self.wait_ms is not None:
-            for old in self.handle.listTimers():
-                self.handle.deleteTimer(old)
-            if self.waiting and self.stopped < 0:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
-        return self._end(key)
+        timer, runs = self._start()
+        met: dict[tuple, dict] = {}
+        for r in rows:  # part, by, step, value
+            met.setdefault(tuple(r[1:-2]), {})[r[-2]] = r[-1]
+        for name, new in met.items():
+            run = runs.setdefault(name, [float("inf"), -1, 0, -1, 0, {}, set(), None])
+            if run[3] < 0:
+                run[5].update((s, v) for s, v in new.items() if s > run[4])
+            while run[3] < 0:
+                step = run[4] + 1
+                if step // CHUNK in run[6]:
+                    self._back(name, run, step // CHUNK)
+                if step not in run[5]:
+                    break
+                self._take(run, step, run[5].pop(step))
+            self._rest(name, run)
+            waits = self.wait_ms is not None and (run[5] or run[6])
+            run[7] = timerValues.getCurrentProcessingTimeInMs() + self.wait_ms if waits else None
+        return self._end(timer, runs, list(met))
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        self._start()
-        for step, value in sorted((k[0], v[0]) for k, v in self.late.iterator()):
-            if self.stopped < 0:
-                self._take(step, value)
-        self.late.clear()
-        self.waiting = 0
-        return self._end(key)
+        _, runs = self._start()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentProcessingTimeInMs())
+        over = [name for name, run in runs.items() if run[7] is not None and run[7] <= now]
+        for name in over:
+            run = runs[name]
+            while run[3] < 0 and (run[5] or run[6]):
+                chunk = min([s // CHUNK for s in run[5]] + list(run[6]))
+                if chunk in run[6]:
+                    self._back(name, run, chunk)
+                for step in sorted(s for s in run[5] if s // CHUNK == chunk):
+                    value = run[5].pop(step)
+                    if run[3] < 0:
+                        self._take(run, step, value)
+            self._rest(name, run)
+            run[7] = None
+        return self._end(None, runs, over)
 
     def close(self) -> None:
         pass
@@ -143,8 +184,9 @@ def str_early_stop(stream: DataFrame, patience: int, by: tuple[str, ...] = ("run
     keep_states(stream)
     kinds = dict(stream.dtypes)
     keys = ", ".join(f"{b} {kinds[b]}" for b in by)
-    rows = stream.select(*by, F.col("step").cast("long").alias("step"), F.col("value").cast("double").alias("value")).filter("step IS NOT NULL AND value IS NOT NULL")
-    return rows.groupBy(*by).transformWithState(Stop(tuple(by), patience, wait_ms), f"{keys}, best_step long, best_value double, stopped_at long", "Update", "None" if wait_ms is None else "ProcessingTime")
+    part = F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int").alias("__part")
+    rows = stream.select(part, *by, F.col("step").cast("long").alias("step"), F.col("value").cast("double").alias("value")).filter("step IS NOT NULL AND value IS NOT NULL")
+    return rows.groupBy("__part").transformWithState(Stop(tuple(by), patience, wait_ms), f"{keys}, best_step long, best_value double, stopped_at long", "Update", "None" if wait_ms is None else "ProcessingTime")
 
 
 def run_available(stream_out: DataFrame, path: str, mode: str = "update") -> DataFrame:

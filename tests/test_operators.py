@@ -632,6 +632,75 @@ def test_a_gap_ends_by_timer_in_a_stream_that_goes_on(spark):
         query.stop()
 
 
+def test_early_stop_keeps_a_state_for_a_part_and_not_for_each_run(spark):
+    path = shared_path(spark, "many-runs")
+    spark.range(6000).selectExpr("id AS run_id", "1L AS step", "id + 0.5D AS value").coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema("run_id long, step long, value double").parquet(path)
+    seen = []
+    query = live.str_early_stop(stream, 2).writeStream.foreachBatch(lambda rows, _: seen.append(rows.filter("best_step = 1 AND best_value = run_id + 0.5D AND stopped_at IS NULL").count())).outputMode("update").option("checkpointLocation", shared_path(spark, "many-view")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(seen) == 6000 and 0 < query.lastProgress.stateOperators[0].numRowsTotal <= live.PARTS
+
+
+def test_early_stop_with_steps_put_away_in_any_order(monkeypatch):
+    """Runs of one part against a plain pass over their steps; more steps wait than stay beside the state, and gaps end by timer."""
+    monkeypatch.setattr(live, "CHUNK", 4)
+
+    class Handle(dict):
+        timers: set = set()
+
+        def getValueState(self, *_):
+            return self
+
+        getMapState = getValueState
+
+        def get(self):
+            return dict.get(self, None)
+
+        def update(self, value):
+            self[None] = value
+
+        getValue, updateValue, removeKey = dict.__getitem__, dict.__setitem__, dict.__delitem__
+        registerTimer = lambda self, t: Handle.timers.add(t)
+        deleteTimer = lambda self, t: Handle.timers.remove(t)
+
+    class Clock:
+        now = 0
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.now
+
+        getExpiryTimeInMs = getCurrentProcessingTimeInMs
+
+    rng = random.Random(4)
+    for trial in range(60):
+        patience, wait, clock, handle = rng.choice([2, 5, 99]), rng.choice([None, 10]), Clock(), Handle()
+        stop = live.Stop(("run_id",), patience, wait)
+        stop.init(handle)
+        stop.part, stop.far, Handle.timers = Handle(), Handle(), set()
+        values = {(run, step): rng.random() for run in range(3) for step in range(1, 40) if wait is None or rng.random() < 0.8}
+        todo, last = rng.sample(sorted(values), len(values)), {}
+        while todo:
+            batch, todo = todo[:7], todo[7:]
+            last |= {r.run_id: (r.best_step, r.best_value, r.stopped_at) for r in stop.handleInputRows((0,), iter([(0, *k, values[k]) for k in batch]), clock)}
+        stuck = {run for (run,), r in stop._start()[1].items() if r[5] or r[6]}
+        assert bool(Handle.timers) == bool(stuck and wait)
+        if Handle.timers:
+            clock.now = Handle.timers.pop()
+            out = {r.run_id: (r.best_step, r.best_value, r.stopped_at) for r in stop.handleExpiredTimer((0,), clock, clock)}
+            assert set(out) == stuck and not Handle.timers
+            last |= out
+        for run in range(3):
+            best, idle, stopped = (-1, float("inf")), 0, None
+            for step in sorted(s for r, s in values if r == run):
+                best, idle = ((step, values[run, step]), 0) if values[run, step] < best[1] else (best, idle + 1)
+                if idle >= patience:
+                    stopped = step
+                    break
+            assert last[run] == (*best, stopped)
+        assert not stop.far
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as entry
 
