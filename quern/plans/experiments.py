@@ -173,7 +173,8 @@ def written(spark, df, name, put):
 
 
 def put_files(spark, rows, name):
-    """Files of the names in ``name`` with their rows' ``content`` in order, under a new shared folder; each file is written by one task."""
+    """Files of the names in ``name`` with their rows' ``content`` in order, under a new shared folder; each
+    folder, and each file that lies in none, is written by one task, so that making folders takes no longer with more tasks."""
     root = shared_path(spark, name)
 
     def put(batches):
@@ -196,10 +197,11 @@ def put_files(spark, rows, name):
                 out.write("".join(contents[a:b]).encode())
         if out is not None:
             out.close()
-        yield pd.DataFrame({"n": [n]})
+        yield pd.DataFrame({"n": [n], "folders": [len(made)]})
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that small rows, each a file, are not put together in one task
-    made = rows.repartition(tasks, "name").sortWithinPartitions("name", "content").mapInPandas(put, "n long")
+    folder = F.regexp_replace("name", "/[^/]*$", "")
+    made = rows.repartition(tasks, folder).sortWithinPartitions("name", "content").mapInPandas(put, "n long, folders long")
     made.write.parquet(shared_path(spark, f"{name}-written"))
     return root
 
@@ -265,14 +267,18 @@ def src_runs(spark, sf):
     return rounded(IN.src_runs(spark, written(spark, table, "runs", lambda w, p: w.parquet(p)), "exp1").select("run_id", "experiment", "score"), 9)
 
 
+def _shard(part):
+    """A folder for about a thousand parts."""
+    return F.concat(F.lit("s"), F.pmod(F.xxhash64("p_partkey"), F.lit(-(-part.count() // 1000) or 1)), F.lit("/"))
+
+
 @query("SELECT 'p' || p_partkey || '.png' AS basename, CASE WHEN p_partkey % 4 = 0 THEN 'a' ELSE 'd' || p_size % 5 END AS folder, CAST(CASE WHEN p_partkey % 4 = 0 THEN 1 WHEN p_partkey % 6 = 1 THEN 0 ELSE strlen(coalesce(p_name, '')) END AS BIGINT) AS length FROM part")
 def src_file_inventory(spark, sf):
     """A file for each part, some empty, of which some have a namesake in a folder before theirs, and a note beside each that is no image.
 
     About a thousand parts share a folder of folders, so that listings, a folder at a time, are dealt to tasks at any size."""
     part = view(spark, sf, "part").withColumn("p_name", F.when(F.col("p_partkey") % 6 == 1, "").otherwise(F.coalesce("p_name", F.lit(""))))
-    name = F.concat(F.lit("p"), "p_partkey", F.lit(".png"))
-    shard = F.concat(F.lit("s"), F.pmod(F.xxhash64("p_partkey"), F.lit(-(-part.count() // 1000) or 1)), F.lit("/"))
+    name, shard = F.concat(F.lit("p"), "p_partkey", F.lit(".png")), _shard(part)
     files = part.select(F.concat(shard, F.lit("d"), F.col("p_size") % 5, F.lit("/"), name).alias("name"), F.col("p_name").alias("content"))
     files = files.unionByName(part.filter("p_partkey % 4 = 0").select(F.concat(shard, F.lit("a/"), name).alias("name"), F.lit("x").alias("content")))
     files = files.unionByName(part.select(F.concat(shard, F.lit("d0/p"), "p_partkey", F.lit(".txt")).alias("name"), F.lit("note").alias("content")))
@@ -282,10 +288,10 @@ def src_file_inventory(spark, sf):
 
 @query("SELECT 'p' || p_partkey || '.png' AS filename, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 7 = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'missing' ELSE 'empty' END ELSE 'unreadable' END AS problem FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 7 = 0 OR p_partkey % 5 = 0")
 def src_readability_check(spark, sf):
-    """A file for most parts: some are empty, some aren't what they should be."""
+    """A file for most parts, about a thousand parts to a folder: some are empty, some aren't what they should be."""
     part = view(spark, sf, "part")
     names = part.select(F.concat(F.lit("p"), "p_partkey", F.lit(".png")).alias("filename"), "p_partkey")
-    files = names.filter("p_partkey % 3 <> 0").select(F.col("filename").alias("name"), F.when(F.col("p_partkey") % 7 == 0, "").when(F.col("p_partkey") % 5 == 0, "junk").otherwise("PNG").alias("content"))
+    files = names.filter("p_partkey % 3 <> 0").select(F.concat(_shard(part), "filename").alias("name"), F.when(F.col("p_partkey") % 7 == 0, "").when(F.col("p_partkey") % 5 == 0, "junk").otherwise("PNG").alias("content"))
     root = put_files(spark, files, "images")
     return IN.src_readability_check(names, IN.src_file_inventory(spark, root), probe=_is_image)
 

@@ -56,19 +56,27 @@ def _pattern(path: str) -> str:
     return "^" + "".join(re.escape(text) + wild.get(w, w.replace("[!", "[^")) for text, w in parts) + "(/.*)?$"
 
 
+def _rows(spark: SparkSession, found: list[tuple]) -> DataFrame:
+    """path, length of what the driver looked at, without Python workers."""
+    rows = F.array(*(F.struct(F.lit(path).alias("path"), F.lit(length).cast("long").alias("length")) for path, length in found)) if found else F.lit(None)
+    return spark.range(1).select(F.inline(rows.cast("array<struct<path: string, length: bigint>>")))
+
+
 def list_files(spark: SparkSession, roots: str | list[str]) -> DataFrame:
     """path, length of all files under the roots, in all folders below, empty ones too. A root may be a file, a folder or a
     path with wildcards.
 
     Folders are listed by tasks, level by level, each level written; only the roots are looked at on the driver. Where roots
-    overlap, a file comes once; roots that don't exist hold nothing.
+    overlap, a file comes once; roots that don't exist hold nothing. One root is neither shuffled nor, without wildcards, matched.
     """
     from pyarrow import fs
 
-    files, folders, patterns = [], [], []
-    for root in [roots] if isinstance(roots, str) else roots:
+    files, folders, patterns, any_wild = [], [], [], False
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    for root in roots:
         whole = root.rstrip("/")
         wild = WILD.search(whole)
+        any_wild |= wild is not None
         base = whole[: wild.start()].rpartition("/")[0] if wild else whole
         system, path, prefix = open_system(base or "/")
         patterns.append(_pattern(prefix + path.rstrip("/") + whole[len(base) :]))
@@ -76,15 +84,15 @@ def list_files(spark: SparkSession, roots: str | list[str]) -> DataFrame:
         if info.type == fs.FileType.File:
             files.append((prefix + path, info.size))
         elif info.type == fs.FileType.Directory:
-            folders.append((prefix + path,))
-    schema = "path string, length long"
-    out = spark.createDataFrame(files, schema)
-    level = spark.createDataFrame(folders, "path string").distinct()
+            folders.append((prefix + path, None))
+    out = _rows(spark, files)
+    level = _rows(spark, folders).select("path").distinct()
     while not level.isEmpty():
-        found = materialise(level.repartition(_tasks(spark), "path").mapInPandas(_children, schema), "listing")
+        found = materialise(level.repartition(_tasks(spark), "path").mapInPandas(_children, "path string, length long"), "listing")
         out = out.unionByName(found.filter("length IS NOT NULL"))
         level = found.filter("length IS NULL").select("path")
-    return out.distinct().filter(F.greatest(F.lit(False), *(F.col("path").rlike(p) for p in patterns)))
+    out = out.distinct() if len(roots) > 1 else out
+    return out.filter(F.greatest(F.lit(False), *(F.col("path").rlike(p) for p in patterns))) if any_wild else out
 
 
 def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -552,6 +552,20 @@ def test_listings_take_files_folders_and_wildcards(spark, tmp_path):
     assert names(f"{top}/*/[!a]*/*.tar") == [2] and names(f"{top}/none") == names(f"{top}/none/*.tar") == []
 
 
+def test_each_folder_is_made_by_one_task_and_one_root_is_not_shuffled(spark):
+    from quern.plans.experiments import put_files
+
+    rows = spark.range(300).selectExpr("concat('s', id % 3, '/d', id % 2, '/f', id, '.txt') AS name", "repeat('x', id % 4) AS content")
+    name = f"dealt-{random.SystemRandom().getrandbits(64)}"
+    root = put_files(spark, rows.repartition(5), name)
+    made = spark.read.parquet(root.rsplit("/", 1)[0] + f"/{name}-written-*").agg(F.sum("n"), F.sum("folders")).first()
+    assert tuple(made) == (300, 6)
+    found = files.list_files(spark, root)
+    assert sorted((r.path.removeprefix(root), r.length) for r in found.collect()) == sorted((f"/s{i % 3}/d{i % 2}/f{i}.txt", i % 4) for i in range(300))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "RLIKE" not in plan
+
+
 def test_one_shard_of_many_members_is_read_by_several_tasks(spark, tmp_path):
     """Long names, folders, links, empty and large members; each member comes whole and once, in any cut."""
     rng = random.Random(6)
