@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.rank import materialise
-from quern.operators.vectors import AT_ONCE, BLOCK, TILE, _block_pairs, _blocks, _matrix, _tiles
+from quern.operators.vectors import AT_ONCE, BLOCK, TILE, _block_pairs, _blocks, _matrix, _other, _tiles
 
 #: Centres of an index and groups of neighbouring centres at most, and rows of the bounded sample that centres are fitted on.
 CENTRES, GROUPS, SAMPLE = 4096, 64, 32_768
@@ -183,7 +183,7 @@ def search_index(query: DataFrame, index: VectorIndex, k: int, probes: int = 8,
     def met(asked: DataFrame, later: bool) -> DataFrame:
         dealt = asked.mapInPandas(_asked(about, probes, later), "id long, v array<double>, floor double, grp int")
         packed = _blocks(dealt, "id", "v", block, "grp", ["floor"])
-        pairs = packed.join(index.last, "by").withColumn("j", F.explode(F.sequence(F.lit(0), "last"))).drop("last", "block").join(index.blocks, ["by", "j"])
+        pairs = packed.join(index.last, "by").withColumn("j", F.explode(F.sequence(F.lit(0), "last"))).drop("last", "block", "parts").join(index.blocks, ["by", "j"])
         return materialise(pairs.mapInPandas(_meet(k, probes, later, label, about), kinds), "nearest", AT_ONCE)
 
     some = met(rows.withColumn("floor", F.lit(None).cast("double")), False)
@@ -258,9 +258,9 @@ def _highest(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                ids, ids2 = np.asarray(r.ids), np.asarray(r.ids2)
+                ids, ids2 = np.asarray(r.ids), np.asarray(r.ids if r.i == r.j else r.ids2)
                 best, best2 = (np.full((len(x), k), -np.inf) for x in (ids, ids2))
-                for i, j, s in _tiles(_units(_matrix(r.ids, r.flat)), _units(_matrix(r.ids2, r.flat2))):
+                for i, j, s in _tiles(_units(_matrix(r.ids, r.flat)), _units(_other(r))):
                     a, b = slice(i, i + TILE), slice(j, j + TILE)
                     s[np.isnan(s)] = -np.inf
                     if r.i == r.j:

@@ -14,23 +14,31 @@ from quern.functions.rank import group_quantiles, group_rank, materialise
 
 #: Rows of a block that is compared with others: BLOCK at least, and where a group has many rows a 16th of them (PARTS), up to
 #: MOST bytes. What is shuffled is the table times the blocks of a group, so it grows as the table does until blocks have MOST
-#: bytes. TILE rows of a block are multiplied with TILE others at once; AT_ONCE block pairs reach a task together, and a task
+#: bytes. What is made of many groups alike (entities, clusters) takes a 16th of all rows for that, so that a group with less is one
+#: block, which is not shuffled again for pairs, at any size. TILE rows of a block are multiplied with TILE others at once; AT_ONCE block pairs reach a task together, and a task
 #: holds LINKS links or pairs before it hands them on.
 BLOCK, PARTS, MOST, TILE, AT_ONCE, LINKS = 1024, 16, 32 << 20, 2048, 2, 1 << 20
 #: Parts into which the edges or members of one node are dealt.
 SALTS = 32
 
 
-def _blocks(vecs: DataFrame, key: str, vector: str, block: int, by: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
-    """Vectors packed into rows of about ``block`` or more: by, block, ids, flat (their vectors one after another) and extra columns as arrays."""
+def _blocks(vecs: DataFrame, key: str, vector: str, block: int, by: str | None = None, extra: Sequence[str] = (), of_all: bool = False) -> DataFrame:
+    """Vectors packed into rows of about ``block`` or more: by, block, ids, flat (their vectors one after another), the number of
+    parts of the group and extra columns as arrays. Large blocks are a 16th of a group or (``of_all``) of all rows."""
     group = F.col(by) if by else F.lit(0)
     rows = vecs.filter(F.col(vector).isNotNull()).withColumn("__by", group)
     kind = _kind(vecs, vector)
-    n, most = F.count(F.lit(1)), _most(kind, F.max(F.size(vector)))
-    parts = materialise(rows.groupBy("__by").agg(F.ceil(n / F.greatest(F.lit(block), F.least(n / PARTS, most))).cast("int").alias("__parts")), "parts")
+    sizes = materialise(rows.groupBy("__by").agg(F.count(F.lit(1)).alias("__n"), _most(kind, F.max(F.size(vector))).alias("__most")), "parts")
+    share = F.lit(_total(sizes)) if of_all else F.col("__n")
+    parts = sizes.select("__by", F.ceil(F.col("__n") / F.greatest(F.lit(block), F.least(share / PARTS, "__most"))).cast("int").alias("__parts"))
     dealt = rows.join(parts, "__by").withColumn("block", F.pmod(F.xxhash64(key), F.col("__parts")).cast("int"))
-    packed = dealt.groupBy("__by", "block").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), *extra, F.col(vector).cast(kind).alias("v")))).alias("l"))
-    return materialise(packed.select(F.col("__by").alias("by"), "block", F.transform("l", lambda x: x["k"]).alias("ids"), F.flatten(F.transform("l", lambda x: x["v"])).alias("flat"), *(_each("l", c) for c in extra)), "blocks")
+    packed = dealt.groupBy("__by", "block").agg(F.max("__parts").alias("parts"), F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), *extra, F.col(vector).cast(kind).alias("v")))).alias("l"))
+    return materialise(packed.select(F.col("__by").alias("by"), "block", "parts", F.transform("l", lambda x: x["k"]).alias("ids"), F.flatten(F.transform("l", lambda x: x["v"])).alias("flat"), *(_each("l", c) for c in extra)), "blocks")
+
+
+def _total(sizes: DataFrame) -> int:
+    """All rows of groups with ``__n`` each."""
+    return sizes.agg(F.sum("__n")).first()[0] or 0
 
 
 def _kind(vecs: DataFrame, vector: str) -> str:
@@ -52,33 +60,37 @@ def _matrix(ids, flat) -> np.ndarray:
     return (flat if flat.dtype == np.float32 else flat.astype(np.float64, copy=False)).reshape(len(ids), -1)
 
 
-def _tiles(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Products of all rows of two blocks, tile by tile: first row, first column, products."""
+def _tiles(a: np.ndarray, b: np.ndarray, once: bool = False) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Products of all rows of two blocks, tile by tile: first row, first column, products. Of a block with itself ``once`` leaves out the tiles below the diagonal."""
     for i in range(0, len(a), TILE):
-        for j in range(0, len(b), TILE):
+        for j in range(i if once else 0, len(b), TILE):
             yield i, j, a[i : i + TILE].astype(np.float64, copy=False) @ b[j : j + TILE].astype(np.float64, copy=False).T
 
 
 def _block_pairs(packed: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Each block of a group with itself and with every later one of the group."""
-    right = packed.select("by", F.col("block").alias("j"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"), *(F.col(c).alias(f"{c}2") for c in extra))
-    last = packed.groupBy("by").agg(F.max("block").alias("__last"))
-    left = packed.withColumnRenamed("block", "i").join(last, "by").withColumn("j", F.explode(F.sequence(F.col("i"), F.col("__last")))).drop("__last")
-    return _dealt(left, right.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))))
+    """Each block of a group with itself (which comes without ids2 and flat2) and with every later one of the group."""
+    right = packed.filter("block > 0").select("by", F.col("block").alias("j"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"), *(F.col(c).alias(f"{c}2") for c in extra))
+    left = packed.withColumnRenamed("block", "i").withColumn("j", F.explode(F.sequence(F.col("i"), F.col("parts") - 1))).drop("parts")
+    return _dealt(left, right.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") - 1))))
 
 
 def _dealt(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Blocks that meet, dealt by the pair (by, i, j): a group of any size meets many tasks, and all of them get about as much."""
+    """Blocks that meet, dealt by the pair (by, i, j): a group of any size meets many tasks, and all of them get about as much. A block that meets itself comes alone."""
     parts, pair = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["by", "i", "j"]
-    return left.repartition(parts, *pair).join(right.repartition(parts, *pair), pair)
+    return left.repartition(parts, *pair).join(right.repartition(parts, *pair), pair, "left").filter("i = j OR ids2 IS NOT NULL")
+
+
+def _other(r) -> np.ndarray:
+    """Vectors of the second block of a pair."""
+    return _matrix(r.ids, r.flat) if r.i == r.j else _matrix(r.ids2, r.flat2)
 
 
 def _near(r, thr: float, extra: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows of the first and of the second block whose similarity is ``thr`` or more, and the similarity, tile by tile; a block's pairs with itself come once."""
     if extra:
-        codes = pd.factorize(np.concatenate([np.asarray(getattr(r, c), object) for c in (extra, extra + "2")]))[0]
+        codes = pd.factorize(np.concatenate([np.asarray(getattr(r, c), object) for c in (extra, extra if r.i == r.j else extra + "2")]))[0]
         left, right = codes[: len(r.ids)], codes[len(r.ids) :]  # unknown ones are -1
-    for i, j, s in _tiles(_matrix(r.ids, r.flat), _matrix(r.ids2, r.flat2)):
+    for i, j, s in _tiles(_matrix(r.ids, r.flat), _other(r), r.i == r.j):
         p, q = np.nonzero(s >= thr)
         near = s[p, q]
         p, q = p + i, q + j
@@ -94,7 +106,7 @@ def _pairs_from(thr: float, extra: str | None):
         for batch in batches:
             found, n = [], 0
             for r in batch.itertuples(index=False):
-                ids, ids2 = np.asarray(r.ids), np.asarray(r.ids2)
+                ids, ids2 = np.asarray(r.ids), np.asarray(r.ids if r.i == r.j else r.ids2)
                 for p, q, near in _near(r, thr, extra):
                     a, b = ids[p], ids2[q]
                     found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "by": r.by, "similarity": near}))
@@ -157,7 +169,7 @@ def _links_from(thr: float, extra: str | None):
 
 def join_links_within(vecs: DataFrame, thr: float = 0.93, key: str = "vec_id", vector: str = "embedding", entity: str = "entity_id", block: int = BLOCK) -> DataFrame:
     """Links (a, b) with the same nodes and components as ``join_pairs_within``: of each task's pairs at most one less than it has rows, so dense groups give no quadratic table."""
-    packed = _blocks(vecs.filter(F.col(entity).isNotNull()), key, vector, block, entity)
+    packed = _blocks(vecs.filter(F.col(entity).isNotNull()), key, vector, block, entity, of_all=True)
     return materialise(_block_pairs(packed).mapInPandas(_links_from(thr, None), "a long, b long"), "links", AT_ONCE)
 
 
@@ -169,7 +181,7 @@ def join_links_cross(vecs: DataFrame, thr: float = 0.985, key: str = "vec_id", v
 
 def join_pairs_within(vecs: DataFrame, thr: float = 0.93, key: str = "vec_id", vector: str = "embedding", entity: str = "entity_id", block: int = BLOCK) -> DataFrame:
     """Pairs a < b of one entity with similarity from ``thr`` on; rows without an entity are left out. Only such pairs leave a task, however large an entity is."""
-    packed = _blocks(vecs.filter(F.col(entity).isNotNull()), key, vector, block, entity)
+    packed = _blocks(vecs.filter(F.col(entity).isNotNull()), key, vector, block, entity, of_all=True)
     kind = dict(vecs.dtypes)[entity]
     found = _block_pairs(packed).mapInPandas(_pairs_from(thr, None), f"a long, b long, by {kind}, similarity double")
     return materialise(found, "pairs", AT_ONCE).withColumnRenamed("by", "entity")
@@ -259,16 +271,16 @@ def agg_cluster_stats(members: DataFrame, vecs: DataFrame, key: str = "vec_id",
 
 
 def outward_blocks(rows: DataFrame, key: str, vector: str, block: int | None) -> DataFrame:
-    """The rows of each cluster in blocks of ``block`` (BLOCK, or a 16th of a large cluster) by falling distance r from the cluster's mean
+    """The rows of each cluster in blocks of ``block`` (BLOCK, or a 16th of all rows) by falling distance r from the cluster's mean
     c: by, block, ids, flat, and what bounds the similarities of its rows: low (smallest c.x - c.c / 2) and reach (largest r)."""
     kind = _kind(rows, vector)
     rows = rows.filter(F.col(vector).isNotNull()).select("cluster_id", F.col(key).alias("k"), F.col(vector).cast(kind).alias("v"))
     means = rows.select("cluster_id", F.posexplode("v").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg("x").alias("x"))
     means = means.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
-    near = rows.join(means, "cluster_id")
+    near, total = rows.join(means, "cluster_id"), rows.count()
     gap = F.zip_with("v", "c", lambda x, y: x - y)
     placed = group_rank(materialise(near.select("cluster_id", "k", "v", (dot("c", "v") - dot("c", "c") / 2).alias("p"), F.sqrt(dot(gap, gap)).alias("r")), "radii"), ["cluster_id"], [F.desc("r"), F.col("k")], "place", "__n")
-    size = F.lit(block) if block else F.ceil(F.greatest(F.lit(BLOCK), F.least(F.col("__n") / PARTS, _most(kind, F.size("v")))))
+    size = F.lit(block) if block else F.ceil(F.greatest(F.lit(BLOCK), F.least(F.lit(total / PARTS), _most(kind, F.size("v")))))
     dealt = placed.withColumn("block", F.floor((F.col("place") - 1) / size).cast("int"))
     packed = dealt.groupBy(F.col("cluster_id").alias("by"), "block").agg(F.collect_list(F.struct("k", "v")).alias("l"), F.min("p").alias("low"), F.max("r").alias("reach"))
     return materialise(packed.select("by", "block", F.transform("l", lambda x: x["k"]).alias("ids"), F.flatten(F.transform("l", lambda x: x["v"])).alias("flat"), "low", "reach"), "blocks")
@@ -277,31 +289,53 @@ def outward_blocks(rows: DataFrame, key: str, vector: str, block: int | None) ->
 def lowest_similarity(rows: DataFrame, key: str, vector: str, block: int | None = None) -> DataFrame:
     """Per cluster_id the smallest similarity of two of its rows: low. Clusters of one row have none.
 
+    A cluster that fits in one block (of BLOCK rows, or a 16th of all) is one task's; the others, and with ``block`` all, meet block by block.
+    """
+    rows = materialise(rows.filter(F.col(vector).isNotNull()).select("cluster_id", key, vector), "members")
+    if block:
+        return _lowest_of_blocks(rows, key, vector, block)
+    kind, parts = _kind(rows, vector), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = materialise(rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("__n"), _most(kind, F.max(F.size(vector))).alias("__most")), "sizes")
+    fits = F.col("__n") <= F.greatest(F.lit(BLOCK), F.least(F.lit(_total(sizes) / PARTS), "__most"))
+    whole = rows.join(sizes.filter(fits).select("cluster_id"), "cluster_id", "left_semi").repartition(parts, "cluster_id")
+    packed = whole.groupBy("cluster_id").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast(kind).alias("v"))).alias("l"))
+    packed = packed.select(F.col("cluster_id").alias("by"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.transform("l", lambda x: x["k"]).alias("ids"), F.flatten(F.transform("l", lambda x: x["v"])).alias("flat"))
+    low = materialise(packed.mapInPandas(_lowest, "by long, low double"), "whole", AT_ONCE).withColumnRenamed("by", "cluster_id")
+    large = sizes.filter(~fits).select("cluster_id")
+    return low if large.isEmpty() else low.unionByName(_lowest_of_blocks(rows.join(large, "cluster_id", "left_semi"), key, vector, block))
+
+
+def _lowest_of_blocks(rows: DataFrame, key: str, vector: str, block: int | None) -> DataFrame:
+    """The same for clusters of any size.
+
     For any x, y and the cluster's mean c: x.y >= (c.x - c.c / 2) + (c.y - c.c / 2) - |x - c| |y - c|. The rows that lie furthest out
     meet each other first; then only those blocks meet that can hold a lower pair than was found so.
     """
-    blocks = outward_blocks(rows, key, vector, block)
+    blocks, parts = outward_blocks(rows, key, vector, block), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left, right = (blocks.select("by", F.col("block").alias(n), *(F.col(c).alias(c + e) for c in ("ids", "flat"))) for n, e in (("i", ""), ("j", "2")))
-    first = left.filter("i = 0").join(right.filter("j = 0"), "by")
+    first = left.filter("i = 0").withColumn("j", F.lit(0)).repartition(parts, "by")
     outer = materialise(first.mapInPandas(_lowest, "by long, low double"), "outermost", AT_ONCE)
     heads = blocks.select("by", "block", "low", "reach")
     pairs = heads.select("by", F.col("block").alias("i"), "low", "reach").join(heads.select("by", F.col("block").alias("j"), F.col("low").alias("low2"), F.col("reach").alias("reach2")), "by").filter("i <= j AND j > 0")
     open_ = pairs.join(outer.select("by", F.col("low").alias("found")), "by", "left").filter(F.col("found").isNull() | (F.col("low") + F.col("low2") - F.col("reach") * F.col("reach2") - 1e-9 < F.col("found")))
     open_ = materialise(open_.select("by", "i", "j"), "open")
-    more = materialise(_dealt(open_.join(left, ["by", "i"]), open_.join(right, ["by", "j"])).mapInPandas(_lowest, "by long, low double"), "lowest", AT_ONCE)
+    more = materialise(_dealt(open_.join(left, ["by", "i"]), open_.filter("i < j").join(right, ["by", "j"])).mapInPandas(_lowest, "by long, low double"), "lowest", AT_ONCE)
     return outer.unionByName(more).groupBy(F.col("by").alias("cluster_id")).agg(F.min("low").alias("low"))
 
 
 def _lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Smallest similarity of different rows of each pair of blocks."""
+    """Smallest similarity of different rows of each pair of blocks, a row a pair."""
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
-            for i, j, s in _tiles(_matrix(r.ids, r.flat), _matrix(r.ids2, r.flat2)):
+            low = []
+            for i, j, s in _tiles(_matrix(r.ids, r.flat), _other(r), r.i == r.j):
                 if r.i == r.j:
                     s = s[np.arange(len(s))[:, None] + i < np.arange(s.shape[1]) + j]
                 if s.size:
-                    out.append((r.by, float(s.min())))
+                    low.append(float(s.min()))
+            if low:
+                out.append((r.by, min(low)))
         yield pd.DataFrame(out, columns=["by", "low"])
 
 

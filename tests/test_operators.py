@@ -788,6 +788,34 @@ def test_a_large_cluster_or_group_has_sixteen_blocks(spark, monkeypatch):
     assert abs(vectors.lowest_similarity(df, "vec_id", "embedding").first().low - s[np.triu_indices(320, 1)].min()) < 1e-9
 
 
+def test_groups_below_a_share_of_all_rows_are_shuffled_once_for_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    rng = np.random.default_rng(10)
+    x, group = rng.normal(size=(400, 4)), np.array([*range(20)] * 8 + [20] * 240)
+    df = spark.createDataFrame([(i, int(g), [float(v) for v in r]) for i, (g, r) in enumerate(zip(group, x, strict=True))], "vec_id long, cluster_id long, embedding array<double>")
+    packed = vectors._blocks(df, "vec_id", "embedding", 4, "cluster_id", of_all=True)
+    assert {r.by: r.parts for r in packed.collect()} == {g: 1 if g < 20 else 10 for g in range(21)}
+    pairs = vectors._block_pairs(packed).selectExpr("by", "i", "j", "ids2 IS NULL AS alone").collect()
+    n = {r.by: 0 for r in pairs}
+    for r in pairs:
+        n[r.by] += 1
+        assert r.alone == (r.i == r.j)
+    k = packed.filter("by = 20").count()
+    assert n == {g: 1 if g < 20 else k * (k + 1) // 2 for g in range(21)}
+    got = {r.cluster_id: r.low for r in vectors.lowest_similarity(df, "vec_id", "embedding").collect()}
+    assert len(got) == 21
+    for g in range(21):
+        s = x[group == g] @ x[group == g].T
+        assert abs(got[g] - s[np.triu_indices(len(s), 1)].min()) < 1e-9
+    monkeypatch.setattr(vectors, "TILE", 7)
+    own = packed.filter("by = 0").selectExpr("by", "0 AS i", "0 AS j", "ids", "flat").toPandas()
+    assert [tuple(r) for r in next(vectors._lowest(iter([own]))).round(9).itertuples(index=False)] == [(0, round(got[0], 9))]  # of several tiles too
+    found = vectors.join_pairs_within(df, 0.5, entity="cluster_id", block=4).collect()
+    s = x @ x.T
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if group[i] == group[j] and s[i, j] >= 0.5}
+    assert len(found) == len(want) and {(r.a, r.b) for r in found} == want
+
+
 def test_templates_take_time_in_proportion_to_the_vector(spark):
     import time
 
