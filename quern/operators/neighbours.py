@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.rank import materialise
-from quern.operators.vectors import AT_ONCE, BLOCK, TILE, _block_pairs, _blocks, _matrix, _other, _tiles
+from quern.operators.vectors import AT_ONCE, BLOCK, PARTS, TILE, _block_pairs, _blocks, _kind, _matrix, _other, _tiles
 
 #: Centres of an index and groups of neighbouring centres at most, and rows of the bounded sample that centres are fitted on.
 CENTRES, GROUPS, SAMPLE = 4096, 64, 32_768
+#: Spans into which the blocks of an index are dealt. A task leads a block of queries past all blocks of a span that it asks for and hands on
+#: the k best once, so what is written are at most SPANS * k rows a query, at any size.
+SPANS = 4
 #: Bounds are loosened by this share, which is more than sums of doubles lose.
 SLACK = 1e-9
 
@@ -24,14 +27,15 @@ class VectorIndex(NamedTuple):
 
     ``blocks`` holds the rows by group of neighbouring centres, in blocks of bounded size: by (group), j, ids2, flat2, cell2 and
     label2. ``radii`` is how far from its centre a cell reaches, so that ``centres`` and ``radii`` bound what any row of a
-    cell can score. Both have as many rows as there are centres.
+    cell can score. ``homes`` are larger groups of cells, by which queries that ask for the same cells come together. All four have
+    as many rows as there are centres.
     """
 
     centres: np.ndarray
     radii: np.ndarray
     groups: np.ndarray
+    homes: np.ndarray
     blocks: DataFrame
-    last: DataFrame  # per group the number of its last block
 
 
 def _fitted(x: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
@@ -80,19 +84,21 @@ def index_vectors(train: DataFrame, key: str = "vec_id", vector: str = "embeddin
     Centres are fitted on at most ``sample`` rows (those with the smallest hashes of their keys); there are ``cells`` of them, or
     one for every ``block`` rows up to ``CENTRES``. Rows of one cell, however many, lie in blocks of bounded size.
     """
-    rows = train.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), *([F.col(label).alias("label2")] if label else []))
+    kind = _kind(train, vector)
+    rows = train.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast(kind).alias("v"), *([F.col(label).alias("label2")] if label else []))
     n = rows.count()
     x = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], np.float64)
     k = max(1, min(cells or -(-n // block), CENTRES, len(x)))
     centres = _fitted(x, k) if len(x) else np.zeros((1, 1))
-    groups = _own(centres, _fitted(centres, min(GROUPS, max(1, k // 4))))
-    made = rows.mapInPandas(_listed(centres, groups, 1), "id long, v array<double>" + (", label2 int" if label else "") + ", cell int, grp int")
-    blocks = _blocks(made, "id", "v", block, "grp", ["cell", *(["label2"] if label else [])])
+    groups, homes = (_own(centres, _fitted(centres, min(most, max(1, k // 4)))) for most in (GROUPS, PARTS))
+    made = rows.mapInPandas(_listed(centres, groups, 1), f"id long, v {kind}" + (", label2 int" if label else "") + ", cell int, grp int")
+    blocks = _blocks(made, "id", "v", block, "grp", ["cell", *(["label2"] if label else [])], of_all=True)
     blocks = blocks.select("by", F.col("block").alias("j"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"), F.col("cell").alias("cell2"), *(["label2"] if label else []))
     radii = np.full(len(centres), -np.inf)
-    for r in blocks.mapInPandas(_reach(centres), "cell int, gap double").groupBy("cell").agg(F.max("gap").alias("gap")).collect():  # a row per centre
+    reached = materialise(blocks.mapInPandas(_reach(centres), "cell int, gap double"), "reach", AT_ONCE)
+    for r in reached.groupBy("cell").agg(F.max("gap").alias("gap")).collect():  # a row per centre
         radii[r.cell] = r.gap
-    return VectorIndex(centres, radii, groups, blocks, materialise(blocks.groupBy("by").agg(F.max("j").alias("last")), "last-blocks"))
+    return VectorIndex(centres, radii, groups, homes, blocks)
 
 
 def _scores(q: np.ndarray, index: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -105,26 +111,27 @@ def _scores(q: np.ndarray, index: tuple) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _wanted(q: np.ndarray, floor: np.ndarray | None, probes: int, index: tuple) -> np.ndarray:
-    """Cells of each query: the ``probes`` closest ones, or (with a floor) all others that can hold a row from the floor on."""
+    """Cells of each query: the ``probes`` closest ones, or (with a floor) all that can hold a row from the floor on."""
     s, most = _scores(q, index)
+    if floor is not None:
+        return (most >= floor[:, None]) & np.isfinite(most)
     s = np.where(np.isfinite(most), s, -np.inf)  # empty cells come last
     near = np.zeros(s.shape, bool)
     np.put_along_axis(near, np.argsort(-s, axis=1, kind="stable")[:, :probes], True, 1)
-    near &= np.isfinite(most)
-    return near if floor is None else (most >= floor[:, None]) & ~near
+    return near & np.isfinite(most)
 
 
 def _asked(index: tuple, probes: int, later: bool):
-    """Query rows (id, v, floor), once for each group of cells that they want."""
+    """The groups of cells that a block of queries asks for: by, block, grp."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(0, len(batch), TILE):
-                part = batch[i : i + TILE]
-                want = _wanted(np.stack(part.v.to_numpy()).astype(np.float64), part.floor.to_numpy(float) if later else None, probes, index)
-                row, cell = np.nonzero(want)
-                pairs = np.unique(np.stack([row, index[2][cell]], 1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
-                yield part.iloc[pairs[:, 0]].assign(grp=pairs[:, 1].astype(np.int32))
+            for r in batch.itertuples(index=False):
+                q, floor, want = _matrix(r.ids, r.flat), np.asarray(r.floor, float), np.zeros(len(index[0]), bool)
+                for i in range(0, len(q), TILE):
+                    want |= _wanted(q[i : i + TILE].astype(np.float64), floor[i : i + TILE] if later else None, probes, index).any(0)
+                grp = np.unique(index[2][want]).astype(np.int32)
+                yield pd.DataFrame({"by": np.full(len(grp), r.by, np.int32), "block": np.full(len(grp), r.block, np.int32), "grp": grp})
 
     return run
 
@@ -138,29 +145,84 @@ def _best(k: int, query: np.ndarray, train: np.ndarray, s: np.ndarray, *more: np
     return [query[place < k], train[order], s[order], *(a[order] for a in more)]
 
 
+class _Nearest:
+    """The k best rows so far of at most TILE queries, and the similarity that a row needs to become one of them.
+
+    Without floors a query looks at its ``probes`` closest cells only.
+    """
+
+    def __init__(self, k: int, ids: np.ndarray, q: np.ndarray, floor: np.ndarray | None, probes: int, index: tuple) -> None:
+        self.k, self.ids, self.q, self.index, self.found, self.n = k, ids, q, index, [], 0
+        if floor is None:
+            self.near, self.least = _wanted(q, None, probes, index), np.full(len(q), -np.inf)
+        else:  # floors were summed up in another order, so they are loosened as bounds are
+            centres, radii = (a[np.isfinite(index[1])] for a in index[:2])
+            reach = (np.sqrt((centres * centres).sum(1)) + radii).max()
+            self.near, self.least = None, floor - SLACK * (1 + np.sqrt((q * q).sum(1)) * reach)
+
+    def wants(self, cells: np.ndarray) -> np.ndarray:
+        return _wanted(self.q, self.least, 0, (self.index[0][cells], self.index[1][cells], None)) if self.near is None else self.near[:, cells]
+
+    def meet(self, who: np.ndarray, ids: np.ndarray, rows: np.ndarray, names: np.ndarray) -> None:
+        """Rows of one cell come to those queries that want it."""
+        s, least = self.q[who] @ rows.T, self.least[who]
+        hit = s >= (least - _edge(least))[:, None]
+        if np.count_nonzero(hit) > self.k * len(s):  # then there are more than k rows
+            known = np.where(np.isnan(s), -np.inf, s)
+            least = np.maximum(least, np.round(np.partition(known, known.shape[1] - self.k, 1)[:, known.shape[1] - self.k], 12))
+            hit = s >= (least - _edge(least))[:, None]
+        p, t = np.nonzero(hit)
+        s = np.round(s[p, t], 12)
+        keep = s >= least[p]
+        p, t = p[keep], t[keep]
+        self.found.append((who[p], ids[t], s[keep], names[t]))
+        self.n += len(p)
+        if self.n >= 2 * self.k * len(self.q):
+            self.trim()
+
+    def trim(self) -> None:
+        best = _best(self.k, *(np.concatenate(x) for x in zip(*self.found, strict=True)))
+        last = np.cumsum(n := np.bincount(best[0], minlength=len(self.q))) - 1
+        full = n == self.k
+        self.least[full] = np.maximum(self.least[full], best[2][last[full]])
+        self.found, self.n = [best], len(best[0])
+
+    def best(self, label: bool) -> pd.DataFrame:
+        self.trim()
+        query, train, s, names = self.found[0]
+        return pd.DataFrame({"query_id": self.ids[query], "train_id": train, "similarity": s} | ({"label": names} if label else {}))
+
+
+def _edge(least: np.ndarray) -> np.ndarray:
+    """How far below a rounded similarity one can lie that is rounded to it."""
+    return 1e-12 + 1e-14 * np.abs(least)
+
+
 def _meet(k: int, probes: int, later: bool, label: bool, index: tuple):
-    """The k best of a block of queries among the rows of a block that lie in cells they want."""
+    """The k best of a block of queries among the rows of the blocks that follow it (up to the next block of queries) and lie in cells they want."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
         for batch in batches:
             for r in batch.itertuples(index=False):
-                queries, rows, ids, cells = _matrix(r.ids, r.flat), _matrix(r.ids2, r.flat2), np.asarray(r.ids2), np.asarray(r.cell2)
-                floors = np.asarray(r.floor, float) if later else None
+                ids, x = np.asarray(r.ids), _matrix(r.ids, r.flat)
+                if r.j < 0:
+                    yield from (h.best(label) for h in held if h.found)
+                    floor = np.asarray(r.floor, float)
+                    held = [_Nearest(k, ids[i : i + TILE], x[i : i + TILE].astype(np.float64), floor[i : i + TILE] if later else None, probes, index) for i in range(0, len(ids), TILE)]
+                    continue
                 names = np.asarray(r.label2) if label else np.zeros(len(ids), np.int32)
-                order = np.argsort(cells, kind="stable")
-                bounds = np.flatnonzero(np.diff(cells[order], prepend=-1, append=-1))
-                for i in range(0, len(queries), TILE):
-                    q = queries[i : i + TILE]
-                    want = _wanted(q, None if floors is None else floors[i : i + TILE], probes, index)
-                    found = [np.zeros(0, np.int64)] * 2 + [np.zeros(0), np.zeros(0, names.dtype)]
-                    for a, b in zip(bounds, bounds[1:], strict=False):
-                        who = np.flatnonzero(want[:, cells[order[a]]])
-                        for at in (order[c : min(c + TILE, b)] for c in range(a, b, TILE)) if len(who) else ():
-                            s = np.round(q[who] @ rows[at].T, 12)
-                            least = np.partition(s, s.shape[1] - k, 1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                            p, t = np.nonzero(s >= least[:, None])
-                            found = _best(k, *(np.concatenate([x, y]) for x, y in zip(found, (who[p], ids[at[t]], s[p, t], names[at[t]]), strict=True)))
-                    yield pd.DataFrame({"query_id": np.asarray(r.ids)[i : i + TILE][found[0]], "train_id": found[1], "similarity": found[2]} | ({"label": found[3]} if label else {}))
+                own = np.asarray(r.cell2)
+                order = np.argsort(own, kind="stable")
+                bounds = np.flatnonzero(np.diff(own[order], prepend=-1, append=-1))
+                wants = [h.wants(own[order[bounds[:-1]]]) for h in held]
+                for c, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                    for at in (order[i : min(i + TILE // 4, b)] for i in range(a, b, TILE // 4)):
+                        rows = x[at].astype(np.float64)
+                        for h, want in zip(held, wants, strict=True):
+                            if len(who := np.flatnonzero(want[:, c])):
+                                h.meet(who, ids[at], rows, names[at])
+        yield from (h.best(label) for h in held if h.found)
 
     return run
 
@@ -168,29 +230,36 @@ def _meet(k: int, probes: int, later: bool, label: bool, index: tuple):
 def search_index(query: DataFrame, index: VectorIndex, k: int, probes: int = 8, exact: bool = True, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """The k most similar listed rows of each query row: query_id, train_id, similarity, (label,) rank (ties by train id).
 
-    A query meets its ``probes`` closest cells. Its k-th similarity there is a floor: ``exact`` then sends it to every other cell
-    that can hold a row from the floor on, by the cell's centre and radius, so nothing is missed. Queries and cells meet by
-    group of cells and block; keys of queries are distinct.
+    A query meets its ``probes`` closest cells. Its k-th similarity there is a floor: ``exact`` then sends it to every cell that
+    can hold a row from the floor on, by the cell's centre and radius, so nothing is missed (where there are few cells, to all at
+    once). Queries lie in blocks by home; a block is followed by the blocks of the groups of cells that it asks for, span by span,
+    so what is shuffled is the index for each block of queries (about PARTS of them, until a block and its k best have MOST bytes).
+    Keys of queries are distinct.
     """
     about = index.centres, index.radii, index.groups
     label = "label2" in index.blocks.columns
     kinds = "query_id long, train_id long, similarity double" + (", label int" if label else "")
     if not np.isfinite(index.radii).any():
         return query.sparkSession.createDataFrame([], kinds + ", rank int")
-    rows = query.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kind, parts = _kind(query, vector), int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = query.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast(kind).alias("v"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "train_id")
 
     def met(asked: DataFrame, later: bool) -> DataFrame:
-        dealt = asked.mapInPandas(_asked(about, probes, later), "id long, v array<double>, floor double, grp int")
-        packed = _blocks(dealt, "id", "v", block, "grp", ["floor"])
-        pairs = packed.join(index.last, "by").withColumn("j", F.explode(F.sequence(F.lit(0), "last"))).drop("last", "block", "parts").join(index.blocks, ["by", "j"])
-        return materialise(pairs.mapInPandas(_meet(k, probes, later, label, about), kinds), "nearest", AT_ONCE)
-
-    some = met(rows.withColumn("floor", F.lit(None).cast("double")), False)
-    if exact and probes < int(np.isfinite(index.radii).sum()):
+        dealt = asked.mapInPandas(_listed(index.centres, index.homes, 1), f"id long, v {kind}, floor double, cell int, grp int")
+        packed = _blocks(dealt, "id", "v", block, "grp", ["floor"], of_all=True, more=5 * k).drop("parts")
+        asks = materialise(packed.mapInPandas(_asked(about, probes, later), "by int, block int, grp int"), "asks", AT_ONCE)
+        lead = packed.select("by", "block", F.explode(F.sequence(F.lit(0), F.lit(SPANS - 1))).alias("span"), F.lit(-1).alias("j"), "ids", "flat", "floor")
+        follow = asks.join(index.blocks.withColumnRenamed("by", "grp"), "grp").withColumn("span", F.pmod(F.col("grp") + F.col("j"), F.lit(SPANS)))
+        follow = follow.withColumnsRenamed({"ids2": "ids", "flat2": "flat"}).drop("grp")
+        led = lead.unionByName(follow, allowMissingColumns=True).repartition(parts, "by", "block", "span").sortWithinPartitions("by", "block", "span", "j")
+        return materialise(led.mapInPandas(_meet(k, probes, later, label, about), kinds), "nearest", AT_ONCE)
+
+    few = int(np.isfinite(index.radii).sum()) <= 2 * probes
+    some = met(rows.withColumn("floor", F.lit(float("-inf"))), exact and few)
+    if exact and not few:
         kth = some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("similarity").alias("floor"))
-        asked = rows.join(kth, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-        some = some.unionByName(met(asked, True))
+        some = met(rows.join(kth, "id", "left").select("id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")), True)
     return some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

@@ -22,13 +22,14 @@ BLOCK, PARTS, MOST, TILE, AT_ONCE, LINKS = 1024, 16, 32 << 20, 2048, 2, 1 << 20
 SALTS = 32
 
 
-def _blocks(vecs: DataFrame, key: str, vector: str, block: int, by: str | None = None, extra: Sequence[str] = (), of_all: bool = False) -> DataFrame:
+def _blocks(vecs: DataFrame, key: str, vector: str, block: int, by: str | None = None, extra: Sequence[str] = (), of_all: bool = False, more: int = 0) -> DataFrame:
     """Vectors packed into rows of about ``block`` or more: by, block, ids, flat (their vectors one after another), the number of
-    parts of the group and extra columns as arrays. Large blocks are a 16th of a group or (``of_all``) of all rows."""
+    parts of the group and extra columns as arrays. Large blocks are a 16th of a group or (``of_all``) of all rows. A task holds
+    ``more`` values for a row beside its vector."""
     group = F.col(by) if by else F.lit(0)
     rows = vecs.filter(F.col(vector).isNotNull()).withColumn("__by", group)
     kind = _kind(vecs, vector)
-    sizes = materialise(rows.groupBy("__by").agg(F.count(F.lit(1)).alias("__n"), _most(kind, F.max(F.size(vector))).alias("__most")), "parts")
+    sizes = materialise(rows.groupBy("__by").agg(F.count(F.lit(1)).alias("__n"), _most(kind, F.max(F.size(vector)) + more).alias("__most")), "parts")
     share = F.lit(_total(sizes)) if of_all else F.col("__n")
     parts = sizes.select("__by", F.ceil(F.col("__n") / F.greatest(F.lit(block), F.least(share / PARTS, "__most"))).cast("int").alias("__parts"))
     dealt = rows.join(parts, "__by").withColumn("block", F.pmod(F.xxhash64(key), F.col("__parts")).cast("int"))

@@ -269,6 +269,29 @@ def test_index_is_exact_with_ties_hot_cells_and_few_rows(spark, cells, monkeypat
     assert nothing.count() == 0 and neighbours.join_knn_topk(asked.limit(0), df, 3).count() == 0
 
 
+def test_search_hands_on_a_bounded_number_of_rows_for_each_query(spark, monkeypatch):
+    """Queries that meet 40 blocks get k rows from each of four spans at most, and from all of them the k best; some labels are unknown."""
+    written, plain = [], neighbours.materialise
+
+    def counted(df, name, *rest):
+        out = plain(df, name, *rest)
+        if name == "nearest":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "materialise", counted)
+    x = np.random.default_rng(13).normal(size=(2000, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r], i % 7 or None) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    asked = df.filter("vec_id % 20 = 0")
+    found = neighbours.join_knn_topk(asked, df, 5, label="label", block=50, cells=40, probes=2)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.train_id, r.label))
+    s = np.round(x[::20].astype(float) @ x.T.astype(float), 12)
+    assert got == {20 * i: [(int(j), int(j % 7) or None) for j in np.argsort(-s[i], kind="stable")[:5]] for i in range(100)}
+    assert len(written) == 2 and max(written) <= 4 * 5 * 100
+
+
 def test_probes_reach_the_recall_they_were_chosen_for_and_bounds_spare_cells(spark):
     rng = np.random.default_rng(11)
     middle = rng.normal(size=(40, 8)) * 4
